@@ -147,13 +147,14 @@ def child_level(levels: Iterable[str], q: str) -> str | None:
 
 def unpack_maps(df: DataFrame, keys: list[str], maps: dict[str, Column]) -> DataFrame:
     """Map columns to long histogram rows."""
-    parts = [
-        F.transform(
+
+    def entries(family: str, c: Column) -> Column:
+        return F.transform(
             F.map_entries(c),
-            lambda e, n=n: F.struct(F.lit(n).alias("family"), e["key"].alias("key"), e["value"].alias("cnt")),
+            lambda e: F.struct(F.lit(family).alias("family"), e["key"].alias("key"), e["value"].alias("cnt")),
         )
-        for n, c in maps.items()
-    ]
+
+    parts = [entries(n, c) for n, c in maps.items()]
     filled = [F.coalesce(p, F.array().cast("array<struct<family:string,key:string,cnt:bigint>>")) for p in parts]
     rows = df.select(*keys, F.explode(F.concat(*filled)).alias("_e"))
     return rows.select(*keys, "_e.family", "_e.key", "_e.cnt")

@@ -25,16 +25,19 @@ HIT_SCHEMA = T.StructType(
 
 HIT_KEYS = ("domain", "session_id", "ts")
 
+# Messages carry microseconds; the default form would cut them to milliseconds.
+_TIME_FORMAT = {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]"}
+
 
 def to_envelope(df: DataFrame, *, name: str = "value") -> DataFrame:
     """One message per row; works on a stream as on a table."""
-    return df.select(F.to_json(F.struct(F.struct(*df.columns).alias("data"))).alias(name))
+    return df.select(F.to_json(F.struct(F.struct(*df.columns).alias("data")), _TIME_FORMAT).alias(name))
 
 
 def open_envelope(messages: DataFrame, schema: T.StructType, *, name: str = "value") -> DataFrame:
     """Parsed fields beside the raw text; a message that is no JSON gives null fields."""
     body = T.StructType([T.StructField("data", schema)])
-    parsed = messages.select(F.col(name).alias("_raw"), F.from_json(name, body).alias("_m"))
+    parsed = messages.select(F.col(name).alias("_raw"), F.from_json(name, body, _TIME_FORMAT).alias("_m"))
     return parsed.select("_raw", *[F.col(f"_m.data.{f.name}").alias(f.name) for f in schema.fields])
 
 
