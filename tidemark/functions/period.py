@@ -207,13 +207,40 @@ def shift_period(q: str, c: Column | str, delta: Column | int) -> Column:
     return _from_number((year + delta).cast("bigint") * 1000000)
 
 
+def _width(q: Column) -> Column:
+    return F.when(q == HOURLY, 10).when(q == DAILY, 8).when(q == MONTHLY, 6).when(q == YEARLY, 4)
+
+
+def coarsen_period_by(q: Column | str, c: Column | str) -> Column:
+    """Period to the same or a coarser granularity taken from a column.
+
+    Keeps the leading digits and refers to the period once, so generated code stays
+    small where such expressions nest; ``cast_period_by`` also goes to finer ones.
+    """
+    return F.rpad(F.substring(_col(c), F.lit(1), _width(_col(q))), 10, "0")
+
+
+def to_period_by(q: Column | str, ts: Column | str) -> Column:
+    """``to_period`` with the granularity taken from a column."""
+    return coarsen_period_by(q, F.date_format(_col(ts), "yyyyMMddHH"))
+
+
+def shift_start_by(q: Column | str, c: Column | str, delta: Column | int) -> Column:
+    """Start of the period ``delta`` units on, with the granularity taken from a column."""
+    q, c = _col(q), _col(c)
+    delta = (F.lit(delta) if isinstance(delta, int) else delta).cast("int")
+    zero = F.lit(0)
+
+    def units(name: str) -> Column:
+        return F.when(q == name, delta).otherwise(zero)
+
+    months = F.make_ym_interval(units(YEARLY), units(MONTHLY))
+    return _at_start(c) + months + F.make_dt_interval(units(DAILY), units(HOURLY))
+
+
 def shift_period_by(q: Column | str, c: Column | str, delta: Column | int) -> Column:
     """``shift_period`` with the granularity taken from a column."""
-    q = _col(q)
-    out = F.when(q == HOURLY, shift_period(HOURLY, c, delta))
-    for name in (DAILY, MONTHLY, YEARLY):
-        out = out.when(q == name, shift_period(name, c, delta))
-    return out
+    return to_period_by(q, shift_start_by(q, c, delta))
 
 
 def current_period(q: str, now: datetime | Column) -> Column:
@@ -222,11 +249,7 @@ def current_period(q: str, now: datetime | Column) -> Column:
 
 
 def current_period_by(q: Column | str, now: datetime | Column) -> Column:
-    q = _col(q)
-    out = F.when(q == HOURLY, current_period(HOURLY, now))
-    for name in (DAILY, MONTHLY, YEARLY):
-        out = out.when(q == name, current_period(name, now))
-    return out
+    return to_period_by(q, now if isinstance(now, Column) else ntz(now))
 
 
 def ntz(moment: datetime) -> Column:

@@ -51,7 +51,7 @@ def children_summary(ledger: DataFrame, catalog: Catalog, *, by: tuple[str, ...]
     child = _dim(ledger, catalog, "parent_process", "parent_qualifier").where(F.col("parent_process").isNotNull())
     known = F.col("state").isNotNull()
     given_up = (F.col("number_of_failures") > MAX_FAILURES) | S.is_skipped("state")
-    parent_period = P.cast_period_by("parent_qualifier", "timeperiod")
+    parent_period = P.coarsen_period_by("parent_qualifier", "timeperiod")
     return child.groupBy(*by, F.col("parent_process").alias("process_name"), parent_period.alias("timeperiod")).agg(
         F.count(F.lit(1)).alias("number_of_children"),
         F.bool_and(S.is_finished(_state())).alias("children_finished"),
@@ -143,13 +143,8 @@ def gate(ledger: DataFrame, catalog: Catalog, *, by: tuple[str, ...] = ()) -> Da
 
 def is_closed(q: Column | str, c: Column | str, now: datetime, lag_minutes: int = LAG_MINUTES) -> Column:
     """True once a bucket's end plus the allowed lateness has passed."""
-    if isinstance(q, str) and q in P.RANK:
-        following = P.period_start(q, P.shift_period(q, c, 1))
-    else:
-        q = F.col(q) if isinstance(q, str) else q
-        following = F.when(q == P.HOURLY, P.period_start(P.HOURLY, P.shift_period(P.HOURLY, c, 1)))
-        for name in (P.DAILY, P.MONTHLY, P.YEARLY):
-            following = following.when(q == name, P.period_start(name, P.shift_period(name, c, 1)))
+    granularity = F.lit(q) if isinstance(q, str) and q in P.RANK else q
+    following = P.shift_start_by(granularity, c, 1)
     zero = F.lit(0)
     return P.ntz(now) > following + F.make_dt_interval(zero, zero, F.lit(lag_minutes))
 
@@ -204,7 +199,7 @@ def propagate_dirty(
         .select(
             *by,
             F.col("target").alias("process_name"),
-            P.cast_period_by("target_qualifier", "timeperiod").alias("timeperiod"),
+            P.coarsen_period_by("target_qualifier", "timeperiod").alias("timeperiod"),
         )
         .distinct()
     )
@@ -231,7 +226,7 @@ def propagate_skip(
     candidates = (
         ledger.select(*_key(by), "state")
         .join(reach, "process_name")
-        .withColumn("source_period", P.cast_period_by("source_qualifier", "timeperiod"))
+        .withColumn("source_period", P.coarsen_period_by("source_qualifier", "timeperiod"))
     )
     hit = candidates.join(marked, [*by, "source", "source_period"], "left_semi")
     action = F.when(S.is_finished(_state()), "none").otherwise("skip")
@@ -277,9 +272,9 @@ def next_period(ledger: DataFrame, catalog: Catalog, now: datetime, *, by: tuple
         eligible = F.col("_open")
         if chosen is not None:
             level = level.join(chosen, group)
-            parent = P.cast_period_by("parent_qualifier", "timeperiod")
+            parent = P.coarsen_period_by("parent_qualifier", "timeperiod")
             eligible = eligible & (parent >= F.col("_chosen"))
-            same_family = F.col("_grand").isNull() | (P.cast_period_by("_grand", parent) == P.cast_period_by("_grand", "_chosen"))
+            same_family = F.col("_grand").isNull() | (P.coarsen_period_by("_grand", parent) == P.coarsen_period_by("_grand", "_chosen"))
             eligible = eligible & same_family
         current = P.current_period_by("time_qualifier", now)
         picked = level.groupBy(*group, "process_name", "time_qualifier", "parent_qualifier").agg(
@@ -299,7 +294,7 @@ def has_next_sibling(ledger: DataFrame, catalog: Catalog, *, by: tuple[str, ...]
     rows = _dim(ledger.select(*_key(by)), catalog, "time_qualifier", "parent_qualifier")
     before = P.shift_period_by("time_qualifier", "timeperiod", -1)
     same_parent = F.col("parent_qualifier").isNull() | (
-        P.cast_period_by("parent_qualifier", "timeperiod") == P.cast_period_by("parent_qualifier", before)
+        P.coarsen_period_by("parent_qualifier", "timeperiod") == P.coarsen_period_by("parent_qualifier", before)
     )
     older = rows.where(same_parent).select(
         *by, "process_name", before.alias("timeperiod"), F.lit(True).alias("younger_sibling")
@@ -481,7 +476,7 @@ def node_details(ledger: DataFrame, catalog: Catalog, *, by: tuple[str, ...] = (
         F.coalesce("state", na).alias("state"),
         F.coalesce(F.col("number_of_failures").cast("string"), na).alias("number_of_failures"),
     )
-    parent_period = P.cast_period_by("parent_qualifier", "timeperiod")
+    parent_period = P.coarsen_period_by("parent_qualifier", "timeperiod")
     lists = child.groupBy(*by, F.col("parent_process").alias("process_name"), parent_period.alias("timeperiod")).agg(
         F.count(F.lit(1)).alias("number_of_children"), F.array_sort(F.collect_list(entry)).alias("children")
     )

@@ -11,16 +11,32 @@ from tidemark.functions import period as P
 from tidemark.functions import states as S
 from tidemark.plans.catalog import Catalog
 
-_STEP = {P.HOURLY: "interval 1 hour", P.DAILY: "interval 1 day", P.MONTHLY: "interval 1 month", P.YEARLY: "interval 1 year"}
 
 
-def period_range(q: str, start: str | Column, end: str | Column) -> Column:
-    """Array of all periods of ``q`` from the one holding ``start`` to ``end``, both included."""
-    q = P.qualifier(q)
-    start, end = (F.lit(x) if isinstance(x, str) else x for x in (start, end))
-    first, last = (P.period_start(q, P.cast_period(q, x)) for x in (start, end))
-    steps = F.sequence(first, last, F.expr(_STEP[q]))
-    return F.when(first <= last, F.transform(steps, lambda t: P.to_period(q, t)))
+def _number(q: str, at: datetime) -> int:
+    """Running number of the period of ``q`` that holds a moment."""
+    if q == P.HOURLY:
+        return int((at - datetime(1970, 1, 1)).total_seconds() // 3600)
+    if q == P.DAILY:
+        return (at - datetime(1970, 1, 1)).days
+    return at.year * 12 + at.month - 1 if q == P.MONTHLY else at.year
+
+
+def _moment(period: str) -> datetime:
+    year, month, day, hour = period[:4], period[4:6], period[6:8], period[8:10]
+    return datetime(int(year), max(int(month), 1), max(int(day), 1), int(hour))
+
+
+def _numbered_period(q: Column, n: Column) -> Column:
+    """Period with a running number: the inverse of ``_number``."""
+    month = F.when(q == P.MONTHLY, n).otherwise(n * 12)
+    day = F.date_from_unix_date(F.when(q == P.DAILY, n.cast("int")))
+    return (
+        F.when(q == P.HOURLY, P.to_period(P.HOURLY, P.ntz(datetime(1970, 1, 1)) + F.make_dt_interval(F.lit(0), n.cast("int"))))
+        .when(q == P.DAILY, P.to_period(P.DAILY, day))
+        .when(q == P.MONTHLY, P.shift_period(P.MONTHLY, F.lit("0000010000"), month))
+        .otherwise(F.concat(n.cast("string"), F.lit("000000")))
+    )
 
 
 def period_spine(
@@ -29,20 +45,30 @@ def period_spine(
     """Every bucket that should exist per entity: the finest level of each tree, with its ancestors.
 
     ``entities`` has the key columns of a ledger's scope, one row each; a ledger without
-    scope passes a one-row table. ``resume`` continues from the last build. Buckets come
-    from a generator on each row, so nothing is joined or collected.
+    scope passes a one-row table. ``resume`` continues from the last build. Buckets are
+    generated on each row from their running numbers: nothing is joined or collected.
     """
-    spark, by = entities.sparkSession, entities.columns
+    by = entities.columns
     parts = []
-    for name in catalog.tree_of:
+    for name, tree in catalog.tree_of.items():
         q = catalog.processes[name].qualifier
-        bottom = catalog.levels(catalog.tree_of[name])[-1]
-        fine = catalog.processes[bottom].qualifier
-        first = P.cast_period(fine, F.lit(resume or start))
-        buckets = period_range(q, first, P.current_period(fine, now))
-        parts.append(F.struct(F.lit(name).alias("process_name"), F.lit(q).alias("time_qualifier"), buckets.alias("tp")))
-    rows = entities.select(*by, F.explode(F.array(*parts)).alias("_p"))
-    return rows.select(*by, "_p.process_name", "_p.time_qualifier", F.explode("_p.tp").alias("timeperiod"))
+        fine = catalog.processes[catalog.levels(tree)[-1]].qualifier
+        # the spine starts with the finest bucket that holds the start
+        first = _moment(resume or start)
+        lowest, highest = _number(q, first), _number(q, now)
+        if _number(fine, first) <= _number(fine, now):
+            parts.append(
+                F.struct(
+                    F.lit(name).alias("process_name"),
+                    F.lit(q).alias("time_qualifier"),
+                    F.lit(lowest).cast("bigint").alias("lo"),
+                    F.lit(highest).cast("bigint").alias("hi"),
+                )
+            )
+    rows = entities.select(*by, F.inline(F.array(*parts)))
+    numbered = rows.select(*by, "process_name", "time_qualifier", F.explode(F.sequence("lo", "hi")).alias("_n"))
+    period = _numbered_period(F.col("time_qualifier"), F.col("_n"))
+    return numbered.select(*by, "process_name", "time_qualifier", period.alias("timeperiod"))
 
 
 def with_ancestors(df: DataFrame, levels: list[str], *, period: str = "timeperiod") -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("rollups", "tables", "calendar")
+_MODULES = ("rollups", "tables", "calendar", "ledgers", "streams")
 
 
 def load():

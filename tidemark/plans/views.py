@@ -40,9 +40,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events table as a stream."""
+    """The events table as a stream; written as a pattern, the path may be one file or a folder."""
     schema = table(spark, sf_dir, "events").schema
-    return spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet")
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/event[s].parquet")
 
 
 def k() -> Column:
@@ -275,7 +275,7 @@ WITH RECURSIVE ev AS (
 ), folded AS (
   SELECT domain, i, process_name, time_qualifier, {cast_by('time_qualifier', "strftime(ts, '%Y%m%d%H')")} AS timeperiod,
          CAST(sum(k) + i * count(*) AS BIGINT) AS x, max(event_id) FILTER (WHERE k % 8 = i) AS related_unit_of_work
-  FROM ev, procs GROUP BY ALL
+  FROM ev, procs GROUP BY domain, i, process_name, time_qualifier, timeperiod
 ), ledger AS (
   SELECT domain, process_name, time_qualifier, timeperiod,
          CASE WHEN time_qualifier = '_hourly' THEN
