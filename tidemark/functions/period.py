@@ -183,6 +183,13 @@ def cast_period(q: str, c: Column | str) -> Column:
     return F.concat(year, first(5), first(7), F.substring(c, 9, 2))
 
 
+def coarsen_period(q: str, c: Column | str) -> Column:
+    """Period to the same or a coarser granularity: its leading digits, zeros behind."""
+    width = {HOURLY: 10, DAILY: 8, MONTHLY: 6, YEARLY: 4}[_calendar(q)]
+    head = F.substring(_col(c), 1, width)
+    return head if width == 10 else F.concat(head, F.lit("0" * (10 - width)))
+
+
 def cast_period_by(q: Column | str, c: Column | str) -> Column:
     """``cast_period`` with the granularity taken from a column."""
     q = _col(q)

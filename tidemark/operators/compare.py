@@ -75,13 +75,13 @@ def assign_owner(df: DataFrame, owners: DataFrame, *, key: str = "domain") -> tu
 def client_daily(site_daily: DataFrame, owners: DataFrame, *, owner: str = "client_id") -> DataFrame:
     """Owner counters per day; each owner has one share of the sites and may own most of them."""
     owned, _ = assign_owner(site_daily, owners.select("domain", owner))
-    return owned.groupBy(owner, P.cast_period(P.DAILY, "timeperiod").alias("timeperiod")).agg(
+    return owned.groupBy(owner, P.coarsen_period(P.DAILY, "timeperiod").alias("timeperiod")).agg(
         *[F.sum(c).alias(c) for c in COUNTERS]
     )
 
 
 def client_daily_histograms(site_daily: DataFrame, owners: DataFrame, *, owner: str = "client_id") -> DataFrame:
     owned, _ = assign_owner(site_daily, owners.select("domain", owner))
-    return owned.groupBy(owner, P.cast_period(P.DAILY, "timeperiod").alias("timeperiod"), "family", "key").agg(
+    return owned.groupBy(owner, P.coarsen_period(P.DAILY, "timeperiod").alias("timeperiod"), "family", "key").agg(
         F.sum("cnt").alias("cnt")
     )

@@ -12,6 +12,7 @@ join, no collected history.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
@@ -259,34 +260,51 @@ def next_period(ledger: DataFrame, catalog: Catalog, now: datetime, *, by: tuple
 
     From the coarsest level down: the earliest bucket without a record, or active and not
     skippable, under the bucket chosen one level up or a later sibling of that bucket.
-    Where there is none, the current bucket. One small aggregate per level (at most four).
+    Where there is none, the current bucket.
+
+    The ledger is first reduced to the earliest open bucket per parent bucket. What is
+    left per tree has one entry per parent bucket, a number the calendar bounds, so the
+    levels are then walked on one row per tree: no join per level.
     """
     open_rows = F.col("state").isNull() | (S.is_active("state") & ~F.col("skippable"))
     rows = should_skip(ledger, catalog, by=by).withColumn("_open", open_rows)
     rows = _dim(rows, catalog, "tree_name", "depth", "time_qualifier", "parent_qualifier")
     group = [*by, "tree_name"]
-    chosen: DataFrame | None = None
-    found: list[DataFrame] = []
-    for depth in range(max(map(catalog.depth, catalog.tree_of)) + 1):
-        level = rows.where(F.col("depth") == depth)
-        eligible = F.col("_open")
-        if chosen is not None:
-            level = level.join(chosen, group)
-            parent = P.coarsen_period_by("parent_qualifier", "timeperiod")
-            eligible = eligible & (parent >= F.col("_chosen"))
-            same_family = F.col("_grand").isNull() | (P.coarsen_period_by("_grand", parent) == P.coarsen_period_by("_grand", "_chosen"))
-            eligible = eligible & same_family
-        current = P.current_period_by("time_qualifier", now)
-        picked = level.groupBy(*group, "process_name", "time_qualifier", "parent_qualifier").agg(
-            F.min(F.when(eligible, F.col("timeperiod"))).alias("_next")
-        )
-        picked = picked.withColumn("_next", F.coalesce("_next", current))
-        found.append(picked.select(*by, "process_name", F.col("_next").alias("timeperiod")))
-        chosen = picked.select(*group, F.col("_next").alias("_chosen"), F.col("parent_qualifier").alias("_grand"))
-    out = found[0]
-    for part in found[1:]:
-        out = out.unionByName(part)
-    return out
+    level = ["depth", "process_name", "time_qualifier", "parent_qualifier"]
+    parent = P.coarsen_period_by("parent_qualifier", "timeperiod").alias("parent")
+    earliest = rows.groupBy(*group, *level, parent).agg(F.min(F.when(F.col("_open"), F.col("timeperiod"))).alias("tp"))
+    trees = earliest.groupBy(*group).agg(F.collect_list(F.struct(*level, "parent", "tp")).alias("_all"))
+
+    depths = range(max(map(catalog.depth, catalog.tree_of)) + 1)
+    for d in depths:
+        above = F.col(f"_next{d - 1}") if d else None
+
+        def eligible(e: Column, d: int = d, above: Column | None = above) -> Column:
+            mine = (e["depth"] == d) & e["tp"].isNotNull()
+            if above is None:
+                return mine
+            grand = F.col(f"_level{d - 1}")["parent_qualifier"]
+            family = grand.isNull() | (P.coarsen_period_by(grand, e["parent"]) == P.coarsen_period_by(grand, above))
+            return mine & (e["parent"] >= above) & family
+
+        here = F.get(_at_depth("_all", d), F.lit(0))
+        trees = trees.withColumn(f"_level{d}", here)
+        first = F.array_min(F.transform(_where("_all", eligible), lambda e: e["tp"]))
+        current = P.current_period_by(F.col(f"_level{d}")["time_qualifier"], now)
+        trees = trees.withColumn(f"_next{d}", F.coalesce(first, current))
+    picks = [
+        F.struct(F.col(f"_level{d}")["process_name"].alias("process_name"), F.col(f"_next{d}").alias("timeperiod"))
+        for d in depths
+    ]
+    return trees.select(*by, F.inline(F.array(*picks))).where("process_name is not null")
+
+
+def _at_depth(entries: str, depth: int) -> Column:
+    return F.filter(entries, lambda e: e["depth"] == depth)
+
+
+def _where(entries: str, test: Callable[[Column], Column]) -> Column:
+    return F.filter(entries, lambda e: test(e))
 
 
 def has_next_sibling(ledger: DataFrame, catalog: Catalog, *, by: tuple[str, ...] = ()) -> DataFrame:

@@ -54,12 +54,8 @@ def histogram(df: DataFrame, keys: dict[str, Column], families: dict[str, Column
     pairs = F.array(
         *[F.struct(F.lit(n).alias("family"), c.cast("string").alias("key")) for n, c in families.items()]
     )
-    rows = df.select(*[c.alias(n) for n, c in keys.items()], F.explode(pairs).alias("_p"))
-    return (
-        rows.where(F.col("_p.key").isNotNull())
-        .groupBy(*keys, F.col("_p.family").alias("family"), F.col("_p.key").alias("key"))
-        .agg(F.count(F.lit(1)).alias("cnt"))
-    )
+    rows = df.select(*[c.alias(n) for n, c in keys.items()], F.inline(pairs))
+    return rows.where("key is not null").groupBy(*keys, "family", "key").agg(F.count(F.lit(1)).alias("cnt"))
 
 
 def site_hourly_spec() -> AggSpec:
@@ -96,7 +92,7 @@ def rollup_periods(df: DataFrame, q: str, *, period: str = "timeperiod", values:
     """Sum a counter table of any finer level into buckets of ``q``."""
     values = list(values)
     keys = [c for c in df.columns if c not in values]
-    return _sum_levels(df.withColumn(period, P.cast_period(q, period)), keys, values)
+    return _sum_levels(df.withColumn(period, P.coarsen_period(q, period)), keys, values)
 
 
 def rollup_histograms(df: DataFrame, q: str, *, period: str = "timeperiod") -> DataFrame:
@@ -122,11 +118,10 @@ def rollup_levels(
     values = list(values)
     levels = sorted((P.qualifier(q) for q in levels), key=lambda q: -P.RANK[q])
     tagged = F.array(
-        *[F.struct(F.lit(q).alias("time_qualifier"), P.cast_period(q, period).alias("tp")) for q in levels]
+        *[F.struct(F.lit(q).alias("time_qualifier"), P.coarsen_period(q, period).alias("tp")) for q in levels]
     )
     other = [c for c in df.columns if c not in (period, *values)]
-    rows = df.select(*other, *values, F.explode(tagged).alias("_l"))
-    rows = rows.select(*other, *values, F.col("_l.time_qualifier"), F.col("_l.tp").alias(period))
+    rows = df.select(*other, *values, F.inline(tagged)).withColumnRenamed("tp", period)
     return _sum_levels(rows, [*other, "time_qualifier", period], values)
 
 

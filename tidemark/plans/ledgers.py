@@ -76,12 +76,12 @@ def _(spark, sf):
 
 @query("children_summary", "SELECT * FROM kids")
 def _(spark, sf):
-    return L.children_summary(V.ledger(spark, sf), SITE_SUITE, by=BY)
+    return L.children_summary(V.ledger_table(spark, sf), SITE_SUITE, by=BY)
 
 
 @query("counterparts", "SELECT domain, process_name, timeperiod, depends_on, 'tree_site' AS depends_on_tree, depends_on_state FROM deps")
 def _(spark, sf):
-    return L.counterparts(V.ledger(spark, sf), SITE_SUITE, by=BY)
+    return L.counterparts(V.ledger_table(spark, sf), SITE_SUITE, by=BY)
 
 
 @query("dependents", "SELECT l.domain, w.depends_on AS process_name, l.timeperiod, w.process_name AS dependent FROM ledger l JOIN waits w ON w.depends_on = l.process_name")
@@ -105,7 +105,7 @@ _NOT_DONE = "depends_on_state NOT IN ('state_processed', 'state_noop')"
         FROM deps GROUP BY ALL""",
 )
 def _(spark, sf):
-    return L.dependency_summary(V.ledger(spark, sf), SITE_SUITE, by=BY)
+    return L.dependency_summary(V.ledger_table(spark, sf), SITE_SUITE, by=BY)
 
 
 _READY = "(all_finished AND children_finished AND NOT finished)"
@@ -116,7 +116,7 @@ _READY = "(all_finished AND children_finished AND NOT finished)"
     f"SELECT domain, process_name, timeperiod, state, children_finished, all_finished, all_processed, skipped_present, {_READY} AS ready FROM judged",
 )
 def _(spark, sf):
-    out = L.readiness(V.ledger(spark, sf), SITE_SUITE, by=BY)
+    out = L.readiness(V.ledger_table(spark, sf), SITE_SUITE, by=BY)
     return out.select(*_KEY, "state", "children_finished", "all_finished", "all_processed", "skipped_present", "ready")
 
 
@@ -127,7 +127,7 @@ def _(spark, sf):
         ELSE CASE WHEN all_processed THEN 'run' WHEN skipped_present THEN 'skip' ELSE 'wait' END END AS decision FROM judged""",
 )
 def _(spark, sf):
-    return L.gate(V.ledger(spark, sf), SITE_SUITE, by=BY).select(*_KEY, "blocking_type", "decision")
+    return L.gate(V.ledger_table(spark, sf), SITE_SUITE, by=BY).select(*_KEY, "blocking_type", "decision")
 
 
 @query(
@@ -136,7 +136,7 @@ def _(spark, sf):
         WHEN timeperiod < {_current('time_qualifier')} THEN 'ready' ELSE 'future' END AS status FROM judged""",
 )
 def _(spark, sf):
-    return L.bucket_status(V.ledger(spark, sf), SITE_SUITE, V.LEDGER_NOW, by=BY).select(*_KEY, "status")
+    return L.bucket_status(V.ledger_table(spark, sf), SITE_SUITE, V.LEDGER_NOW, by=BY).select(*_KEY, "status")
 
 
 @query(
@@ -216,7 +216,7 @@ def _(spark, sf):
         .select(V.domain().alias("domain"), F.lit("site_daily").alias("process_name"), P.to_period(P.DAILY, "ts").alias("timeperiod"))
         .distinct()
     )
-    return L.propagate_skip(days, SITE_SUITE, V.ledger(spark, sf), by=BY)
+    return L.propagate_skip(days, SITE_SUITE, V.ledger_table(spark, sf), by=BY)
 
 
 # ---- what to do next ------------------------------------------------------------------------
@@ -226,7 +226,7 @@ _SKIPPABLE = "CASE WHEN finished THEN true WHEN child_process IS NULL THEN numbe
 
 @query("should_skip", f"SELECT domain, process_name, timeperiod, state, {_SKIPPABLE} AS skippable FROM judged")
 def _(spark, sf):
-    return L.should_skip(V.ledger(spark, sf), SITE_SUITE, by=BY).select(*_KEY, "state", "skippable")
+    return L.should_skip(V.ledger_table(spark, sf), SITE_SUITE, by=BY).select(*_KEY, "state", "skippable")
 
 
 _OPEN = f"open AS (SELECT *, NOT finished AND NOT ({_SKIPPABLE}) AS eligible FROM judged)"
@@ -247,7 +247,7 @@ _NEXT += ", upcoming AS (" + " UNION ALL ".join(f"SELECT domain, process_name, t
 
 @query("next_period", f"WITH {_NEXT} SELECT domain, process_name, tp AS timeperiod FROM upcoming")
 def _(spark, sf):
-    return L.next_period(V.ledger(spark, sf), SITE_SUITE, V.LEDGER_NOW, by=BY)
+    return L.next_period(V.ledger_table(spark, sf), SITE_SUITE, V.LEDGER_NOW, by=BY)
 
 
 _SIBLING = f"""sib AS (SELECT j.domain, j.process_name, j.timeperiod, EXISTS (SELECT 1 FROM judged y WHERE y.domain = j.domain AND y.process_name = j.process_name
@@ -257,7 +257,7 @@ _SIBLING = f"""sib AS (SELECT j.domain, j.process_name, j.timeperiod, EXISTS (SE
 
 @query("next_sibling", f"WITH {_SIBLING} SELECT * FROM sib")
 def _(spark, sf):
-    return L.has_next_sibling(V.ledger(spark, sf), SITE_SUITE, by=BY).select(*_KEY, "younger_sibling")
+    return L.has_next_sibling(V.ledger_table(spark, sf), SITE_SUITE, by=BY).select(*_KEY, "younger_sibling")
 
 
 @query(
@@ -267,7 +267,7 @@ def _(spark, sf):
         FROM judged JOIN sib USING (domain, process_name, timeperiod) WHERE number_of_children > 0) SELECT * FROM a WHERE action IS NOT NULL""",
 )
 def _(spark, sf):
-    return L.audit(V.ledger(spark, sf), SITE_SUITE, by=BY)
+    return L.audit(V.ledger_table(spark, sf), SITE_SUITE, by=BY)
 
 
 # ---- attempts -------------------------------------------------------------------------------
@@ -433,7 +433,7 @@ def _(spark, sf):
        LEFT JOIN ledger l ON l.domain = r.domain AND l.process_name = r.process_name AND l.timeperiod = c.timeperiod""",
 )
 def _(spark, sf):
-    return L.state_matrix(V.ledger(spark, sf), by=BY)
+    return L.state_matrix(V.ledger_table(spark, sf), by=BY)
 
 
 @query(
@@ -442,7 +442,7 @@ def _(spark, sf):
        coalesce(number_of_children, 0) AS number_of_children FROM judged""",
 )
 def _(spark, sf):
-    return L.node_details(V.ledger(spark, sf), SITE_SUITE, by=BY).drop("children")
+    return L.node_details(V.ledger_table(spark, sf), SITE_SUITE, by=BY).drop("children")
 
 
 @query(
@@ -452,7 +452,7 @@ def _(spark, sf):
         AND m.timeperiod = {V.cast_by('p.parent_qualifier', 'l.timeperiod')}""",
 )
 def _(spark, sf):
-    rows = L.node_details(V.ledger(spark, sf), SITE_SUITE, by=BY).select(*_KEY, F.explode("children").alias("c"))
+    rows = L.node_details(V.ledger_table(spark, sf), SITE_SUITE, by=BY).select(*_KEY, F.explode("children").alias("c"))
     return rows.select(*_KEY, F.col("c.timeperiod").alias("child"), F.col("c.state").alias("state"))
 
 
@@ -507,7 +507,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     out = L.process_overview(
-        V.ledger(spark, sf), V.attempts_of(spark, sf), SITE_SUITE, V.LEDGER_NOW, since=_OVERVIEW_SINCE, by=BY
+        V.ledger_table(spark, sf), V.attempts_of(spark, sf), SITE_SUITE, V.LEDGER_NOW, since=_OVERVIEW_SINCE, by=BY
     )
     return out.select(
         "domain", "process_name", "next_timeperiod", F.array_join("reprocessing_queue", ",").alias("reprocessing_queue"),

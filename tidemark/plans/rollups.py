@@ -54,7 +54,7 @@ def _register_level(q: str) -> None:
     # any level is a sum of any finer one, so each is taken straight from the sessions' hours
     @query(f"site_{label}", f"SELECT domain, {tp} AS timeperiod, {_SUMS} FROM site GROUP BY 1, 2")
     def _(spark, sf):
-        hours = V.sessions_of(spark, sf).withColumn("timeperiod", P.cast_period(q, "timeperiod"))
+        hours = V.sessions_of(spark, sf).withColumn("timeperiod", P.coarsen_period(q, "timeperiod"))
         return rollup.site_hourly(hours)
 
     @query(
@@ -62,7 +62,7 @@ def _register_level(q: str) -> None:
         f"SELECT domain, {tp} AS timeperiod, family, key, CAST(sum(cnt) AS BIGINT) AS cnt FROM hist GROUP BY 1, 2, 3, 4",
     )
     def _(spark, sf):
-        hours = V.sessions_of(spark, sf).withColumn("timeperiod", P.cast_period(q, "timeperiod"))
+        hours = V.sessions_of(spark, sf).withColumn("timeperiod", P.coarsen_period(q, "timeperiod"))
         return rollup.site_hourly_histograms(hours)
 
     if q == P.DAILY:

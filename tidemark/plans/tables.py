@@ -95,7 +95,7 @@ def _(spark, sf):
 
 
 def _by_customer_month(df):
-    month = P.cast_period(P.MONTHLY, "timeperiod").alias("timeperiod")
+    month = P.coarsen_period(P.MONTHLY, "timeperiod").alias("timeperiod")
     return df.groupBy("custkey", month).agg(F.count(F.lit(1)).alias("n"), F.sum("cents").alias("cents"))
 
 

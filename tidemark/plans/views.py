@@ -15,6 +15,7 @@ from tidemark.functions import period as P
 from tidemark.functions import states as S
 from tidemark.operators import sessions as SE
 from tidemark.plans.catalog import SITE_SUITE
+from tidemark.sources.shared import fresh_dir
 
 LEDGER_NOW = datetime(2024, 1, 20, 12, 30)
 ATTEMPT_NOW = datetime(2024, 1, 31)
@@ -46,36 +47,32 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def k() -> Column:
-    return F.get_json_object("props", "$.k").cast("int")
+    return F.expr("cast(get_json_object(props, '$.k') as int)")
 
 
 def domain() -> Column:
     """Ten users share a site, so the number of sites grows with the users."""
-    return F.concat(F.lit("domain_"), F.floor(F.col("user_id") / 10).cast("bigint").cast("string"))
-
-
-def _numbered(prefix: str, n: Column) -> Column:
-    return F.concat(F.lit(prefix), n.cast("string"))
+    return F.expr("concat('domain_', user_id div 10)")
 
 
 def hits(events: DataFrame) -> DataFrame:
     """Events as page hits; works on a table and on a stream."""
-    n = F.col("k")
-    return events.withColumn("k", k()).select(
+    keyed = events.selectExpr(
+        "event_id", "ts", "user_id", "event_type", "cast(get_json_object(props, '$.k') as int) as k"
+    )
+    return keyed.selectExpr(
         "event_id",
         "ts",
-        domain().alias("domain"),
-        F.concat(
-            F.lit("session_"), F.col("user_id").cast("string"), F.lit("_"), F.date_format("ts", "yyyyMMdd")
-        ).alias("session_id"),
-        F.concat(F.lit("10.0."), (F.col("user_id") % 256).cast("string"), F.lit("."), n.cast("string")).alias("ip"),
-        F.when(n % 11 != 0, 320 + 160 * (n % 4)).cast("bigint").alias("screen_x"),
-        F.when(n % 13 != 0, 240 + 120 * (n % 4)).cast("bigint").alias("screen_y"),
-        F.when(n % 7 != 0, _numbered("os_", n % 4)).alias("os"),
-        F.when(n % 5 != 0, _numbered("browser_", n % 6)).alias("browser"),
-        _numbered("lang_", n % 3).alias("language"),
-        _numbered("c_", n % 5).alias("country"),
-        (F.col("event_type") == "view").alias("is_page_view"),
+        "concat('domain_', user_id div 10) as domain",
+        "concat('session_', user_id, '_', date_format(ts, 'yyyyMMdd')) as session_id",
+        "concat('10.0.', user_id % 256, '.', k) as ip",
+        "case when k % 11 <> 0 then cast(320 + 160 * (k % 4) as bigint) end as screen_x",
+        "case when k % 13 <> 0 then cast(240 + 120 * (k % 4) as bigint) end as screen_y",
+        "case when k % 7 <> 0 then concat('os_', k % 4) end as os",
+        "case when k % 5 <> 0 then concat('browser_', k % 6) end as browser",
+        "concat('lang_', k % 3) as language",
+        "concat('c_', k % 5) as country",
+        "event_type = 'view' as is_page_view",
     )
 
 
@@ -91,8 +88,8 @@ def owners(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers own the site of their number; one in debt owns none."""
     customers = table(spark, sf_dir, "customer").where("c_acctbal >= 0")
     return customers.select(
-        _numbered("domain_", F.col("c_custkey")).alias("domain"),
-        _numbered("client_", F.col("c_nationkey")).alias("client_id"),
+        F.expr("concat('domain_', c_custkey)").alias("domain"),
+        F.expr("concat('client_', c_nationkey)").alias("client_id"),
     )
 
 
@@ -111,44 +108,45 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.lit(i).alias("i"),
             F.lit(name).alias("process_name"),
             F.lit(SITE_SUITE.processes[name].qualifier).alias("time_qualifier"),
-            P.cast_period(SITE_SUITE.processes[name].qualifier, "hour").alias("timeperiod"),
+            P.coarsen_period(SITE_SUITE.processes[name].qualifier, "hour").alias("timeperiod"),
         )
         for i, name in enumerate(PROCESS_ORDER)
     ]
-    rows = fine.select("*", F.explode(F.array(*parts)).alias("_p")).select("*", "_p.*")
+    rows = fine.select("*", F.inline(F.array(*parts)))
     folded = rows.groupBy("domain", "i", "process_name", "time_qualifier", "timeperiod").agg(
         (F.sum("s") + F.col("i") * F.sum("n")).alias("x"),
         F.max(F.when(F.col("r") == F.col("i"), F.col("last_id"))).alias("related_unit_of_work"),
     )
-    x = F.col("x")
-    seventh_day = F.substring("timeperiod", 7, 2).cast("int") % 7 == 0
-    hourly = (
-        F.when(x % 24 == 0, S.IN_PROGRESS)
-        .when(seventh_day, S.SKIPPED)
-        .when(x % 24 == 1, S.EMBRYO)
-        .when(x % 24 < 4, S.SKIPPED)
-        .when(x % 24 < 12, S.NOOP)
-        .otherwise(S.PROCESSED)
-    )
-    other = F.element_at(F.array(*[F.lit(s) for s in LEDGER_STATES]), (x % 6 + 1).cast("int"))
-    return folded.select(
+    others = " ".join(f"when {i} then '{state}'" for i, state in enumerate(LEDGER_STATES))
+    return folded.selectExpr(
         "domain",
         "process_name",
         "time_qualifier",
         "timeperiod",
-        F.when(F.col("time_qualifier") == P.HOURLY, hourly).otherwise(other).alias("state"),
-        (x % 5).alias("number_of_failures"),
+        f"""case when time_qualifier = '{P.HOURLY}' then
+              case when x % 24 = 0 then '{S.IN_PROGRESS}' when cast(substring(timeperiod, 7, 2) as int) % 7 = 0 then '{S.SKIPPED}'
+                   when x % 24 = 1 then '{S.EMBRYO}' when x % 24 < 4 then '{S.SKIPPED}' when x % 24 < 12 then '{S.NOOP}'
+                   else '{S.PROCESSED}' end
+            else case x % 6 {others} end end as state""",
+        "x % 5 as number_of_failures",
         "related_unit_of_work",
     )
 
 
+def ledger_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger written once to the shared folder and read back, for jobs that use it several times."""
+    path = fresh_dir(spark, "ledger")
+    ledger(spark, sf_dir).write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def attempts(events: DataFrame) -> DataFrame:
     """One attempt per event; works on a table and on a stream."""
     rows = events.withColumn("k", k()).withColumn("process_name", _process(F.col("k") % 8))
     hour = P.to_period(P.HOURLY, "ts")
     tp = F.when(F.col("process_name") == "site_hourly", hour)
     for p in PROCESS_ORDER[1:]:
-        tp = tp.when(F.col("process_name") == p, P.cast_period(SITE_SUITE.processes[p].qualifier, hour))
+        tp = tp.when(F.col("process_name") == p, P.coarsen_period(SITE_SUITE.processes[p].qualifier, hour))
     zero = F.lit(0)
     return rows.select(
         F.col("event_id").alias("attempt_id"),

@@ -37,8 +37,11 @@ def to_envelope(df: DataFrame, *, name: str = "value") -> DataFrame:
 def open_envelope(messages: DataFrame, schema: T.StructType, *, name: str = "value") -> DataFrame:
     """Parsed fields beside the raw text; a message that is no JSON gives null fields."""
     body = T.StructType([T.StructField("data", schema)])
-    parsed = messages.select(F.col(name).alias("_raw"), F.from_json(name, body, _TIME_FORMAT).alias("_m"))
-    return parsed.select("_raw", *[F.col(f"_m.data.{f.name}").alias(f.name) for f in schema.fields])
+    # unfolding a one-element array keeps filters on the fields above the parser, which
+    # would otherwise run once per filter and once more for the output
+    message = F.explode(F.array(F.from_json(name, body, _TIME_FORMAT)["data"]))
+    parsed = messages.select(F.col(name).alias("_raw"), message.alias("_m"))
+    return parsed.select("_raw", *[F.col(f"_m.{f.name}").alias(f.name) for f in schema.fields])
 
 
 def split_bad_records(
