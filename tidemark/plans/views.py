@@ -93,29 +93,30 @@ def owners(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _process(position: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(p) for p in PROCESS_ORDER]), position + 1)
+_HOUR = "date_format(ts, 'yyyyMMddHH')"
+
+
+def _bucket(name: str, hour: str) -> str:
+    """SQL for the bucket of a process that holds an hour."""
+    return _cast(SITE_SUITE.processes[name].qualifier, hour)
 
 
 def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A ledger per site: one row per process and touched bucket, its state drawn from its events."""
-    events = table(spark, sf_dir, "events").withColumn("k", k())
-    fine = events.groupBy(domain().alias("domain"), P.to_period(P.HOURLY, "ts").alias("hour"), (F.col("k") % 8).alias("r")).agg(
-        F.count(F.lit(1)).alias("n"), F.sum("k").alias("s"), F.max("event_id").alias("last_id")
+    events = table(spark, sf_dir, "events").selectExpr(
+        "event_id", "concat('domain_', user_id div 10) as domain", f"{_HOUR} as hour", "cast(get_json_object(props, '$.k') as int) as k"
     )
-    parts = [
-        F.struct(
-            F.lit(i).alias("i"),
-            F.lit(name).alias("process_name"),
-            F.lit(SITE_SUITE.processes[name].qualifier).alias("time_qualifier"),
-            P.coarsen_period(SITE_SUITE.processes[name].qualifier, "hour").alias("timeperiod"),
-        )
+    fine = events.groupBy("domain", "hour", F.expr("k % 8 as r")).agg(
+        F.expr("count(1) as n"), F.expr("sum(k) as s"), F.expr("max(event_id) as last_id")
+    )
+    parts = ", ".join(
+        f"struct({i} as i, '{name}' as process_name, '{SITE_SUITE.processes[name].qualifier}' as time_qualifier, "
+        f"{_bucket(name, 'hour')} as timeperiod)"
         for i, name in enumerate(PROCESS_ORDER)
-    ]
-    rows = fine.select("*", F.inline(F.array(*parts)))
+    )
+    rows = fine.selectExpr("domain", "r", "n", "s", "last_id", f"inline(array({parts}))")
     folded = rows.groupBy("domain", "i", "process_name", "time_qualifier", "timeperiod").agg(
-        (F.sum("s") + F.col("i") * F.sum("n")).alias("x"),
-        F.max(F.when(F.col("r") == F.col("i"), F.col("last_id"))).alias("related_unit_of_work"),
+        F.expr("sum(s) + i * sum(n) as x"), F.expr("max(case when r = i then last_id end) as related_unit_of_work")
     )
     others = " ".join(f"when {i} then '{state}'" for i, state in enumerate(LEDGER_STATES))
     return folded.selectExpr(
@@ -142,23 +143,22 @@ def ledger_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def attempts(events: DataFrame) -> DataFrame:
     """One attempt per event; works on a table and on a stream."""
-    rows = events.withColumn("k", k()).withColumn("process_name", _process(F.col("k") % 8))
-    hour = P.to_period(P.HOURLY, "ts")
-    tp = F.when(F.col("process_name") == "site_hourly", hour)
-    for p in PROCESS_ORDER[1:]:
-        tp = tp.when(F.col("process_name") == p, P.coarsen_period(SITE_SUITE.processes[p].qualifier, hour))
-    zero = F.lit(0)
-    return rows.select(
-        F.col("event_id").alias("attempt_id"),
-        domain().alias("domain"),
-        "process_name",
-        tp.alias("timeperiod"),
-        tp.alias("start_timeperiod"),
-        F.element_at(F.array(*[F.lit(s) for s in ATTEMPT_STATES]), ((F.col("event_id") + F.col("k")) % 6 + 1).cast("int")).alias("state"),
-        F.col("ts").alias("created_at"),
-        (F.col("ts") + F.make_dt_interval(zero, zero, F.col("k"))).alias("submitted_at"),
-        (F.col("k") % 4).cast("bigint").alias("number_of_retries"),
-        F.when(F.col("event_type") == "signup", S.FREERUN).otherwise(S.MANAGED).alias("unit_of_work_type"),
+    names = ", ".join(f"'{p}'" for p in PROCESS_ORDER)
+    states = ", ".join(f"'{x}'" for x in ATTEMPT_STATES)
+    buckets = " ".join(f"when {i} then {_bucket(name, 'hour')}" for i, name in enumerate(PROCESS_ORDER))
+    keyed = events.selectExpr("*", "cast(get_json_object(props, '$.k') as int) as k", f"{_HOUR} as hour")
+    placed = keyed.selectExpr("*", f"case k % 8 {buckets} end as timeperiod")
+    return placed.selectExpr(
+        "event_id as attempt_id",
+        "concat('domain_', user_id div 10) as domain",
+        f"element_at(array({names}), k % 8 + 1) as process_name",
+        "timeperiod",
+        "timeperiod as start_timeperiod",
+        f"element_at(array({states}), cast((event_id + k) % 6 as int) + 1) as state",
+        "ts as created_at",
+        "ts + make_dt_interval(0, 0, k) as submitted_at",
+        "cast(k % 4 as bigint) as number_of_retries",
+        f"case when event_type = 'signup' then '{S.FREERUN}' else '{S.MANAGED}' end as unit_of_work_type",
     )
 
 
@@ -172,8 +172,8 @@ def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def schedules(events: DataFrame) -> DataFrame:
     """Each event carries the schedule of its user; the text is one of a handful."""
-    pick = (F.col("user_id") % len(SCHEDULES) + 1).cast("int")
-    return events.withColumn("schedule", F.element_at(F.array(*[F.lit(s) for s in SCHEDULES]), pick))
+    texts = ", ".join(f"'{s}'" for s in SCHEDULES)
+    return events.withColumn("schedule", F.expr(f"element_at(array({texts}), cast(user_id % {len(SCHEDULES)} as int) + 1)"))
 
 
 def _sql_list(values: tuple[str, ...]) -> str:
