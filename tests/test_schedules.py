@@ -73,3 +73,11 @@ def test_next_trigger_against_minutes(spark):
         while not any((at.hour, at.minute) == tuple(map(int, c.split(":"))) and d in ("*", str(at.weekday())) for d, c in entries):
             at += timedelta(minutes=1)
         assert r.next_trigger == at, (r.ts, r.schedule)
+
+
+def test_long_intervals(spark):
+    """An interval longer than a day fires on some days only."""
+    df = spark.createDataFrame([(200_000, "every 200000"), (86_400, "every 86400")], "n int, schedule string")
+    out = X.expected_runs(df, "schedule", LO, HI).collect()
+    for n in (200_000, 86_400):
+        assert {r.expected_at for r in out if r.n == n} == brute(f"every {n}")

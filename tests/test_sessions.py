@@ -175,3 +175,32 @@ def test_live_and_final_buckets(spark, hits):
     assert {tuple(r) for r in live.read_final(spark, base).collect()} == {e for e in expected if e[1] < last}
     with pytest.raises(ValueError):
         buckets.stream_rollup(hits, "monthly", measures=measures)
+
+
+def test_late_hits_recompute_their_buckets_only(spark, hits):
+    """Stored days plus late hits: redoing the touched days equals redoing everything."""
+    from tidemark.functions import period as P
+    from tidemark.sources.writes import write_buckets
+
+    def per_hour(df):
+        return df.groupBy("domain", P.to_period("hourly", "ts").alias("timeperiod")).agg(F.count(F.lit(1)).alias("n"))
+
+    path = fresh_dir(spark, "hours")
+    late = F.col("event_id").isin(150, 390)
+    write_buckets(per_hour(hits.where(~late)), path)
+    touched = hits.where(late).select(P.to_period("hourly", "ts").alias("timeperiod"))
+    redone = buckets.recompute_buckets(hits, touched, per_hour, by=(), period=P.to_period("hourly", "ts"))
+    assert 0 < redone.count() < per_hour(hits).count()
+    write_buckets(redone, path)
+    stored = spark.read.schema("domain string, n long, timeperiod string").parquet(path)
+    assert {(r.domain, r.timeperiod, r.n) for r in stored.collect()} == {(r.domain, r.timeperiod, r.n) for r in per_hour(hits).collect()}
+
+
+def test_repeated_requests_run_once(spark):
+    path, base = fresh_dir(spark, "requests"), fresh_dir(spark, "once")
+    rows = spark.sql("select id % 10 as attempt_id, timestamp_seconds(1000 + id) as ts, if(id % 10 = 3, 'state_processed', 'state_requested') as state from range(40)")
+    for i in range(4):
+        rows.where(f"unix_seconds(ts) - 1000 between {i * 10} and {i * 10 + 9}").coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    live.write_final(buckets.dedupe_requests(stream, ["attempt_id"]).select("attempt_id"), base).awaitTermination()
+    assert sorted(r.attempt_id for r in live.read_final(spark, base).collect()) == [0, 1, 2, 4, 5, 6, 7, 8, 9]

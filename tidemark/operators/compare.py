@@ -12,11 +12,22 @@ ALERT_MEASURES = ("number_of_visits", "number_of_pageviews")
 
 
 def _with_baseline(df: DataFrame, lag: int, keys: list[str], measures: tuple[str, ...], q: str) -> DataFrame:
-    # the lag is put on the earlier side, so the join is a plain equality on stored keys
-    earlier = df.select(
-        *keys, P.shift_period(q, "timeperiod", lag).alias("timeperiod"), *[F.col(m).alias(f"_old_{m}") for m in measures]
+    """Buckets beside the bucket ``lag`` units earlier, without joining the table to itself.
+
+    Each row is sent to its own bucket and, as baseline, to the bucket ``lag`` units on;
+    one aggregation brings the two together. The table is computed and read once.
+    """
+    own = F.struct(F.lit(True).alias("_own"), F.col("timeperiod").alias("_to"))
+    ahead = F.struct(F.lit(False).alias("_own"), P.shift_period(q, "timeperiod", lag).alias("_to"))
+    sent = df.select(*keys, *measures, F.inline(F.array(own, ahead)))
+    now, old = F.col("_own"), ~F.col("_own")
+    met = sent.groupBy(*keys, F.col("_to").alias("timeperiod")).agg(
+        F.bool_or(now).alias("_here"),
+        F.bool_or(old).alias("_before"),
+        *[F.max(F.when(now, F.col(m))).alias(m) for m in measures],
+        *[F.max(F.when(old, F.col(m))).alias(f"_old_{m}") for m in measures],
     )
-    return df.select(*keys, "timeperiod", *measures).join(earlier, [*keys, "timeperiod"])
+    return met.where("_here and _before")
 
 
 def _zero_baseline(measures: tuple[str, ...]) -> Column:

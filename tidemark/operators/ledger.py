@@ -430,8 +430,16 @@ def known_only(df: DataFrame, process_dim: DataFrame, *, include_disabled: bool
 
 
 def with_details(ledger: DataFrame, details: DataFrame, keys: list[str]) -> DataFrame:
-    """Ledger rows with log or attempt columns beside them where there are any."""
-    return ledger.join(details, keys, "left")
+    """Ledger rows with log or attempt columns beside them where there are any.
+
+    Rows without a key, which may be most, stay out of the join: a shuffle would send
+    them all to one task.
+    """
+    keyed = F.lit(True)
+    for k in keys:
+        keyed = keyed & F.col(k).isNotNull()
+    joined = ledger.where(keyed).join(details, keys, "left")
+    return joined.unionByName(ledger.where(~keyed), allowMissingColumns=True)
 
 
 def cap_events(events: DataFrame, key: list[str], ts: str, tie: str, n: int = 128) -> DataFrame:

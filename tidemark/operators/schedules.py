@@ -60,8 +60,18 @@ def expected_runs(schedules: DataFrame, schedule: str, lo: datetime, hi: datetim
         .where(on_day)
         .withColumn("expected_at", F.col("_day").cast("timestamp_ntz") + F.make_dt_interval(zero, F.col("hour"), F.col("minute")))
     )
-    step = F.make_dt_interval(zero, zero, zero, F.col("every_seconds").cast("decimal(18,6)"))
-    every = rows.where("kind = 'every'").withColumn("expected_at", F.explode(F.sequence(start + step, F.greatest(end, start + step), step)))
+    # runs of an interval are numbered from 1; each day holds a short range of numbers
+    first = F.greatest(F.ceil(F.col("_d") * 86400 / F.col("every_seconds")), F.lit(1))
+    last = F.ceil((F.col("_d") + 1) * 86400 / F.col("every_seconds")) - 1
+    every = (
+        rows.where("kind = 'every'")
+        .withColumn("_d", F.explode(F.sequence(F.lit(0), F.lit(max((hi - lo).days, 0)))))
+        .withColumn("_first", first)
+        .withColumn("_last", last)
+        .where("_first <= _last")
+        .withColumn("_n", F.explode(F.sequence("_first", "_last")))
+        .withColumn("expected_at", start + F.make_dt_interval(zero, zero, zero, (F.col("_n") * F.col("every_seconds")).cast("decimal(18,6)")))
+    )
     both = at.select(*keys, "expected_at").unionByName(every.select(*keys, "expected_at"))
     inside = both.where((F.col("expected_at") >= start) & (F.col("expected_at") < end))
     return inside.withColumn("expected_at", F.date_trunc("minute", "expected_at").cast("timestamp_ntz")).distinct()
@@ -69,5 +79,5 @@ def expected_runs(schedules: DataFrame, schedule: str, lo: datetime, hi: datetim
 
 def missed_runs(expected: DataFrame, actual: DataFrame, keys: list[str], ts: str) -> DataFrame:
     """Expected runs without an event in their minute."""
-    seen = actual.select(*keys, F.date_trunc("minute", ts).cast("timestamp_ntz").alias("expected_at"))
+    seen = actual.select(*keys, F.date_trunc("minute", ts).cast("timestamp_ntz").alias("expected_at")).distinct()
     return expected.join(seen, [*keys, "expected_at"], "left_anti")

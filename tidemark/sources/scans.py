@@ -72,7 +72,7 @@ def lookup(df: DataFrame, wanted: DataFrame, keys: list[str], *, strict: bool =
 def lookup_misses(df: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
     """Keys of ``wanted`` that have no row."""
     _same_columns(df, wanted, keys)
-    return wanted.select(*keys).distinct().join(df, keys, "left_anti")
+    return wanted.select(*keys).distinct().join(df.select(*keys).distinct(), keys, "left_anti")
 
 
 def _same_columns(df: DataFrame, other: DataFrame, keys: list[str]) -> None:

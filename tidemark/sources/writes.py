@@ -1,7 +1,9 @@
 """Whole-row changes of keyed tables, and bucket writes.
 
 The table-level functions return the changed table as a new DataFrame; writing it is
-a separate step, always to new files, never over files the same job reads.
+a separate step, always to new files, never over files the same job reads. The key sides
+of semi and anti joins are made distinct first: that combines map-side, shuffles by the
+join key anyway, and keeps a key with many copies from piling up in one task.
 """
 
 from __future__ import annotations
@@ -12,20 +14,20 @@ from pyspark.sql import functions as F
 
 def upsert(target: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
     """Replace whole rows by key and add the rows that are new."""
-    kept = target.join(changes.select(*keys), keys, "left_anti")
+    kept = target.join(changes.select(*keys).distinct(), keys, "left_anti")
     return kept.unionByName(changes)
 
 
 def insert_new(target: DataFrame, rows: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
     """Split ``rows`` into those to insert and, for keys already taken, the rows held today."""
-    inserted = rows.join(target.select(*keys), keys, "left_anti")
+    inserted = rows.join(target.select(*keys).distinct(), keys, "left_anti")
     existing = target.join(rows.select(*keys).distinct(), keys, "left_semi")
     return inserted, existing
 
 
 def delete_keys(target: DataFrame, keys_df: DataFrame, keys: list[str]) -> DataFrame:
     """The table without the rows whose key is listed."""
-    return target.join(keys_df.select(*keys), keys, "left_anti")
+    return target.join(keys_df.select(*keys).distinct(), keys, "left_anti")
 
 
 def append_log(log: DataFrame, new: DataFrame) -> DataFrame:
@@ -39,7 +41,7 @@ def append_log(log: DataFrame, new: DataFrame) -> DataFrame:
 
 def attach_log(log: DataFrame, parents: DataFrame, key: str = "parent_object_id") -> DataFrame:
     """Start the logs of ``parents`` afresh: their earlier messages go."""
-    return log.join(parents.select(key), key, "left_anti")
+    return log.join(parents.select(key).distinct(), key, "left_anti")
 
 
 def write_buckets(df: DataFrame, path: str, *, period: str = "timeperiod") -> None:
