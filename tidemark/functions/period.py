@@ -215,7 +215,8 @@ def shift_period(q: str, c: Column | str, delta: Column | int) -> Column:
 
 
 def _width(q: Column) -> Column:
-    return F.when(q == HOURLY, 10).when(q == DAILY, 8).when(q == MONTHLY, 6).when(q == YEARLY, 4)
+    widths = F.expr(f"map('{HOURLY}', 10, '{DAILY}', 8, '{MONTHLY}', 6, '{YEARLY}', 4)")
+    return F.element_at(widths, q)
 
 
 def coarsen_period_by(q: Column | str, c: Column | str) -> Column:
