@@ -1,4 +1,5 @@
 from datetime import datetime
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -82,6 +83,10 @@ def test_versions(spark, table):
 
 def test_shared_dir_is_the_configured_one(spark):
     assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
+    unset = SimpleNamespace(
+        conf=SimpleNamespace(get=lambda name, default: default), sparkContext=SimpleNamespace(applicationId="app")
+    )
+    assert shared_dir(unset) == shared_dir(unset) != shared_dir(spark)
 
 
 def test_retention_and_duplicates(spark, table):

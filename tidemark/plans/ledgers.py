@@ -90,7 +90,7 @@ def _(spark, sf):
 
 
 def _names(condition: str) -> str:
-    return f"coalesce(list_sort(list(depends_on) FILTER (WHERE {condition})), [])"
+    return f"coalesce(string_agg(depends_on, ',' ORDER BY depends_on) FILTER (WHERE {condition}), '')"
 
 
 _NOT_DONE = "depends_on_state NOT IN ('state_processed', 'state_noop')"
@@ -105,7 +105,9 @@ _NOT_DONE = "depends_on_state NOT IN ('state_processed', 'state_noop')"
         FROM deps GROUP BY ALL""",
 )
 def _(spark, sf):
-    return L.dependency_summary(V.ledger_table(spark, sf), SITE_SUITE, by=BY)
+    out = L.dependency_summary(V.ledger_table(spark, sf), SITE_SUITE, by=BY)
+    lists = ("unfinished", "unprocessed", "unhealthy", "skipped")
+    return out.select(*[F.array_join(c, ",").alias(c) if c in lists else F.col(c) for c in out.columns])
 
 
 _READY = "(all_finished AND children_finished AND NOT finished)"

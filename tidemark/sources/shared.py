@@ -7,14 +7,18 @@ import uuid
 
 from pyspark.sql import SparkSession
 
+_local: dict[str, str] = {}  # one fallback folder per application, for sessions without a setting
+
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder named by ``spark.checkpoint.dir``; a fresh local one only where it is unset."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        configured = tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("spark.checkpoint.dir", configured)
-    return configured.rstrip("/")
+    if configured:
+        return configured.rstrip("/")
+    app = spark.sparkContext.applicationId
+    if app not in _local:
+        _local[app] = tempfile.mkdtemp(prefix="tidemark-")
+    return _local[app]
 
 
 def fresh_dir(spark: SparkSession, name: str) -> str:
