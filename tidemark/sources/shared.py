@@ -2,23 +2,28 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
-_local: dict[str, str] = {}  # one fallback folder per application, for sessions without a setting
-
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder named by ``spark.checkpoint.dir``; a fresh local one only where it is unset."""
+    """Folder for tables that outlive a stage.
+
+    ``spark.checkpoint.dir`` names it, else the folder given to ``setCheckpointDir``. In a
+    local session without either it lies beside the warehouse; on a cluster that would be
+    one machine's disk, so there the setting is required.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _local:
-        _local[app] = tempfile.mkdtemp(prefix="tidemark-")
-    return _local[app]
+    context = spark.sparkContext
+    set_later = context._jsc.sc().getCheckpointDir()
+    if set_later.isDefined():
+        return set_later.get().rstrip("/")
+    if not context.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
 
 
 def fresh_dir(spark: SparkSession, name: str) -> str:
