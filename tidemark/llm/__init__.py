@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("mixing",)
+_MODULES = ("mixing", "urls")
 
 
 def registered() -> tuple[dict, dict]:
