@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("mixing", "quality", "urls")
+_MODULES = ("mixing", "chat", "quality", "urls")
 
 
 def registered() -> tuple[dict, dict]:
