@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("mixing", "chat", "quality", "urls")
+from tidemark.llm.common import on_workers
+
+_MODULES = ("mixing", "chat", "suffix_dedup", "quality", "window_dedup", "urls")
 
 
 def registered() -> tuple[dict, dict]:
@@ -13,6 +15,6 @@ def registered() -> tuple[dict, dict]:
     twins: dict = {}
     for name in _MODULES:
         module = importlib.import_module(f"tidemark.llm.{name}")
-        queries.update(module.QUERIES)
+        queries.update({k: on_workers(q) for k, q in module.QUERIES.items()})
         twins.update(getattr(module, "ORACLES", {}))
     return queries, twins

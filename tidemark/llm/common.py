@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,3 +39,17 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
+
+
+def on_workers(query: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """The query, with this package on the import path of Python workers that see the same folders."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+    @wraps(query)
+    def run(spark: SparkSession, *args) -> DataFrame:
+        paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
+        if root not in paths:
+            spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
+        return query(spark, *args)
+
+    return run
