@@ -6,7 +6,7 @@ import importlib
 
 from tidemark.llm.common import on_workers
 
-_MODULES = ("mixing", "chat", "suffix_dedup", "decontaminate", "quality", "simhash", "window_dedup", "urls")
+_MODULES = ("mixing", "chat", "suffix_dedup", "decontaminate", "quality", "simhash", "toxicity", "window_dedup", "urls")
 
 
 def registered() -> tuple[dict, dict]:
