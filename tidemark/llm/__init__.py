@@ -6,7 +6,9 @@ import importlib
 
 from tidemark.llm.common import on_workers
 
-_MODULES = ("mixing", "chat", "suffix_dedup", "decontaminate", "quality", "simhash", "toxicity", "window_dedup", "urls")
+_MODULES = (
+    "mixing", "chat", "suffix_dedup", "decontaminate", "quality", "html_text", "simhash", "toxicity", "window_dedup", "urls",
+)
 
 
 def registered() -> tuple[dict, dict]:
@@ -17,4 +19,9 @@ def registered() -> tuple[dict, dict]:
         module = importlib.import_module(f"tidemark.llm.{name}")
         queries.update({k: on_workers(q) for k, q in module.QUERIES.items()})
         twins.update(getattr(module, "ORACLES", {}))
+    import corpus_pipeline
+
+    queries["pipeline"] = on_workers(corpus_pipeline.run)
+    if corpus_pipeline.ORACLE_SQL is not None:
+        twins["pipeline"] = corpus_pipeline.ORACLE_SQL
     return queries, twins

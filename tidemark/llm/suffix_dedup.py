@@ -130,8 +130,8 @@ def byte_unit(length: int) -> Unit:
     return Unit(length, byte_runs, _contents, _windows, repeated_strings, True)
 
 
-def _remover(length: int):
-    @F.pandas_udf("kept binary, n_bytes long, n_removed long, n_spans long")
+def _remover(length: int, as_text: bool):
+    @F.pandas_udf(f"kept {'string' if as_text else 'binary'}, n_bytes long, n_removed long, n_spans long")
     def remove(texts: pd.Series, places: pd.Series) -> pd.DataFrame:
         out = []
         for text, marks in zip(texts, places):
@@ -142,14 +142,17 @@ def _remover(length: int):
                 kept.append(data[at:a])
                 at = b
             kept.append(data[at:])
-            out.append((b"".join(kept), len(data), int((spans[:, 1] - spans[:, 0]).sum()), len(spans)))
+            left = b"".join(kept)
+            out.append((left.decode("utf-8", "ignore") if as_text else left, len(data), int((spans[:, 1] - spans[:, 0]).sum()), len(spans)))
         return pd.DataFrame(out, columns=["kept", "n_bytes", "n_removed", "n_spans"])
 
     return remove
 
 
-def remove_repeated_bytes(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """``docs`` with ``removal``: what is kept (bytes), and the numbers of bytes and removed runs.
+def remove_repeated_bytes(docs: DataFrame, length: int = LENGTH, as_text: bool = False) -> DataFrame:
+    """``docs`` as ``row``, with ``removal``: what is kept, and the numbers of bytes and removed runs.
+
+    What is kept is bytes, or with ``as_text`` text, in which a character that was cut is left out.
 
     A byte goes if a string of ``length`` bytes that covers it starts at another place too, in any
     text including its own; overlapping places count, and all is judged on the input. A string never
@@ -161,7 +164,7 @@ def remove_repeated_bytes(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     marks = marks.withColumnsRenamed({"doc": "__doc", "th": "__th"})
     keyed = doc_keys(docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).select("row", "row.doc_id", "row.text"))
     joined = keyed.join(marks, (F.col("doc") == F.col("__doc")) & (F.col("th") == F.col("__th")), "left")
-    return joined.select("row", _remover(length)(F.coalesce("text", F.lit("")), F.col("__places")).alias("removal"))
+    return joined.select("row", _remover(length, as_text)(F.coalesce("text", F.lit("")), F.col("__places")).alias("removal"))
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
