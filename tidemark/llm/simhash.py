@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.llm import grams as G
 from tidemark.llm.common import table, written
 from tidemark.llm.components import components
 
@@ -21,6 +22,13 @@ RADIUS = 4
 SEED = 42
 TILE = 2048  # members of a bucket that are compared together
 LANES = 64
+NO_ID = (1 << 63) - 1
+
+SIMILAR = 0.8  # share of common shingles of five words
+SIMILAR_SHINGLE = 5
+WORDS = 8  # of a wide fingerprint, 64 bits each
+MARGIN = 2.5  # standard deviations of the distance at that similarity
+BANDS, ROWS = 16, 4  # least hashes that bring documents of that similarity together: all but one in 5000
 
 
 def fingerprint(text: str, size: int = SHINGLE) -> int:
@@ -79,21 +87,22 @@ class Counter:
 
 
 def bit_planes(values: np.ndarray, byte: int) -> np.ndarray:
-    """Eight vertical planes of one byte of the values; their number is a multiple of ``LANES``."""
-    bits = np.unpackbits(np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8)[:, byte]).reshape(-1, 1), axis=1)
-    return np.ascontiguousarray(np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little")).view(np.uint64)
+    """Eight vertical planes of one byte of the values (n x words); n is a multiple of ``LANES``."""
+    column = np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1)[:, byte])
+    bits = np.ascontiguousarray(np.unpackbits(column.reshape(-1, 1), axis=1).T)
+    return np.ascontiguousarray(np.packbits(bits, axis=1, bitorder="little")).view(np.uint64)
 
 
 def pairs_within(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
-    """Which pairs of fingerprints differ in at most ``radius`` bits. Blocks that all exceed it are abandoned."""
-    n = len(a)
-    differ = np.full(-(-n // LANES) * LANES, 0xFFFFFFFFFFFFFFFF, np.uint64)
+    """Which pairs of fingerprints (n x words) differ in at most ``radius`` bits. Blocks that all exceed it are abandoned."""
+    n, words = a.shape
+    differ = np.full((-(-n // LANES) * LANES, words), 0xFFFFFFFFFFFFFFFF, np.uint64)
     differ[:n] = a ^ b
     near = np.zeros(len(differ), bool)
     blocks = np.arange(len(differ) // LANES)
     counter = Counter(len(blocks), radius)
-    for byte in range(8):
-        for plane in bit_planes(differ.reshape(-1, LANES)[blocks].reshape(-1), byte):
+    for byte in range(8 * words):
+        for plane in bit_planes(differ.reshape(-1, LANES, words)[blocks].reshape(-1, words), byte):
             counter.add(plane)
         left = counter.open()
         if not left.all():
@@ -108,17 +117,16 @@ def pairs_within(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
 
 def tile_within(members: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs (i < j) within the radius in one large group: planes of all members against 64 of them at a time."""
-    m = len(members)
-    padded = np.zeros(-(-m // LANES) * LANES, np.uint64)
+    m, words = members.shape
+    padded = np.zeros((-(-m // LANES) * LANES, words), np.uint64)
     padded[:m] = members
-    planes = np.concatenate([bit_planes(padded, byte) for byte in range(8)])
-    bits = np.concatenate([np.unpackbits(members.view(np.uint8).reshape(-1, 8)[:, byte].copy().reshape(-1, 1), axis=1) for byte in range(8)], axis=1)
-    flips = np.where(bits.astype(bool), np.uint64(0xFFFFFFFFFFFFFFFF), np.uint64(0))
+    planes = np.concatenate([bit_planes(padded, byte) for byte in range(8 * words)])
     for at in range(0, m, LANES):
-        queries = flips[at : at + LANES]
+        bits = np.unpackbits(members[at : at + LANES].view(np.uint8), axis=1)
+        queries = np.where(bits.astype(bool), np.uint64(0xFFFFFFFFFFFFFFFF), np.uint64(0))
         rest = planes[:, at // LANES :]  # earlier members have met these as queries
         counter = Counter((len(queries), rest.shape[1]), radius)
-        for k in range(64):
+        for k in range(len(planes)):
             counter.add(rest[k][None, :] ^ queries[:, k][:, None])
             if k % 8 == 7 and not counter.open().any():
                 break
@@ -142,7 +150,10 @@ def _union(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def group_links(group: np.ndarray, values: np.ndarray, radius: int, small: int = 64) -> tuple[np.ndarray, np.ndarray]:
-    """Links that join what lies within the radius inside each group; ``group`` is sorted. At most one link a member."""
+    """Links (by place) that join what lies within the radius inside each group; ``group`` is sorted.
+
+    ``values`` are n x words. There is at most one link a member.
+    """
     label = np.arange(len(values))
     starts = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
     sizes = np.diff(np.append(starts, len(group)))
@@ -163,7 +174,7 @@ def group_links(group: np.ndarray, values: np.ndarray, radius: int, small: int =
             label = _union(label, near, near + step)
         step += 1
     moved = np.flatnonzero(label != np.arange(len(label)))
-    return values[moved], values[label[moved]]
+    return moved, label[moved]
 
 
 _LINK = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -176,8 +187,12 @@ def _linker(radius: int, at_once: int = 1 << 16):
         change = np.zeros(t.num_rows, bool)
         for k in keys:
             change[1:] |= k[1:] != k[:-1]
-        a, b = group_links(np.cumsum(change), t["fp"].to_numpy().view(np.uint64), radius)
-        return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (a, b)], schema=_LINK)
+        ids = t["fp"].to_numpy()
+        values = ids.reshape(-1, 1).view(np.uint64)
+        if "bits" in t.column_names:
+            values = np.frombuffer(b"".join(t["bits"].to_pylist()), np.uint64).reshape(len(ids), -1)
+        a, b = group_links(np.cumsum(change), values, radius)
+        return pa.RecordBatch.from_arrays([pa.array(ids[x]) for x in (a, b)], schema=_LINK)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -220,24 +235,42 @@ def _long(mask: int) -> int:
     return mask - (1 << 64) if mask >> 63 else mask
 
 
-def fingerprint_links(values: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
-    """Links ``a, b`` whose components are those of all pairs of ``fp`` within ``radius`` bits.
+def bucket_links(keyed: DataFrame, radius: int, bits: DataFrame | None = None, tile: int = TILE) -> DataFrame:
+    """Links ``a, b`` whose components are those of all pairs within ``radius`` bits in one bucket.
 
-    ``values`` has distinct ``fp``. Values meet in buckets of shared blocks of bits. A bucket above
-    ``tile`` is dealt out: its members fall into tiles by hash and each pair of tiles is a task's group,
-    so it is compared whole, by many tasks. A group yields a link a member at most, never all pairs.
+    ``keyed`` has ``t, key, fp``: the buckets of each distinct ``fp``, which is the fingerprint itself or
+    has it in ``bits`` (``fp, bits``). Buckets of one are dropped before anything more travels. A bucket
+    above ``tile`` is dealt out: its members fall into tiles by hash and each pair of tiles is a task's
+    group, so it is compared whole, by many tasks. A group yields a link a member at most, never all pairs.
     """
-    masks = block_masks(values.count(), radius)
-    keyed = values.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(_long(m))) for m in masks])).alias("t", "key"))
     sizes = keyed.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     sizes = sizes.select("t", "key", F.ceil(F.col("n") / tile).cast("int").alias("tiles"))
     met = keyed.join(sizes, ["t", "key"]).withColumn("tile", F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int"))
     dealt = met.select("t", "key", "fp", "tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
     dealt = dealt.select("t", "key", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "fp")
+    if bits is not None:
+        dealt = dealt.join(bits, "fp")
     ordered = dealt.repartition("t", "key", "i", "j").sortWithinPartitions("t", "key", "i", "j", "fp")
     return ordered.mapInArrow(_linker(radius), "a long, b long")
 
 
+def fingerprint_links(values: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
+    """Links of all pairs of distinct ``fp`` within ``radius`` bits, by buckets of shared blocks of bits."""
+    masks = block_masks(values.count(), radius)
+    keyed = values.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(_long(m))) for m in masks])).alias("t", "key"))
+    return bucket_links(keyed, radius, None, tile)
+
+
+def _grouped(marked: DataFrame, values: DataFrame, links: DataFrame, name: str) -> DataFrame:
+    """``doc_id, th, fp, component, component_id`` of rows by the components of their fingerprints."""
+    roots = components(links, name).withColumnRenamed("node", "fp")
+    placed = values.join(roots, "fp", "left").withColumn("component", F.coalesce("root", "fp"))
+    linked = placed.where("root is not null").groupBy("component").agg(F.min("first_id").alias("component_id"))
+    known = placed.where("root is not null").join(linked, "component").select("fp", "component", "component_id")
+    alone = placed.where("root is null").select("fp", "component", F.col("first_id").alias("component_id"))
+    return marked.join(written(known.unionByName(alone), f"{name}-components"), "fp").select("doc_id", "th", "fp", "component", "component_id")
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """``doc_id, th, fp, component, component_id`` for every row of ``docs`` (``doc_id, text``).
 
@@ -250,22 +283,66 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     marked = written(docs.select("doc_id", F.xxhash64(text).alias("th"), fingerprints(text).alias("fp")), "fingerprints")
     values = written(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "values")
-    roots = components(fingerprint_links(values.select("fp"), radius), "simhash").withColumnRenamed("node", "fp")
-    placed = values.join(roots, "fp", "left").withColumn("component", F.coalesce("root", "fp"))
-    linked = placed.where("root is not null").groupBy("component").agg(F.min("first_id").alias("component_id"))
-    known = placed.where("root is not null").join(linked, "component").select("fp", "component", "component_id")
-    alone = placed.where("root is null").select("fp", "component", F.col("first_id").alias("component_id"))
-    return marked.join(written(known.unionByName(alone), "components"), "fp").select("doc_id", "th", "fp", "component", "component_id")
-
-
-def keep_first(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """One row of each group of near-duplicates, the one with the least doc_id; all columns stay."""
-    found = near_duplicates(docs, radius).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "th", "component").distinct()
-    found = found.select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), F.col("component").alias("__component"))
+    return _grouped(marked, values, fingerprint_links(values.select("fp"), radius), "simhash")
+
+
+def radius_for(similarity: float, n_bits: int, margin: float = MARGIN) -> int:
+    """Bits in which fingerprints of two equally large sets differ at this similarity, plus a margin."""
+    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return int(n_bits * share + margin * np.sqrt(n_bits * share * (1 - share)))
+
+
+def sketch(text: str, size: int = SIMILAR_SHINGLE, words: int = WORDS, bands: int = BANDS, rows: int = ROWS) -> tuple[bytes, list[int]]:
+    """A wide fingerprint of the set of shingles, and a key for each band of their least hashes."""
+    joined = text.encode("utf-8", "surrogatepass").lower()
+    h, _, _ = G.word_hashes(joined)
+    shingles = np.unique(G.gram_hashes(h, min(size, len(h)))) if len(h) else np.empty(0, np.uint64)
+    counts = np.zeros(64 * words, np.int64)
+    least = np.full(bands * rows, 0xFFFFFFFFFFFFFFFF, np.uint64)
+    seeds = np.arange(1, words + bands * rows + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C16) + np.uint64(1)
+    for at in range(0, len(shingles), 1 << 10):
+        some = shingles[at : at + (1 << 10), None]
+        turned = G.mix(some * seeds[:words]).view(np.uint8)
+        counts += np.unpackbits(turned, axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
+        turned = some * seeds[words:]
+        turned ^= turned >> np.uint64(29)
+        turned *= np.uint64(0xD6E8FEB86659FD93)
+        np.minimum(least, turned.min(axis=0), out=least)
+    bits = np.packbits(2 * counts > len(shingles), bitorder="little").tobytes()
+    return bits, G.mix((least.reshape(bands, rows) * G.powers(rows)).sum(axis=1, dtype=np.uint64)).view(np.int64).tolist()
+
+
+@F.pandas_udf(T.StructType([T.StructField("bits", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType()))]))
+def sketches(texts: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([sketch(t) for t in texts], columns=["bits", "keys"])
+
+
+def similar_documents(docs: DataFrame, similarity: float = SIMILAR) -> DataFrame:
+    """As ``near_duplicates``, for texts that share so much of their shingles of five words.
+
+    64 bits can't tell such a similarity, so fingerprints have ``64 * WORDS`` bits, and the radius is the
+    distance at the similarity plus ``MARGIN`` standard deviations: it reaches down to texts that are a
+    little less similar, and misses one in a hundred at the border itself. Candidates come from bands of
+    least shingle hashes. Texts with equal shingles are one value; wordless texts are equal to each other.
+    """
+    text = F.coalesce("text", F.lit(""))
+    marked = docs.select("doc_id", F.xxhash64(text).alias("th"), sketches(text).alias("s"))
+    marked = written(marked.select("doc_id", "th", F.xxhash64("s.bits", "s.keys").alias("fp"), "s.bits", "s.keys"), "sketches")
+    values = written(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.first("bits").alias("bits"), F.first("keys").alias("keys")), "values")
+    keyed = values.select("fp", F.posexplode("keys").alias("t", "key"))
+    links = bucket_links(keyed, radius_for(similarity, 64 * WORDS), values.select("fp", "bits"))
+    return _grouped(marked.select("doc_id", "th", "fp"), values.select("fp", "first_id"), links, "similar")
+
+
+def keep_first(docs: DataFrame, similarity: float = SIMILAR) -> DataFrame:
+    """One row of each group of similar documents, the one with the least doc_id; all columns stay."""
+    found = similar_documents(docs, similarity).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    one = found.groupBy("doc_id", "component").agg(F.min("th").alias("__th"))  # ids held twice, or null
+    one = one.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("__id"), "__th").distinct()
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    row = row.select("row", F.col("row.doc_id").alias("__doc"), F.xxhash64(F.coalesce("row.text", F.lit(""))).alias("__hash"))
-    joined = row.join(found, F.col("__doc").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__th")))
-    return joined.dropDuplicates(["__doc", "__hash", "__component"]).dropDuplicates(["__doc", "__component"]).select("row.*")
+    row = row.select("row", F.coalesce("row.doc_id", F.lit(NO_ID)).alias("__doc"), F.xxhash64(F.coalesce("row.text", F.lit(""))).alias("__hash"))
+    joined = row.join(one, (F.col("__doc") == F.col("__id")) & (F.col("__hash") == F.col("__th")))
+    return joined.dropDuplicates(["__doc", "__hash"]).select("row.*")
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
