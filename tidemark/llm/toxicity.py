@@ -14,14 +14,14 @@ from tidemark.llm import grams as G
 from tidemark.llm.common import table, text_of
 
 CUT = 0.3
-SAMPLE_TOXIC = 1500  # labelled documents of each kind that the model is fitted on
-SAMPLE_CLEAN = 3000
+SAMPLE_TOXIC = 1000  # labelled documents of each kind that the model is fitted on
+SAMPLE_CLEAN = 4000
 SAMPLE_CHARS = 20_000  # longer documents are not in the sample
 CHAIN_DOCS = 300  # of each kind, with CHAIN_WORDS at most, for the weights of the chain
 CHAIN_WORDS = 800
 MAX_FEATURES = 512
 MIN_DOCS = 4
-MIN_RATIO = 6.0
+MIN_RATIO = 10.0
 PREFIXES = (4, 5, 6, 7)  # bytes
 SPAN_CUT = 0.5
 
@@ -154,18 +154,22 @@ def summary(chances: np.ndarray, words: np.ndarray, n: int) -> np.ndarray:
 
 def pick_features(hashes: list[np.ndarray], doc: np.ndarray, toxic: np.ndarray) -> np.ndarray:
     """Features that stand in many more toxic than clean documents, the strongest first, at most ``MAX_FEATURES``."""
-    held = np.concatenate([np.stack([h, doc.astype(np.uint64)], 1)[h != 0] for h in hashes])
-    held = held[np.lexsort((held[:, 1], held[:, 0]))]
-    once = np.append(True, (held[1:] != held[:-1]).any(axis=1)) if len(held) else np.empty(0, bool)
-    held = held[once]
-    names, at = np.unique(held[:, 0], return_inverse=True)
-    bad = np.bincount(at, weights=toxic[held[:, 1].astype(np.int64)], minlength=len(names))
-    good = np.bincount(at, minlength=len(names)) - bad
     n_bad, n_good = max(toxic.sum(), 1), max((~toxic.astype(bool)).sum(), 1)
-    ratio = np.log(((bad + 0.25) / n_bad) / ((good + 0.25) / n_good))
-    strong = np.flatnonzero((bad >= MIN_DOCS) & (ratio >= np.log(MIN_RATIO)))
-    best = strong[np.argsort(-(bad * ratio)[strong], kind="stable")[:MAX_FEATURES]]
-    return np.sort(names[best])
+    names, worth = [], []
+    for h in hashes:  # one kind of feature at a time: the arrays of a kind are all that is held
+        order = np.argsort(h, kind="stable")  # documents stay in order
+        name, of = h[order], doc[order]
+        once = np.append(True, (name[1:] != name[:-1]) | (of[1:] != of[:-1])) & (name != 0) if len(h) else np.empty(0, bool)
+        name, of = name[once], of[once]
+        first = np.flatnonzero(np.append(True, name[1:] != name[:-1])) if len(name) else np.empty(0, np.int64)
+        bad = np.add.reduceat(toxic[of], first) if len(first) else np.empty(0)
+        good = np.diff(np.append(first, len(name))) - bad
+        ratio = np.log((bad + 1e-9) / n_bad / ((good + 1) / n_good))
+        strong = (bad >= MIN_DOCS) & (ratio >= np.log(MIN_RATIO))
+        names.append(name[first][strong])
+        worth.append((bad * ratio)[strong])
+    names, worth = np.concatenate(names), np.concatenate(worth)
+    return np.sort(names[np.argsort(-worth, kind="stable")[:MAX_FEATURES]])
 
 
 def fit_chain(features: np.ndarray, hashes: list[np.ndarray], doc: np.ndarray, label: np.ndarray, rounds: int = 60) -> tuple[np.ndarray, float, tuple]:
@@ -260,7 +264,9 @@ def fit(rows: list[tuple[str, int]], prior: float) -> Model:
     if not len(features):
         return nothing
     # the label of a word: it has such a feature, and its document is toxic
-    marked = np.isin(np.stack(hashes), features).any(axis=0)
+    marked = np.zeros(len(doc), bool)
+    for h in hashes:
+        marked |= np.isin(h, features)
     label = marked & (toxic[doc] > 0)
     sizes = np.diff(first)
     short = [np.flatnonzero((toxic == v) & (sizes <= CHAIN_WORDS) & (sizes > 0)) for v in (0, 1)]
