@@ -5,7 +5,7 @@ import pytest
 from tidemark.operators import schedules as X
 
 LO, HI = datetime(2024, 1, 1), datetime(2024, 1, 10)  # the first is a Monday
-TEXTS = ["at 17:00", "at 4-15:45,*-09:00", "at 5-18:00 ,  4-18:05,1-9:01", "every 7200", "every 45", "at *-08:01,8:01"]
+TEXTS = ["at 6:05", "at 2-11:10,*-23:59", "at 6-00:00 ,  3-07:45,0-21:30", "every 5400", "every 50", "at *-12:34,12:34"]
 
 
 def brute(text):
@@ -52,7 +52,7 @@ def test_missed_runs(spark, table):
 def test_entries(table):
     rows = X.parse_schedule(table, "schedule").where("id in (1, 3)").collect()
     assert {(r.id, r.kind, r.every_seconds, r.day, r.hour, r.minute) for r in rows} == {
-        (1, "at", None, "4", 15, 45), (1, "at", None, "*", 9, 0), (3, "every", 7200, None, None, None),
+        (1, "at", None, "2", 11, 10), (1, "at", None, "*", 23, 59), (3, "every", 5400, None, None, None),
     }
 
 

@@ -7,15 +7,9 @@ from tests.test_period import check, run
 
 
 def test_truncate_bytes(spark):
-    cases = [
-        ("абвгдеєжзиіїйклмнопрстуфхцчшщюяь", "абвгдеєжзи"),
-        ("ウィキペディアにようこそ", "ウィキペディ"),
-        ("abcdefghijklmnopqrstuvwxyz", "abcdefghijklmnopqrst"),
-        ("Jan 06, 2010", "Jan 06, 2010"),
-        ("", ""),
-        (None, None),
-    ]
-    check(spark, cases, lambda c: T.utf8_truncate(c, 20))
+    texts = ["αβγ δεζ ηθι κλμ νξο", "漢字かな交じり文", "plain words of ASCII only", "naïve café", "short", "", None]
+    cut = lambda t: None if t is None else t.encode()[:20].decode(errors="ignore")
+    check(spark, [(t, cut(t)) for t in texts], lambda c: T.utf8_truncate(c, 20))
 
 
 def test_truncate_every_cut(spark):
@@ -26,22 +20,16 @@ def test_truncate_every_cut(spark):
 
 
 def test_names(spark):
-    df = spark.createDataFrame(
-        [("prefix", "suffix"), (None, "suffix"), (None, None), ("", ""), ("tratata", "dududu::uuuu")],
-        "a string, b string",
-    )
-    names = [r[0] for r in df.select(T.build_name("a", "b")).collect()]
-    assert names == ["prefix::suffix", "None::suffix", "None::None", "::", "tratata::dududu::uuuu"]
-    check(
-        spark,
-        [("prefix::suffix", ("prefix", "suffix")), ("::", ("", "")), ("tratata::dududu::uuuu", ("tratata", "dududu::uuuu"))],
-        lambda c: T.split_name(c),
-    )
+    pairs = [("left", "right"), (None, "alone"), (None, None), ("", ""), ("one", "two::three::four")]
+    df = spark.createDataFrame(pairs, "a string, b string")
+    joined = ["::".join("None" if x is None else x for x in p) for p in pairs]
+    assert [r[0] for r in df.select(T.build_name("a", "b")).collect()] == joined
+    check(spark, [(j, tuple(j.split("::", 1))) for j in joined], lambda c: T.split_name(c))
 
 
 def test_screen_label(spark):
-    df = spark.createDataFrame([(240, 360), (None, None)], "x long, y long")
-    assert [r[0] for r in df.select(T.screen_label("x", "y")).collect()] == ["(240, 360)", "(None, None)"]
+    df = spark.createDataFrame([(111, 77), (None, None)], "x long, y long")
+    assert [r[0] for r in df.select(T.screen_label("x", "y")).collect()] == ["(111, 77)", "(None, None)"]
 
 
 def test_uri(spark):
@@ -83,36 +71,38 @@ def test_states(spark):
     )
 
 
+def parts_of(text):
+    """(day, hour, minute) of each entry, read with plain string methods."""
+    out = []
+    for entry in text.removeprefix("at").split(","):
+        day, _, clock = entry.strip().rpartition("-")
+        hour, minute = clock.split(":")
+        out.append((day or "*", int(hour), int(minute)))
+    return out
+
+
+TIMES = ["at 6:05", "at *-23:59", "at 2-11:10 , 6-00:00", "at  3-07:45,*-12:00 ,0-21:30", "at 1-1:01,1-1:02"]
+
+
 def test_schedule_entries(spark):
-    check(
-        spark,
-        [
-            ("at *-17:00,  4-15:45,*-09:00 ", ["*-17:00", "4-15:45", "*-09:00"]),
-            ("at 5-18:00  ,4-18:05 ,1-9:01 ", ["5-18:00", "4-18:05", "1-9:01"]),
-            ("at *-08:01", ["*-08:01"]),
-            ("at 8:30", ["8:30"]),
-            ("every 300", None),
-        ],
-        X.entry_texts,
-    )
-    check(spark, [("every 300", 300), ("every  500", 500), ("every 1", 1), ("at 8:30", None)], X.interval_seconds)
-    out = run(spark, ["at 4-15:45,8:30"], X.entries)[0]
-    assert [tuple(e) for e in out] == [("4", 15, 45), ("*", 8, 30)]
+    given = [[e.strip() for e in t.removeprefix("at").split(",")] for t in TIMES]
+    check(spark, [*zip(TIMES, given), ("every 42", None)], X.entry_texts)
+    check(spark, [("every 42", 42), ("every   86399", 86399), ("every 7", 7), (TIMES[0], None)], X.interval_seconds)
+    long = "every " + " " * 40 + "1234567"
+    check(spark, [(long, 1234567)], X.interval_seconds)
+    assert [[tuple(e) for e in r] for r in run(spark, TIMES, X.entries)] == [parts_of(t) for t in TIMES]
 
 
 def test_next_trigger(spark):
     from datetime import datetime, timedelta
 
-    now = datetime(2014, 5, 1, 13, 0)
-    cases = [
-        ("at *-17:00,4-15:45,*-09:00", timedelta(hours=4)),
-        ("at 5-18:00,4-18:05,1-9:01", timedelta(days=1, hours=5, minutes=5)),
-        ("at *-08:01", timedelta(hours=19, minutes=1)),
-        ("at 8:30", timedelta(hours=19, minutes=30)),
-        ("at 13:00", timedelta(0)),
-        ("every 90", timedelta(seconds=90)),
-    ]
-    fixed = F.lit("2014-05-01 13:00:00").cast("timestamp_ntz")
-    check(spark, [(s, now + d) for s, d in cases], lambda c: X.next_trigger(fixed, c))
-    later = F.lit("2014-05-01 13:00:30").cast("timestamp_ntz")
-    assert run(spark, ["at 13:00"], lambda c: X.next_trigger(later, c)) == [datetime(2014, 5, 2, 13, 0)]
+    def step(now, text):
+        at = now.replace(second=0) + (timedelta(minutes=1) if now.second else timedelta(0))
+        while not any((h, m) == (at.hour, at.minute) and d in ("*", str(at.weekday())) for d, h, m in parts_of(text)):
+            at += timedelta(minutes=1)
+        return at
+
+    for now in (datetime(2019, 3, 31, 11, 10), datetime(2021, 12, 31, 23, 58, 30), datetime(2020, 2, 29, 6, 5)):
+        fixed = F.lit(str(now)).cast("timestamp_ntz")
+        check(spark, [(t, step(now, t)) for t in TIMES], lambda c, f=fixed: X.next_trigger(f, c))
+        check(spark, [("every 77", now + timedelta(seconds=77))], lambda c, f=fixed: X.next_trigger(f, c))
