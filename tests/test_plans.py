@@ -7,7 +7,6 @@ import pytest
 import __spark_entry__ as entry
 from tidemark.functions import period as P
 from tidemark.operators import rollup
-from tidemark.operators.order import heavy_keys
 from tidemark.plans import views as V
 from tidemark.plans.catalog import SITE_SUITE
 from tidemark.sources import scans, writes
@@ -55,12 +54,6 @@ def test_rollup_is_one_shuffle_with_map_side_combine(spark):
         assert "partial_sum" in plan
 
 
-def test_heavy_keys_are_few_whatever_the_input(spark):
-    df = spark.range(5000).selectExpr("id % 2500 as key")
-    assert heavy_keys(df, ["key"], k=10, at_least=1).count() == 10
-    assert heavy_keys(df, ["key"], at_least=3).count() == 0
-
-
 def test_catalog_joins_are_planned_with_known_size(spark):
     rows = spark.range(10).selectExpr("concat('process_', id) as process_name")
     plan = physical(rows.join(SITE_SUITE.process_dim(spark), "process_name"))

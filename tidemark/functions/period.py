@@ -86,6 +86,28 @@ def _require(value: Column, ok: Column, source: Column, what: str) -> Column:
     return F.when(ok | source.isNull(), value).otherwise(F.raise_error(message))
 
 
+def digits(ts: Column) -> Column:
+    """Timestamp as fourteen digits; reads the parts of a naive one as they stand."""
+    day = (F.year(ts) * 10000 + F.month(ts) * 100 + F.dayofmonth(ts)).cast("bigint")
+    clock = F.hour(ts) * 10000 + F.minute(ts) * 100 + F.second(ts)
+    return F.lpad((day * 1000000 + clock).cast("string"), 14, "0")
+
+
+def _epoch() -> Column:
+    return F.make_timestamp_ntz(*[F.lit(n) for n in (1970, 1, 1, 0, 0, 0)])
+
+
+def epoch_seconds(ts: Column | str) -> Column:
+    """Whole seconds since 1970 of a naive timestamp as it stands."""
+    return seconds_between(_epoch(), _col(ts))
+
+
+def seconds_between(start: Column, end: Column) -> Column:
+    """Whole seconds from one timestamp to another; naive ones are compared as they stand."""
+    parts = [F.extract(F.lit(u), end - start).cast("bigint") * n for u, n in (("DAY", 86400), ("HOUR", 3600), ("MINUTE", 60))]
+    return parts[0] + parts[1] + parts[2] + F.floor(F.extract(F.lit("SECOND"), end - start)).cast("bigint")
+
+
 def period_pattern(c: Column | str) -> Column:
     """Name the parts a period carries, as a date pattern with zeros for absent parts."""
     c = _col(c)
@@ -99,14 +121,15 @@ def period_pattern(c: Column | str) -> Column:
 
 
 def epoch_to_session(c: Column | str) -> Column:
-    """Epoch seconds to a real-time period in UTC."""
-    seconds = F.floor(_col(c)).cast("bigint")
-    return F.date_format(F.timestamp_seconds(seconds), "yyyyMMddHHmmss")
+    """Epoch seconds to a real-time period in UTC, whatever the session's time zone."""
+    zero = F.lit(0)
+    moment = _epoch() + F.make_dt_interval(zero, zero, zero, F.floor(_col(c)).cast("decimal(18,6)"))
+    return digits(moment)
 
 
 def session_to_epoch(c: Column | str) -> Column:
-    """Real-time period to epoch seconds; the session time zone must be UTC."""
-    return F.unix_timestamp(_col(c), "yyyyMMddHHmmss")
+    """Real-time period in UTC to epoch seconds, whatever the session's time zone."""
+    return seconds_between(_epoch(), _at_start(_col(c)))
 
 
 def session_to_hour(c: Column | str) -> Column:
@@ -130,7 +153,7 @@ def to_period(q: str, ts: Column | str) -> Column:
     """Timestamp to the period of granularity ``q`` that holds it."""
     q, ts = qualifier(q), _col(ts)
     if q == REAL_TIME:
-        return F.date_format(ts, "yyyyMMddHHmmss")
+        return digits(ts)
     number = F.year(ts).cast("bigint") * 1000000
     if q in (MONTHLY, DAILY, HOURLY):
         number = number + F.month(ts) * 10000

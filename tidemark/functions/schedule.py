@@ -31,7 +31,7 @@ def is_at(c: Column | str) -> Column:
 
 def interval_seconds(c: Column | str) -> Column:
     """Seconds of an ``every N`` schedule, else null."""
-    return F.when(is_every(c), F.substring(_tidy(c), 7, 20).cast("int"))
+    return F.when(is_every(c), F.substr(_tidy(c), F.lit(7)).cast("int"))
 
 
 def entry_texts(c: Column | str) -> Column:

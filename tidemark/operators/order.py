@@ -5,52 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-HEAVY_KEYS = 1000
+from tidemark.functions import period as P
 
 
-def heavy_keys(df: DataFrame, keys: list[str], k: int = HEAVY_KEYS, at_least: int = 1_000_000) -> DataFrame:
-    """The at most ``k`` most frequent keys that have ``at_least`` rows or more.
-
-    The result never exceeds ``k`` rows whatever the input, and every key outside it
-    holds fewer than ``at_least`` rows or less than 1/k of all rows.
-    """
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    return counts.where(F.col("_n") >= at_least).orderBy(F.desc("_n")).limit(k).select(*keys)
-
-
-def index_in_order(
-    df: DataFrame,
-    keys: list[str],
-    ts: str,
-    tie: str,
-    *,
-    name: str = "position",
-    slice_unit: str = "second",
-    heavy_from: int = 1_000_000,
-) -> DataFrame:
+def index_in_order(df: DataFrame, keys: list[str], ts: str, tie: str, *, name: str = "position") -> DataFrame:
     """Number the rows of each key from 0 by (``ts``, ``tie``).
 
-    Ordinary keys take one window. A heavy key is cut into time slices: rows are
-    numbered inside their slice, and the rows of earlier slices are added from a
-    count table with one row per slice. Every row is kept and every position is exact.
+    Every key is cut into days and seconds. Rows are numbered inside their second; the rows of
+    earlier seconds of the day, and of earlier days, are added from count tables. So a task sorts
+    the rows of one second of a key, the seconds of one of its days, or its days, however many rows
+    the key has; the calendar bounds the last two. Every row is kept and every position is exact.
+    A null time comes first.
     """
-    heavy = heavy_keys(df, keys, at_least=heavy_from).withColumn("_heavy", F.lit(True))
-    marked = df.join(F.broadcast(heavy), keys, "left")  # at most HEAVY_KEYS rows
-    sliced = marked.withColumn(
-        "_slice", F.when(F.col("_heavy"), F.unix_micros(F.date_trunc(slice_unit, F.col(ts).cast("timestamp"))))
-    ).drop("_heavy")
-
-    inside = Window.partitionBy(*keys, "_slice").orderBy(ts, tie)
+    seconds = P.epoch_seconds(ts)
+    sliced = df.withColumn("_second", seconds)
+    inside = Window.partitionBy(*keys, "_second").orderBy(ts, tie)
     numbered = sliced.withColumn("_row", F.row_number().over(inside) - 1)
 
-    earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        sliced.where(F.col("_slice").isNotNull())
-        .groupBy(*keys, "_slice")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
-        .drop("_n")
-    )
-    placed = numbered.join(offsets, [*keys, "_slice"], "left")
-    position = (F.col("_row") + F.coalesce(F.col("_before"), F.lit(0))).cast("bigint")
-    return placed.withColumn(name, position).drop("_row", "_before", "_slice")
+    def earlier(part: list[str], order: str):
+        rows = Window.partitionBy(*part).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        return F.coalesce(F.sum("_n").over(rows), F.lit(0))
+
+    counts = sliced.groupBy(*keys, "_second").agg(F.count(F.lit(1)).alias("_n")).withColumn("_day", F.floor(F.col("_second") / 86400))
+    in_day = counts.withColumn("_before", earlier([*keys, "_day"], "_second"))
+    days = counts.groupBy(*keys, "_day").agg(F.sum("_n").alias("_n")).withColumn("_days_before", earlier(keys, "_day")).drop("_n")
+    same = [F.col(f"o.{c}").eqNullSafe(F.col(f"d.{c}")) for c in [*keys, "_day"]]
+    offsets = in_day.alias("o").join(days.alias("d"), same).select(*[F.col(f"o.{c}") for c in [*keys, "_second"]], (F.col("_before") + F.col("_days_before")).alias("_offset"))
+    same = [F.col(f"n.{c}").eqNullSafe(F.col(f"o.{c}")) for c in [*keys, "_second"]]
+    placed = numbered.alias("n").join(offsets.alias("o"), same)
+    position = (F.col("_row") + F.col("_offset")).cast("bigint")
+    return placed.select(*[F.col(f"n.{c}") for c in df.columns], position.alias(name))

@@ -64,28 +64,22 @@ def finish_sessions(state: DataFrame) -> DataFrame:
         *[F.col(f"{c}_at.{c}").alias(c) for c in LAST_VALUES],
         F.col("screen_at.screen_x").alias("screen_x"),
         F.col("screen_at.screen_y").alias("screen_y"),
-        (_seconds(F.col("last_ts")) - _seconds(first)).alias("total_duration"),
+        (P.epoch_seconds("last_ts") - P.epoch_seconds(first)).alias("total_duration"),
         "number_of_pageviews",
         "number_of_entries",
     )
 
 
-def _seconds(ts: Column) -> Column:
-    return F.unix_seconds(ts.cast("timestamp"))
-
-
 def build_sessions(hits: DataFrame) -> DataFrame:
     return finish_sessions(partial_sessions(hits))
 
 
-def session_entries(hits: DataFrame, *, heavy_from: int = 1_000_000) -> DataFrame:
+def session_entries(hits: DataFrame) -> DataFrame:
     """Hit times of each session in order, as long rows with an index from 0.
 
     A session may hold any share of all hits, so the list stays a table.
     """
-    indexed = index_in_order(
-        hits.select(*KEYS, "ts", "event_id"), KEYS, "ts", "event_id", name="entry_index", heavy_from=heavy_from
-    )
+    indexed = index_in_order(hits.select(*KEYS, "ts", "event_id"), KEYS, "ts", "event_id", name="entry_index")
     return indexed.select(*KEYS, "entry_index", P.to_period(P.REAL_TIME, "ts").alias("entry_timestamp"))
 
 
