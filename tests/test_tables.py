@@ -55,6 +55,17 @@ def test_upsert_is_idempotent(spark, table):
     assert {r.id: r.v for r in once.collect()}[3] == "new" and once.count() == 11
 
 
+def test_several_changes_of_a_key(spark, table):
+    schema = "id long, timeperiod string, v string, seq int"
+    held = table.selectExpr("cast(id as long) as id", "timeperiod", "v", "0 as seq")
+    rows = spark.createDataFrame([(3, "p", "a", 2), (3, "p", "b", 9), (3, "p", "c", 5), (20, "p", "d", 4), (20, "p", "e", 1)], schema)
+    out = {r.id: r.v for r in writes.upsert(held, rows, ["id"], ["seq"]).collect()}
+    assert len(out) == 11 and out[3] == "b" and out[20] == "d"
+    inserted, existing = writes.insert_new(held, rows, ["id"], ["seq"])
+    assert [(r.id, r.v) for r in inserted.collect()] == [(20, "e")]
+    assert sorted((r.id, r.v) for r in existing.collect()) == [(3, "v3"), (20, "e")]
+
+
 def test_insert_and_delete(spark, table):
     rows = spark.createDataFrame([(3, "2001010300", "clash"), (12, "2001011200", "v12")], table.schema)
     inserted, existing = writes.insert_new(table, rows, ["id"])
@@ -71,6 +82,12 @@ def test_buckets_are_replaced_whole(spark, table):
     change = spark.createDataFrame([(31, "2001010300", "x"), (32, "2001010300", "y")], table.schema)
     writes.write_buckets(change, path)
     assert ids(spark.read.parquet(path)) == [1, 2, 4, 5, 6, 7, 8, 9, 10, 31, 32]
+    # a bucket that was computed anew and has no rows left goes
+    again = spark.createDataFrame([("2001010300",), ("2001010400",), ("2001010500",)], "timeperiod string")
+    writes.write_buckets(change.where("id = 31"), path, recomputed=again)
+    back = writes.read_buckets(spark, path, "id long, v string, timeperiod string")
+    assert ids(back) == [1, 2, 6, 7, 8, 9, 10, 31]
+    assert {r.timeperiod for r in back.where("id = 31").collect()} == {"2001010300"}
 
 
 def test_versions(spark, table):
@@ -81,12 +98,18 @@ def test_versions(spark, table):
     assert writes.read_version(spark, base, "1").count() == 10
 
 
-def test_shared_dir_is_the_configured_one(spark):
+def test_shared_dir_is_one_that_all_see(spark):
     assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
-    unset = SimpleNamespace(
-        conf=SimpleNamespace(get=lambda name, default: default), sparkContext=SimpleNamespace(applicationId="app")
-    )
-    assert shared_dir(unset) == shared_dir(unset) != shared_dir(spark)
+
+    def session(master, folder=None):
+        given = SimpleNamespace(isDefined=lambda: folder is not None, get=lambda: folder)
+        context = SimpleNamespace(master=master, _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: given)))
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda name, *d: d[0] if d else "file:/warehouse/"), sparkContext=context)
+
+    assert shared_dir(session("yarn", "hdfs:/given/")) == "hdfs:/given"
+    assert shared_dir(session("local[4]")) == "file:/warehouse/_shared"
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(session("yarn"))
 
 
 def test_retention_and_duplicates(spark, table):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions import period as P
+from tidemark.operators.ledger import refresh_targets
 from tidemark.operators.sessions import session_write_stats
 from tidemark.plans import views as V
 from tidemark.plans.catalog import SITE_SUITE
@@ -38,12 +39,16 @@ def _(spark, sf):
     return SS.read_sessions(spark, base).select("domain", "session_id", "number_of_entries", "number_of_pageviews")
 
 
-@query("stream_dead_letters", "SELECT count(*) AS messages, CAST(60 AS BIGINT) AS shortest FROM hits WHERE country = 'c_3'")
+@query(
+    "stream_dead_letters",
+    """SELECT h.event_id, 'hit' AS kind FROM hits h WHERE country = 'c_3'""",
+)
 def _(spark, sf):
     base = shared.fresh_dir(spark, "stream-dead")
     _run(SS.stream_messages(_messages(spark, sf), base))
     dead = SS.read_dead_letters(spark, base)
-    return dead.agg(F.count(F.lit(1)).alias("messages"), F.min(F.length("message")).cast("bigint").alias("shortest"))
+    number = F.regexp_extract("message", '"event_id":([0-9]+)', 1).cast("bigint")
+    return dead.select(number.alias("event_id"), F.lit("hit").alias("kind"))
 
 
 @query(
@@ -57,15 +62,9 @@ def _(spark, sf):
     return session_write_stats(hits.where(~F.col("is_page_view")), hits.where("is_page_view"))
 
 
-def _rollup(spark, sf, q: str):
+def _rollup(spark, sf, q: str, base: str) -> None:
     measures = {"hits": F.count(F.lit(1)), "pageviews": F.count_if("is_page_view")}
-    return buckets.stream_rollup(V.hits(V.event_stream(spark, sf)), q, measures=measures)
-
-
-def _live(spark, name: str, stream, keys: list[str]):
-    base = shared.fresh_dir(spark, name)
-    _run(live.write_live(stream, base))
-    return live.read_live(spark, base, keys)
+    _run(buckets.stream_rollup(V.hits(V.event_stream(spark, sf)), q, base, measures=measures))
 
 
 def _register_live(name: str, q: str, pattern: str) -> None:
@@ -74,7 +73,10 @@ def _register_live(name: str, q: str, pattern: str) -> None:
         f"SELECT domain, strftime(ts, '{pattern}') AS timeperiod, count(*) AS hits, count(*) FILTER (WHERE is_page_view) AS pageviews FROM hits GROUP BY 1, 2",
     )
     def _(spark, sf):
-        return _live(spark, name, _rollup(spark, sf, q), ["domain", "timeperiod"])
+        base = shared.fresh_dir(spark, name)
+        _rollup(spark, sf, q, base)
+        live.compact(spark, base, ["domain", "timeperiod"], upto=1)
+        return live.read_live(spark, base, ["domain", "timeperiod"], compacted=1)
 
 
 _register_live("stream_site_hourly", P.HOURLY, "%Y%m%d%H")
@@ -88,8 +90,8 @@ _register_live("stream_site_daily", P.DAILY, "%Y%m%d00")
 )
 def _(spark, sf):
     base = shared.fresh_dir(spark, "stream-final")
-    _run(live.write_final(_rollup(spark, sf, P.DAILY), base))
-    return live.read_final(spark, base)
+    _rollup(spark, sf, P.DAILY, base)
+    return buckets.read_final(spark, P.DAILY, base)
 
 
 @query(
@@ -98,18 +100,22 @@ def _(spark, sf):
        count(*) FILTER (WHERE event_type = 'error') AS failure FROM ev GROUP BY 1""",
 )
 def _(spark, sf):
-    ticks = buckets.stream_throughput(V.event_stream(spark, sf), ok=F.col("event_type") != "error")
-    out = _live(spark, "stream-throughput", ticks, ["tick"])
-    return out.withColumn("tick", P.to_period(P.REAL_TIME, "tick"))
+    base = shared.fresh_dir(spark, "stream-throughput")
+    _run(buckets.stream_throughput(V.event_stream(spark, sf), base, ok=F.col("event_type") != "error"))
+    return live.read_live(spark, base, ["tick"])
 
 
 @query("stream_dedupe", "SELECT attempt_id, process_name, timeperiod FROM attempts WHERE state = 'state_requested'")
 def _(spark, sf):
-    twice = V.attempts(V.event_stream(spark, sf)).withColumn("delivery", F.explode(F.array(F.lit(1), F.lit(2))))
+    """Every attempt is asked for twice, as requested, whatever became of it; a copy comes in another batch."""
+    attempts = V.attempts(V.event_stream(spark, sf))
+    copies = F.inline(F.array(F.struct("attempt_id"), F.struct((F.col("attempt_id") + 1 - 3 * (F.col("attempt_id") % 3 == 2).cast("int")).alias("attempt_id"))))
+    asked = attempts.select(copies)
     base = shared.fresh_dir(spark, "stream-dedupe")
-    once = buckets.dedupe_requests(twice, ["attempt_id"], ts="created_at")
-    _run(live.write_final(once.select("attempt_id", "process_name", "timeperiod"), base))
-    return live.read_final(spark, base)
+    stored = V.attempts_of(spark, sf)
+    _run(buckets.deliver_requests(asked, lambda: stored, base))
+    sent = spark.read.parquet(f"{base}/rows").select("attempt_id")
+    return sent.join(stored.select("attempt_id", "process_name", "timeperiod"), "attempt_id")
 
 
 @query(
@@ -138,9 +144,9 @@ def _(spark, sf):
 def _(spark, sf):
     status = V.attempts(V.event_stream(spark, sf))
     base = shared.fresh_dir(spark, "stream-targets")
-    targets = buckets.stream_refresh_targets(status, SITE_SUITE, by=("attempt_id", "domain"))
-    _run(live.write_final(targets, base))
-    return live.read_final(spark, base)
+    targets = refresh_targets(status, SITE_SUITE, by=("attempt_id", "domain"))
+    _run(live.write_rows(targets, base))
+    return live.read_rows(spark, base)
 
 
 @query(

@@ -12,6 +12,7 @@ from tidemark.operators import rollup
 from tidemark.plans import views as V
 from tidemark.plans.registry import query
 from tidemark.sources import envelope, scans, shared, writes
+from tidemark.streaming import sessions as stream_sessions
 
 
 def _orders(spark, sf):
@@ -94,49 +95,58 @@ def _(spark, sf):
 # ---- keyed changes -------------------------------------------------------------------
 
 
-def _by_customer_month(df):
-    month = P.coarsen_period(P.MONTHLY, "timeperiod").alias("timeperiod")
-    return df.groupBy("custkey", month).agg(F.count(F.lit(1)).alias("n"), F.sum("cents").alias("cents"))
+_SPLIT = "1998060000"
 
 
-def _finished_and_open(spark, sf):
-    """Customer-months of finished orders (the table) and of open ones (the changes)."""
+def _held_and_new(spark, sf):
+    """Customers with their orders up to a date (the table), and every later order (the changes, several a customer)."""
     orders = _orders(spark, sf)
-    return _by_customer_month(orders.where("status = 'F'")), _by_customer_month(orders.where("status = 'O'"))
+    held = orders.where(F.col("timeperiod") < _SPLIT).groupBy("custkey").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("cents").alias("cents"), F.max("id").alias("id")
+    )
+    return held, orders.where(F.col("timeperiod") >= _SPLIT).select("custkey", F.lit(1).cast("bigint").alias("n"), "cents", "id")
 
 
 _FO = (
     _O
-    + """, t AS (SELECT custkey, substr(timeperiod,1,6)||'0000' AS timeperiod, count(*) AS n, CAST(sum(cents) AS BIGINT) AS cents FROM o WHERE status = 'F' GROUP BY 1, 2),
-  c AS (SELECT custkey, substr(timeperiod,1,6)||'0000' AS timeperiod, count(*) AS n, CAST(sum(cents) AS BIGINT) AS cents FROM o WHERE status = 'O' GROUP BY 1, 2)"""
+    + f""", t AS (SELECT custkey, count(*) AS n, CAST(sum(cents) AS BIGINT) AS cents, max(id) AS id FROM o WHERE timeperiod < '{_SPLIT}' GROUP BY 1),
+  c AS (SELECT custkey, CAST(1 AS BIGINT) AS n, cents, id, row_number() OVER (PARTITION BY custkey ORDER BY id) AS nth,
+    count(*) OVER (PARTITION BY custkey) AS of FROM o WHERE timeperiod >= '{_SPLIT}')"""
 )
-_KEYS = ["custkey", "timeperiod"]
-_IN_C = "EXISTS (SELECT 1 FROM c WHERE c.custkey = t.custkey AND c.timeperiod = t.timeperiod)"
-_IN_T = "EXISTS (SELECT 1 FROM t WHERE c.custkey = t.custkey AND c.timeperiod = t.timeperiod)"
+_KEYS = ["custkey"]
+_IN_C = "t.custkey IN (SELECT custkey FROM c)"
+_IN_T = "c.custkey IN (SELECT custkey FROM t)"
 
 
-@query("upsert_rows", f"{_FO} SELECT * FROM t WHERE NOT {_IN_C} UNION ALL SELECT * FROM c")
+@query("upsert_rows", f"{_FO} SELECT * FROM t WHERE NOT {_IN_C} UNION ALL SELECT custkey, n, cents, id FROM c WHERE nth = of")
 def _(spark, sf):
-    return writes.upsert(*_finished_and_open(spark, sf), _KEYS)
+    return writes.upsert(*_held_and_new(spark, sf), _KEYS, ["id"])
 
 
-@query("insert_new", f"{_FO} SELECT * FROM c WHERE NOT {_IN_T}")
+@query("insert_new", f"{_FO} SELECT custkey, n, cents, id FROM c WHERE NOT {_IN_T} AND nth = 1")
 def _(spark, sf):
-    return writes.insert_new(*_finished_and_open(spark, sf), _KEYS)[0]
+    return writes.insert_new(*_held_and_new(spark, sf), _KEYS, ["id"])[0]
 
 
-@query("insert_existing", f"{_FO} SELECT * FROM t WHERE {_IN_C}")
+@query(
+    "insert_existing",
+    f"{_FO} SELECT * FROM t WHERE {_IN_C} UNION ALL SELECT custkey, n, cents, id FROM c WHERE NOT {_IN_T} AND nth = 1 AND of > 1",
+)
 def _(spark, sf):
-    return writes.insert_new(*_finished_and_open(spark, sf), _KEYS)[1]
+    return writes.insert_new(*_held_and_new(spark, sf), _KEYS, ["id"])[1]
 
 
 @query("delete_keys", f"{_FO} SELECT * FROM t WHERE NOT {_IN_C}")
 def _(spark, sf):
-    return writes.delete_keys(*_finished_and_open(spark, sf), _KEYS)
+    return writes.delete_keys(*_held_and_new(spark, sf), _KEYS)
 
 
-def _log(spark, sf, *kinds: str):
-    events = V.table(spark, sf, "events").where(F.col("event_type").isin(*kinds))
+def _log(spark, sf, old: bool | None = None):
+    """All events as messages, or those of the kinds that are logged already, or all others."""
+    events = V.table(spark, sf, "events")
+    if old is not None:
+        kind = F.col("event_type").isin("error", "purchase")
+        events = events.where(kind if old else ~kind)
     return events.select(
         V.domain().alias("parent_object_id"), F.col("event_id").alias("seq"), F.concat("event_type", F.lit(" "), "props").alias("message")
     )
@@ -145,33 +155,39 @@ def _log(spark, sf, *kinds: str):
 _LOG = "SELECT domain AS parent_object_id, ev.event_id AS seq, ev.event_type || ' ' || e.props AS message FROM ev JOIN events e USING (event_id)"
 
 
-@query("append_log", f"{_LOG} WHERE ev.event_type IN ('error', 'purchase', 'signup')")
+@query("append_log", _LOG)
 def _(spark, sf):
-    return writes.append_log(_log(spark, sf, "error", "purchase"), _log(spark, sf, "signup"))
+    return writes.append_log(_log(spark, sf, True), _log(spark, sf, False))
 
 
 @query(
     "attach_log",
-    f"{_LOG} WHERE ev.event_type IN ('error', 'purchase') AND domain NOT IN (SELECT 'domain_' || c_custkey FROM customer WHERE c_acctbal < 0)",
+    f"{_LOG} WHERE domain NOT IN (SELECT 'domain_' || c_custkey FROM customer WHERE c_acctbal < 0)",
 )
 def _(spark, sf):
     debtors = V.table(spark, sf, "customer").where("c_acctbal < 0")
     parents = debtors.select(F.concat(F.lit("domain_"), F.col("c_custkey").cast("string")).alias("parent_object_id"))
-    return writes.attach_log(_log(spark, sf, "error", "purchase"), parents)
+    return writes.attach_log(_log(spark, sf), parents)
 
 
 @query(
     "write_buckets",
-    """SELECT domain, substr(timeperiod,1,8)||'00' AS timeperiod, CAST(sum(number_of_visits) AS BIGINT) AS number_of_visits,
-       CAST(sum(number_of_pageviews) AS BIGINT) AS number_of_pageviews, CAST(sum(total_duration) AS BIGINT) AS total_duration FROM site GROUP BY 1, 2""",
+    """WITH d AS (SELECT domain, substr(timeperiod,1,8)||'00' AS timeperiod, CAST(sum(number_of_visits) AS BIGINT) AS number_of_visits,
+       CAST(sum(number_of_pageviews) AS BIGINT) AS number_of_pageviews, CAST(sum(total_duration) AS BIGINT) AS total_duration FROM site GROUP BY 1, 2)
+       SELECT * FROM d WHERE timeperiod NOT BETWEEN '2024010500' AND '2024011400' OR (timeperiod >= '2024011000' AND number_of_visits > 2)""",
 )
 def _(spark, sf):
+    """All days, then ten of them anew: five lose some rows, five lose all."""
     days = rollup.rollup_periods(rollup.site_hourly(V.sessions_of(spark, sf)), P.DAILY)
     path = shared.fresh_dir(spark, "site-daily")
     writes.write_buckets(days, path)
-    back = spark.read.option("recursiveFileLookup", "false").parquet(path)
-    # a partition column is read back as a number; the key is text
-    return back.withColumn("timeperiod", F.col("timeperiod").cast("string"))
+    schema = "domain string, number_of_visits long, number_of_pageviews long, total_duration long, timeperiod string"
+    again = writes.read_buckets(spark, path, schema).where("timeperiod between '2024010500' and '2024011400'")
+    left = writes.read_buckets(spark, path, schema).where("timeperiod between '2024011000' and '2024011400' and number_of_visits > 2")
+    redone = shared.fresh_dir(spark, "site-redone")  # a job never overwrites files that it reads
+    left.write.parquet(redone)
+    writes.write_buckets(spark.read.schema(schema).parquet(redone), path, recomputed=again.select("timeperiod").distinct())
+    return writes.read_buckets(spark, path, schema)
 
 
 @query("replace_table", "SELECT c_custkey, c_name, c_mktsegment FROM customer")
@@ -186,13 +202,25 @@ def _(spark, sf):
 # ---- messages and text ---------------------------------------------------------------
 
 
-@query("json_round_trip", "SELECT event_id, domain, session_id, screen_x, os, is_page_view, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS sent_at FROM hits")
+_HIT = ["event_id", "domain", "session_id", "ip", "screen_x", "screen_y", "os", "browser", "language", "country", "is_page_view"]
+
+
+@query("json_round_trip", f"SELECT {', '.join(_HIT)}, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS sent_at FROM hits")
 def _(spark, sf):
-    hits = V.hits_of(spark, sf)
-    good, _ = envelope.split_bad_records(envelope.to_envelope(hits))
-    return good.select(
-        "event_id", "domain", "session_id", "screen_x", "os", "is_page_view", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("sent_at")
-    )
+    """Every hit written to files as a message, and read back from them."""
+    path = shared.fresh_dir(spark, "messages")
+    envelope.to_envelope(V.hits_of(spark, sf)).write.text(path)
+    good, _ = envelope.split_bad_records(spark.read.text(path))
+    return good.select(*_HIT, F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("sent_at"))
+
+
+@query("stream_json_sessions", "SELECT domain, session_id, number_of_entries, number_of_pageviews, total_duration FROM sessions")
+def _(spark, sf):
+    """The same files read as a stream of messages."""
+    path, base = shared.fresh_dir(spark, "message-stream"), shared.fresh_dir(spark, "json-sessions")
+    envelope.to_envelope(V.hits_of(spark, sf)).write.text(path)
+    stream_sessions.stream_messages(envelope.read_messages(spark, path), base).awaitTermination()
+    return stream_sessions.read_sessions(spark, base).select("domain", "session_id", "number_of_entries", "number_of_pageviews", "total_duration")
 
 
 @query(

@@ -33,17 +33,23 @@ PROCESS_ORDER = (
 )
 LEDGER_STATES = (S.PROCESSED, S.NOOP, S.SKIPPED, S.IN_PROGRESS, S.FINAL_RUN, S.EMBRYO)
 ATTEMPT_STATES = (S.REQUESTED, S.IN_PROGRESS, S.PROCESSED, S.CANCELED, S.INVALID, S.NOOP)
-SCHEDULES = ("at 17:00", "at 4-15:45", "at *-09:00, 2-17:30", "at 5-18:00, 4-18:05 ,1-9:01", "every 300", "at *-08:01,8:01,  6-0:00")
+SCHEDULES = ("at 6:05", "at 2-11:10", "at *-23:59, 3-07:45", "at 6-00:00, 3-12:15 ,0-21:30", "every 420", "at *-12:34,12:34,  5-1:02")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events table as a stream; written as a pattern, the path may be one file or a folder."""
-    schema = table(spark, sf_dir, "events").schema
-    return spark.readStream.schema(schema).parquet(f"{sf_dir}/event[s].parquet")
+def event_stream(spark: SparkSession, sf_dir: str, files: int = 3) -> DataFrame:
+    """The events table as a stream of several micro-batches.
+
+    The events are dealt over files by their id, so each file spans all times: after the first batch
+    nearly all rows are late.
+    """
+    events = table(spark, sf_dir, "events")
+    path = fresh_dir(spark, "events")
+    events.withColumn("_file", F.pmod("event_id", F.lit(files))).repartitionByRange(files, "_file").drop("_file").write.parquet(path)
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
 def k() -> Column:

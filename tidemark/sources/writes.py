@@ -12,17 +12,34 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def upsert(target: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
-    """Replace whole rows by key and add the rows that are new."""
-    kept = target.join(changes.select(*keys).distinct(), keys, "left_anti")
-    return kept.unionByName(changes)
+def _in_turn(target: DataFrame, changes: DataFrame, keys: list[str], order: list[str] | None) -> DataFrame:
+    """Held rows (turn 0) and new ones (turn 1) side by side, grouped by key: one shuffle, no join.
 
+    New rows of one key follow each other by ``order``, or by a hash of the row where none is given.
+    """
+    columns = target.columns
+    first = [F.col(c) for c in order] if order else [F.xxhash64(*columns)]
+    rows = F.struct(*columns).alias("_row")
+    nulls = target.select(*keys, rows, F.lit(0).alias("_turn"), *[F.lit(None).alias(f"_o{i}") for i in range(len(first))])
+    new = changes.select(*keys, rows, F.lit(1).alias("_turn"), *[c.alias(f"_o{i}") for i, c in enumerate(first)])
+    return nulls.unionByName(new).withColumn("_at", F.struct("_turn", *[f"_o{i}" for i in range(len(first))])).groupBy(*keys)
+
+
+def upsert(target: DataFrame, changes: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
+    """Replace whole rows by key and add the rows that are new. Of several changes of a key the last one wins."""
+    last = _in_turn(target, changes, keys, order).agg(F.max_by("_row", "_at").alias("_row"))
+    return last.select("_row.*")
 
-def insert_new(target: DataFrame, rows: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Split ``rows`` into those to insert and, for keys already taken, the rows held today."""
-    inserted = rows.join(target.select(*keys).distinct(), keys, "left_anti")
-    existing = target.join(rows.select(*keys).distinct(), keys, "left_semi")
-    return inserted, existing
+
+def insert_new(target: DataFrame, rows: DataFrame, keys: list[str], order: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Split ``rows`` into those to insert and, for keys already taken, the row that is held.
+
+    Of several new rows of a key the first is inserted; the others find it held.
+    """
+    held = _in_turn(target, rows, keys, order).agg(
+        F.min_by("_row", "_at").alias("_row"), F.min("_turn").alias("_first"), F.sum("_turn").alias("_asked")
+    )
+    return held.where("_first = 1").select("_row.*"), held.where("_asked > _first").select("_row.*")
 
 
 def delete_keys(target: DataFrame, keys_df: DataFrame, keys: list[str]) -> DataFrame:
@@ -44,12 +61,16 @@ def attach_log(log: DataFrame, parents: DataFrame, key: str = "parent_object_id"
     return log.join(parents.select(key).distinct(), key, "left_anti")
 
 
-def write_buckets(df: DataFrame, path: str, *, period: str = "timeperiod") -> None:
+def write_buckets(df: DataFrame, path: str, *, period: str = "timeperiod", recomputed: DataFrame | None = None) -> None:
     """Overwrite exactly the buckets present in ``df``; running it twice changes nothing.
 
-    The rebalance hint sizes output files and splits a bucket that holds a large share
-    of the rows over several tasks.
+    ``recomputed`` lists the buckets that were computed anew: those of them that have no rows left
+    are dropped. Their number is bounded by the calendar. The rebalance hint sizes output files and
+    splits a bucket that holds a large share of the rows over several tasks.
     """
+    emptied = []
+    if recomputed is not None:  # asked before writing: the list may come from the table itself
+        emptied = recomputed.select(period).distinct().join(df.select(period).distinct(), period, "left_anti").collect()
     (
         df.hint("rebalance", F.col(period))
         .write.mode("overwrite")
@@ -57,6 +78,19 @@ def write_buckets(df: DataFrame, path: str, *, period: str = "timeperiod") -> No
         .partitionBy(period)
         .parquet(path)
     )
+    drop_buckets(df.sparkSession, path, [r[0] for r in emptied], period=period)
+
+
+def drop_buckets(spark: SparkSession, path: str, buckets: list[str], *, period: str = "timeperiod") -> None:
+    """Remove whole buckets of a bucket table."""
+    for bucket in buckets:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{period}={bucket}")
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def read_buckets(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A bucket table with its key as text, so that ranges of buckets prune folders."""
+    return spark.read.schema(schema).parquet(path)
 
 
 def replace_table(df: DataFrame, base: str, version: str) -> str:

@@ -4,45 +4,40 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.functions import period as P
 from tidemark.functions import states as S
-from tidemark.operators.ledger import propagate_dirty, refresh_targets
-from tidemark.operators.stats import TICK, throughput
+from tidemark.operators.ledger import propagate_dirty
 from tidemark.plans.catalog import Catalog
+from tidemark.streaming import live
 
-LATENESS = "5 minutes"  # Fixed value: lateness allowed before a bucket closes.
-_WIDTH = {P.HOURLY: "1 hour", P.DAILY: "1 day"}
+LATENESS_MINUTES = 5  # Fixed value: lateness allowed before a bucket closes.
 
 
 def stream_rollup(
     stream: DataFrame,
     q: str,
-    lateness: str = LATENESS,
+    base: str,
     *,
     keys: tuple[str, ...] = ("domain",),
     measures: dict[str, Column],
     ts: str = "ts",
-) -> DataFrame:
-    """Tumbling hour or day buckets of a stream.
+) -> StreamingQuery:
+    """Calendar buckets of a stream, of any granularity; ``measures`` are counts or sums.
 
-    Written in ``update`` mode a bucket is recomputed while it is open; in ``append``
-    mode each bucket appears once, final, when the watermark has passed its end. Months
-    and years are summed from final days in batch (``rollup_periods``): a month-long
-    stream state would hold every key for a month.
+    Rows count whenever they arrive. ``live.read_live`` reads every bucket as it stands, ``read_final``
+    those that are closed.
     """
-    q = P.qualifier(q)
-    if q not in _WIDTH:
-        raise ValueError("stream buckets are hours or days; sum coarser ones from them")
-    timed = stream.withColumn("_at", F.col(ts).cast("timestamp")).withWatermark("_at", lateness)
-    return (
-        timed.groupBy(*keys, F.window("_at", _WIDTH[q]).alias("_w"))
-        .agg(*[c.alias(n) for n, c in measures.items()])
-        .select(*keys, P.to_period(q, F.col("_w.start")).alias("timeperiod"), *measures)
-    )
+    return live.write_sums(stream, base, [*map(F.col, keys), P.to_period(q, ts).alias("timeperiod")], measures, ts=ts)
+
+
+def read_final(spark: SparkSession, q: str, base: str, *, keys: tuple[str, ...] = ("domain",), lateness_minutes: int = LATENESS_MINUTES) -> DataFrame:
+    """Buckets whose end and lateness the stream has passed."""
+    end = P.shift_start_by(F.lit(P.qualifier(q)), "timeperiod", 1)
+    return live.read_final(spark, base, [*keys, "timeperiod"], end, lateness_minutes)
 
 
 def late_to_dirty(
@@ -90,21 +85,30 @@ def recompute_buckets(
     return compute(rows)
 
 
-def dedupe_requests(stream: DataFrame, keys: list[str], *, ts: str = "ts", within: str = "1 hour") -> DataFrame:
-    """Requests still waiting to be run, each delivered once within the time span."""
-    waiting = stream.where(S.is_requested("state"))
-    timed = waiting.withColumn("_at", F.col(ts).cast("timestamp")).withWatermark("_at", within)
-    return timed.dropDuplicatesWithinWatermark(keys).drop("_at")
-
-
-def stream_refresh_targets(status: DataFrame, catalog: Catalog, *, by: tuple[str, ...] = ()) -> DataFrame:
-    """Dependents to refresh, from a stream of bucket states."""
-    return refresh_targets(status, catalog, by=by)
+def deliver_requests(
+    stream: DataFrame, stored: Callable[[], DataFrame], base: str, key: str = "attempt_id"
+) -> StreamingQuery:
+    """Requests that are to run: each once, and only if the store still holds it as requested.
 
+    The state in a message may be old, so the stored one decides. What earlier batches delivered is
+    left out by id, however long ago that was; a replayed batch delivers the same rows again to its
+    own folder.
+    """
 
-def stream_throughput(
-    events: DataFrame, width: str = TICK, lateness: str = LATENESS, *, ts: str = "ts", ok: Column | str = "ok"
-) -> DataFrame:
-    """Successes and failures per tick of a stream."""
-    timed = events.withColumn("_at", F.col(ts).cast("timestamp")).withWatermark("_at", lateness)
-    return throughput(timed, width, ts="_at", ok=ok)
+    def write(batch: DataFrame, batch_id: int) -> None:
+        waiting = stored().where(S.is_requested("state")).select(key).distinct()
+        once = batch.groupBy(key).agg(F.min(F.struct(*[c for c in batch.columns if c != key])).alias("_row")).select(key, "_row.*")
+        todo = once.join(waiting, key, "left_semi")
+        if batch_id:
+            earlier = batch.sparkSession.read.parquet(f"{base}/rows").where(F.col("batch") < batch_id)
+            todo = todo.join(earlier.select(key).distinct(), key, "left_anti")
+        todo.write.mode("overwrite").parquet(f"{base}/rows/batch={batch_id}")
+
+    return live.start(stream, base, write)
+
+
+def stream_throughput(stream: DataFrame, base: str, *, ts: str = "ts", ok: Column | str = "ok") -> StreamingQuery:
+    """Successes and failures per minute of a stream; rows count whenever they arrive."""
+    passed = F.col(ok) if isinstance(ok, str) else ok
+    tick = F.concat(F.substring(P.to_period(P.REAL_TIME, ts), 1, 12), F.lit("00")).alias("tick")
+    return live.write_sums(stream, base, [tick], {"success": F.count_if(passed), "failure": F.count_if(~passed)}, ts=ts)
