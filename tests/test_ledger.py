@@ -2,6 +2,7 @@
 
 import random
 from collections import defaultdict
+from dataclasses import replace
 from datetime import datetime, timedelta
 
 import pytest
@@ -122,6 +123,17 @@ def test_next_period_without_scope(ledger, plain):
     assert out == expected
 
 
+def test_next_period_of_a_new_ledger(spark, ledger):
+    """One row, or none: every declared process has a next bucket."""
+    row = ledger.where("process_name = 'site_hourly'").limit(1)
+    now = NOW.strftime("%Y%m%d%H")
+    current = {p: coarsen(qualifier(p), now) for p in SITE_SUITE.tree_of}
+    out = {r.process_name: r.timeperiod for r in L.next_period(row, SITE_SUITE, NOW, by=BY).collect()}
+    assert out.keys() == current.keys() and all(out[p] == current[p] for p in out if p != "site_hourly")
+    out = {r.process_name: r.timeperiod for r in L.next_period(ledger.where("false").drop("site"), SITE_SUITE, NOW).collect()}
+    assert out == current
+
+
 def state_of(plain, key):
     return (plain.get(key) or (None,))[0] or S.EMBRYO
 
@@ -136,7 +148,9 @@ def test_readiness_and_gate(ledger, plain):
         ready = all(s in S.JOB_FINISHED for s in waits + kids) and mine in S.JOB_ACTIVE
         assert r.ready == ready
         blocking = SITE_SUITE.processes[p].blocking
-        if blocking == C.BLOCKING_NORMAL:
+        if mine in S.JOB_FINISHED:
+            expected = "done"
+        elif blocking == C.BLOCKING_NORMAL:
             expected = "run"
         elif blocking == C.BLOCKING_CHILDREN:
             expected = "run" if ready else "wait"
@@ -206,6 +220,10 @@ def test_propagation(spark, ledger, plain):
         assert r.action == ("none" if state_of(plain, tuple(r[:3])) == S.EMBRYO else "reprocess")
     skip = L.propagate_skip(changes, SITE_SUITE, ledger, by=BY).collect()
     assert {tuple(r[:3]) for r in skip} == {k for k in spread(plain, start, False) if k in plain}
+    unknown = spark.createDataFrame([("s0", "site_daily", "2009020300")], "site string, process_name string, timeperiod string")
+    assert {tuple(r) for r in L.propagate_skip(unknown, SITE_SUITE, ledger, by=BY).collect()} == {
+        ("s0", p, "2009020300", S.EMBRYO, "skip") for p in ("site_daily", "client_daily")
+    }
     for r in skip:
         assert r.action == ("none" if state_of(plain, tuple(r[:3])) in S.JOB_FINISHED else "skip")
     late = late_to_dirty(changes, SITE_SUITE, ledger, by=BY).select("site", "process_name", "timeperiod")
@@ -267,14 +285,22 @@ def test_triage(spark):
         attempt(3, S.IN_PROGRESS, idle_hours=1.5),
         attempt(4, S.INVALID, age_hours=49),
         attempt(5, S.REQUESTED, age_hours=48, idle_hours=1),
+        attempt(6, S.PROCESSED, age_hours=900, idle_hours=800),  # finished ones are never reopened
+        attempt(7, S.CANCELED, idle_hours=30),
+        attempt(8, S.INVALID, kind=S.FREERUN),
+        attempt(9, S.INVALID, p="retired"),
     ]
-    out = L.triage(spark.createDataFrame(rows, ATTEMPT), NOW).orderBy("attempt_id").collect()
+    out = L.triage(spark.createDataFrame(rows, ATTEMPT), SITE_SUITE, NOW).orderBy("attempt_id").collect()
     assert [(r.action, r.state, r.number_of_retries) for r in out] == [
         ("keep", S.REQUESTED, 1),
         ("resubmit", S.REQUESTED, 2),
         ("resubmit", S.REQUESTED, 1),
         ("cancel", S.CANCELED, 1),
         ("keep", S.REQUESTED, 1),
+        ("keep", S.PROCESSED, 1),
+        ("keep", S.CANCELED, 1),
+        ("keep", S.INVALID, 1),
+        ("keep", S.INVALID, 1),
     ]
     assert out[1].submitted_at == NOW
 
@@ -294,7 +320,9 @@ def test_candidates(spark):
     ]
     df = spark.createDataFrame(rows, ATTEMPT)
     assert sorted(r.attempt_id for r in L.reprocess_candidates(df, SITE_SUITE, "2010020203").collect()) == [1, 3, 5, 6]
-    assert sorted(r.attempt_id for r in L.reprocess_candidates(df, SITE_SUITE).collect()) == [1, 2, 3, 4, 5, 6, 7, 10]
+    assert sorted(r.attempt_id for r in L.reprocess_candidates(df, SITE_SUITE).collect()) == [1, 2, 3, 4, 5, 6, 7]
+    off = C.Catalog([replace(p, is_on=p.name != "site_daily") for p in SITE_SUITE.processes.values()], list(SITE_SUITE.trees.values()))
+    assert sorted(r.attempt_id for r in L.reprocess_candidates(df, off).collect()) == [1, 2, 5, 6, 7]
 
 
 def test_caps(spark):

@@ -127,12 +127,13 @@ def readiness(ledger: DataFrame, catalog: Catalog, *, by: tuple[str, ...] = ())
 
 
 def gate(ledger: DataFrame, catalog: Catalog, *, by: tuple[str, ...] = ()) -> DataFrame:
-    """Adds ``decision``: run, wait or skip, by the blocking type of the process."""
+    """Adds ``decision``: run, wait or skip, by the blocking type of the process; done where it is finished."""
     judged = _dim(readiness(ledger, catalog, by=by), catalog, "blocking_type")
     kind = F.col("blocking_type")
     waits = F.when(F.col("all_processed"), "run").when(F.col("skipped_present"), "skip").otherwise("wait")
     decision = (
-        F.when(kind == C.BLOCKING_NORMAL, "run")
+        F.when(S.is_finished(_state()), "done")
+        .when(kind == C.BLOCKING_NORMAL, "run")
         .when(kind == C.BLOCKING_CHILDREN, F.when(F.col("ready"), "run").otherwise("wait"))
         .when(kind == C.BLOCKING_DEPENDENCIES, waits)
     )
@@ -230,8 +231,14 @@ def propagate_skip(
         .withColumn("source_period", P.coarsen_period_by("source_qualifier", "timeperiod"))
     )
     hit = candidates.join(marked, [*by, "source", "source_period"], "left_semi")
+    # the marks themselves and what has the same bucket are listed even where the ledger has no row
+    same = catalog.reach_dim(ledger.sparkSession, up=False).where("source_qualifier = target_qualifier")
+    named = changes.select(*_key(by)).distinct().join(same.select("process_name", "target"), "process_name")
+    named = named.select(*by, F.col("target").alias("process_name"), "timeperiod").distinct()
+    named = named.join(ledger.select(*_key(by), "state"), _key(by), "left")
+    both = hit.select(*_key(by), "state").unionByName(named.select(*_key(by), "state"))
     action = F.when(S.is_finished(_state()), "none").otherwise("skip")
-    return hit.select(*_key(by), _state().alias("state"), action.alias("action")).distinct()
+    return both.select(*_key(by), _state().alias("state"), action.alias("action")).distinct()
 
 
 # ---- what to do next -----------------------------------------------------------------
@@ -273,7 +280,13 @@ def next_period(ledger: DataFrame, catalog: Catalog, now: datetime, *, by: tuple
     level = ["depth", "process_name", "time_qualifier", "parent_qualifier"]
     parent = P.coarsen_period_by("parent_qualifier", "timeperiod").alias("parent")
     earliest = rows.groupBy(*group, *level, parent).agg(F.min(F.when(F.col("_open"), F.col("timeperiod"))).alias("tp"))
-    trees = earliest.groupBy(*group).agg(F.collect_list(F.struct(*level, "parent", "tp")).alias("_all"))
+    # declared processes count from the start, also those without any row in a scope
+    declared = catalog.process_dim(ledger.sparkSession).select("tree_name", *level)
+    entries = F.array(*[F.struct(*[F.lit(v).cast(t).alias(c) for (c, t), v in zip(declared.dtypes, p)]) for p in catalog.level_rows()])
+    scopes = ledger.select(*by).distinct() if by else ledger.sparkSession.range(1).select()
+    none = F.lit(None).cast("string")
+    declared = scopes.select(*by, F.inline(entries)).select(*group, *level, none.alias("parent"), none.alias("tp"))
+    trees = earliest.unionByName(declared).groupBy(*group).agg(F.collect_list(F.struct(*level, "parent", "tp")).alias("_all"))
 
     depths = range(max(map(catalog.depth, catalog.tree_of)) + 1)
     for d in depths:
@@ -347,15 +360,18 @@ def settle(ledger: DataFrame, attempts: DataFrame, *, by: tuple[str, ...] = ())
     return current.withColumn("state", S.terminal_state("attempt_state", "state")).drop("attempt_state")
 
 
+def _in_hand(catalog: Catalog) -> Column:
+    """Managed attempts that are not finished, of declared processes that are switched on."""
+    on = [p.name for p in catalog.processes.values() if p.is_on]
+    return F.col("state").isin(S.IN_PROGRESS, S.INVALID, S.REQUESTED) & (F.col("unit_of_work_type") == S.MANAGED) & F.col("process_name").isin(*on)
+
+
 def reprocess_candidates(attempts: DataFrame, catalog: Catalog, since: str | None = None) -> DataFrame:
-    """Unfinished managed attempts, from the bucket that holds ``since`` in each granularity.
+    """Unfinished managed attempts of enabled processes, from the bucket that holds ``since`` in each granularity.
 
-    With a bound, attempts of undeclared processes are left out. The year bound is a
-    plain filter on the stored column, so it reaches the scan.
+    The year bound is a plain filter on the stored column, so it reaches the scan.
     """
-    open_attempts = attempts.where(
-        F.col("state").isin(S.IN_PROGRESS, S.INVALID, S.REQUESTED) & (F.col("unit_of_work_type") == S.MANAGED)
-    )
+    open_attempts = attempts.where(_in_hand(catalog))
     if since is None:
         return open_attempts
     rows = [
@@ -370,19 +386,24 @@ def reprocess_candidates(attempts: DataFrame, catalog: Catalog, since: str | Non
 
 def triage(
     attempts: DataFrame,
+    catalog: Catalog,
     now: datetime,
     *,
     life_support_hours: int = LIFE_SUPPORT_HOURS,
     resubmit_after_hours: int = RESUBMIT_AFTER_HOURS,
 ) -> DataFrame:
-    """Adds ``action`` and applies it: cancel what is too old, resubmit what is idle or invalid."""
+    """Adds ``action`` and applies it: cancel what is too old, resubmit what is idle or invalid.
+
+    Attempts that are finished, run freely or belong to a process that is unknown or off are kept as they are.
+    """
     zero = F.lit(0)
 
     def older(ts: str, hours: int) -> Column:
         return F.col(ts) < P.ntz(now) - F.make_dt_interval(zero, F.lit(hours))
 
     action = (
-        F.when(older("created_at", life_support_hours), "cancel")
+        F.when(~F.coalesce(_in_hand(catalog), F.lit(False)), "keep")
+        .when(older("created_at", life_support_hours), "cancel")
         .when(older("submitted_at", resubmit_after_hours) | S.is_invalid("state"), "resubmit")
         .otherwise("keep")
     )
@@ -547,7 +568,7 @@ def process_overview(
     """
     upcoming = next_period(ledger, catalog, now, by=by).withColumnRenamed("timeperiod", "next_timeperiod")
     stale = (
-        triage(reprocess_candidates(attempts, catalog, since), now)
+        triage(reprocess_candidates(attempts, catalog, since), catalog, now)
         .where(F.col("action") == "resubmit")
         .groupBy(*by, "process_name")
         .agg(F.array_sort(F.collect_set("timeperiod")).alias("reprocessing_queue"))

@@ -109,6 +109,14 @@ class Catalog:
         """Processes to skip along with a bucket of ``name``: descendants and dependents."""
         return self.reach(name, lambda p: [x for x in [self.child(p)] if x] + self.dependents(p))
 
+    def level_rows(self) -> list[tuple]:
+        """Tree, depth, process, granularity and parent granularity of every process in a tree."""
+        out = []
+        for name, tree in self.tree_of.items():
+            parent = self.parent(name)
+            out.append((tree.name, self.depth(name), name, self.processes[name].qualifier, self.processes[parent].qualifier if parent else None))
+        return out
+
     # ---- inline tables ----
 
     def process_dim(self, spark: SparkSession) -> DataFrame:

@@ -124,8 +124,8 @@ def _(spark, sf):
 
 @query(
     "gate",
-    f"""SELECT domain, process_name, timeperiod, blocking_type, CASE blocking_type WHEN 'blocking_normal' THEN 'run'
-        WHEN 'blocking_children' THEN CASE WHEN {_READY} THEN 'run' ELSE 'wait' END
+    f"""SELECT domain, process_name, timeperiod, blocking_type, CASE WHEN finished THEN 'done' WHEN blocking_type = 'blocking_normal' THEN 'run'
+        WHEN blocking_type = 'blocking_children' THEN CASE WHEN {_READY} THEN 'run' ELSE 'wait' END
         ELSE CASE WHEN all_processed THEN 'run' WHEN skipped_present THEN 'skip' ELSE 'wait' END END AS decision FROM judged""",
 )
 def _(spark, sf):
@@ -233,15 +233,15 @@ def _(spark, sf):
 
 _OPEN = f"open AS (SELECT *, NOT finished AND NOT ({_SKIPPABLE}) AS eligible FROM judged)"
 _NEXT = (
-    f"{_OPEN}, pairs AS (SELECT DISTINCT domain, process_name, time_qualifier, tree_name, depth, {_current('time_qualifier')} AS current FROM open),"
+    f"{_OPEN}, pairs AS (SELECT domain, process_name, time_qualifier, tree_name, depth, {_current('time_qualifier')} AS current FROM procs, (SELECT DISTINCT domain FROM ledger)),"
     "n0 AS (SELECT p.domain, p.tree_name, p.process_name, p.time_qualifier, coalesce(min(o.timeperiod) FILTER (WHERE o.eligible), any_value(p.current)) AS tp"
-    " FROM pairs p JOIN open o USING (domain, process_name) WHERE p.depth = 0 GROUP BY ALL)"
+    " FROM pairs p LEFT JOIN open o USING (domain, process_name) WHERE p.depth = 0 GROUP BY ALL)"
 )
 for _d, _above in ((1, None), (2, "_yearly"), (3, "_monthly")):
     _family = "true" if _above is None else f"{V._cast(_above, 'x.parent')} = {V._cast(_above, 'n.tp')}"
     _NEXT += (
         f", n{_d} AS (SELECT p.domain, p.tree_name, p.process_name, p.time_qualifier, coalesce(min(x.timeperiod) FILTER (WHERE x.eligible AND x.parent >= n.tp AND {_family}), any_value(p.current)) AS tp"
-        f" FROM pairs p JOIN n{_d - 1} n USING (domain, tree_name) JOIN (SELECT *, {V.cast_by('parent_qualifier', 'timeperiod')} AS parent FROM open) x"
+        f" FROM pairs p JOIN n{_d - 1} n USING (domain, tree_name) LEFT JOIN (SELECT *, {V.cast_by('parent_qualifier', 'timeperiod')} AS parent FROM open) x"
         f" ON x.domain = p.domain AND x.process_name = p.process_name WHERE p.depth = {_d} GROUP BY ALL)"
     )
 _NEXT += ", upcoming AS (" + " UNION ALL ".join(f"SELECT domain, process_name, tp FROM n{d}" for d in range(4)) + ")"
@@ -312,7 +312,8 @@ def _(spark, sf):
     return out.select("attempt_id", *_KEY, "state")
 
 
-_TRIAGE = """tri AS (SELECT *, CASE WHEN created_at < TIMESTAMP '{now}' - INTERVAL 48 HOUR THEN 'cancel'
+_TRIAGE = """tri AS (SELECT *, CASE WHEN NOT (unit_of_work_type = 'type_managed' AND state IN ('state_in_progress', 'state_invalid', 'state_requested')) THEN 'keep'
+    WHEN created_at < TIMESTAMP '{now}' - INTERVAL 48 HOUR THEN 'cancel'
     WHEN submitted_at < TIMESTAMP '{now}' - INTERVAL 1 HOUR OR state = 'state_invalid' THEN 'resubmit' ELSE 'keep' END AS action FROM {source})"""
 
 
@@ -323,7 +324,7 @@ _TRIAGE = """tri AS (SELECT *, CASE WHEN created_at < TIMESTAMP '{now}' - INTERV
         strftime(CASE WHEN action = 'resubmit' THEN TIMESTAMP '2024-01-31' ELSE submitted_at END, '%Y%m%d%H%M%S') AS submitted FROM tri""",
 )
 def _(spark, sf):
-    out = L.triage(V.attempts_of(spark, sf), V.ATTEMPT_NOW)
+    out = L.triage(V.attempts_of(spark, sf), SITE_SUITE, V.ATTEMPT_NOW)
     return out.select(
         "attempt_id", "action", "state", "number_of_retries", P.to_period(P.REAL_TIME, "submitted_at").alias("submitted")
     )

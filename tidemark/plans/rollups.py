@@ -91,6 +91,22 @@ def _(spark, sf):
     return compare.client_daily_histograms(days, V.owners(spark, sf))
 
 
+def _register_client_histograms(q: str) -> None:
+    @query(
+        f"client_hist_{q.strip('_')}",
+        f"""SELECT client_id, {V._cast(q, 'timeperiod')} AS timeperiod, family, key, CAST(sum(cnt) AS BIGINT) AS cnt
+            FROM hist JOIN owners USING (domain) GROUP BY 1, 2, 3, 4""",
+    )
+    def _(spark, sf):
+        days = rollup.rollup_histograms(_hist(spark, sf), P.DAILY)
+        clients = compare.client_daily_histograms(days, V.owners(spark, sf))
+        return rollup.rollup_histograms(clients, q)
+
+
+for _q in (P.MONTHLY, P.YEARLY):
+    _register_client_histograms(_q)
+
+
 @query(
     "owner_rejects",
     f"""SELECT domain, substr(timeperiod,1,8)||'00' AS timeperiod, {_SUMS} FROM site
@@ -182,15 +198,10 @@ def _(spark, sf):
     return rollup.rollup_levels(days, (P.DAILY, P.MONTHLY, P.YEARLY), values=("lines", "quantity"))
 
 
-@query(
-    "sum_maps",
-    """SELECT domain, 'language' AS family, language AS key, count(*) AS cnt FROM sessions WHERE language IS NOT NULL GROUP BY ALL
-       UNION ALL SELECT domain, 'country', country, count(*) FROM sessions WHERE country IS NOT NULL GROUP BY ALL""",
-)
+@query("sum_maps", "SELECT domain, family, key, CAST(sum(cnt) AS BIGINT) AS cnt FROM hist GROUP BY 1, 2, 3")
 def _(spark, sf):
     packed = rollup.pack_maps(_hist(spark, sf), ["domain", "timeperiod"])
-    maps = {"language": F.col("language"), "country": F.col("country")}
-    return rollup.sum_maps(packed, ["domain"], maps)
+    return rollup.sum_maps(packed, ["domain"], {f: F.col(f) for f in rollup.FAMILIES})
 
 
 _WEEK = """WITH days AS (SELECT domain, substr(timeperiod,1,8)||'00' AS timeperiod, sum(number_of_visits) AS v, sum(number_of_pageviews) AS p
