@@ -351,10 +351,10 @@ def test_closed_buckets(spark):
 
 
 def test_reports(spark, ledger, plain):
-    matrix = L.state_matrix(ledger, by=BY).collect()
-    periods = {k[2] for k in plain}
-    assert len(matrix) == 3 * 8 * len(periods)
-    assert sum(r.state is None for r in matrix) == len(matrix) - sum(v[0] is not None for v in plain.values())
+    matrix = {(r.site, r.process_name, r.timeperiod): r.state for r in L.state_matrix(ledger, SITE_SUITE, "2010013100", NOW, by=BY).collect()}
+    hours = [(datetime(2010, 1, 31) + timedelta(hours=h)).strftime("%Y%m%d%H") for h in range(54)]
+    assert matrix.keys() == {(s, p, coarsen(qualifier(p), h)) for s in {k[0] for k in plain} for p in SITE_SUITE.tree_of for h in hours}
+    assert all(v == (plain.get(k) or (None,))[0] for k, v in matrix.items())
     for r in L.node_details(ledger, SITE_SUITE, by=BY).collect():
         state, failures = plain[r.site, r.process_name, r.timeperiod]
         assert r.state == (state or "NA")

@@ -7,6 +7,7 @@ import pytest
 import __spark_entry__ as entry
 from tidemark.functions import period as P
 from tidemark.operators import rollup
+from tidemark.plans import load
 from tidemark.plans import views as V
 from tidemark.plans.catalog import SITE_SUITE
 from tidemark.sources import scans, writes
@@ -22,7 +23,7 @@ def physical(df):
 
 
 @needs_tables
-@pytest.mark.parametrize("name", sorted(n for n in entry.queries() if not n.startswith("stream_")))
+@pytest.mark.parametrize("name", sorted(n for n in load()[0] if not n.startswith("stream_")))
 def test_no_cross_join_and_no_python_worker(spark, name):
     plan = physical(entry.queries()[name](spark, SF))
     for node in FORBIDDEN:
@@ -58,3 +59,15 @@ def test_catalog_joins_are_planned_with_known_size(spark):
     rows = spark.range(10).selectExpr("concat('process_', id) as process_name")
     plan = physical(rows.join(SITE_SUITE.process_dim(spark), "process_name"))
     assert "BroadcastHashJoin" in plan and "LocalTableScan" in plan
+
+
+@needs_tables
+@pytest.mark.parametrize("name, column", [("scan_periods", "o_orderdate"), ("scan_keys", "o_orderdate"), ("key_bounds", "o_orderdate"), ("scan_since", "o_orderdate"), ("missed_runs", "ts")])
+def test_bucket_bounds_reach_the_files(spark, name, column):
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    try:
+        plan = physical(entry.queries()[name](spark, SF))
+    finally:
+        spark.conf.unset("spark.sql.maxMetadataStringLength")
+    pushed = [line for line in plan.splitlines() if "PushedFilters" in line and f"GreaterThanOrEqual({column}" in line]
+    assert pushed, plan

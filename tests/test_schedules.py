@@ -45,7 +45,7 @@ def test_missed_runs(spark, table):
     expected = X.expected_runs(table, "schedule", LO, HI)
     happened = sorted(brute(TEXTS[0]))[::2]
     seen = spark.createDataFrame([(0, t + timedelta(seconds=41)) for t in happened], "id int, ts timestamp_ntz")
-    missed = X.missed_runs(expected, seen, ["id"], "ts").where("id = 0").collect()
+    missed = X.missed_runs(expected, seen, ["id"], "ts", LO, HI).where("id = 0").collect()
     assert {r.expected_at for r in missed} == brute(TEXTS[0]) - set(happened)
 
 

@@ -72,6 +72,17 @@ def _parts(c: Column) -> tuple[Column, Column, Column, Column]:
     )
 
 
+def moment(period: str) -> datetime:
+    """Start of a period given as plain text."""
+    at = period.ljust(14, "0")
+    return datetime(int(at[:4]), max(int(at[4:6]), 1), max(int(at[6:8]), 1), int(at[8:10]), int(at[10:12]), int(at[12:14]))
+
+
+def at_start(c: Column | str) -> Column:
+    """Start of any period, whatever its granularity."""
+    return _at_start(_col(c))
+
+
 def _at_start(c: Column) -> Column:
     """Start of any period, whatever its granularity."""
     year, month, day, hour = _parts(c)

@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import period as P
 from tidemark.functions import states as S
+from tidemark.functions.schedule import next_trigger
+from tidemark.operators.spine import period_spine
 from tidemark.plans import catalog as C
 from tidemark.plans.catalog import Catalog
 
@@ -502,15 +504,15 @@ def jobs_by_process(ledger: DataFrame, *, by: tuple[str, ...] = ()) -> DataFrame
     return ledger.orderBy("process_name", *by, "timeperiod")
 
 
-def state_matrix(ledger: DataFrame, *, by: tuple[str, ...] = ()) -> DataFrame:
-    """Every process against every period that occurs, empty cells kept, as long rows.
+def state_matrix(ledger: DataFrame, catalog: Catalog, start: str, now: datetime, *, by: tuple[str, ...] = ()) -> DataFrame:
+    """Every declared process of each scope against its own buckets from ``start`` to ``now``, empty cells kept.
 
-    The period axis is a scalar value of one array (as many entries as the calendar has
-    buckets in the selection) that each process row unfolds.
+    The axis of a granularity comes from the calendar, generated on the row of each scope.
     """
-    axis = ledger.agg(F.array_sort(F.collect_set("timeperiod")).alias("axis")).scalar()
-    rows = ledger.select(*by, "process_name").distinct().withColumn("timeperiod", F.explode(axis))
-    return rows.join(ledger.select(*_key(by), "state"), _key(by), "left")
+    scopes = ledger.select(*by).distinct() if by else ledger.sparkSession.range(1).select()
+    cells = period_spine(scopes, catalog, start, now).select(*_key(by))
+    inside = ledger.where(F.col("timeperiod") >= f"{start[:4]}000000").select(*_key(by), "state")
+    return cells.join(inside, _key(by), "left")
 
 
 def node_details(ledger: DataFrame, catalog: Catalog, *, by: tuple[str, ...] = ()) -> DataFrame:
@@ -562,7 +564,7 @@ def process_overview(
     since: str | None = None,
     by: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Per process: next bucket, schedule, stale buckets in order, and trees that wait for it.
+    """Per process: next bucket, schedule, next trigger from ``now``, stale buckets in order, and trees that wait for it.
 
     The stale list holds distinct buckets, so its length is bounded by the calendar.
     """
@@ -576,7 +578,8 @@ def process_overview(
     rows = upcoming.join(stale, [*by, "process_name"], "left")
     rows = _dim(rows, catalog, "time_qualifier", "time_grouping", "blocking_type", "is_on", "trigger_frequency", "dependent_trees")
     none = F.array().cast("array<string>")
-    return rows.withColumn("reprocessing_queue", F.coalesce("reprocessing_queue", none))
+    trigger = F.when(F.col("is_on"), next_trigger(P.ntz(now), "trigger_frequency"))
+    return rows.withColumns({"reprocessing_queue": F.coalesce("reprocessing_queue", none), "next_trigger": trigger})
 
 
 def refresh_targets(

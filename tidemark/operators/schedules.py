@@ -77,7 +77,8 @@ def expected_runs(schedules: DataFrame, schedule: str, lo: datetime, hi: datetim
     return inside.withColumn("expected_at", F.date_trunc("minute", "expected_at").cast("timestamp_ntz")).distinct()
 
 
-def missed_runs(expected: DataFrame, actual: DataFrame, keys: list[str], ts: str) -> DataFrame:
-    """Expected runs without an event in their minute."""
-    seen = actual.select(*keys, F.date_trunc("minute", ts).cast("timestamp_ntz").alias("expected_at")).distinct()
+def missed_runs(expected: DataFrame, actual: DataFrame, keys: list[str], ts: str, lo: datetime, hi: datetime) -> DataFrame:
+    """Expected runs without an event in their minute; only events in ``[lo, hi)`` are read."""
+    inside = actual.where((F.col(ts) >= F.lit(lo)) & (F.col(ts) < F.lit(hi)))
+    seen = inside.select(*keys, F.date_trunc("minute", ts).cast("timestamp_ntz").alias("expected_at")).distinct()
     return expected.join(seen, [*keys, "expected_at"], "left_anti")

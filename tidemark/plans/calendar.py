@@ -49,8 +49,7 @@ def _(spark, sf):
        strftime(ts, '%Y%m%d00') AS day, strftime(ts, '%Y%m0000') AS month, strftime(ts, '%Y000000') AS year FROM events""",
 )
 def _(spark, sf):
-    ts = F.col("ts").cast("timestamp")
-    rows = V.table(spark, sf, "events").select("event_id", P.epoch_to_session(F.unix_micros(ts) / 1e6).alias("session"))
+    rows = V.table(spark, sf, "events").select("event_id", P.epoch_to_session(P.epoch_seconds("ts")).alias("session"))
     rows = rows.withColumn("seconds", P.session_to_epoch("session")).withColumn("hour", P.session_to_hour("session"))
     rows = rows.withColumn("day", P.hour_to_day("hour")).withColumn("month", P.day_to_month("day"))
     return rows.withColumn("year", P.month_to_year("month"))
@@ -243,7 +242,7 @@ def _(spark, sf):
         WHERE NOT EXISTS (SELECT 1 FROM ev WHERE ev.user_id = x.user_id AND date_trunc('minute', ev.ts) = x.run_at)""",
 )
 def _(spark, sf):
-    missed = schedules.missed_runs(_expected(spark, sf), V.table(spark, sf, "events"), ["user_id"], "ts")
+    missed = schedules.missed_runs(_expected(spark, sf), V.table(spark, sf, "events"), ["user_id"], "ts", _LO, _HI)
     return missed.withColumn("expected_at", F.date_format("expected_at", "yyyy-MM-dd HH:mm"))
 
 

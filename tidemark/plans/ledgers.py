@@ -432,11 +432,11 @@ def _(spark, sf):
 
 @query(
     "state_matrix",
-    """SELECT r.domain, r.process_name, c.timeperiod, l.state FROM (SELECT DISTINCT domain, process_name FROM ledger) r, (SELECT DISTINCT timeperiod FROM ledger) c
-       LEFT JOIN ledger l ON l.domain = r.domain AND l.process_name = r.process_name AND l.timeperiod = c.timeperiod""",
+    f"""WITH {_SPINE} SELECT s.domain, s.process_name, s.timeperiod, l.state FROM spine s
+        LEFT JOIN ledger l ON l.domain = s.domain AND l.process_name = s.process_name AND l.timeperiod = s.timeperiod""",
 )
 def _(spark, sf):
-    return L.state_matrix(V.ledger_table(spark, sf), by=BY)
+    return L.state_matrix(V.ledger(spark, sf), SITE_SUITE, V.SPINE_START, V.LEDGER_NOW, by=BY)
 
 
 @query(
@@ -500,20 +500,24 @@ def _(spark, sf):
     return L.reconcile_dim(*_definitions(spark, sf))[1]
 
 
+_TRIGGERS = ", ".join(f"('{n}', {SITE_SUITE.processes[n].trigger.split()[1]})" for n in SITE_SUITE.tree_of)
+
+
 @query(
     "process_overview",
     f"""WITH {_NEXT}, {_candidates(_OVERVIEW_SINCE)}, {_TRIAGE.format(source='cand', now='2024-01-20 12:30:00')}, q AS (SELECT domain, process_name, string_agg(timeperiod, ',' ORDER BY timeperiod) AS queue FROM
           (SELECT DISTINCT domain, process_name, timeperiod FROM tri WHERE action = 'resubmit') GROUP BY 1, 2)
-        SELECT u.domain, u.process_name, u.tp AS next_timeperiod, coalesce(q.queue, '') AS reprocessing_queue, p.blocking_type,
+        , trig(process_name, seconds) AS (VALUES {_TRIGGERS})
+        SELECT u.domain, u.process_name, strftime({_NOW} + to_seconds(t.seconds), '%Y%m%d%H%M%S') AS next_trigger, u.tp AS next_timeperiod, coalesce(q.queue, '') AS reprocessing_queue, p.blocking_type,
           CASE WHEN p.tree_name = 'tree_site' THEN 'tree_client' ELSE '' END AS dependent_trees
-        FROM upcoming u JOIN procs p USING (process_name) LEFT JOIN q USING (domain, process_name)""",
+        FROM upcoming u JOIN procs p USING (process_name) JOIN trig t USING (process_name) LEFT JOIN q USING (domain, process_name)""",
 )
 def _(spark, sf):
     out = L.process_overview(
         V.ledger_table(spark, sf), V.attempts_of(spark, sf), SITE_SUITE, V.LEDGER_NOW, since=_OVERVIEW_SINCE, by=BY
     )
     return out.select(
-        "domain", "process_name", "next_timeperiod", F.array_join("reprocessing_queue", ",").alias("reprocessing_queue"),
+        "domain", "process_name", P.to_period(P.REAL_TIME, "next_trigger").alias("next_trigger"), "next_timeperiod", F.array_join("reprocessing_queue", ",").alias("reprocessing_queue"),
         "blocking_type", "dependent_trees",
     )
 

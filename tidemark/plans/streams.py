@@ -165,5 +165,5 @@ def _(spark, sf):
         return per_session.groupBy("domain", "timeperiod").agg(F.sum("n").alias("hits"), F.count(F.lit(1)).alias("visits"))
 
     return buckets.recompute_buckets(
-        V.hits_of(spark, sf), dirty, compute, by=("domain",), period=P.to_period(P.DAILY, "ts")
+        V.hits_of(spark, sf), dirty, compute, by=("domain",), period=P.to_period(P.DAILY, "ts"), q=P.DAILY, ts="ts"
     )

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import period as P
 from tidemark.functions import text as T
 from tidemark.operators import rollup
+from tidemark.operators.stats import RangeJob, attempt_row
 from tidemark.plans import views as V
 from tidemark.plans.registry import query
 from tidemark.sources import envelope, scans, shared, writes
@@ -34,7 +35,7 @@ _COLS = "id, custkey, timeperiod, status, cents"
 
 @query("scan_periods", f"{_O} SELECT {_COLS} FROM o WHERE timeperiod >= '1996010100' AND timeperiod < '2000010100'")
 def _(spark, sf):
-    return scans.scan_periods(_orders(spark, sf), "1996010100", "2000010100").drop("created_at")
+    return scans.scan_periods(_orders(spark, sf), "1996010100", "2000010100", ts="created_at").drop("created_at")
 
 
 @query(
@@ -42,7 +43,7 @@ def _(spark, sf):
     f"{_O} SELECT {_COLS} FROM o WHERE id BETWEEN 100 AND 1000000000 AND timeperiod >= '1996010100' AND timeperiod < '2000010100'",
 )
 def _(spark, sf):
-    return scans.scan_keys(_orders(spark, sf), 100, 1_000_000_000, "1996010100", "2000010100").drop("created_at")
+    return scans.scan_keys(_orders(spark, sf), 100, 1_000_000_000, "1996010100", "2000010100", ts="created_at").drop("created_at")
 
 
 @query(
@@ -50,12 +51,12 @@ def _(spark, sf):
     f"{_O} SELECT min(id) AS lowest_key, max(id) AS highest_key FROM o WHERE timeperiod >= '1996010100' AND timeperiod < '2000010100'",
 )
 def _(spark, sf):
-    return scans.key_bounds(_orders(spark, sf), "1996010100", "2000010100")
+    return scans.key_bounds(_orders(spark, sf), "1996010100", "2000010100", ts="created_at")
 
 
 @query("scan_since", f"{_O} SELECT {_COLS} FROM o WHERE timeperiod >= '1998060000'")
 def _(spark, sf):
-    return scans.scan_since(_orders(spark, sf), "1998060000").drop("created_at")
+    return scans.scan_since(_orders(spark, sf), "1998060000", ts="created_at").drop("created_at")
 
 
 @query("predicate_scan", f"{_O} SELECT {_COLS} FROM o WHERE status IN ('F', 'P') AND cents >= 1000000")
@@ -92,6 +93,32 @@ def _(spark, sf):
     return scans.duplicate_keys(_orders(spark, sf), ["custkey", "timeperiod"])
 
 
+_RUNS = (("1996010100", "1998010100"), ("1998010100", "2000010100"), ("2000010100", "2002010100"))
+
+
+@query(
+    "run_statistics",
+    _O + " SELECT * FROM (" + " UNION ALL ".join(
+        f"SELECT '{a}' AS start_timeperiod, 'state_processed' AS state, count(*) AS number_of_processed_documents, "
+        f"count(DISTINCT substr(timeperiod,1,6)) AS number_of_aggregated_documents FROM o WHERE timeperiod >= '{a}' AND timeperiod < '{b}'"
+        for a, b in _RUNS
+    ) + ")",
+)
+def _(spark, sf):
+    """Three runs of a monthly sum over bucket ranges, each counting what it reads and writes."""
+    base = shared.fresh_dir(spark, "runs")
+
+    def months(rows, start, end):
+        return rows.groupBy(P.coarsen_period(P.MONTHLY, "timeperiod").alias("timeperiod")).agg(F.sum("cents").alias("cents"))
+
+    out = []
+    for start, end in _RUNS:
+        job = RangeJob(months, lambda df, start=start: df.write.parquet(f"{base}/start={start}"))
+        out.append(attempt_row(job.run(_orders(spark, sf), start, end), P.MONTHLY, start))
+    columns = "start_timeperiod string, state string, number_of_processed_documents long, number_of_aggregated_documents long"
+    return spark.createDataFrame([tuple(r[c.split()[0]] for c in columns.split(", ")) for r in out], columns)
+
+
 # ---- keyed changes -------------------------------------------------------------------
 
 

@@ -14,11 +14,29 @@ from pyspark.sql import functions as F
 from tidemark.functions import period as P
 
 
-def scan_periods(df: DataFrame, start: str, end: str, *, period: str = "timeperiod") -> DataFrame:
-    """Rows of the half-open bucket range; both bounds are mandatory."""
+def _within(start: str | None, end: str | None, period: str, ts: str | None) -> Column:
+    """Bucket bounds; on the time the bucket is derived from as well, where there is one.
+
+    A filter on a derived text can't reach the files, a literal bound on the stored time can.
+    """
+    test = F.lit(True)
+    if start is not None:
+        test = test & (F.col(period) >= start)
+        test = test if ts is None else test & (F.col(ts) >= F.lit(P.moment(start)))
+    if end is not None:
+        test = test & (F.col(period) < end)
+        test = test if ts is None else test & (F.col(ts) < F.lit(P.moment(end)))
+    return test
+
+
+def scan_periods(df: DataFrame, start: str, end: str, *, period: str = "timeperiod", ts: str | None = None) -> DataFrame:
+    """Rows of the half-open bucket range; both bounds are mandatory.
+
+    ``ts`` names the timestamp that the bucket is derived from, if it is.
+    """
     if start is None or end is None:
         raise ValueError("a bucket range needs both bounds")
-    return df.where((F.col(period) >= start) & (F.col(period) < end))
+    return df.where(_within(start, end, period, ts))
 
 
 def scan_keys(
@@ -30,15 +48,16 @@ def scan_keys(
     *,
     key: str = "id",
     period: str = "timeperiod",
+    ts: str | None = None,
 ) -> DataFrame:
     """Rows of a closed key range; with both bucket bounds, rows outside them are dropped."""
     out = df.where(F.col(key).between(lo, hi))
-    return out if start is None or end is None else scan_periods(out, start, end, period=period)
+    return out if start is None or end is None else scan_periods(out, start, end, period=period, ts=ts)
 
 
-def key_bounds(df: DataFrame, start: str, end: str, *, key: str = "id", period: str = "timeperiod") -> DataFrame:
+def key_bounds(df: DataFrame, start: str, end: str, *, key: str = "id", period: str = "timeperiod", ts: str | None = None) -> DataFrame:
     """One row with the lowest and highest key in a bucket range; fails when the range is empty."""
-    bounds = scan_periods(df, start, end, period=period).agg(
+    bounds = scan_periods(df, start, end, period=period, ts=ts).agg(
         F.min(key).alias("lowest_key"), F.max(key).alias("highest_key")
     )
     return bounds.withColumn("lowest_key", _present("lowest_key", f"no rows in [{start} : {end})"))
@@ -48,9 +67,9 @@ def _present(name: str, message: str) -> Column:
     return F.when(F.col(name).isNotNull(), F.col(name)).otherwise(F.raise_error(F.lit(message)))
 
 
-def scan_since(df: DataFrame, since: str | None, *, period: str = "timeperiod") -> DataFrame:
+def scan_since(df: DataFrame, since: str | None, *, period: str = "timeperiod", ts: str | None = None) -> DataFrame:
     """Rows at or after a bucket; all rows when no bucket is given."""
-    return df if since is None else df.where(F.col(period) >= since)
+    return df if since is None else df.where(_within(since, None, period, ts))
 
 
 def lookup(df: DataFrame, wanted: DataFrame, keys: list[str], *, strict: bool = False) -> DataFrame:

@@ -78,9 +78,19 @@ def recompute_buckets(
     *,
     by: tuple[str, ...],
     period: Column,
+    q: str | None = None,
+    ts: str | None = None,
 ) -> DataFrame:
-    """Recompute whole buckets: source rows of the dirty ones only, then the operator."""
+    """Recompute whole buckets: source rows of the dirty ones only, then the operator.
+
+    With the granularity and the time the buckets are derived from, the first and last dirty bucket
+    bound the rows that are read.
+    """
     marked = dirty.select(*by, F.col("timeperiod").alias("_bucket")).distinct()
+    if q is not None and ts is not None:
+        first = dirty.agg(P.at_start(F.min("timeperiod"))).scalar()
+        last = dirty.agg(P.shift_start_by(F.lit(P.qualifier(q)), F.max("timeperiod"), 1)).scalar()
+        source = source.where((F.col(ts) >= first) & (F.col(ts) < last))
     rows = source.withColumn("_bucket", period).join(marked, [*by, "_bucket"], "left_semi").drop("_bucket")
     return compute(rows)
 
