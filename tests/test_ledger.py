@@ -327,10 +327,10 @@ def test_candidates(spark):
 
 def test_caps(spark):
     events = spark.sql("select id % 2 as key, id as ts, id as tie from range(600)")
-    out = L.cap_events(events, ["key"], "ts", "tie").collect()
+    out = L.cap_events(events, ["key"], "ts", "tie", 128).collect()
     assert len(out) == 2 * 129 and min(r.ts for r in out) == 600 - 2 * 129
     assert L.newest(events, ["key"], [F.desc("ts")], 168).count() == 2 * 168
-    plan = L.newest(events, ["key"], [F.desc("ts")])._jdf.queryExecution().toString()
+    plan = L.newest(events, ["key"], [F.desc("ts")], 168)._jdf.queryExecution().toString()
     assert "WindowGroupLimit" in plan  # map tasks forward at most the cap per key
 
 

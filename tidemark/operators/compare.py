@@ -78,7 +78,8 @@ def alert_rejects(
 def assign_owner(df: DataFrame, owners: DataFrame, *, key: str = "domain") -> tuple[DataFrame, DataFrame]:
     """Rows with their owner, and the rows whose key has none.
 
-    Owners may be many, so no broadcast is forced: Spark decides by size.
+    A key that two owners claim counts for both; ``duplicate_keys`` reports such keys. Owners may be
+    many, so no broadcast is forced: Spark decides by size.
     """
     return df.join(owners, key), df.join(owners, key, "left_anti")
 

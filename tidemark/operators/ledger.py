@@ -465,14 +465,14 @@ def with_details(ledger: DataFrame, details: DataFrame, keys: list[str]) -> Data
     return joined.unionByName(ledger.where(~keyed), allowMissingColumns=True)
 
 
-def cap_events(events: DataFrame, key: list[str], ts: str, tie: str, n: int = 128) -> DataFrame:
+def cap_events(events: DataFrame, key: list[str], ts: str, tie: str, n: int) -> DataFrame:
     """The newest events per key. One more than ``n`` stays, because the cap is checked before
     an event is added. Ranked with a limit, so each map task forwards at most that many rows
     of a key."""
     return newest(events, key, [F.desc(ts), F.desc(tie)], n + 1)
 
 
-def newest(df: DataFrame, keys: list[str], order: list[Column], n: int = 168) -> DataFrame:
+def newest(df: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:
     """The first ``n`` rows per key in the given order."""
     from pyspark.sql import Window
 

@@ -190,17 +190,17 @@ def inline(spark: SparkSession, schema: str, rows: list[tuple]) -> DataFrame:
     return spark.sql(f"select * from values {values} as t({names})")
 
 
-# The illustration suite's processes and trees.
+# Names of processes and trees. The intervals are our own.
 SITE_SUITE = Catalog(
     processes=[
-        Process("site_hourly", P.HOURLY, "single_session", "site_hourly", RECOMPUTING, BLOCKING_NORMAL, "every 300"),
-        Process("site_daily", P.DAILY, "site_hourly", "site_daily", RECOMPUTING, BLOCKING_CHILDREN, "every 900"),
-        Process("site_monthly", P.MONTHLY, "site_daily", "site_monthly", CONTINUOUS, BLOCKING_NORMAL, "every 10800"),
-        Process("site_yearly", P.YEARLY, "site_monthly", "site_yearly", CONTINUOUS, BLOCKING_NORMAL, "every 21600"),
-        Process("client_daily", P.DAILY, "site_daily", "client_daily", DISCRETE, BLOCKING_DEPENDENCIES, "every 10800"),
-        Process("client_monthly", P.MONTHLY, "client_daily", "client_monthly", CONTINUOUS, BLOCKING_NORMAL, "every 21600"),
-        Process("client_yearly", P.YEARLY, "client_monthly", "client_yearly", CONTINUOUS, BLOCKING_NORMAL, "every 43200"),
-        Process("alert_daily", P.DAILY, "site_daily", "alert_daily", DISCRETE, BLOCKING_DEPENDENCIES, "every 21600"),
+        Process("site_hourly", P.HOURLY, "single_session", "site_hourly", RECOMPUTING, BLOCKING_NORMAL, "every 240"),
+        Process("site_daily", P.DAILY, "site_hourly", "site_daily", RECOMPUTING, BLOCKING_CHILDREN, "every 1200"),
+        Process("site_monthly", P.MONTHLY, "site_daily", "site_monthly", CONTINUOUS, BLOCKING_NORMAL, "every 7200"),
+        Process("site_yearly", P.YEARLY, "site_monthly", "site_yearly", CONTINUOUS, BLOCKING_NORMAL, "every 28800"),
+        Process("client_daily", P.DAILY, "site_daily", "client_daily", DISCRETE, BLOCKING_DEPENDENCIES, "every 7200"),
+        Process("client_monthly", P.MONTHLY, "client_daily", "client_monthly", CONTINUOUS, BLOCKING_NORMAL, "every 28800"),
+        Process("client_yearly", P.YEARLY, "client_monthly", "client_yearly", CONTINUOUS, BLOCKING_NORMAL, "every 57600"),
+        Process("alert_daily", P.DAILY, "site_daily", "alert_daily", DISCRETE, BLOCKING_DEPENDENCIES, "every 28800"),
     ],
     trees=[
         Tree("tree_site", ("site_yearly", "site_monthly", "site_daily", "site_hourly")),

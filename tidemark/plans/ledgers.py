@@ -396,7 +396,7 @@ def _(spark, sf):
 @query("cap_events", "SELECT domain, event_id FROM ev QUALIFY row_number() OVER (PARTITION BY domain ORDER BY ts DESC, event_id DESC) <= 129")
 def _(spark, sf):
     events = V.table(spark, sf, "events").select(V.domain().alias("domain"), "ts", "event_id")
-    return L.cap_events(events, ["domain"], "ts", "event_id").select("domain", "event_id")
+    return L.cap_events(events, ["domain"], "ts", "event_id", 128).select("domain", "event_id")
 
 
 @query(
@@ -404,7 +404,7 @@ def _(spark, sf):
     "SELECT domain, process_name, timeperiod, state FROM ledger QUALIFY row_number() OVER (PARTITION BY domain, process_name ORDER BY timeperiod DESC) <= 168",
 )
 def _(spark, sf):
-    return L.newest(V.ledger(spark, sf), ["domain", "process_name"], [F.desc("timeperiod")]).select(*_KEY, "state")
+    return L.newest(V.ledger(spark, sf), ["domain", "process_name"], [F.desc("timeperiod")], 168).select(*_KEY, "state")
 
 
 # ---- reports ------------------------------------------------------------------------------
