@@ -234,9 +234,12 @@ def propagate_skip(
     )
     hit = candidates.join(marked, [*by, "source", "source_period"], "left_semi")
     # the marks themselves and what has the same bucket are listed even where the ledger has no row
-    same = catalog.reach_dim(ledger.sparkSession, up=False).where("source_qualifier = target_qualifier")
-    named = changes.select(*_key(by)).distinct().join(same.select("process_name", "target"), "process_name")
-    named = named.select(*by, F.col("target").alias("process_name"), "timeperiod").distinct()
+    same = F.array().cast("array<string>")
+    for name in catalog.tree_of:
+        q = catalog.processes[name].qualifier
+        targets = [t for t in catalog.reach_down(name) if catalog.processes[t].qualifier == q]
+        same = F.when(F.col("process_name") == name, F.array(*map(F.lit, targets))).otherwise(same)
+    named = changes.select(*_key(by)).distinct().select(*by, F.explode(same).alias("process_name"), "timeperiod").distinct()
     named = named.join(ledger.select(*_key(by), "state"), _key(by), "left")
     both = hit.select(*_key(by), "state").unionByName(named.select(*_key(by), "state"))
     action = F.when(S.is_finished(_state()), "none").otherwise("skip")
