@@ -59,6 +59,13 @@ def test_mix_keeps_columns_and_odd_rows(documents):
     assert taken["é"] == 0 or taken["é"] <= 6
 
 
+def test_a_long_plan_is_joined_in_parts(documents, monkeypatch):
+    sized = documents.select("doc_id", "source", mixing.n_words().alias("size"))
+    whole = sorted(map(str, mixing.repeats(sized, mixing.plan_mix(sized)).collect()))
+    monkeypatch.setattr(mixing, "MAX_SOURCES", 0)
+    assert sorted(map(str, mixing.repeats(sized, mixing.plan_mix(sized)).collect())) == whole
+
+
 def test_empty_table(nothing):
     assert mixing.mix_sources(nothing).count() == 0
 

@@ -13,6 +13,8 @@ from tidemark.llm.common import WORD, table, text_of, written
 MAX_EPOCHS = 3
 WEIGHTS = (1, 2, 3)
 SLICE_DIGITS = 3  # hex digits of the order key that deal a source into slices
+MAX_SOURCES = 100_000  # rows of a plan that may be broadcast; a longer one is joined in salted parts
+SALTS = 64
 
 
 def n_words(column: str = "text") -> Column:
@@ -95,18 +97,30 @@ def plan_mix(
         .groupBy("skey")
         .agg(F.max(F.concat("slice", F.lit("~"))).alias("last_full"))
     )
-    return targets.join(taken, "skey", "left").join(full, "skey", "left").select(
+    plan = targets.join(taken, "skey", "left").join(full, "skey", "left").select(
         "skey", "source_size", "weight", "target", "whole", "rest", F.greatest("last_okey", "last_full").alias("last_okey")
     )
+    return written(plan, "plan")
 
 
 def repeats(docs: DataFrame, plan: DataFrame, seed: int = 0) -> DataFrame:
-    """``docs`` with ``source_size``, ``target`` and ``times``, the number of copies to take."""
+    """``docs`` with ``source_size``, ``target`` and ``times``, the number of copies to take.
+
+    The plan has a row per source. Up to ``MAX_SOURCES`` rows it is broadcast, so that no text travels;
+    a longer plan is dealt out ``SALTS`` times, so that a source with many documents is split.
+    """
     fraction = (F.col("rest") > 0) & F.coalesce(order_key(seed) <= F.col("last_okey"), F.lit(False))
-    added = plan.select("skey", "source_size", "target", "whole", "rest", "last_okey")
+    added = plan.select(F.col("skey").alias("__skey"), "source_size", "target", "whole", "rest", "last_okey")
+    keyed = docs.withColumn("skey", _source_key())
+    same = F.col("skey") == F.col("__skey")
+    if plan.count() <= MAX_SOURCES:
+        joined = keyed.join(F.broadcast(added), same, "left")
+    else:
+        salted = added.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        part = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)) == F.col("__salt")
+        joined = keyed.join(salted, same & part, "left").drop("__salt")
     return (
-        docs.withColumn("skey", _source_key())
-        .join(added, "skey", "left")
+        joined.drop("__skey")
         .withColumn("times", F.col("whole") + F.when(fraction, 1).otherwise(0))
         .drop("skey", "whole", "rest", "last_okey")
     )
