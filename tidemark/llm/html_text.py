@@ -267,9 +267,11 @@ def fit(pages: list[str], layouts: int = LAYOUTS, seed: int = 7) -> Model:
 
 def train(pages: DataFrame, n_pages: int = SAMPLE_PAGES) -> Model:
     """Fits on at most ``n_pages`` pages, by hash of their id, of ``SAMPLE_CHARS`` characters at most."""
-    some = pages.where(F.length("html") <= SAMPLE_CHARS).select("page_id", "html")
-    rows = some.orderBy(F.xxhash64("page_id"), "page_id", F.xxhash64("html")).limit(n_pages).collect()
-    return fit([r["html"] for r in rows])
+    hashed = pages.where(F.length("html") <= SAMPLE_CHARS).select("html", F.xxhash64("page_id").alias("at"), F.xxhash64("html").alias("of"))
+    # only hashes are ranked; the html of the few that are drawn is fetched by them
+    drawn = hashed.select("at", "of").distinct().orderBy("at", "of").limit(n_pages)
+    rows = hashed.join(F.broadcast(drawn), ["at", "of"]).groupBy("at", "of").agg(F.first("html").alias("html")).collect()
+    return fit([r["html"] for r in sorted(rows, key=lambda r: (r["at"], r["of"]))])
 
 
 def main_text(pages: DataFrame, model: Model | None = None) -> DataFrame:
