@@ -16,6 +16,7 @@ from tidemark.llm.simhash import keep_first
 from tidemark.llm.suffix_dedup import remove_repeated_bytes
 from tidemark.llm.toxicity import drop_toxic
 
+PASSAGE_WORDS = 51  # a passage of over 50 words that stands elsewhere too goes, however short its words
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without documents that score as toxic."""
@@ -28,12 +29,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the bytes of long strings that stand elsewhere too; all documents stay.
+    """Texts without passages of over 50 words, or long strings, that stand elsewhere too; all documents stay.
 
+    A passage is judged by its words, since 51 of them may have anything from 101 bytes up; strings of
+    400 bytes go as in ``op3_suffix_dedup``, also where they hold fewer words.
     Where a cut falls inside a character, what is left of that character goes as well. ``n_chars``
     follows the text; a null text stays null.
     """
-    cleaned = remove_repeated_bytes(docs, as_text=True)
+    cleaned = remove_repeated_bytes(docs, as_text=True, words=PASSAGE_WORDS)
     text = F.when(F.col("row.text").isNotNull(), F.col("removal.kept"))
     out = cleaned.select(*[text.alias("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out

@@ -1,3 +1,6 @@
+import random
+from collections import Counter
+
 import corpus_pipeline as P
 import __spark_entry__ as entry
 
@@ -42,3 +45,27 @@ def test_each_decision_takes_effect(spark):
     leaks = {r["doc_id"] for r in contained_items(cut, P.table(spark, SF, "benchmark")).collect()}
     left = {r["doc_id"] for r in P.decontamination(spark, cut, SF).collect()}
     assert left == set(before) - leaks
+
+
+def test_passages_of_over_50_words_go(spark):
+    """Planted passages of 40 to 70 short words, against brute force; none reaches 400 bytes."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(1, 6)))
+    rows = []
+    for n in [*range(40, 51), *range(51, 71)]:
+        passage = [word() for _ in range(n)]
+        for space in (" ", "\n"):
+            lead, tail = ([f"{word()}{len(rows)}x{i}" for i in range(20)] for _ in range(2))
+            rows.append((len(rows), space.join([*lead, *passage, *tail]), "en", "s", 0))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    seen = Counter(tuple(t.split()[i : i + 51]) for _, t, *_ in rows for i in range(len(t.split()) - 50))
+    want = {}
+    for d, text, *_ in rows:
+        words = text.split()
+        gone = {k for i in range(len(words) - 50) if seen[tuple(words[i : i + 51])] > 1 for k in range(i, i + 51)}
+        want[d] = [w for k, w in enumerate(words) if k not in gone]
+    got = {r["doc_id"]: r for r in P.repeated_passages(spark, docs, SF).collect()}
+    assert {d: r["text"].split() for d, r in got.items()} == want
+    assert {len(w) for d, w in want.items() if d >= 22} == {40}
+    assert all(got[d]["text"] == rows[d][1] for d in range(22))
+    assert all(r["n_chars"] == len(r["text"]) for r in got.values())

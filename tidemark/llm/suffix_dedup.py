@@ -1,11 +1,14 @@
 """Suffix-array dedup: every byte of a long string that stands anywhere else is removed.
 
+On request so is every passage of so many words that does, however few bytes it has.
+
 Common prefixes come from breadth-first backward extension on a Burrows-Wheeler transform, by
 increasing value, and the search stops at the least length that counts.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Sequence
 
 import numpy as np
@@ -13,8 +16,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm import grams as G
+from tidemark.llm import window_dedup as W
 from tidemark.llm.common import table
-from tidemark.llm.passages import Unit, byte_runs, covered, doc_keys, marked_runs
+from tidemark.llm.passages import Unit, byte_runs, covered, doc_keys, marked_runs, word_runs
 
 LENGTH = 400  # bytes
 _PACK = 7  # symbols of nine bits in a number
@@ -130,13 +135,28 @@ def byte_unit(length: int) -> Unit:
     return Unit(length, byte_runs, _contents, _windows, repeated_strings, True)
 
 
-def _remover(length: int, as_text: bool):
+def repeated_windows(rows: Sequence[tuple[bytes, int, int]], window: int) -> list[np.ndarray]:
+    """For each packed string, which of its windows of words also start elsewhere in the strings."""
+    found = [W._windows(r[0], window) for r in rows]
+    seen = Counter(w for windows in found for w in windows)
+    return [np.array([seen[w] > 1 for w in windows], bool) for windows in found]
+
+
+def passage_unit(words: int) -> Unit:
+    return Unit(words, word_runs, W._contents, W._windows, repeated_windows, True)
+
+
+def _remover(length: int, as_text: bool, words: int | None):
     @F.pandas_udf(f"kept {'string' if as_text else 'binary'}, n_bytes long, n_removed long, n_spans long")
-    def remove(texts: pd.Series, places: pd.Series) -> pd.DataFrame:
+    def remove(texts: pd.Series, places: pd.Series, passages: pd.Series) -> pd.DataFrame:
         out = []
-        for text, marks in zip(texts, places):
+        for text, marks, word_marks in zip(texts, places, passages):
             data = text.encode("utf-8", "surrogatepass")
             spans = covered(marks, length, len(data))
+            if word_marks is not None and len(word_marks):
+                _, starts, ends = G.word_hashes(data)
+                found = covered(word_marks, words, len(starts))
+                spans = _joined(np.concatenate((spans, np.stack([starts[found[:, 0]], ends[found[:, 1] - 1]], 1))))
             kept, at = [], 0
             for a, b in spans.tolist():
                 kept.append(data[at:a])
@@ -149,7 +169,19 @@ def _remover(length: int, as_text: bool):
     return remove
 
 
-def remove_repeated_bytes(docs: DataFrame, length: int = LENGTH, as_text: bool = False) -> DataFrame:
+def _joined(spans: np.ndarray) -> np.ndarray:
+    """Spans in order, those that overlap or touch as one."""
+    spans = spans[np.argsort(spans[:, 0], kind="stable")]
+    end = np.maximum.accumulate(spans[:, 1])
+    gap = np.append(True, spans[1:, 0] > end[:-1])
+    return np.stack([spans[gap, 0], end[np.append(np.flatnonzero(gap)[1:] - 1, len(end) - 1)]], 1)
+
+
+def _marks(docs: DataFrame, unit: Unit, name: str, places: str) -> DataFrame:
+    return marked_runs(docs, unit, name).withColumnsRenamed({"places": places, "doc": f"{places}_doc", "th": f"{places}_th"})
+
+
+def remove_repeated_bytes(docs: DataFrame, length: int = LENGTH, as_text: bool = False, words: int | None = None) -> DataFrame:
     """``docs`` as ``row``, with ``removal``: what is kept, and the numbers of bytes and removed runs.
 
     What is kept is bytes, or with ``as_text`` text, in which a character that was cut is left out.
@@ -157,14 +189,18 @@ def remove_repeated_bytes(docs: DataFrame, length: int = LENGTH, as_text: bool =
     A byte goes if a string of ``length`` bytes that covers it starts at another place too, in any
     text including its own; overlapping places count, and all is judged on the input. A string never
     crosses from one text into another. Null text is empty, texts shorter than ``length`` stay whole.
+    With ``words``, a run of so many words that starts at another place too goes as well, whatever its
+    bytes and the white space between them; the white space around it stays.
     Repeated rows are texts of their own, so long ones go altogether; rows with one id, or none, are
     told apart by a check of their text. All given columns stay, also ones named like the results.
     """
-    marks = marked_runs(docs, byte_unit(length), "suffix").withColumnRenamed("places", "__places")
-    marks = marks.withColumnsRenamed({"doc": "__doc", "th": "__th"})
     keyed = doc_keys(docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).select("row", "row.doc_id", "row.text"))
-    joined = keyed.join(marks, (F.col("doc") == F.col("__doc")) & (F.col("th") == F.col("__th")), "left")
-    return joined.select("row", _remover(length, as_text)(F.coalesce("text", F.lit("")), F.col("__places")).alias("removal"))
+    units = {"__bytes": (byte_unit(length), "suffix")} | ({"__words": (passage_unit(words), "passages")} if words else {})
+    for places, (unit, name) in units.items():
+        marks = _marks(docs, unit, name, places)
+        keyed = keyed.join(marks, (F.col("doc") == F.col(f"{places}_doc")) & (F.col("th") == F.col(f"{places}_th")), "left")
+    passages = F.col("__words") if words else F.lit(None).cast("array<long>")
+    return keyed.select("row", _remover(length, as_text, words)(F.coalesce("text", F.lit("")), F.col("__bytes"), passages).alias("removal"))
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
