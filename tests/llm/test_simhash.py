@@ -101,3 +101,52 @@ def test_similar_documents_and_one_of_each(spark, documents, nothing):
     assert S.keep_first(nothing).count() == 0 and S.near_duplicates(nothing).count() == 0
     found = {r["doc_id"]: r["component_id"] for r in S.near_duplicates(documents).where("doc_id is not null").collect()}
     assert found[1] == found[2] == found[3] == 1 and found[7] == 5
+
+
+def shingles_of(text):
+    words = text.lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(len(words) - 4, 1))} if words else set()
+
+
+def similar_by_brute_force(texts, similarity=0.8):
+    sets = [shingles_of(t) for t in texts]
+    root = list(range(len(texts)))
+    for j in range(len(texts)):
+        for i in range(j):
+            if len(sets[i] & sets[j]) / max(len(sets[i] | sets[j]), 1) >= similarity or not sets[i] | sets[j]:
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    return root
+
+
+@pytest.mark.parametrize("tile", [S.TILE, 40])
+def test_only_texts_of_the_similarity_are_linked(spark, monkeypatch, tile):
+    """Pairs at 0.6 to 0.95 and a group of many around 0.7, also in tiles, against exact similarities."""
+    monkeypatch.setattr(S.similar_links, "__defaults__", (tile,))
+    rng = random.Random(9)
+    words = lambda n: [f"{rng.choice('abcdef')}{rng.randrange(4000)}" for _ in range(n)]
+    texts = []
+    for changed in range(8, 72, 2):
+        base = words(300)
+        at = rng.randrange(300 - changed)
+        texts += [" ".join(base), " ".join(base[:at] + words(changed) + base[at + changed :])]
+    base = words(300)
+    for changed in [5] * 20 + [34] * 130:  # with few changes all alike, with more none is
+        at = rng.randrange(300 - changed)
+        texts.append(" ".join(base[:at] + words(changed) + base[at + changed :]))
+    for _ in range(20):
+        base = words(9)
+        texts += [" ".join(base), " ".join(base[:8])]  # four shingles of five
+    want = similar_by_brute_force(texts)
+    got = {r["doc_id"]: r["component_id"] for r in S.similar_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+    pairs = [want[i] == want[i + 1] for i in range(0, 64, 2)]
+    assert True in pairs and False in pairs and 20 < len(set(want[64:214])) < 150
+
+
+def test_links_of_a_large_group_are_each_checked():
+    """Members all within the radius, but alike only by parity."""
+    values = np.zeros((200, 1), np.uint64)
+    for n in (200, 50):  # as a tile, and in steps
+        a, b = S.group_links(np.zeros(n, np.int64), values[:n], 4, alike=lambda x, y: (x - y) % 2 == 0)
+        assert sorted(a.tolist()) == list(range(2, n)) and (b == a % 2).all()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -27,7 +27,7 @@ NO_ID = (1 << 63) - 1
 SIMILAR = 0.8  # share of common shingles of five words
 SIMILAR_SHINGLE = 5
 WORDS = 8  # of a wide fingerprint, 64 bits each
-MARGIN = 2.5  # standard deviations of the distance at that similarity
+MARGIN = 6  # standard deviations of the distance at that similarity; what is a candidate is checked exactly
 BANDS, ROWS = 16, 4  # least hashes that bring documents of that similarity together: all but one in 5000
 
 
@@ -149,10 +149,25 @@ def _union(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             label = label[label]
 
 
-def group_links(group: np.ndarray, values: np.ndarray, radius: int, small: int = 64) -> tuple[np.ndarray, np.ndarray]:
+Alike = Callable[[int, int], bool]
+
+
+def _union_alike(label: np.ndarray, a: np.ndarray, b: np.ndarray, alike: Alike, base: int = 0) -> np.ndarray:
+    """As ``_union``, but a pair joins only if it is alike. Pairs that are joined already needn't be checked."""
+    apart = label[a] != label[b]
+    for x, y in zip(a[apart].tolist(), b[apart].tolist()):
+        p, q = label[x], label[y]
+        if p != q and alike(x + base, y + base):
+            low, high = min(p, q), max(p, q)
+            label[label == high] = low
+    return label
+
+
+def group_links(group: np.ndarray, values: np.ndarray, radius: int, small: int = 64, alike: Alike | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Links (by place) that join what lies within the radius inside each group; ``group`` is sorted.
 
-    ``values`` are n x words. There is at most one link a member.
+    ``values`` are n x words. There is at most one link a member. With ``alike`` a pair within the radius
+    counts only if that says so of its places; every pair is asked for, but for those joined by others.
     """
     label = np.arange(len(values))
     starts = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
@@ -160,7 +175,7 @@ def group_links(group: np.ndarray, values: np.ndarray, radius: int, small: int =
     for s, size in zip(starts[sizes > small].tolist(), sizes[sizes > small].tolist()):
         own = np.arange(size)
         for i, j in tile_within(values[s : s + size], radius):
-            own = _union(own, i, j)
+            own = _union(own, i, j) if alike is None else _union_alike(own, i, j, alike, s)
         label[s : s + size] = own + s
     size_of = np.repeat(sizes, sizes)
     at = np.flatnonzero((size_of > 1) & (size_of <= small))
@@ -171,6 +186,9 @@ def group_links(group: np.ndarray, values: np.ndarray, radius: int, small: int =
         for k in range(0, len(at), 1 << 18):
             some = at[k : k + (1 << 18)]
             near = some[pairs_within(values[some], values[some + step], radius)]
+            if alike is not None:
+                apart = near[label[near] != label[near + step]]
+                near = apart[np.array([alike(x, x + step) for x in apart.tolist()], bool)]
             label = _union(label, near, near + step)
         step += 1
     moved = np.flatnonzero(label != np.arange(len(label)))
@@ -180,7 +198,35 @@ def group_links(group: np.ndarray, values: np.ndarray, radius: int, small: int =
 _LINK = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def _linker(radius: int, at_once: int = 1 << 16):
+def shingle_set(text: bytes, size: int = SIMILAR_SHINGLE) -> np.ndarray:
+    """Hashes of the distinct shingles of a text, in order. A text of fewer words is one shingle."""
+    h, _, _ = G.word_hashes(text.lower())
+    return np.unique(G.gram_hashes(h, min(size, len(h)))) if len(h) else np.empty(0, np.uint64)
+
+
+def jaccard_reaches(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Whether two sets, each in order, share so much of their union."""
+    if len(a) > len(b):
+        a, b = b, a
+    if not len(a) or len(a) / len(b) < similarity:
+        return not len(b)
+    shared = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+    return shared / (len(a) + len(b) - shared) >= similarity
+
+
+def _alike(ids: np.ndarray, texts: pa.ChunkedArray, similarity: float) -> Alike:
+    sets: dict[int, np.ndarray] = {}
+
+    def of(place: int) -> np.ndarray:
+        fp = int(ids[place])
+        if fp not in sets:
+            sets[fp] = shingle_set(texts[place].as_py())
+        return sets[fp]
+
+    return lambda x, y: jaccard_reaches(of(x), of(y), similarity)
+
+
+def _linker(radius: int, similarity: float | None = None, at_once: int = 1 << 16, at_most: int = 1 << 24):
     def links(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(parts)
         keys = [t[c].to_numpy() for c in ("t", "key", "i", "j")]
@@ -191,7 +237,8 @@ def _linker(radius: int, at_once: int = 1 << 16):
         values = ids.reshape(-1, 1).view(np.uint64)
         if "bits" in t.column_names:
             values = np.frombuffer(b"".join(t["bits"].to_pylist()), np.uint64).reshape(len(ids), -1)
-        a, b = group_links(np.cumsum(change), values, radius)
+        alike = _alike(ids, t["text"].cast(pa.binary()), similarity) if similarity is not None else None
+        a, b = group_links(np.cumsum(change), values, radius, alike=alike)
         return pa.RecordBatch.from_arrays([pa.array(ids[x]) for x in (a, b)], schema=_LINK)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,7 +252,8 @@ def _linker(radius: int, at_once: int = 1 << 16):
                 v = batch[c].to_numpy()
                 same &= v == v[-1]
             cut = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
-            if cut and sum(b.num_rows for b in held) + cut >= at_once:
+            whole = sum(b.num_rows for b in held) + cut >= at_once or sum(b.nbytes for b in [*held, batch]) >= at_most
+            if cut and whole:
                 yield links([*held, batch.slice(0, cut)])
                 held = [batch.slice(cut)]
             else:
@@ -235,30 +283,50 @@ def _long(mask: int) -> int:
     return mask - (1 << 64) if mask >> 63 else mask
 
 
-def bucket_links(keyed: DataFrame, radius: int, bits: DataFrame | None = None, tile: int = TILE) -> DataFrame:
-    """Links ``a, b`` whose components are those of all pairs within ``radius`` bits in one bucket.
-
-    ``keyed`` has ``t, key, fp``: the buckets of each distinct ``fp``, which is the fingerprint itself or
-    has it in ``bits`` (``fp, bits``). Buckets of one are dropped before anything more travels. A bucket
-    above ``tile`` is dealt out: its members fall into tiles by hash and each pair of tiles is a task's
-    group, so it is compared whole, by many tasks. A group yields a link a member at most, never all pairs.
-    """
-    sizes = keyed.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+def _dealt(keyed: DataFrame, tile: int, once: bool = False) -> DataFrame:
+    """``t, key, i, j, fp``: members of buckets by pairs of tiles. With ``once``, of buckets with the same members only one."""
+    members = [F.bit_xor(F.xxhash64("fp")).alias("m1"), F.bit_xor(F.xxhash64("fp", F.lit(1))).alias("m2")] if once else []
+    sizes = keyed.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n"), *members).where("n > 1")
+    if once:
+        sizes = sizes.groupBy("n", "m1", "m2").agg(F.min(F.struct("t", "key")).alias("one")).select("one.*", "n")
     sizes = sizes.select("t", "key", F.ceil(F.col("n") / tile).cast("int").alias("tiles"))
     met = keyed.join(sizes, ["t", "key"]).withColumn("tile", F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int"))
     dealt = met.select("t", "key", "fp", "tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
-    dealt = dealt.select("t", "key", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "fp")
-    if bits is not None:
-        dealt = dealt.join(bits, "fp")
+    return dealt.select("t", "key", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "fp")
+
+
+def _tile_links(dealt: DataFrame, radius: int, similarity: float | None = None) -> DataFrame:
     ordered = dealt.repartition("t", "key", "i", "j").sortWithinPartitions("t", "key", "i", "j", "fp")
-    return ordered.mapInArrow(_linker(radius), "a long, b long")
+    return ordered.mapInArrow(_linker(radius, similarity), "a long, b long")
+
+
+def bucket_links(keyed: DataFrame, radius: int, tile: int = TILE) -> DataFrame:
+    """Links ``a, b`` whose components are those of all pairs within ``radius`` bits in one bucket.
+
+    ``keyed`` has ``t, key, fp``: the buckets of each distinct ``fp``, which is the fingerprint itself.
+    Buckets of one are dropped before anything more travels. A bucket above ``tile`` is dealt out: its
+    members fall into tiles by hash and each pair of tiles is a task's group, so it is compared whole, by
+    many tasks. A group yields a link a member at most, never all pairs.
+    """
+    return _tile_links(_dealt(keyed, tile), radius)
+
+
+def similar_links(keyed: DataFrame, texts: Callable[[DataFrame], DataFrame], radius: int, similarity: float, tile: int = TILE) -> DataFrame:
+    """As ``bucket_links``, but a pair within the radius links only if the texts' shingles are so similar.
+
+    ``texts`` gives ``fp, bits, text`` of the ``fp`` asked for. Copies of a text meet in many bands, so of
+    buckets with the same members one is compared. Texts are compared in the task of their bucket, pair by
+    pair, without the pairs that others have joined already.
+    """
+    dealt = written(_dealt(keyed, tile, once=True), "dealt")
+    return _tile_links(dealt.join(texts(dealt.select("fp").distinct()), "fp"), radius, similarity)
 
 
 def fingerprint_links(values: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
     """Links of all pairs of distinct ``fp`` within ``radius`` bits, by buckets of shared blocks of bits."""
     masks = block_masks(values.count(), radius)
     keyed = values.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(_long(m))) for m in masks])).alias("t", "key"))
-    return bucket_links(keyed, radius, None, tile)
+    return bucket_links(keyed, radius, tile)
 
 
 def _grouped(marked: DataFrame, values: DataFrame, links: DataFrame, name: str) -> DataFrame:
@@ -294,9 +362,7 @@ def radius_for(similarity: float, n_bits: int, margin: float = MARGIN) -> int:
 
 def sketch(text: str, size: int = SIMILAR_SHINGLE, words: int = WORDS, bands: int = BANDS, rows: int = ROWS) -> tuple[bytes, list[int]]:
     """A wide fingerprint of the set of shingles, and a key for each band of their least hashes."""
-    joined = text.encode("utf-8", "surrogatepass").lower()
-    h, _, _ = G.word_hashes(joined)
-    shingles = np.unique(G.gram_hashes(h, min(size, len(h)))) if len(h) else np.empty(0, np.uint64)
+    shingles = shingle_set(text.encode("utf-8", "surrogatepass"), size)
     counts = np.zeros(64 * words, np.int64)
     least = np.full(bands * rows, 0xFFFFFFFFFFFFFFFF, np.uint64)
     seeds = np.arange(1, words + bands * rows + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C16) + np.uint64(1)
@@ -320,17 +386,25 @@ def sketches(texts: pd.Series) -> pd.DataFrame:
 def similar_documents(docs: DataFrame, similarity: float = SIMILAR) -> DataFrame:
     """As ``near_duplicates``, for texts that share so much of their shingles of five words.
 
-    64 bits can't tell such a similarity, so fingerprints have ``64 * WORDS`` bits, and the radius is the
-    distance at the similarity plus ``MARGIN`` standard deviations: it reaches down to texts that are a
-    little less similar, and misses one in a hundred at the border itself. Candidates come from bands of
-    least shingle hashes. Texts with equal shingles are one value; wordless texts are equal to each other.
+    64 bits can't tell such a similarity, so fingerprints have ``64 * WORDS`` bits. They only find
+    candidates, in bands of least shingle hashes, within a radius that is the distance at the similarity
+    plus ``MARGIN`` standard deviations. A link stands if the shingle sets of both texts (by 64-bit hash)
+    reach the similarity exactly, which is checked before components are formed; components still chain
+    links. Texts with equal sketches are one value from the start; wordless texts are equal to each other.
     """
     text = F.coalesce("text", F.lit(""))
     marked = docs.select("doc_id", F.xxhash64(text).alias("th"), sketches(text).alias("s"))
     marked = written(marked.select("doc_id", "th", F.xxhash64("s.bits", "s.keys").alias("fp"), "s.bits", "s.keys"), "sketches")
-    values = written(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.first("bits").alias("bits"), F.first("keys").alias("keys")), "values")
+    by_fp = marked.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.min(F.struct("doc_id", "th")).alias("of"), F.first("bits").alias("bits"), F.first("keys").alias("keys"))
+    values = written(by_fp, "values")
     keyed = values.select("fp", F.posexplode("keys").alias("t", "key"))
-    links = bucket_links(keyed, radius_for(similarity, 64 * WORDS), values.select("fp", "bits"))
+    given = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), F.xxhash64(text).alias("th"), text.alias("text"))
+
+    def texts(asked: DataFrame) -> DataFrame:
+        wanted = values.join(asked, "fp", "left_semi").select("fp", "bits", F.coalesce("of.doc_id", F.lit(NO_ID)).alias("doc"), F.col("of.th").alias("th"))
+        return given.join(wanted, ["doc", "th"]).select("fp", "bits", "text").dropDuplicates(["fp"])  # rows held twice
+
+    links = similar_links(keyed, texts, radius_for(similarity, 64 * WORDS), similarity)
     return _grouped(marked.select("doc_id", "th", "fp"), values.select("fp", "first_id"), links, "similar")
 
 
