@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from tidemark.llm import decontaminate as D
 
 
@@ -46,3 +48,12 @@ def test_drop_keeps_columns_and_clean_rows(spark, documents, nothing):
     assert left == sorted([1, 2, 3, 4, 4, 8, 10, 11, None, None], key=str)
     assert D.drop_contaminated(nothing, items).count() == 0
     assert D.drop_contaminated(documents, items.where("false")).count() == documents.count()
+
+
+def test_items_of_few_shingles_are_never_missed():
+    """Every document of 300 shingles that holds an item of one shingle has it as a candidate."""
+    rng = np.random.default_rng(5)
+    items = D.Items([(i, f"a{i} b{i} c{i} d{i} e{i}") for i in range(400)], 5)
+    for i in range(400):
+        grams = np.append(rng.integers(0, 2**64, 299, dtype=np.uint64), items.hashes[i])
+        assert D.candidates(items, grams, items.hashes[i], 5) == [i]

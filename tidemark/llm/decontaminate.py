@@ -16,6 +16,7 @@ SHINGLE = 5  # words
 THRESHOLD = 0.8
 BLOCK_WORDS = 2_000_000  # words of benchmark items that are sent to the tasks at a time
 BINS_PER_SHINGLE = 8
+FEW_SHINGLES = 4  # items of so few are candidates wherever a document shares one, whatever its bins
 
 # letters of ASCII in lower case, digits and all bytes beyond ASCII stay; the rest parts words
 _PLAIN = bytes(b if b >= 0x80 or chr(b).isalnum() else 0x20 for b in range(256))
@@ -79,7 +80,8 @@ def candidates(items: Items, grams: np.ndarray, near: np.ndarray, length: int) -
 
     ``grams`` are all shingle hashes of the document, ``near`` those that items may have too. The
     bins grow with the document's size partition, so that a short item inside it still shows: each
-    shared shingle is the least of its bin with a probability of 0.94 or more.
+    shared shingle is the least of its bin with a probability of 0.94 or more. An item of few shingles
+    could still be missed by that, so it is a candidate as soon as one is shared.
     """
     known = items.sorted[np.searchsorted(items.sorted, near) % max(len(items.sorted), 1)] == near
     near = np.unique(near[known])
@@ -87,13 +89,15 @@ def candidates(items: Items, grams: np.ndarray, near: np.ndarray, length: int) -
         return []
     unique = np.unique(grams)
     bins = bins_for(len(unique))
-    near = near[np.isin(near, bin_minima(unique, bins))]
+    least = np.isin(near, bin_minima(unique, bins))
     first, last = np.searchsorted(items.sorted, near), np.searchsorted(items.sorted, near, "right")
     found = set()
-    for h, a, b in zip(near, first.tolist(), last.tolist()):
+    for h, is_least, a, b in zip(near, least.tolist(), first.tolist(), last.tolist()):
         for at in range(a, b):
             i = int(items.owner[at])
-            if items.length[at] == length and i not in found and h in bin_minima(items.hashes[i], bins):
+            if items.length[at] != length or i in found:
+                continue
+            if len(items.hashes[i]) <= FEW_SHINGLES or is_least and h in bin_minima(items.hashes[i], bins):
                 found.add(i)
     return sorted(found)
 
