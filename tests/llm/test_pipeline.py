@@ -5,12 +5,12 @@ import corpus_pipeline as P
 import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
-NAMES = {f"op{n}_" for n in range(1, 11)}
+NAMES = {f"op{n}_" for n in range(1, 14)}
 
 
 def test_every_operator_has_one_query():
     names = [n for n in entry.queries() if n.startswith("op")]
-    assert {n[: n.index("_") + 1] for n in names} == NAMES and len(names) == 10
+    assert {n[: n.index("_") + 1] for n in names} == NAMES and len(names) == 13
     assert "pipeline" in entry.queries()
 
 

@@ -8,7 +8,7 @@ from tidemark.llm.common import on_workers
 
 _MODULES = (
     "mixing", "chat", "suffix_dedup", "decontaminate", "quality", "html_text", "simhash", "toxicity", "window_dedup", "urls",
-    "line_dedup", "filter_audit",
+    "line_dedup", "filter_audit", "importance",
 )
 
 
