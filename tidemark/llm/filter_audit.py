@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from itertools import permutations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,11 +23,13 @@ FILTERS = {
 }
 REPEATED = "E"
 LETTERS = "".join(FILTERS) + REPEATED
+AT_ONCE = 256  # texts of an Arrow batch that are copied together
 
 
 @F.arrow_udf(T.StructType([T.StructField(c, T.LongType()) for c in COLUMNS]))
 def _figures(texts: pa.Array) -> pa.Array:
-    found = text_figures(texts.cast(pa.binary()).to_pylist())
+    data = texts.cast(pa.binary())
+    found = np.concatenate([text_figures(data.slice(i, AT_ONCE).to_pylist()) for i in range(0, max(len(data), 1), AT_ONCE)])
     return pa.StructArray.from_arrays([pa.array(found[:, k]) for k in range(len(COLUMNS))], list(COLUMNS))
 
 
