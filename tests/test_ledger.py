@@ -367,3 +367,145 @@ def test_inline_tables(spark):
     out = C.inline(spark, "a string, n int, b boolean", rows)
     assert [tuple(r) for r in out.collect()] == rows
     assert C.inline(spark, "a string, n int", []).count() == 0
+
+
+# ---- ledgers with gaps, over a calendar that crosses months and years ----------------------
+
+START, CLOCK = "2009123105", datetime(2010, 2, 3, 7, 20)
+
+
+def make_gappy(seed):
+    """Random rows for part of the calendar from START to CLOCK, and a few beyond either end."""
+    rng = random.Random(seed)
+    hours = [datetime(2009, 12, 31, 5) + timedelta(hours=h) for h in range(int((CLOCK - datetime(2009, 12, 31, 5)).total_seconds() // 3600) + 1)]
+    states = [S.EMBRYO, S.IN_PROGRESS, S.PROCESSED, S.SKIPPED, S.NOOP, None]
+    rows, calendar = {}, {p: sorted({coarsen(qualifier(p), h.strftime("%Y%m%d%H")) for h in hours}) for p in SITE_SUITE.tree_of}
+    for site, (held, weights) in enumerate([(1, [0, 0, 1, 0, 0, 0]), (0.999, [0, 0, 9, 1, 9, 0]), (0.9, [1, 1, 40, 40, 40, 1]), (0.2, [1, 1, 9, 9, 9, 1]), (1, [0, 0, 0, 1, 0, 0]), (0.997, [0, 0, 0, 1, 0, 0])]):
+        for p, periods in calendar.items():
+            beyond = {P.HOURLY: ["2009123104", "2010020309"], P.DAILY: ["2009123000", "2010020500"], P.MONTHLY: ["2010030000"], P.YEARLY: ["2011000000"]}[qualifier(p)]
+            for tp in periods + rng.sample(beyond, rng.randrange(len(beyond) + 1)):
+                if rng.random() < held:
+                    state = rng.choices(states, weights)[0]
+                    rows[f"s{site}", p, tp] = (state, None if state is None else rng.choice([0, 0, 4]))
+    return rows, calendar
+
+
+@pytest.fixture(scope="module", params=[4, 5])
+def gappy(request):
+    return make_gappy(request.param)
+
+
+@pytest.fixture(scope="module")
+def gappy_ledger(spark, gappy):
+    return spark.createDataFrame([(*k, *v) for k, v in gappy[0].items()], COLUMNS)
+
+
+def all_children(rows, calendar, site, p, tp):
+    """States of every child that has a row or that the calendar has; None for one without a row."""
+    child = SITE_SUITE.child(p)
+    if not child:
+        return {}
+    held = {t: rows[s, c, t] for s, c, t in rows if (s, c) == (site, child) and coarsen(qualifier(p), t) == tp}
+    return {t: (None, None) for t in calendar[child] if coarsen(qualifier(p), t) == tp} | held
+
+
+def worth_skipping(rows, calendar, site, p, tp):
+    state, failures = rows[site, p, tp]
+    if state is None:
+        return False
+    if state in S.JOB_FINISHED:
+        return True
+    if SITE_SUITE.child(p) is None:
+        return failures > 3
+    return all(s is not None and (f > 3 or s == S.SKIPPED) for s, f in all_children(rows, calendar, site, p, tp).values())
+
+
+SPAN = (START, CLOCK)
+
+
+def test_gaps_keep_parents_open(gappy_ledger, gappy):
+    rows, calendar = gappy
+    out = {tuple(r[:3]): r for r in L.readiness(gappy_ledger, SITE_SUITE, by=BY, span=SPAN).select("site", "process_name", "timeperiod", "children_finished", "ready").collect()}
+    assert out.keys() == rows.keys()
+    for (site, p, tp), r in out.items():
+        kids = [s or S.EMBRYO for s, _ in all_children(rows, calendar, site, p, tp).values()]
+        assert r.children_finished == all(s in S.JOB_FINISHED for s in kids)
+        waits = [state_of(rows, (site, d, tp)) for d in SITE_SUITE.dependencies(p)]
+        assert r.ready == (r.children_finished and all(s in S.JOB_FINISHED for s in waits) and state_of(rows, (site, p, tp)) in S.JOB_ACTIVE)
+    skip = L.should_skip(gappy_ledger, SITE_SUITE, by=BY, span=SPAN).select("site", "process_name", "timeperiod", "skippable")
+    assert {tuple(r[:3]): r[3] for r in skip.collect()} == {k: worth_skipping(rows, calendar, *k) for k in rows}
+    details = L.node_details(gappy_ledger, SITE_SUITE, by=BY, span=SPAN).collect()
+    for r in details:
+        kids = all_children(rows, calendar, r.site, r.process_name, r.timeperiod)
+        assert r.number_of_children == len(kids)
+        assert [(c.timeperiod, c.state) for c in r.children or []] == [(t, kids[t][0] or "NA") for t in sorted(kids)]
+
+
+def test_gaps_come_next(gappy_ledger, gappy):
+    rows, calendar = gappy
+    expected = {}
+    for site in {k[0] for k in rows}:
+        for tree in SITE_SUITE.trees.values():
+            chosen = None
+            for p in SITE_SUITE.levels(tree):
+                parent = SITE_SUITE.parent(p)
+                grand = parent and SITE_SUITE.parent(parent)
+                found = []
+                for tp in set(calendar[p]) | {t for s, name, t in rows if (s, name) == (site, p)}:
+                    if parent:
+                        above = coarsen(qualifier(parent), tp)
+                        if above < chosen or grand and coarsen(qualifier(grand), above) != coarsen(qualifier(grand), chosen):
+                            continue
+                    state, _ = rows.get((site, p, tp), (None, None))
+                    if state is None or state in S.JOB_ACTIVE and not worth_skipping(rows, calendar, site, p, tp):
+                        found.append(tp)
+                chosen = min(found, default=coarsen(qualifier(p), CLOCK.strftime("%Y%m%d%H")))
+                expected[site, p] = chosen
+    out = L.next_period(gappy_ledger, SITE_SUITE, CLOCK, by=BY, start=START)
+    assert {(r.site, r.process_name): r.timeperiod for r in out.collect()} == expected
+
+
+def test_gaps_are_audited(gappy_ledger, gappy):
+    rows, calendar = gappy
+    expected = set()
+    following = {P.DAILY: lambda t: (datetime.strptime(t, "%Y%m%d00") + timedelta(days=1)).strftime("%Y%m%d00"),
+                 P.MONTHLY: lambda t: f"{int(t[:4]) + int(t[4:6]) // 12}{int(t[4:6]) % 12 + 1:02d}0000", P.YEARLY: lambda t: f"{int(t[:4]) + 1}000000"}
+    for site, p, tp in rows:
+        kids = [s or S.EMBRYO for s, _ in all_children(rows, calendar, site, p, tp).values()]
+        if not kids:
+            continue
+        mine, parent, after = state_of(rows, (site, p, tp)), SITE_SUITE.parent(p), following[qualifier(p)](tp)
+        younger = ((site, p, after) in rows or after in calendar[p]) and (not parent or coarsen(qualifier(parent), after) == coarsen(qualifier(parent), tp))
+        if mine in S.JOB_FINISHED and any(s in S.JOB_ACTIVE for s in kids):
+            expected.add((site, p, tp, "reprocess"))
+        elif all(s == S.SKIPPED for s in kids) and younger and mine != S.SKIPPED:
+            expected.add((site, p, tp, "skip"))
+    out = L.audit(gappy_ledger, SITE_SUITE, by=BY, span=SPAN).select("site", "process_name", "timeperiod", "action")
+    assert {tuple(r) for r in out.collect()} == expected and len(expected) > 3
+
+
+def test_an_empty_span_expects_nothing(gappy_ledger):
+    early = datetime(2009, 12, 30)
+    plain = L.should_skip(gappy_ledger, SITE_SUITE, by=BY).select("site", "process_name", "timeperiod", "skippable")
+    spanned = L.should_skip(gappy_ledger, SITE_SUITE, by=BY, span=(START, early)).select("site", "process_name", "timeperiod", "skippable")
+    assert plain.exceptAll(spanned).count() == 0
+
+
+def test_running_numbers(spark):
+    periods = [("_hourly", "2012022923"), ("_hourly", "1969123123"), ("_daily", "2012022900"), ("_monthly", "2011120000"), ("_yearly", "2012000000")]
+    df = spark.createDataFrame(periods, "q string, tp string")
+    out = df.select("q", "tp", P.period_number_by("q", "tp").alias("n")).select("q", "tp", "n", P.numbered_period_by("q", F.col("n")).alias("back")).collect()
+    assert [(r.q, r.back) for r in out] == periods
+    assert [r.n for r in out] == [P.moment_number(q, P.moment(tp)) for q, tp in periods]
+
+
+def test_event_log_and_wide_matrix(spark, ledger, plain):
+    log = spark.sql("select 's0' as site, 'site_daily' as process_name, '2010013100' as timeperiod, timestamp_ntz'2010-01-31 00:00:00' + make_dt_interval(0, 0, id) as logged_at, concat('m', id) as message from range(300)")
+    out = {tuple(r[:3]): r.event_log for r in L.node_details(ledger, SITE_SUITE, by=BY, events=log).select("site", "process_name", "timeperiod", "event_log").collect()}
+    assert [e.message for e in out.pop(("s0", "site_daily", "2010013100"))] == [f"m{i}" for i in range(299, 170, -1)]
+    assert set(map(tuple, out.values())) == {()}
+    wide = L.state_matrix_wide(ledger, SITE_SUITE, "daily", "2010013000", NOW, by=BY)
+    assert wide.columns == ["site", "process_name", "2010013000", "2010013100", "2010020100", "2010020200"]
+    got = {(r.site, r.process_name): r for r in wide.collect()}
+    assert got.keys() == {(f"s{i}", p) for i in range(3) for p in ("site_daily", "client_daily", "alert_daily")}
+    assert all(r[tp] == (plain.get((*k, tp)) or (None,))[0] for k, r in got.items() for tp in wide.columns[2:])

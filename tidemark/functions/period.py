@@ -12,6 +12,7 @@ Years are assumed to have four digits.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
@@ -299,6 +300,63 @@ def ntz(moment: datetime) -> Column:
     return F.lit(moment.isoformat(sep=" ")).cast("timestamp_ntz")
 
 
+# ---- running numbers -----------------------------------------------------------
+
+
+def moment_number(q: str, at: datetime) -> int:
+    """Running number of the period of ``q`` that holds a moment."""
+    q = _calendar(q)
+    if q == HOURLY:
+        return int((at - datetime(1970, 1, 1)).total_seconds() // 3600)
+    if q == DAILY:
+        return (at - datetime(1970, 1, 1)).days
+    return at.year * 12 + at.month - 1 if q == MONTHLY else at.year
+
+
+def period_number(q: str, c: Column | str) -> Column:
+    """Running number of the period of ``q`` that starts with a period of the same or a coarser granularity."""
+    q = _calendar(q)
+    year, month, day, hour = _parts(_col(c))
+    if q in (HOURLY, DAILY):
+        days = F.unix_date(F.make_date(year, month, day))
+        return days * 24 + hour if q == HOURLY else days
+    return year * 12 + month - 1 if q == MONTHLY else year
+
+
+def period_number_by(q: Column | str, c: Column | str) -> Column:
+    """``period_number`` with the granularity taken from a column."""
+    return _by(_col(q), lambda name: period_number(name, c))
+
+
+def numbered_period(q: str, n: Column) -> Column:
+    """Period with a running number."""
+    q, n = _calendar(q), n.cast("int")
+    if q == HOURLY:
+        return to_period(q, _epoch() + F.make_dt_interval(F.lit(0), n))
+    if q == DAILY:
+        return to_period(q, F.date_from_unix_date(n))
+    if q == MONTHLY:
+        return shift_period(q, F.lit("0000010000"), n)
+    return F.concat(n.cast("string"), F.lit("000000"))
+
+
+def numbered_period_by(q: Column | str, n: Column) -> Column:
+    """``numbered_period`` with the granularity taken from a column."""
+    return _by(_col(q), lambda name: numbered_period(name, n))
+
+
+def _by(q: Column, of: Callable[[str], Column]) -> Column:
+    out = F.when(q == HOURLY, of(HOURLY))
+    for name in (DAILY, MONTHLY, YEARLY):
+        out = out.when(q == name, of(name))
+    return out
+
+
+def child_numbers(parent: str, child: str, c: Column | str) -> tuple[Column, Column]:
+    """Running numbers of the first and the last ``child`` period inside a period of ``parent``."""
+    return period_number(child, c), period_number(child, shift_period(parent, c, 1)) - 1
+
+
 def split_period(c: Column | str) -> Column:
     """Struct of year, month, day and hour as text; the period must have ten digits."""
     c = _col(c)

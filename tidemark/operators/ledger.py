@@ -12,7 +12,6 @@ join, no collected history.
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
@@ -21,7 +20,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import period as P
 from tidemark.functions import states as S
 from tidemark.functions.schedule import next_trigger
-from tidemark.operators.spine import period_spine
+from tidemark.operators.spine import Span, expected_children, in_span, level_bounds, period_spine
 from tidemark.plans import catalog as C
 from tidemark.plans.catalog import Catalog
 
@@ -29,6 +28,7 @@ MAX_FAILURES = 3  # Fixed value: a bucket that failed more often is given up.
 LIFE_SUPPORT_HOURS = 48  # Fixed value: an attempt older than this is cancelled.
 RESUBMIT_AFTER_HOURS = 1  # Fixed value: an attempt idle longer than this is sent again.
 LAG_MINUTES = 5  # Fixed value: lateness allowed before a bucket closes.
+MAX_EVENTS = 128  # Fixed value: entries of an event log at which no more are kept.
 
 
 def _key(by: tuple[str, ...]) -> list[str]:
@@ -47,33 +47,120 @@ def _dim(ledger: DataFrame, catalog: Catalog, *columns: str) -> DataFrame:
 
 
 # ---- children and dependencies -----------------------------------------------------
+#
+# ``span`` is the first period of all trees and the clock. Buckets between them exist by the
+# calendar, so one without a row counts as in the initial state. How many children a bucket
+# should have follows from its period alone and is compared with the number of those that
+# have a row: no missing bucket is ever built.
 
 
-def children_summary(ledger: DataFrame, catalog: Catalog, *, by: tuple[str, ...] = ()) -> DataFrame:
-    """What a parent bucket needs to know of its children; a parent without any is absent."""
-    child = _dim(ledger, catalog, "parent_process", "parent_qualifier").where(F.col("parent_process").isNotNull())
-    known = F.col("state").isNotNull()
+def _relations(ledger: DataFrame, catalog: Catalog, by: tuple[str, ...], span: Span | None, waits: bool = True) -> DataFrame:
+    """What each bucket hears from its children and from the buckets it waits for.
+
+    Every row sends its state to its parent and to those that wait for it, and the messages are
+    summed per receiver: one scan and one shuffle that combines on the map side, no self-join.
+    """
+    rows = []
+    for name in catalog.tree_of:
+        parent = catalog.parent(name)
+        rows.append((name, parent, catalog.processes[parent].qualifier if parent else None, ",".join(catalog.dependents(name))))
+    dim = C.inline(ledger.sparkSession, "process_name string, _parent string, _parent_q string, _heard_by string", rows)
+    sent = ledger.select(*_key(by), "state", "number_of_failures").join(dim, "process_name")
+    inside = in_span(catalog, span) if span else F.lit(True)
+    up = F.struct(F.col("_parent").alias("to"), P.coarsen_period_by("_parent_q", "timeperiod").alias("at"), F.lit(True).alias("child"))
+    across = F.transform(F.split("_heard_by", ","), lambda d: F.struct(d.alias("to"), F.col("timeperiod").alias("at"), F.lit(False).alias("child")))
+    messages = F.concat(F.array(up), across) if waits else F.array(up)
+    each = sent.withColumn("_inside", inside).withColumn("_m", F.explode(F.filter(messages, lambda m: F.coalesce(m["to"] != "", F.lit(False)))))
+    child, wait = F.col("_m.child"), ~F.col("_m.child")
+    state = _state()
+    done = state.isin(S.PROCESSED, S.NOOP)
     given_up = (F.col("number_of_failures") > MAX_FAILURES) | S.is_skipped("state")
-    parent_period = P.coarsen_period_by("parent_qualifier", "timeperiod")
-    return child.groupBy(*by, F.col("parent_process").alias("process_name"), parent_period.alias("timeperiod")).agg(
-        F.count(F.lit(1)).alias("number_of_children"),
-        F.bool_and(S.is_finished(_state())).alias("children_finished"),
-        F.bool_or(S.is_active(_state())).alias("child_active"),
-        F.bool_and(S.is_skipped(_state())).alias("children_skipped"),
-        F.bool_and(known & F.coalesce(given_up, F.lit(False))).alias("children_spoiled"),
+    spoiled = F.col("state").isNotNull() & F.coalesce(given_up, F.lit(False))
+    return each.groupBy(*by, F.col("_m.to").alias("process_name"), F.col("_m.at").alias("timeperiod")).agg(
+        F.count_if(child).alias("number_of_children"),
+        F.count_if(child & F.col("_inside")).alias("_in_span"),
+        F.bool_and(F.when(child, S.is_finished(state))).alias("children_finished"),
+        F.bool_or(F.when(child, S.is_active(state))).alias("child_active"),
+        F.bool_and(F.when(child, S.is_skipped(state))).alias("children_skipped"),
+        F.bool_and(F.when(child, spoiled)).alias("children_spoiled"),
+        F.count_if(wait).alias("_heard"),
+        F.bool_and(F.when(wait, S.is_finished(state))).alias("all_finished"),
+        F.bool_and(F.when(wait, done)).alias("all_processed"),
+        F.bool_or(F.when(wait, S.is_skipped(state))).alias("skipped_present"),
     )
 
 
+_CHILDREN = ("number_of_children", "children_finished", "child_active", "children_skipped", "children_spoiled")
+_WAITS = ("all_finished", "all_processed", "skipped_present")
+
+
+def _completed(rows: DataFrame, catalog: Catalog, span: Span | None) -> DataFrame:
+    """Sums of ``_relations`` with the children that the calendar expects but that have no row."""
+    seen = F.coalesce("_in_span", F.lit(0))
+    absent = F.greatest(expected_children(catalog, span) - seen, F.lit(0)) if span else F.lit(0)
+    rows = rows.withColumn("_absent", absent)
+    none_absent = F.col("_absent") == 0
+    number = F.coalesce("number_of_children", F.lit(0)) + F.col("_absent")
+    some = number > 0
+    filled = {
+        "number_of_children": F.when(some, number.cast("bigint")),
+        "children_finished": F.when(some, F.coalesce("children_finished", F.lit(True)) & none_absent),
+        "child_active": F.when(some, F.coalesce("child_active", F.lit(False)) | ~none_absent),
+        "children_skipped": F.when(some, F.coalesce("children_skipped", F.lit(True)) & none_absent),
+        "children_spoiled": F.when(some, F.coalesce("children_spoiled", F.lit(True)) & none_absent),
+    }
+    return rows.withColumns(filled)
+
+
+def children_summary(ledger: DataFrame, catalog: Catalog, *, by: tuple[str, ...] = (), span: Span | None = None) -> DataFrame:
+    """What a parent bucket needs to know of its children; a parent of which none has a row is absent."""
+    summed = _relations(ledger, catalog, by, span, waits=False)
+    return _completed(summed, catalog, span).select(*_key(by), *_CHILDREN)
+
+
+def _judged(ledger: DataFrame, catalog: Catalog, by: tuple[str, ...], span: Span | None, *, waits: bool = True) -> DataFrame:
+    """Ledger rows with what they hear; a column is null where a bucket has no children, or waits for nothing."""
+    given = [c for c in ledger.columns if c not in (*_CHILDREN, *_WAITS)]
+    heard = _relations(ledger, catalog, by, span, waits)
+    joined = _completed(ledger.select(*given).join(heard, _key(by), "left"), catalog, span)
+    if not waits:
+        return joined.select(*given, *_CHILDREN)
+    asked = F.lit(0)
+    for name in catalog.tree_of:
+        if catalog.dependencies(name):
+            asked = F.when(F.col("process_name") == name, len(catalog.dependencies(name))).otherwise(asked)
+    # a bucket that is waited for and has no row is in the initial state
+    silent = asked > F.coalesce("_heard", F.lit(0))
+    filled = {c: F.coalesce(c, F.lit(True)) & ~silent for c in ("all_finished", "all_processed")}
+    return joined.withColumns(filled).select(*given, *_CHILDREN, *_WAITS)
+
+
 def counterparts(ledger: DataFrame, catalog: Catalog, *, by: tuple[str, ...] = ()) -> DataFrame:
     """The same bucket in each tree a row waits for, with its state.
 
-    A tree without that granularity is no dependency; an absent row is in the initial state.
+    A tree without that granularity is no dependency; an absent row is in the initial state. Rows send
+    their state to those that wait for them, and to themselves as a sign that they exist; a receiver
+    hears from as many as its process declares, so what is gathered per bucket is bounded by the catalog.
     """
-    pairs = catalog.dependency_dim(ledger.sparkSession)
-    waiting = ledger.select(*_key(by)).join(pairs, "process_name")
-    other = ledger.select(*by, F.col("process_name").alias("depends_on"), "timeperiod", "state")
-    joined = waiting.join(other, [*by, "depends_on", "timeperiod"], "left")
-    return joined.select(*_key(by), "depends_on", "depends_on_tree", _state().alias("depends_on_state"))
+    spark = ledger.sparkSession
+    rows = [(name, ",".join(catalog.dependents(name)), bool(catalog.dependencies(name))) for name in catalog.tree_of]
+    dim = C.inline(spark, "process_name string, _heard_by string, _waits boolean", rows)
+    none = F.lit(None).cast("string")
+    message = lambda to, source, state: F.struct(to.alias("to"), source.alias("source"), state.alias("state"))
+    me = F.when(F.col("_waits"), F.array(message(F.col("process_name"), none, none)))
+    across = F.transform(F.filter(F.split("_heard_by", ","), lambda d: d != ""), lambda d: message(d, F.col("process_name"), _state()))
+    each = ledger.select(*_key(by), "state").join(dim, "process_name").select(
+        *by, "timeperiod", F.inline(F.concat(F.coalesce(me, F.array().cast(_MESSAGES)), across))
+    )
+    heard = each.groupBy(*by, F.col("to").alias("process_name"), "timeperiod").agg(
+        F.bool_or(F.col("source").isNull()).alias("_exists"), F.collect_list(F.when(F.col("source").isNotNull(), F.struct("source", "state"))).alias("_heard")
+    )
+    asked = heard.where("_exists").join(catalog.dependency_dim(spark), "process_name")
+    state = F.get(F.filter("_heard", lambda h: h["source"] == F.col("depends_on")), F.lit(0))["state"]
+    return asked.select(*_key(by), "depends_on", "depends_on_tree", F.coalesce(state, F.lit(S.EMBRYO)).alias("depends_on_state"))
+
+
+_MESSAGES = "array<struct<to:string,source:string,state:string>>"
 
 
 def dependents(ledger: DataFrame, catalog: Catalog, *, by: tuple[str, ...] = ()) -> DataFrame:
@@ -111,26 +198,20 @@ def dependency_summary(ledger: DataFrame, catalog: Catalog, *, by: tuple[str, ..
     )
 
 
-def readiness(ledger: DataFrame, catalog: Catalog, *, by: tuple[str, ...] = ()) -> DataFrame:
+def readiness(ledger: DataFrame, catalog: Catalog, *, by: tuple[str, ...] = (), span: Span | None = None) -> DataFrame:
     """Adds what blocks each row, and ``ready``: dependencies and children finished, row active."""
-    children = children_summary(ledger, catalog, by=by).select(*_key(by), "children_finished")
-    waits = dependency_summary(ledger, catalog, by=by).select(
-        *_key(by), "all_finished", "all_processed", "skipped_present"
-    )
     yes, no = F.lit(True), F.lit(False)
-    joined = ledger.join(children, _key(by), "left").join(waits, _key(by), "left")
+    judged = _judged(ledger, catalog, by, span).drop(*[c for c in _CHILDREN if c != "children_finished"])
     return (
-        joined.withColumn("children_finished", F.coalesce("children_finished", yes))
-        .withColumn("all_finished", F.coalesce("all_finished", yes))
-        .withColumn("all_processed", F.coalesce("all_processed", yes))
+        judged.withColumn("children_finished", F.coalesce("children_finished", yes))
         .withColumn("skipped_present", F.coalesce("skipped_present", no))
         .withColumn("ready", F.col("all_finished") & F.col("children_finished") & S.is_active(_state()))
     )
 
 
-def gate(ledger: DataFrame, catalog: Catalog, *, by: tuple[str, ...] = ()) -> DataFrame:
+def gate(ledger: DataFrame, catalog: Catalog, *, by: tuple[str, ...] = (), span: Span | None = None) -> DataFrame:
     """Adds ``decision``: run, wait or skip, by the blocking type of the process; done where it is finished."""
-    judged = _dim(readiness(ledger, catalog, by=by), catalog, "blocking_type")
+    judged = _dim(readiness(ledger, catalog, by=by, span=span), catalog, "blocking_type")
     kind = F.col("blocking_type")
     waits = F.when(F.col("all_processed"), "run").when(F.col("skipped_present"), "skip").otherwise("wait")
     decision = (
@@ -145,6 +226,10 @@ def gate(ledger: DataFrame, catalog: Catalog, *, by: tuple[str, ...] = ()) -> Da
 # ---- bucket time ---------------------------------------------------------------------
 
 
+def _span(start: str | None, now: datetime) -> Span | None:
+    return (start, now) if start else None
+
+
 def is_closed(q: Column | str, c: Column | str, now: datetime, lag_minutes: int = LAG_MINUTES) -> Column:
     """True once a bucket's end plus the allowed lateness has passed."""
     granularity = F.lit(q) if isinstance(q, str) and q in P.RANK else q
@@ -161,9 +246,14 @@ def closed_buckets(ledger: DataFrame, catalog: Catalog, now: datetime, lag_minut
     )
 
 
-def bucket_status(ledger: DataFrame, catalog: Catalog, now: datetime, *, by: tuple[str, ...] = ()) -> DataFrame:
-    """Adds ``status``: done, open (current or not ready), ready (past, one final run), future."""
-    judged = _dim(readiness(ledger, catalog, by=by), catalog, "time_qualifier")
+def bucket_status(
+    ledger: DataFrame, catalog: Catalog, now: datetime, *, by: tuple[str, ...] = (), start: str | None = None
+) -> DataFrame:
+    """Adds ``status``: done, open (current or not ready), ready (past, one final run), future.
+
+    With ``start``, buckets between it and ``now`` that have no row count as in the initial state.
+    """
+    judged = _dim(readiness(ledger, catalog, by=by, span=_span(start, now)), catalog, "time_qualifier")
     current = P.current_period_by("time_qualifier", now)
     status = (
         F.when(S.is_finished(_state()), "done")
@@ -249,84 +339,122 @@ def propagate_skip(
 # ---- what to do next -----------------------------------------------------------------
 
 
-def should_skip(ledger: DataFrame, catalog: Catalog, *, by: tuple[str, ...] = ()) -> DataFrame:
+def should_skip(ledger: DataFrame, catalog: Catalog, *, by: tuple[str, ...] = (), span: Span | None = None) -> DataFrame:
     """Adds ``skippable``.
 
     Finished rows are. A row of the finest level is once it failed too often. Any other
     row is when all its children failed too often or were skipped, and, by the same
-    rule, when it has no children at all. A bucket without a record is not.
+    rule, when it has no children at all. A bucket without a record is not, and keeps its
+    parent from being so.
     """
-    spoiled = children_summary(ledger, catalog, by=by).select(*_key(by), "children_spoiled")
-    joined = _dim(ledger, catalog, "child_process").join(spoiled, _key(by), "left")
+    joined = _dim(_judged(ledger, catalog, by, span, waits=False), catalog, "child_process")
     skippable = (
         F.when(F.col("state").isNull(), F.lit(False))
         .when(S.is_finished("state"), F.lit(True))
         .when(F.col("child_process").isNull(), F.col("number_of_failures") > MAX_FAILURES)
         .otherwise(F.coalesce("children_spoiled", F.lit(True)))
     )
-    return joined.withColumn("skippable", skippable).drop("child_process", "children_spoiled")
+    return joined.withColumn("skippable", skippable).drop("child_process", *_CHILDREN)
 
 
-def next_period(ledger: DataFrame, catalog: Catalog, now: datetime, *, by: tuple[str, ...] = ()) -> DataFrame:
-    """The bucket each process works on next.
+_BLOCK = 32  # buckets of a process that share a word of flags
+_FAR = 1 << 30
 
-    From the coarsest level down: the earliest bucket without a record, or active and not
-    skippable, under the bucket chosen one level up or a later sibling of that bucket.
-    Where there is none, the current bucket.
 
-    The ledger is first reduced to the earliest open bucket per parent bucket. What is
-    left per tree has one entry per parent bucket, a number the calendar bounds, so the
-    levels are then walked on one row per tree: no join per level.
-    """
-    open_rows = F.col("state").isNull() | (S.is_active("state") & ~F.col("skippable"))
-    rows = should_skip(ledger, catalog, by=by).withColumn("_open", open_rows)
-    rows = _dim(rows, catalog, "tree_name", "depth", "time_qualifier", "parent_qualifier")
-    group = [*by, "tree_name"]
-    level = ["depth", "process_name", "time_qualifier", "parent_qualifier"]
-    parent = P.coarsen_period_by("parent_qualifier", "timeperiod").alias("parent")
-    earliest = rows.groupBy(*group, *level, parent).agg(F.min(F.when(F.col("_open"), F.col("timeperiod"))).alias("tp"))
-    # declared processes count from the start, also those without any row in a scope
-    declared = catalog.process_dim(ledger.sparkSession).select("tree_name", *level)
-    entries = F.array(*[F.struct(*[F.lit(v).cast(t).alias(c) for (c, t), v in zip(declared.dtypes, p)]) for p in catalog.level_rows()])
-    scopes = ledger.select(*by).distinct() if by else ledger.sparkSession.range(1).select()
-    none = F.lit(None).cast("string")
-    declared = scopes.select(*by, F.inline(entries)).select(*group, *level, none.alias("parent"), none.alias("tp"))
-    trees = earliest.unionByName(declared).groupBy(*group).agg(F.collect_list(F.struct(*level, "parent", "tp")).alias("_all"))
-
-    depths = range(max(map(catalog.depth, catalog.tree_of)) + 1)
-    for d in depths:
-        above = F.col(f"_next{d - 1}") if d else None
-
-        def eligible(e: Column, d: int = d, above: Column | None = above) -> Column:
-            mine = (e["depth"] == d) & e["tp"].isNotNull()
-            if above is None:
-                return mine
-            grand = F.col(f"_level{d - 1}")["parent_qualifier"]
-            family = grand.isNull() | (P.coarsen_period_by(grand, e["parent"]) == P.coarsen_period_by(grand, above))
-            return mine & (e["parent"] >= above) & family
-
-        here = F.get(_at_depth("_all", d), F.lit(0))
-        trees = trees.withColumn(f"_level{d}", here)
-        first = F.array_min(F.transform(_where("_all", eligible), lambda e: e["tp"]))
-        current = P.current_period_by(F.col(f"_level{d}")["time_qualifier"], now)
-        trees = trees.withColumn(f"_next{d}", F.coalesce(first, current))
-    picks = [
-        F.struct(F.col(f"_level{d}")["process_name"].alias("process_name"), F.col(f"_next{d}").alias("timeperiod"))
-        for d in depths
-    ]
-    return trees.select(*by, F.inline(F.array(*picks))).where("process_name is not null")
+def _bits(low: Column, high: Column) -> Column:
+    """Flags from bit ``low`` to bit ``high``, both within a block and clipped to it; none where they cross."""
+    low, high = F.greatest(low, F.lit(0)), F.least(high, F.lit(_BLOCK - 1))
+    ones = lambda n: F.call_function("shiftleft", F.lit(1).cast("bigint"), n.cast("int")) - 1
+    return F.when(high >= low, ones(high + 1) - ones(low)).otherwise(F.lit(0).cast("bigint"))
 
 
-def _at_depth(entries: str, depth: int) -> Column:
-    return F.filter(entries, lambda e: e["depth"] == depth)
+def _lowest(flags: Column) -> Column:
+    return F.bit_count(flags.bitwiseAND(-flags) - 1)
 
 
-def _where(entries: str, test: Callable[[Column], Column]) -> Column:
-    return F.filter(entries, lambda e: test(e))
+def next_period(
+    ledger: DataFrame, catalog: Catalog, now: datetime, *, by: tuple[str, ...] = (), start: str | None = None
+) -> DataFrame:
+    """The bucket each process works on next.
 
+    From the coarsest level down: the earliest bucket without a record, or active and not
+    skippable, under the bucket chosen one level up or a later sibling of that bucket.
+    Where there is none, the current bucket. With ``start``, buckets between it and ``now``
+    exist by the calendar, whether they have a row or not.
 
-def has_next_sibling(ledger: DataFrame, catalog: Catalog, *, by: tuple[str, ...] = ()) -> DataFrame:
-    """Adds ``younger_sibling``: the following bucket exists under the same parent."""
+    The ledger is first reduced to two words of flags per 32 buckets of a process: which have a
+    row, and which of those are open. What is left per scope is a thirty-second of what the
+    calendar allows; the levels are walked on that row, and gaps are the flags that are not set.
+    """
+    span = _span(start, now)
+    bounds = level_bounds(catalog, span) if span else {}
+    open_rows = F.col("state").isNull() | (S.is_active("state") & ~F.col("skippable"))
+    number = F.lit(None).cast("int")
+    for name in catalog.tree_of:
+        number = F.when(F.col("process_name") == name, P.period_number(catalog.processes[name].qualifier, "timeperiod")).otherwise(number)
+    rows = should_skip(ledger, catalog, by=by, span=span).select(*by, "process_name", open_rows.alias("_open"), number.alias("_n"))
+    flag = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod("_n", F.lit(_BLOCK)).cast("int"))
+    words = rows.groupBy(*by, "process_name", F.floor(F.col("_n") / _BLOCK).cast("int").alias("block")).agg(
+        F.bit_or(flag).alias("held"), F.bit_or(F.when(F.col("_open"), flag).otherwise(F.lit(0).cast("bigint"))).alias("open")
+    )
+    # scopes whose rows are all of unknown processes have next buckets too
+    scopes = ledger.select(*by).distinct() if by else ledger.sparkSession.range(1).select()
+    none = {c: F.lit(None).cast(t) for c, t in words.dtypes if c not in by}
+    both = words.unionByName(scopes.select(*by, *[v.alias(c) for c, v in none.items()]))
+    packed = F.collect_list(F.when(F.col("block").isNotNull(), F.struct("process_name", "block", "held", "open")))
+    out = both.groupBy(*by).agg(packed.alias("_words"))
+
+    picks = []
+    for tree in catalog.trees.values():
+        levels = catalog.levels(tree)
+        for depth, name in enumerate(levels):
+            q, chosen = catalog.processes[name].qualifier, f"_{name}"
+            low, high = F.lit(-_FAR), F.lit(_FAR)
+            if depth:
+                above = catalog.processes[levels[depth - 1]].qualifier
+                parent = P.numbered_period(above, F.col(f"_{levels[depth - 1]}"))
+                low = P.child_numbers(above, q, parent)[0]
+                if depth > 1:  # on to later siblings of the parent, not beyond its own parent
+                    family = catalog.processes[levels[depth - 2]].qualifier
+                    high = P.child_numbers(family, q, P.coarsen_period(family, parent))[1]
+            out = out.withColumns({"_low": low, "_high": high})
+            out = out.withColumn("_mine", _words_of(name))
+            first = _first_open()
+            if name in bounds:
+                first = F.least(first, _first_gap(*bounds[name]))
+            out = out.withColumn(chosen, F.coalesce(first, F.lit(P.moment_number(q, now))))
+            picks.append(F.struct(F.lit(name).alias("process_name"), P.numbered_period(q, F.col(chosen)).alias("timeperiod")))
+    return out.select(*by, F.inline(F.array(*picks)))
+
+
+def _words_of(name: str) -> Column:
+    return F.filter("_words", lambda w: w["process_name"] == name)
+
+
+def _within(block: Column, low: Column, high: Column) -> Column:
+    return _bits(low - block * _BLOCK, high - block * _BLOCK)
+
+
+def _first_open() -> Column:
+    """Number of the first open bucket of ``_mine`` from ``_low`` to ``_high``."""
+    low, high = F.col("_low"), F.col("_high")
+    near = F.filter("_mine", lambda w: (w["block"] >= F.floor(low / _BLOCK)) & (w["block"] <= F.floor(high / _BLOCK)))
+    flags = F.transform(near, lambda w: F.struct(w["block"].alias("block"), w["open"].bitwiseAND(_within(w["block"], low, high)).alias("flags")))
+    return F.array_min(F.transform(F.filter(flags, lambda w: w["flags"] != 0), lambda w: w["block"] * _BLOCK + _lowest(w["flags"])))
+
+
+def _first_gap(first: int, last: int) -> Column:
+    """Number of the first bucket without a row, of those that the calendar has from ``_low`` to ``_high``."""
+    low, high = F.greatest("_low", F.lit(first)), F.least("_high", F.lit(last))
+    blocks = F.sequence(F.floor(low / _BLOCK).cast("int"), F.floor(high / _BLOCK).cast("int"))
+    held = lambda b: F.coalesce(F.get(F.filter("_mine", lambda w: w["block"] == b), F.lit(0))["held"], F.lit(0).cast("bigint"))
+    flags = F.transform(blocks, lambda b: F.struct(b.alias("block"), _within(b, low, high).bitwiseAND(F.bitwise_not(held(b))).alias("flags")))
+    gaps = F.filter(flags, lambda w: w["flags"] != 0)
+    return F.when(low <= high, F.array_min(F.transform(gaps, lambda w: w["block"] * _BLOCK + _lowest(w["flags"]))))
+
+
+def has_next_sibling(ledger: DataFrame, catalog: Catalog, *, by: tuple[str, ...] = (), span: Span | None = None) -> DataFrame:
+    """Adds ``younger_sibling``: the following bucket exists under the same parent, by its row or by the calendar."""
     rows = _dim(ledger.select(*_key(by)), catalog, "time_qualifier", "parent_qualifier")
     before = P.shift_period_by("time_qualifier", "timeperiod", -1)
     same_parent = F.col("parent_qualifier").isNull() | (
@@ -335,14 +463,28 @@ def has_next_sibling(ledger: DataFrame, catalog: Catalog, *, by: tuple[str, ...]
     older = rows.where(same_parent).select(
         *by, "process_name", before.alias("timeperiod"), F.lit(True).alias("younger_sibling")
     )
-    joined = ledger.join(older, _key(by), "left")
-    return joined.withColumn("younger_sibling", F.coalesce("younger_sibling", F.lit(False)))
-
-
-def audit(ledger: DataFrame, catalog: Catalog, *, by: tuple[str, ...] = ()) -> DataFrame:
+    joined = ledger.join(older, _key(by), "left").withColumn("younger_sibling", F.coalesce("younger_sibling", F.lit(False)))
+    if not span:
+        return joined
+    after, family = F.lit(None).cast("string"), F.lit(True)
+    for name in level_bounds(catalog, span):
+        following, parent = P.shift_period(catalog.processes[name].qualifier, "timeperiod", 1), catalog.parent(name)
+        mine = F.col("process_name") == name
+        after = F.when(mine, following).otherwise(after)
+        if parent:
+            above = catalog.processes[parent].qualifier
+            family = F.when(mine, P.coarsen_period(above, following) == P.coarsen_period(above, "timeperiod")).otherwise(family)
+    dated = joined.withColumns({"_after": after, "_family": family})
+    due = in_span(catalog, span, "_after") & F.col("_family")
+    return dated.withColumn("younger_sibling", F.col("younger_sibling") | F.coalesce(due, F.lit(False))).drop("_after", "_family")
+
+
+def audit(ledger: DataFrame, catalog: Catalog, *, by: tuple[str, ...] = (), span: Span | None = None) -> DataFrame:
     """Rows whose state contradicts their children, with the action that repairs them."""
-    children = children_summary(ledger, catalog, by=by).select(*_key(by), "child_active", "children_skipped")
-    joined = has_next_sibling(ledger, catalog, by=by).join(children, _key(by))
+    judged = _judged(ledger, catalog, by, span, waits=False).where("number_of_children > 0")
+    # only rows whose children were all skipped need to know of a sibling
+    asking = has_next_sibling(ledger.select(*_key(by)), catalog, by=by, span=span)
+    joined = judged.join(asking, _key(by))
     action = F.when(S.is_finished(_state()) & F.col("child_active"), "reprocess").when(
         F.col("children_skipped") & F.col("younger_sibling") & ~S.is_skipped(_state()), "skip"
     )
@@ -518,8 +660,42 @@ def state_matrix(ledger: DataFrame, catalog: Catalog, start: str, now: datetime,
     return cells.join(inside, _key(by), "left")
 
 
-def node_details(ledger: DataFrame, catalog: Catalog, *, by: tuple[str, ...] = ()) -> DataFrame:
-    """Each bucket with its children: their number and a list no longer than the calendar allows."""
+def state_matrix_wide(
+    ledger: DataFrame, catalog: Catalog, q: str, start: str, now: datetime, *, by: tuple[str, ...] = ()
+) -> DataFrame:
+    """One row per scope and process of granularity ``q``, one column per bucket from ``start`` to ``now``.
+
+    Columns come from the calendar, so they are known without a look at the data; a cell is the state
+    of that bucket, null where it has no row. The pivot is one aggregation that combines on the map side.
+    """
+    q = P.qualifier(q)
+    low, high = P.moment_number(q, P.moment(start)), P.moment_number(q, now)
+    names = [n for n in catalog.tree_of if catalog.processes[n].qualifier == q]
+    spark = ledger.sparkSession
+    periods = [r[0] for r in spark.range(low, high + 1).select(P.numbered_period(q, F.col("id"))).orderBy("id").collect()]
+    cells = [F.max(F.when(F.col("timeperiod") == tp, F.col("state"))).alias(tp) for tp in periods]
+    scopes = ledger.select(*by).distinct() if by else spark.range(1).select()
+    every = scopes.select(*by, F.explode(F.array(*map(F.lit, names)).cast("array<string>")).alias("process_name"))
+    inside = ledger.where(F.col("process_name").isin(*names) & F.col("timeperiod").between(periods[0], periods[-1]) if periods else F.lit(False))
+    rows = inside.select(*_key(by), "state").unionByName(every, allowMissingColumns=True)
+    return rows.groupBy(*by, "process_name").agg(*cells) if cells else every
+
+
+def node_details(
+    ledger: DataFrame,
+    catalog: Catalog,
+    *,
+    by: tuple[str, ...] = (),
+    span: Span | None = None,
+    events: DataFrame | None = None,
+    max_events: int = MAX_EVENTS,
+) -> DataFrame:
+    """Each bucket with its children: their number and a list no longer than the calendar allows.
+
+    With ``span``, children that the calendar has and the ledger hasn't are listed without a state.
+    ``events`` (the key of a bucket, ``logged_at``, ``message``) adds the newest ``max_events`` + 1 of
+    them, newest first; map tasks forward no more of a bucket than that.
+    """
     na = F.lit("NA")
     child = _dim(ledger, catalog, "parent_process", "parent_qualifier").where(F.col("parent_process").isNotNull())
     entry = F.struct(
@@ -530,17 +706,50 @@ def node_details(ledger: DataFrame, catalog: Catalog, *, by: tuple[str, ...] = (
     )
     parent_period = P.coarsen_period_by("parent_qualifier", "timeperiod")
     lists = child.groupBy(*by, F.col("parent_process").alias("process_name"), parent_period.alias("timeperiod")).agg(
-        F.count(F.lit(1)).alias("number_of_children"), F.array_sort(F.collect_list(entry)).alias("children")
+        F.array_sort(F.collect_list(entry)).alias("children")
     )
     rows = _dim(ledger, catalog, "time_qualifier").join(lists, _key(by), "left")
-    return rows.select(
+    if span:
+        rows = rows.withColumn("children", _with_absent(catalog, span))
+    shown = [
         *_key(by),
         F.coalesce("time_qualifier", na).alias("time_qualifier"),
         F.coalesce("state", na).alias("state"),
         F.coalesce(F.col("number_of_failures").cast("string"), na).alias("number_of_failures"),
-        F.coalesce("number_of_children", F.lit(0).cast("bigint")).alias("number_of_children"),
+        F.coalesce(F.size("children"), F.lit(0)).cast("bigint").alias("number_of_children"),
         "children",
-    )
+    ]
+    if events is None:
+        return rows.select(*shown)
+    kept = cap_events(events, _key(by), "logged_at", "message", max_events)
+    log = F.sort_array(F.collect_list(F.struct("logged_at", "message")), asc=False)
+    logs = kept.groupBy(*_key(by)).agg(log.alias("event_log"))
+    return rows.join(logs, _key(by), "left").select(*shown, F.coalesce("event_log", F.array().cast(logs.schema["event_log"].dataType)).alias("event_log"))
+
+
+def _with_absent(catalog: Catalog, span: Span) -> Column:
+    """``children`` with the buckets of the calendar that are not among them; null where there is none."""
+    out = F.col("children")
+    for child, bounds in level_bounds(catalog, span).items():
+        name = catalog.parent(child)
+        if name:
+            q, parent_q = catalog.processes[child].qualifier, catalog.processes[name].qualifier
+            out = F.when(F.col("process_name") == name, _listed(child, q, parent_q, *bounds)).otherwise(out)
+    return out
+
+
+def _listed(child: str, q: str, parent_q: str, first: int, last: int) -> Column:
+    na = F.lit("NA")
+    held = F.coalesce(F.transform("children", lambda c: c["timeperiod"]), F.array().cast("array<string>"))
+    low, high = P.child_numbers(parent_q, q, "timeperiod")
+    low, high = F.greatest(low, F.lit(first)), F.least(high, F.lit(last))
+    due = F.transform(F.sequence(low, F.greatest(low, high)), lambda n: P.numbered_period(q, n))
+    entry = lambda tp: F.struct(tp.alias("timeperiod"), F.lit(child).alias("process_name"), na.alias("state"), na.alias("number_of_failures"))
+    listed = F.concat(F.coalesce("children", F.array().cast(_CHILD_LIST)), F.transform(F.array_except(due, held), entry))
+    return F.when(low <= high, F.array_sort(listed)).otherwise(F.col("children"))
+
+
+_CHILD_LIST = "array<struct<timeperiod:string,process_name:string,state:string,number_of_failures:string>>"
 
 
 def reconcile_dim(declared: DataFrame, stored: DataFrame, *, key: str = "process_name") -> tuple[DataFrame, DataFrame]:
@@ -566,12 +775,13 @@ def process_overview(
     *,
     since: str | None = None,
     by: tuple[str, ...] = (),
+    start: str | None = None,
 ) -> DataFrame:
     """Per process: next bucket, schedule, next trigger from ``now``, stale buckets in order, and trees that wait for it.
 
     The stale list holds distinct buckets, so its length is bounded by the calendar.
     """
-    upcoming = next_period(ledger, catalog, now, by=by).withColumnRenamed("timeperiod", "next_timeperiod")
+    upcoming = next_period(ledger, catalog, now, by=by, start=start).withColumnRenamed("timeperiod", "next_timeperiod")
     stale = (
         triage(reprocess_candidates(attempts, catalog, since), catalog, now)
         .where(F.col("action") == "resubmit")

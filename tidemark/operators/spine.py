@@ -12,31 +12,45 @@ from tidemark.functions import states as S
 from tidemark.plans.catalog import Catalog
 
 
+Span = tuple[str, datetime]  # the first period of all trees, and the clock
 
-def _number(q: str, at: datetime) -> int:
-    """Running number of the period of ``q`` that holds a moment."""
-    if q == P.HOURLY:
-        return int((at - datetime(1970, 1, 1)).total_seconds() // 3600)
-    if q == P.DAILY:
-        return (at - datetime(1970, 1, 1)).days
-    return at.year * 12 + at.month - 1 if q == P.MONTHLY else at.year
-
-
-def _moment(period: str) -> datetime:
-    year, month, day, hour = period[:4], period[4:6], period[6:8], period[8:10]
-    return datetime(int(year), max(int(month), 1), max(int(day), 1), int(hour))
-
-
-def _numbered_period(q: Column, n: Column) -> Column:
-    """Period with a running number: the inverse of ``_number``."""
-    month = F.when(q == P.MONTHLY, n).otherwise(n * 12)
-    day = F.date_from_unix_date(F.when(q == P.DAILY, n.cast("int")))
-    return (
-        F.when(q == P.HOURLY, P.to_period(P.HOURLY, P.ntz(datetime(1970, 1, 1)) + F.make_dt_interval(F.lit(0), n.cast("int"))))
-        .when(q == P.DAILY, P.to_period(P.DAILY, day))
-        .when(q == P.MONTHLY, P.shift_period(P.MONTHLY, F.lit("0000010000"), month))
-        .otherwise(F.concat(n.cast("string"), F.lit("000000")))
-    )
+
+def level_bounds(catalog: Catalog, span: Span) -> dict[str, tuple[int, int]]:
+    """Running numbers of the first and last bucket that each process should have; none where the span is empty.
+
+    The finest level of a tree starts with the bucket that holds the start, coarser ones with its ancestors.
+    """
+    first, now = P.moment(span[0]), span[1]
+    out = {}
+    for name, tree in catalog.tree_of.items():
+        q, fine = (catalog.processes[p].qualifier for p in (name, catalog.levels(tree)[-1]))
+        if P.moment_number(fine, first) <= P.moment_number(fine, now):
+            out[name] = P.moment_number(q, first), P.moment_number(q, now)
+    return out
+
+
+def expected_children(catalog: Catalog, span: Span) -> Column:
+    """How many children the calendar gives the bucket of a row (``process_name, timeperiod``), within the span."""
+    bounds = level_bounds(catalog, span)
+    out = F.lit(0)
+    for name in catalog.tree_of:
+        child = catalog.child(name)
+        if child in bounds:
+            first, last = P.child_numbers(catalog.processes[name].qualifier, catalog.processes[child].qualifier, "timeperiod")
+            lo, hi = bounds[child]
+            count = F.greatest(F.least(last, F.lit(hi)) - F.greatest(first, F.lit(lo)) + 1, F.lit(0))
+            out = F.when(F.col("process_name") == name, count).otherwise(out)
+    return out
+
+
+def in_span(catalog: Catalog, span: Span, period: str = "timeperiod") -> Column:
+    """Whether the calendar has the bucket of a row within the span; by text, whose order is that of time."""
+    out = F.lit(False)
+    for name, (lo, hi) in level_bounds(catalog, span).items():
+        q = catalog.processes[name].qualifier
+        first, last = (P.numbered_period(q, F.lit(n)) for n in (lo, hi))
+        out = F.when(F.col("process_name") == name, F.col(period).between(first, last)).otherwise(out)
+    return out
 
 
 def period_spine(
@@ -50,24 +64,18 @@ def period_spine(
     """
     by = entities.columns
     parts = []
-    for name, tree in catalog.tree_of.items():
-        q = catalog.processes[name].qualifier
-        fine = catalog.processes[catalog.levels(tree)[-1]].qualifier
-        # the spine starts with the finest bucket that holds the start
-        first = _moment(resume or start)
-        lowest, highest = _number(q, first), _number(q, now)
-        if _number(fine, first) <= _number(fine, now):
-            parts.append(
-                F.struct(
-                    F.lit(name).alias("process_name"),
-                    F.lit(q).alias("time_qualifier"),
-                    F.lit(lowest).cast("bigint").alias("lo"),
-                    F.lit(highest).cast("bigint").alias("hi"),
-                )
+    for name, (lowest, highest) in level_bounds(catalog, (resume or start, now)).items():
+        parts.append(
+            F.struct(
+                F.lit(name).alias("process_name"),
+                F.lit(catalog.processes[name].qualifier).alias("time_qualifier"),
+                F.lit(lowest).cast("bigint").alias("lo"),
+                F.lit(highest).cast("bigint").alias("hi"),
             )
+        )
     rows = entities.select(*by, F.inline(F.array(*parts)))
     numbered = rows.select(*by, "process_name", "time_qualifier", F.explode(F.sequence("lo", "hi")).alias("_n"))
-    period = _numbered_period(F.col("time_qualifier"), F.col("_n"))
+    period = P.numbered_period_by("time_qualifier", F.col("_n"))
     return numbered.select(*by, "process_name", "time_qualifier", period.alias("timeperiod"))
 
 

@@ -71,6 +71,44 @@ def _(spark, sf):
     return spine.with_ancestors(days, [P.DAILY, P.MONTHLY, P.YEARLY])
 
 
+# ---- ledgers with gaps -----------------------------------------------------------------
+#
+# The twins below build every bucket of the calendar and judge it; the operators only count.
+# Each query runs on the ledger as it is, with many gaps, and on one with few.
+
+_SPAN = (V.SPINE_START, V.LEDGER_NOW)
+_LEDGERS = (("", "ledger", V.ledger_table), ("_dense", "dense", V.dense_ledger_table))
+
+
+def _gaps(base: str) -> str:
+    """SQL: the ledger with a row for every bucket of the calendar, and what each of its rows hears."""
+    return f"""{_SPINE}, dense AS (
+      SELECT domain, process_name, time_qualifier, timeperiod, state, number_of_failures FROM ledger
+      UNION ALL SELECT s.domain, s.process_name, s.time_qualifier, s.timeperiod, 'state_noop', 0 FROM spine s
+        WHERE CAST(substr(s.timeperiod, 5, 6) AS INT) % 37 <> 0 AND NOT EXISTS
+          (SELECT 1 FROM ledger l WHERE l.domain = s.domain AND l.process_name = s.process_name AND l.timeperiod = s.timeperiod)
+    ), whole AS (
+      SELECT domain, process_name, time_qualifier, timeperiod, state, number_of_failures, true AS held FROM {base}
+      UNION ALL SELECT s.domain, s.process_name, s.time_qualifier, s.timeperiod, 'state_embryo', 0, false FROM spine s WHERE NOT EXISTS
+        (SELECT 1 FROM {base} l WHERE l.domain = s.domain AND l.process_name = s.process_name AND l.timeperiod = s.timeperiod)
+    ), below AS (
+      SELECT l.domain, p.parent_process AS process_name, {V.cast_by('p.parent_qualifier', 'l.timeperiod')} AS timeperiod,
+        count(*) AS number_of_children, bool_and(l.state IN {_DONE}) AS children_finished, bool_or(l.state NOT IN {_DONE}) AS child_active,
+        bool_and(l.state = 'state_skipped') AS children_skipped,
+        bool_and(l.held AND (l.state = 'state_skipped' OR l.number_of_failures > 3)) AS children_spoiled
+      FROM whole l JOIN procs p USING (process_name) WHERE p.parent_process IS NOT NULL GROUP BY ALL
+    ), beside AS (
+      SELECT a.domain, a.process_name, a.timeperiod, bool_and(coalesce(b.state, 'state_embryo') IN {_DONE}) AS all_finished,
+        bool_and(coalesce(b.state, 'state_embryo') IN ('state_processed', 'state_noop')) AS all_processed, bool_or(coalesce(b.state, '') = 'state_skipped') AS skipped_present
+      FROM {base} a JOIN waits w USING (process_name) LEFT JOIN {base} b ON b.domain = a.domain AND b.process_name = w.depends_on AND b.timeperiod = a.timeperiod GROUP BY ALL
+    ), weighed AS (
+      SELECT l.*, p.blocking_type, p.tree_name, p.depth, p.parent_qualifier, p.child_process, coalesce(k.children_finished, true) AS children_finished,
+        k.children_spoiled, k.child_active, k.children_skipped, k.number_of_children, coalesce(d.all_finished, true) AS all_finished,
+        coalesce(d.all_processed, true) AS all_processed, coalesce(d.skipped_present, false) AS skipped_present, l.state IN {_DONE} AS finished
+      FROM {base} l JOIN procs p USING (process_name) LEFT JOIN below k USING (domain, process_name, timeperiod) LEFT JOIN beside d USING (domain, process_name, timeperiod)
+    )"""
+
+
 # ---- dependencies ----------------------------------------------------------------------
 
 
@@ -113,32 +151,35 @@ def _(spark, sf):
 _READY = "(all_finished AND children_finished AND NOT finished)"
 
 
-@query(
-    "readiness",
-    f"SELECT domain, process_name, timeperiod, state, children_finished, all_finished, all_processed, skipped_present, {_READY} AS ready FROM judged",
-)
-def _(spark, sf):
-    out = L.readiness(V.ledger_table(spark, sf), SITE_SUITE, by=BY)
-    return out.select(*_KEY, "state", "children_finished", "all_finished", "all_processed", "skipped_present", "ready")
-
+def _judging(suffix, base, view):
+    @query(
+        f"readiness{suffix}",
+        f"WITH {_gaps(base)} SELECT domain, process_name, timeperiod, state, children_finished, all_finished, all_processed, skipped_present, {_READY} AS ready FROM weighed",
+    )
+    def _(spark, sf):
+        out = L.readiness(view(spark, sf), SITE_SUITE, by=BY, span=_SPAN)
+        return out.select(*_KEY, "state", "children_finished", "all_finished", "all_processed", "skipped_present", "ready")
+
+    @query(
+        f"gate{suffix}",
+        f"""WITH {_gaps(base)} SELECT domain, process_name, timeperiod, blocking_type, CASE WHEN finished THEN 'done' WHEN blocking_type = 'blocking_normal' THEN 'run'
+            WHEN blocking_type = 'blocking_children' THEN CASE WHEN {_READY} THEN 'run' ELSE 'wait' END
+            ELSE CASE WHEN all_processed THEN 'run' WHEN skipped_present THEN 'skip' ELSE 'wait' END END AS decision FROM weighed""",
+    )
+    def _(spark, sf):
+        return L.gate(view(spark, sf), SITE_SUITE, by=BY, span=_SPAN).select(*_KEY, "blocking_type", "decision")
 
-@query(
-    "gate",
-    f"""SELECT domain, process_name, timeperiod, blocking_type, CASE WHEN finished THEN 'done' WHEN blocking_type = 'blocking_normal' THEN 'run'
-        WHEN blocking_type = 'blocking_children' THEN CASE WHEN {_READY} THEN 'run' ELSE 'wait' END
-        ELSE CASE WHEN all_processed THEN 'run' WHEN skipped_present THEN 'skip' ELSE 'wait' END END AS decision FROM judged""",
-)
-def _(spark, sf):
-    return L.gate(V.ledger_table(spark, sf), SITE_SUITE, by=BY).select(*_KEY, "blocking_type", "decision")
+    @query(
+        f"bucket_status{suffix}",
+        f"""WITH {_gaps(base)} SELECT domain, process_name, timeperiod, CASE WHEN finished THEN 'done' WHEN timeperiod = {_current('time_qualifier')} OR NOT {_READY} THEN 'open'
+            WHEN timeperiod < {_current('time_qualifier')} THEN 'ready' ELSE 'future' END AS status FROM weighed""",
+    )
+    def _(spark, sf):
+        return L.bucket_status(view(spark, sf), SITE_SUITE, V.LEDGER_NOW, by=BY, start=V.SPINE_START).select(*_KEY, "status")
 
 
-@query(
-    "bucket_status",
-    f"""SELECT domain, process_name, timeperiod, CASE WHEN finished THEN 'done' WHEN timeperiod = {_current('time_qualifier')} OR NOT {_READY} THEN 'open'
-        WHEN timeperiod < {_current('time_qualifier')} THEN 'ready' ELSE 'future' END AS status FROM judged""",
-)
-def _(spark, sf):
-    return L.bucket_status(V.ledger_table(spark, sf), SITE_SUITE, V.LEDGER_NOW, by=BY).select(*_KEY, "status")
+for _each in _LEDGERS:
+    _judging(*_each)
 
 
 @query(
@@ -226,30 +267,49 @@ def _(spark, sf):
 _SKIPPABLE = "CASE WHEN finished THEN true WHEN child_process IS NULL THEN number_of_failures > 3 ELSE coalesce(children_spoiled, true) END"
 
 
-@query("should_skip", f"SELECT domain, process_name, timeperiod, state, {_SKIPPABLE} AS skippable FROM judged")
-def _(spark, sf):
-    return L.should_skip(V.ledger_table(spark, sf), SITE_SUITE, by=BY).select(*_KEY, "state", "skippable")
-
-
-_OPEN = f"open AS (SELECT *, NOT finished AND NOT ({_SKIPPABLE}) AS eligible FROM judged)"
-_NEXT = (
-    f"{_OPEN}, pairs AS (SELECT domain, process_name, time_qualifier, tree_name, depth, {_current('time_qualifier')} AS current FROM procs, (SELECT DISTINCT domain FROM ledger)),"
-    "n0 AS (SELECT p.domain, p.tree_name, p.process_name, p.time_qualifier, coalesce(min(o.timeperiod) FILTER (WHERE o.eligible), any_value(p.current)) AS tp"
-    " FROM pairs p LEFT JOIN open o USING (domain, process_name) WHERE p.depth = 0 GROUP BY ALL)"
-)
-for _d, _above in ((1, None), (2, "_yearly"), (3, "_monthly")):
-    _family = "true" if _above is None else f"{V._cast(_above, 'x.parent')} = {V._cast(_above, 'n.tp')}"
-    _NEXT += (
-        f", n{_d} AS (SELECT p.domain, p.tree_name, p.process_name, p.time_qualifier, coalesce(min(x.timeperiod) FILTER (WHERE x.eligible AND x.parent >= n.tp AND {_family}), any_value(p.current)) AS tp"
-        f" FROM pairs p JOIN n{_d - 1} n USING (domain, tree_name) LEFT JOIN (SELECT *, {V.cast_by('parent_qualifier', 'timeperiod')} AS parent FROM open) x"
-        f" ON x.domain = p.domain AND x.process_name = p.process_name WHERE p.depth = {_d} GROUP BY ALL)"
+def _next(base: str) -> str:
+    """SQL: the next bucket of every process, level by level over every bucket of the calendar."""
+    out = (
+        f"{_gaps(base)}, open AS (SELECT domain, process_name, timeperiod, parent_qualifier, NOT finished AND NOT ({_SKIPPABLE}) AS eligible FROM weighed"
+        " UNION ALL SELECT w.domain, w.process_name, w.timeperiod, p.parent_qualifier, true FROM whole w JOIN procs p USING (process_name) WHERE NOT held),"
+        f" pairs AS (SELECT domain, process_name, time_qualifier, tree_name, depth, {_current('time_qualifier')} AS current FROM procs, (SELECT DISTINCT domain FROM {base})),"
+        " n0 AS (SELECT p.domain, p.tree_name, p.process_name, p.time_qualifier, coalesce(min(o.timeperiod) FILTER (WHERE o.eligible), any_value(p.current)) AS tp"
+        " FROM pairs p LEFT JOIN open o USING (domain, process_name) WHERE p.depth = 0 GROUP BY ALL)"
+    )
+    for d, above in ((1, None), (2, "_yearly"), (3, "_monthly")):
+        family = "true" if above is None else f"{V._cast(above, 'x.parent')} = {V._cast(above, 'n.tp')}"
+        out += (
+            f", n{d} AS (SELECT p.domain, p.tree_name, p.process_name, p.time_qualifier, coalesce(min(x.timeperiod) FILTER (WHERE x.eligible AND x.parent >= n.tp AND {family}), any_value(p.current)) AS tp"
+            f" FROM pairs p JOIN n{d - 1} n USING (domain, tree_name) LEFT JOIN (SELECT *, {V.cast_by('parent_qualifier', 'timeperiod')} AS parent FROM open) x"
+            f" ON x.domain = p.domain AND x.process_name = p.process_name WHERE p.depth = {d} GROUP BY ALL)"
+        )
+    return out + ", upcoming AS (" + " UNION ALL ".join(f"SELECT domain, process_name, tp FROM n{d}" for d in range(4)) + ")"
+
+
+def _choosing(suffix, base, view):
+    @query(f"should_skip{suffix}", f"WITH {_gaps(base)} SELECT domain, process_name, timeperiod, state, {_SKIPPABLE} AS skippable FROM weighed")
+    def _(spark, sf):
+        return L.should_skip(view(spark, sf), SITE_SUITE, by=BY, span=_SPAN).select(*_KEY, "state", "skippable")
+
+    @query(f"next_period{suffix}", f"WITH {_next(base)} SELECT domain, process_name, tp AS timeperiod FROM upcoming")
+    def _(spark, sf):
+        return L.next_period(view(spark, sf), SITE_SUITE, V.LEDGER_NOW, by=BY, start=V.SPINE_START)
+
+    @query(
+        f"audit{suffix}",
+        f"""WITH {_gaps(base)}, later AS (SELECT j.domain, j.process_name, j.timeperiod, EXISTS (SELECT 1 FROM whole y WHERE y.domain = j.domain AND y.process_name = j.process_name
+              AND y.timeperiod = {V.shift_by('j.time_qualifier', 'j.timeperiod', 1)} AND (j.parent_qualifier IS NULL OR {V.cast_by('j.parent_qualifier', 'y.timeperiod')} = {V.cast_by('j.parent_qualifier', 'j.timeperiod')})) AS younger_sibling
+              FROM weighed j),
+            a AS (SELECT domain, process_name, timeperiod, state, CASE WHEN finished AND child_active THEN 'reprocess'
+              WHEN children_skipped AND younger_sibling AND state <> 'state_skipped' THEN 'skip' END AS action
+            FROM weighed JOIN later USING (domain, process_name, timeperiod) WHERE number_of_children > 0) SELECT * FROM a WHERE action IS NOT NULL""",
     )
-_NEXT += ", upcoming AS (" + " UNION ALL ".join(f"SELECT domain, process_name, tp FROM n{d}" for d in range(4)) + ")"
+    def _(spark, sf):
+        return L.audit(view(spark, sf), SITE_SUITE, by=BY, span=_SPAN)
 
 
-@query("next_period", f"WITH {_NEXT} SELECT domain, process_name, tp AS timeperiod FROM upcoming")
-def _(spark, sf):
-    return L.next_period(V.ledger_table(spark, sf), SITE_SUITE, V.LEDGER_NOW, by=BY)
+for _each in _LEDGERS:
+    _choosing(*_each)
 
 
 _SIBLING = f"""sib AS (SELECT j.domain, j.process_name, j.timeperiod, EXISTS (SELECT 1 FROM judged y WHERE y.domain = j.domain AND y.process_name = j.process_name
@@ -262,16 +322,6 @@ def _(spark, sf):
     return L.has_next_sibling(V.ledger_table(spark, sf), SITE_SUITE, by=BY).select(*_KEY, "younger_sibling")
 
 
-@query(
-    "audit",
-    f"""WITH {_SIBLING}, a AS (SELECT domain, process_name, timeperiod, state, CASE WHEN finished AND child_active THEN 'reprocess'
-          WHEN children_skipped AND younger_sibling AND state <> 'state_skipped' THEN 'skip' END AS action
-        FROM judged JOIN sib USING (domain, process_name, timeperiod) WHERE number_of_children > 0) SELECT * FROM a WHERE action IS NOT NULL""",
-)
-def _(spark, sf):
-    return L.audit(V.ledger_table(spark, sf), SITE_SUITE, by=BY)
-
-
 # ---- attempts -------------------------------------------------------------------------------
 
 
@@ -439,24 +489,53 @@ def _(spark, sf):
     return L.state_matrix(V.ledger(spark, sf), SITE_SUITE, V.SPINE_START, V.LEDGER_NOW, by=BY)
 
 
+def _detailing(suffix, base, view):
+    @query(
+        f"node_details{suffix}",
+        f"""WITH {_gaps(base)} SELECT domain, process_name, timeperiod, time_qualifier, state, CAST(number_of_failures AS VARCHAR) AS number_of_failures,
+           coalesce(number_of_children, 0) AS number_of_children FROM weighed""",
+    )
+    def _(spark, sf):
+        return L.node_details(view(spark, sf), SITE_SUITE, by=BY, span=_SPAN).drop("children")
+
+    @query(
+        f"node_children{suffix}",
+        f"""WITH {_gaps(base)} SELECT w.domain, p.parent_process AS process_name, {V.cast_by('p.parent_qualifier', 'w.timeperiod')} AS timeperiod, w.timeperiod AS child,
+            CASE WHEN w.held THEN w.state ELSE 'NA' END AS state
+            FROM whole w JOIN procs p USING (process_name) JOIN {base} m ON m.domain = w.domain AND m.process_name = p.parent_process
+            AND m.timeperiod = {V.cast_by('p.parent_qualifier', 'w.timeperiod')}""",
+    )
+    def _(spark, sf):
+        rows = L.node_details(view(spark, sf), SITE_SUITE, by=BY, span=_SPAN).select(*_KEY, F.explode("children").alias("c"))
+        return rows.select(*_KEY, F.col("c.timeperiod").alias("child"), F.col("c.state").alias("state"))
+
+
+for _each in _LEDGERS:
+    _detailing(*_each)
+
+
 @query(
-    "node_details",
-    """SELECT domain, process_name, timeperiod, time_qualifier, state, CAST(number_of_failures AS VARCHAR) AS number_of_failures,
-       coalesce(number_of_children, 0) AS number_of_children FROM judged""",
+    "node_event_log",
+    f"""WITH logged AS (SELECT domain, 'site_hourly' AS process_name, strftime(ts, '%Y%m%d%H') AS timeperiod, ts, event_type || ' ' || event_id AS message FROM ev
+          UNION ALL SELECT domain, 'site_monthly', strftime(ts, '%Y%m0000'), ts, event_type || ' ' || event_id FROM ev)
+        SELECT domain, process_name, timeperiod, CAST(row_number() OVER w - 1 AS INT) AS position, message FROM logged
+        WINDOW w AS (PARTITION BY domain, process_name, timeperiod ORDER BY ts DESC, message DESC) QUALIFY row_number() OVER w <= {L.MAX_EVENTS + 1}""",
 )
 def _(spark, sf):
-    return L.node_details(V.ledger_table(spark, sf), SITE_SUITE, by=BY).drop("children")
+    out = L.node_details(V.ledger_table(spark, sf), SITE_SUITE, by=BY, events=V.bucket_log(spark, sf))
+    return out.select(*_KEY, F.posexplode("event_log").alias("position", "e")).select(*_KEY, "position", F.col("e.message").alias("message"))
+
+
+_DAYS = [f"202401{d:02d}00" for d in range(1, 21)]
 
 
 @query(
-    "node_children",
-    f"""SELECT l.domain, p.parent_process AS process_name, {V.cast_by('p.parent_qualifier', 'l.timeperiod')} AS timeperiod, l.timeperiod AS child, l.state
-        FROM ledger l JOIN procs p USING (process_name) JOIN ledger m ON m.domain = l.domain AND m.process_name = p.parent_process
-        AND m.timeperiod = {V.cast_by('p.parent_qualifier', 'l.timeperiod')}""",
+    "state_matrix_wide",
+    f"""SELECT d.domain, p.process_name, {', '.join(f"max(state) FILTER (WHERE timeperiod = '{d}') AS \"{d}\"" for d in _DAYS)}
+        FROM (SELECT DISTINCT domain FROM ledger) d CROSS JOIN (SELECT process_name FROM procs WHERE time_qualifier = '_daily') p LEFT JOIN ledger USING (domain, process_name) GROUP BY ALL""",
 )
 def _(spark, sf):
-    rows = L.node_details(V.ledger_table(spark, sf), SITE_SUITE, by=BY).select(*_KEY, F.explode("children").alias("c"))
-    return rows.select(*_KEY, F.col("c.timeperiod").alias("child"), F.col("c.state").alias("state"))
+    return L.state_matrix_wide(V.ledger(spark, sf), SITE_SUITE, P.DAILY, V.SPINE_START, V.LEDGER_NOW, by=BY)
 
 
 _KINDS = "CASE c_mktsegment WHEN 'MACHINERY' THEN 'daemon' ELSE 'managed' END"
@@ -505,7 +584,7 @@ _TRIGGERS = ", ".join(f"('{n}', {SITE_SUITE.processes[n].trigger.split()[1]})" f
 
 @query(
     "process_overview",
-    f"""WITH {_NEXT}, {_candidates(_OVERVIEW_SINCE)}, {_TRIAGE.format(source='cand', now='2024-01-20 12:30:00')}, q AS (SELECT domain, process_name, string_agg(timeperiod, ',' ORDER BY timeperiod) AS queue FROM
+    f"""WITH {_next('ledger')}, {_candidates(_OVERVIEW_SINCE)}, {_TRIAGE.format(source='cand', now='2024-01-20 12:30:00')}, q AS (SELECT domain, process_name, string_agg(timeperiod, ',' ORDER BY timeperiod) AS queue FROM
           (SELECT DISTINCT domain, process_name, timeperiod FROM tri WHERE action = 'resubmit') GROUP BY 1, 2)
         , trig(process_name, seconds) AS (VALUES {_TRIGGERS})
         SELECT u.domain, u.process_name, strftime({_NOW} + to_seconds(t.seconds), '%Y%m%d%H%M%S') AS next_trigger, u.tp AS next_timeperiod, coalesce(q.queue, '') AS reprocessing_queue, p.blocking_type,
@@ -514,7 +593,7 @@ _TRIGGERS = ", ".join(f"('{n}', {SITE_SUITE.processes[n].trigger.split()[1]})" f
 )
 def _(spark, sf):
     out = L.process_overview(
-        V.ledger_table(spark, sf), V.attempts_of(spark, sf), SITE_SUITE, V.LEDGER_NOW, since=_OVERVIEW_SINCE, by=BY
+        V.ledger_table(spark, sf), V.attempts_of(spark, sf), SITE_SUITE, V.LEDGER_NOW, since=_OVERVIEW_SINCE, by=BY, start=V.SPINE_START
     )
     return out.select(
         "domain", "process_name", P.to_period(P.REAL_TIME, "next_trigger").alias("next_trigger"), "next_timeperiod", F.array_join("reprocessing_queue", ",").alias("reprocessing_queue"),

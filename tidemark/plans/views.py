@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import period as P
 from tidemark.functions import states as S
 from tidemark.operators import sessions as SE
+from tidemark.operators.spine import period_spine
 from tidemark.plans.catalog import SITE_SUITE
 from tidemark.sources.shared import fresh_dir
 
@@ -147,6 +148,25 @@ def ledger_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def dense_ledger_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger with rows in nearly all buckets up to its clock, written once: what it lacks needs no work, and one in 37 stays a gap."""
+    rows = ledger_table(spark, sf_dir).select("domain", "process_name", "time_qualifier", "timeperiod", "state", "number_of_failures")
+    spine = period_spine(entities(spark, sf_dir), SITE_SUITE, SPINE_START, LEDGER_NOW)
+    lacking = spine.join(rows, ["domain", "process_name", "timeperiod"], "left_anti").where("cast(substring(timeperiod, 5, 6) as int) % 37 <> 0")
+    filled = lacking.select("domain", "process_name", "time_qualifier", "timeperiod", F.lit(S.NOOP).alias("state"), F.lit(0).cast("bigint").alias("number_of_failures"))
+    path = fresh_dir(spark, "dense-ledger")
+    rows.unionByName(filled).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def bucket_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as the log of their hour's and their month's bucket."""
+    events = table(spark, sf_dir, "events")
+    entry = "struct('{0}' as process_name, {1} as timeperiod)"
+    parts = ", ".join(entry.format(n, _bucket(n, _HOUR)) for n in ("site_hourly", "site_monthly"))
+    return events.selectExpr("concat('domain_', user_id div 10) as domain", "ts as logged_at", "concat(event_type, ' ', event_id) as message", f"inline(array({parts}))")
+
+
 def attempts(events: DataFrame) -> DataFrame:
     """One attempt per event; works on a table and on a stream."""
     names = ", ".join(f"'{p}'" for p in PROCESS_ORDER)
