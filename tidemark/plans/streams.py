@@ -11,7 +11,7 @@ from tidemark.plans import views as V
 from tidemark.plans.catalog import SITE_SUITE
 from tidemark.plans.registry import query
 from tidemark.sources import envelope, shared
-from tidemark.streaming import buckets, live
+from tidemark.streaming import buckets, cascade, live
 from tidemark.streaming import sessions as SS
 
 
@@ -94,6 +94,44 @@ def _(spark, sf):
     return buckets.read_final(spark, P.DAILY, base)
 
 
+_CASCADE = "domain string, hits long, pageviews long, timeperiod string"
+
+
+def _cascade(spark, events, name: str) -> str:
+    base = shared.fresh_dir(spark, name)
+    measures = {"hits": F.count(F.lit(1)), "pageviews": F.count_if("is_page_view")}
+    _run(cascade.stream_cascade(V.hits(events), base, measures=measures))
+    return base
+
+
+_LEVEL_SQL = (
+    "SELECT '{q}' AS time_qualifier, domain, strftime(ts, '{pattern}') AS timeperiod, count(*) AS hits, "
+    "count(*) FILTER (WHERE is_page_view) AS pageviews FROM hits {where} GROUP BY domain, strftime(ts, '{pattern}')"
+)
+_LEVEL_PATTERNS = ((P.HOURLY, "%Y%m%d%H", "hour"), (P.DAILY, "%Y%m%d00", "day"), (P.MONTHLY, "%Y%m0000", "month"), (P.YEARLY, "%Y000000", "year"))
+
+
+@query("stream_cascade", " UNION ALL ".join(_LEVEL_SQL.format(q=q, pattern=p, where="") for q, p, _ in _LEVEL_PATTERNS))
+def _(spark, sf):
+    """All levels of a stream most of whose rows are late, each rebuilt from the next finer one."""
+    base = _cascade(spark, V.event_stream(spark, sf), "stream-cascade")
+    out = [cascade.read_level(spark, base, q, _CASCADE).withColumn("time_qualifier", F.lit(q)) for q in cascade.LEVELS]
+    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
+
+
+@query(
+    "stream_closed_once",
+    " UNION ALL ".join(
+        _LEVEL_SQL.format(q=q, pattern=p, where=f"WHERE date_trunc('{unit}', ts) + INTERVAL 1 {unit} <= (SELECT max(ts) FROM hits) - INTERVAL 5 MINUTE")
+        for q, p, unit in _LEVEL_PATTERNS
+    ),
+)
+def _(spark, sf):
+    """What a stream in time order emits as its buckets close: each of them once, complete."""
+    base = _cascade(spark, V.event_stream(spark, sf, in_order=True), "stream-closed")
+    return cascade.read_emitted(spark, base).drop("batch")
+
+
 @query(
     "stream_throughput",
     """SELECT strftime(date_trunc('minute', ts), '%Y%m%d%H%M%S') AS tick, count(*) FILTER (WHERE event_type <> 'error') AS success,
