@@ -28,30 +28,31 @@ PERCENT = 5
 SEED = 42
 #: Words are runs of digits, lower-case letters and bytes above ASCII; A-Z is lower-cased, all else separates.
 _FOLD = bytes(b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
-#: At the start of each word: it, and with the one or two words that follow. Lookarounds hold both borders.
-_GRAMS = regex.compile(rb"(?<![^ ])([^ ]++)( [^ ]++)?+( [^ ]++)?+(?![^ ])")
+#: After each space: the word there, and with the one or two words that follow. The space in front is the
+#: left border, literal so that the search skips from one to the next; a lookaround holds the right one.
+_GRAMS = regex.compile(rb" ([^ ]++)( [^ ]++)?+( [^ ]++)?+(?![^ ])")
 
 
 def collapsed(text: bytes) -> bytes:
-    """The words of a text, in lower case, with single spaces between."""
-    return b" ".join(text.translate(_FOLD).split())
+    """The words of a text, in lower case, each behind a single space."""
+    words = text.translate(_FOLD).split()
+    return b" " + b" ".join(words) if words else b""
 
 
-def gram_buckets(text: bytes, buckets: int = BUCKETS) -> tuple[int, array]:
+def gram_buckets(text: bytes, buckets: int = BUCKETS) -> tuple[int, np.ndarray]:
     """The number of words, and the bucket of each run of one to three words."""
-    found = array("H")
-    add, words = found.append, 0
-    for match in _GRAMS.finditer(collapsed(text), overlapped=True):
+    found = array("I")
+    add, words = found.append, collapsed(text)
+    for match in _GRAMS.finditer(words, overlapped=True):
         one, two, three = match.groups()
         h = crc32(one)
-        add(h % buckets)
-        words += 1
+        add(h)
         if two is not None:
             h = crc32(two, h)
-            add(h % buckets)
+            add(h)
             if three is not None:
-                add(crc32(three, h) % buckets)
-    return words, found
+                add(crc32(three, h))
+    return words.count(b" "), (np.frombuffer(found, np.uint32) % np.uint32(buckets)).astype(np.uint16)
 
 
 _SCANNED = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("buckets", T.BinaryType())])
