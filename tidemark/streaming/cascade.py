@@ -2,13 +2,14 @@
 
 A micro-batch adds to the hours that its rows fall in, however late they are. The day of each such hour
 is then summed from its hours, the month from its days and the year from its months: only what a
-change reaches is read and written. A rebuilt bucket goes to a folder of its own, named by the batch,
-and no folder is ever written over, so what a batch does not touch keeps its files.
+change reaches is read and written. Buckets that are summed together share a folder: the hours of a day,
+the days of a month, the months of a year. A folder that changes is written anew under the batch's
+number and none is ever written over, so what a batch does not touch keeps its files.
 
 Under ``base`` lie::
 
-    <level>/batch=N/timeperiod=T   rows of a bucket as batch N left it
-    ledger/batch=N                 every bucket so far: the batch that last built it, the batch that closed it
+    <level>/batch=N/folder=F       the buckets of a folder as batch N left them
+    ledger/batch=N                 every bucket so far: the batch that last changed it, the batch that closed it
     emitted/batch=N                rows of the buckets that batch N closed, each bucket once in a stream's life
     corrected/batch=N              buckets that batch N built anew although they had been closed before
 
@@ -24,6 +25,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from tidemark.functions import period as P
 from tidemark.streaming import live
@@ -32,7 +34,10 @@ LEVELS = (P.HOURLY, P.DAILY, P.MONTHLY, P.YEARLY)
 LATENESS_MINUTES = 5  # Fixed value: lateness allowed before a bucket closes.
 LEDGER = "time_qualifier string, timeperiod string, version long, closed_in long, newest_ts timestamp_ntz"
 
-Versions = list[tuple[str, int]]  # bucket and the batch that built it
+FOLDERS = {P.HOURLY: P.DAILY, P.DAILY: P.MONTHLY, P.MONTHLY: P.YEARLY, P.YEARLY: P.YEARLY}
+_DIGITS = {P.DAILY: 8, P.MONTHLY: 6, P.YEARLY: 4}
+
+Versions = list[tuple[str, int]]  # folder and the batch that wrote it
 
 
 def _folder(spark: SparkSession, path: str):
@@ -60,20 +65,31 @@ def _ledger(spark: SparkSession, base: str, before: int | None = None) -> DataFr
     return spark.read.schema(LEDGER).parquet(f"{base}/ledger/batch={known[-1]}")
 
 
-def _held(spark: SparkSession, base: str, level: str, versions: Versions, schema: str) -> DataFrame:
-    """Rows of the named buckets; only their folders are listed and read."""
+def _held(spark: SparkSession, base: str, level: str, versions: Versions, schema: StructType) -> DataFrame:
+    """Rows of the named folders; no other is listed or read."""
     if not versions:
         return spark.createDataFrame([], schema)
-    paths = [f"{base}/{level}/batch={v}/timeperiod={tp}" for tp, v in versions]
-    return spark.read.schema(schema).option("basePath", f"{base}/{level}").parquet(*paths).drop("batch")
+    paths = [f"{base}/{level}/batch={v}/folder={folder}" for folder, v in versions]
+    return spark.read.schema(schema).parquet(*paths)
+
+
+def _folders(ledger: DataFrame) -> dict[str, dict[str, int]]:
+    """The newest version of every folder, by level."""
+    folder = F.lit(None).cast("string")
+    for level in LEVELS:
+        folder = F.when(F.col("time_qualifier") == level, P.coarsen_period(FOLDERS[level], "timeperiod")).otherwise(folder)
+    out: dict[str, dict[str, int]] = {level: {} for level in LEVELS}
+    for level, name, version in ledger.groupBy("time_qualifier", folder.alias("folder")).agg(F.max("version")).collect():
+        out[level][name] = version
+    return out
 
 
-def _of(ledger: DataFrame, level: str, parents: str | None = None, buckets: Iterable[str] = ()) -> Versions:
-    """Versions of a level's buckets: all, or those that are or lie in ``buckets`` of level ``parents``."""
-    rows = ledger.where(F.col("time_qualifier") == level)
-    if parents:
-        rows = rows.where(P.coarsen_period(parents, "timeperiod").isin(*buckets))
-    return [tuple(r) for r in rows.select("timeperiod", "version").collect()]
+def _some(versions: dict[str, int], folders: Iterable[str]) -> Versions:
+    return [(f, versions[f]) for f in folders if f in versions]
+
+
+def _coarser(level: str, buckets: Iterable[str]) -> list[str]:
+    return sorted({tp[: _DIGITS[level]].ljust(10, "0") for tp in buckets})
 
 
 class Cascade:
@@ -96,20 +112,20 @@ class Cascade:
             return
         schema = added.drop(live.NEWEST).schema
         changed: list[tuple[str, str, int]] = []
-        finer: list[str] = []
+        versions = _folders(known)
+        rows, touched = added.drop(live.NEWEST), [r[0] for r in added.select("timeperiod").distinct().collect()]
         for depth, level in enumerate(LEVELS):
-            if depth == 0:
-                touched = [r[0] for r in added.select("timeperiod").distinct().collect()]  # hours: bounded by the calendar
-                rows = added.drop(live.NEWEST).unionByName(_held(spark, base, level, _of(known, level, level, touched), schema))
-            else:
-                below = LEVELS[depth - 1]
-                touched = sorted({_coarser(level, tp) for tp in finer})
-                versions = dict(_of(known, below, level, touched)) | {tp: batch_id for tp in finer}
-                rows = _held(spark, base, below, sorted(versions.items()), schema).withColumn("timeperiod", P.coarsen_period(level, "timeperiod"))
+            if depth:
+                finer = _held(spark, base, LEVELS[depth - 1], [(f, batch_id) for f in folders], schema)
+                touched = _coarser(level, touched)
+                rows = finer.withColumn("timeperiod", P.coarsen_period(level, "timeperiod")).where(F.col("timeperiod").isin(*touched))
+            folders = _coarser(FOLDERS[level], touched)
+            before = _held(spark, base, level, _some(versions[level], folders), schema)
+            # hours grow by what the batch brings; a coarser bucket is summed anew, and its like in the folder stay
+            rows = rows.unionByName(before if depth == 0 else before.where(~F.col("timeperiod").isin(*touched)))
             sums = rows.groupBy(*self.keys, "timeperiod").agg(*[F.sum(n).cast(schema[n].dataType).alias(n) for n in self.measures])
-            self._put(sums, f"{base}/{level}/batch={batch_id}")
+            self._put(sums.select(*schema.names), level, batch_id)
             changed += [(level, tp, batch_id) for tp in touched]
-            finer = touched
         ledger = self._close(spark, known, changed, max(newest), batch_id)
         self._emit(spark, ledger, batch_id, schema)
         for old in _batches(spark, f"{base}/delta"):
@@ -118,8 +134,9 @@ class Cascade:
         for old in _batches(spark, f"{base}/ledger")[:-2]:
             _remove(spark, f"{base}/ledger/batch={old}")
 
-    def _put(self, rows: DataFrame, path: str) -> None:
-        rows.hint("rebalance", F.col("timeperiod")).write.mode("overwrite").partitionBy("timeperiod").parquet(path)
+    def _put(self, rows: DataFrame, level: str, batch_id: int) -> None:
+        placed = rows.withColumn("folder", P.coarsen_period(FOLDERS[level], "timeperiod")).hint("rebalance", F.col("folder"))
+        placed.write.mode("overwrite").partitionBy("folder").parquet(f"{self.base}/{level}/batch={batch_id}")
 
     def _close(self, spark: SparkSession, known: DataFrame, changed: list, newest, batch_id: int) -> DataFrame:
         fresh = spark.createDataFrame(changed, "time_qualifier string, timeperiod string, version long")
@@ -132,21 +149,20 @@ class Cascade:
         one.withColumns({"closed_in": closed, live.NEWEST: clock}).coalesce(1).write.mode("overwrite").parquet(path)
         return spark.read.schema(LEDGER).parquet(path)
 
-    def _emit(self, spark: SparkSession, ledger: DataFrame, batch_id: int, schema) -> None:
+    def _emit(self, spark: SparkSession, ledger: DataFrame, batch_id: int, schema: StructType) -> None:
         due = ledger.where(F.col("closed_in") == batch_id)
-        parts = [_held(spark, self.base, level, _of(due, level), schema).withColumn("time_qualifier", F.lit(level)) for level in LEVELS]
-        out = parts[0]
-        for part in parts[1:]:
-            out = out.unionByName(part)
-        out.write.mode("overwrite").parquet(f"{self.base}/emitted/batch={batch_id}")
+        out = spark.createDataFrame([], schema).withColumn("time_qualifier", F.lit(""))
+        newest, closing = _folders(ledger), _folders(due)
+        for level in LEVELS:
+            if closing[level]:
+                rows = _held(spark, self.base, level, _some(newest[level], closing[level]), schema)
+                out = out.unionByName(rows.withColumn("time_qualifier", F.lit(level)))
+        closed = out.join(due.select("time_qualifier", "timeperiod"), ["time_qualifier", "timeperiod"], "left_semi")
+        closed.select(*schema.names, "time_qualifier").write.mode("overwrite").parquet(f"{self.base}/emitted/batch={batch_id}")
         again = ledger.where((F.col("version") == batch_id) & (F.col("closed_in") < batch_id))
         again.select("time_qualifier", "timeperiod").coalesce(1).write.mode("overwrite").parquet(f"{self.base}/corrected/batch={batch_id}")
 
 
-def _coarser(level: str, tp: str) -> str:
-    return tp[: {P.DAILY: 8, P.MONTHLY: 6, P.YEARLY: 4}[level]].ljust(10, "0")
-
-
 def stream_cascade(
     stream: DataFrame,
     base: str,
@@ -167,9 +183,9 @@ def stream_cascade(
 
 
 def read_level(spark: SparkSession, base: str, q: str, schema: str) -> DataFrame:
-    """Every bucket of a level as of the last finished batch; ``schema`` names all columns, ``timeperiod`` last."""
+    """Every bucket of a level as of the last finished batch; ``schema`` names its columns."""
     level = P.qualifier(q)
-    return _held(spark, base, level, _of(_ledger(spark, base), level), schema)
+    return _held(spark, base, level, list(_folders(_ledger(spark, base))[level].items()), spark.createDataFrame([], schema).schema)
 
 
 def read_emitted(spark: SparkSession, base: str) -> DataFrame:
@@ -183,18 +199,18 @@ def read_corrected(spark: SparkSession, base: str) -> DataFrame:
 
 
 def vacuum(spark: SparkSession, base: str) -> int:
-    """Remove bucket folders that neither of the last two ledgers names; the older one serves a replay of the last batch."""
+    """Remove folders that neither of the last two ledgers names; the older one serves a replay of the last batch."""
     kept: set[tuple[str, str, int]] = set()
     for batch in _batches(spark, f"{base}/ledger")[-2:]:
-        rows = spark.read.schema(LEDGER).parquet(f"{base}/ledger/batch={batch}").select("time_qualifier", "timeperiod", "version")
-        kept |= {tuple(r) for r in rows.collect()}
+        ledger = spark.read.schema(LEDGER).parquet(f"{base}/ledger/batch={batch}")
+        kept |= {(level, *version) for level, held in _folders(ledger).items() for version in held.items()}
     gone = 0
     for level in LEVELS:
         for batch in _batches(spark, f"{base}/{level}"):
             folder, fs = _folder(spark, f"{base}/{level}/batch={batch}")
             for status in fs.listStatus(folder):
-                tp = status.getPath().getName().removeprefix("timeperiod=")
-                if status.isDirectory() and (level, tp, batch) not in kept:
+                name = status.getPath().getName().removeprefix("folder=")
+                if status.isDirectory() and (level, name, batch) not in kept:
                     fs.delete(status.getPath(), True)
                     gone += 1
     return gone
