@@ -1,4 +1,6 @@
 import random
+import time
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -95,3 +97,69 @@ def test_odd_rows(spark, pages):
     found = {r["page_id"]: r["found"] for r in out}
     assert len(out) == len(rows) and found[100] == found[101] == "" and found[0] == "\n\n".join(pages[0][2])
     assert H.main_text(df.where("false")).count() == 0
+
+
+def test_deep_and_long_pages(pages):
+    """Deep nesting costs time in proportion, also where an open paragraph or cell lies far above; long pages come whole."""
+    model = H.fit([p[1] for p in pages[:25]], layouts=2)
+    for page in ("<div>" * 16_000, "<p><table><td>" + "<div>" * 16_000, "<b>" * 16_000 + "</i>" * 16_000, "<li>" * 16_000, "<ul><li>" * 8_000):
+        began = time.process_time()
+        parse(page + "text")
+        assert time.process_time() - began < 1.5
+        model.text(page + "text")
+    title, *body = pages[0][2]
+    long = [" ".join([t] * 9000) for t in body]
+    page = f"<html><body><nav><ul><li><a>Menu.</a></ul></nav><article><h1>{title}</h1>{''.join(f'<p>{t}</p>' for t in long)}</article><footer>The end.</footer>"
+    assert len(page) > 1_000_000 and model.text(page) == "\n\n".join([title, *long])
+
+
+def slow_article(page):
+    """The blocks inside the one article element of a plain page, read with the standard library's parser."""
+
+    class Reader(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.inside, self.out, self.run, self.skip = 0, [], "", 0
+
+        def flush(self):
+            if self.run.split():
+                self.out.append(" ".join(self.run.split()))
+            self.run = ""
+
+        def handle_starttag(self, tag, attrs):
+            if tag in ("p", "h1", "h2", "li", "ul", "article", "nav", "footer"):
+                self.flush()
+            self.inside += tag == "article"
+            self.skip += tag in ("script", "style")
+
+        def handle_endtag(self, tag):
+            if tag in ("p", "h1", "h2", "li", "ul", "article", "nav", "footer"):
+                self.flush()
+            self.inside -= tag == "article"
+            self.skip -= tag in ("script", "style")
+
+        def handle_data(self, data):
+            if self.inside and not self.skip:
+                self.run += data
+
+    reader = Reader()
+    reader.feed(page)
+    return "\n\n".join(reader.out)
+
+
+def test_whole_pages_against_another_parser(pages):
+    """Text of whole pages whose article is marked: markup, references and scripts inside, menus and footers around."""
+    model = H.fit([p[1] for p in pages[:25]], layouts=2)
+    rng = random.Random(3)
+    for _, _, article in pages[25:]:
+        inside = "".join(
+            f"<p>{' '.join(rng.choice(('{}', '<b>{}</b>', '<i>{}</i>', '{}&amp;x', '{}&eacute;', '{}<script>var a = 1;</script>')).format(w) for w in t.split(' '))}</p>\n" for t in article[1:]
+        )
+        page = f"<html><body><nav><ul><li><a>Home</a></li><li><a>News</a></li></ul></nav><article><h1>{article[0]}</h1>{inside}</article><footer><p>Imprint</p></footer></body></html>"
+        assert model.text(page) == slow_article(page)
+
+
+def test_pages_are_scored_alike_alone_and_together(pages):
+    model = H.fit([p[1] for p in pages[:25]], layouts=2)
+    given = [p[1] for p in pages] * 8
+    assert list(model.texts(given)) == [model.text(p) for p in given]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 _TAG = re.compile(
@@ -23,12 +24,15 @@ BLOCKS = frozenset(
 CLOSES_P = BLOCKS - frozenset("body html frameset caption tbody td tfoot th thead tr dd dt li legend".split()) | {"dd", "dt", "li"}
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
+_RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I) for tag in RAW}
 UNSEEN = frozenset("head noscript template svg math object select button datalist audio video canvas".split())
+P_ENDS = ("td", "th", "caption", "button", "table")
 SIBLINGS = {
     "li": ("li", "ul ol menu dir"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"),
     "td": ("td th", "tr table"), "th": ("td th", "tr table"), "tbody": ("tbody thead tfoot tr td th", "table"),
     "tfoot": ("tbody thead tr td th", "table"), "thead": ("tbody tr td th", "table"),
 }
+SIBLINGS = {tag: (names.split(), until.split()) for tag, (names, until) in SIBLINGS.items()}
 
 
 @dataclass
@@ -58,6 +62,8 @@ def parse(page: str) -> list[Node]:
     """
     nodes = [Node("#page", -1, 0)]
     stack: list[tuple[str, int]] = [("#page", 0)]  # open elements; an inline one has its block's node
+    places: dict[str, list[int]] = {}  # where in the stack each open element stands, by name
+    blocks: list[int] = []  # and where the blocks do
     run: list[tuple[str, bool]] = []
     links = unseen = 0
 
@@ -71,23 +77,32 @@ def parse(page: str) -> list[Node]:
                 nodes.append(Node("#text", at, nodes[at].depth + 1, (), text, linked))
             run.clear()
 
+    def enter(tag: str, node: int) -> None:
+        places.setdefault(tag, []).append(len(stack))
+        if tag in BLOCKS:
+            blocks.append(len(stack))
+        stack.append((tag, node))
+
     def leave(k: int) -> None:
         nonlocal links, unseen
-        if any(t in BLOCKS for t, _ in stack[k:]):
+        if blocks and blocks[-1] >= k:
             flush()
         for t, _ in stack[k:]:
             links -= t == "a"
             unseen -= t in UNSEEN
+            places[t].pop()
+        while blocks and blocks[-1] >= k:
+            blocks.pop()
         del stack[k:]
 
-    def close_among(names: frozenset | set, until: frozenset | set) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k][0] in until:
-                return
-            if stack[k][0] in names:
-                leave(k)
-                # one of several nested cells or rows may remain
-                return close_among(names, until)
+    def last(names: Iterable[str]) -> int:
+        """Where the innermost open element of these names stands; 0 if there is none."""
+        return max((places[n][-1] for n in names if places.get(n)), default=0)
+
+    def close_among(names: Iterable[str], until: Iterable[str]) -> None:
+        # one of several nested cells or rows may remain
+        while (k := last(names)) > last(until):
+            leave(k)
 
     at = 0
     while True:
@@ -109,40 +124,36 @@ def parse(page: str) -> list[Node]:
                 break
             at = end + 1
         if m[1]:
-            if tag == "br" or tag == "p" and not any(t == "p" for t, _ in stack):
+            if tag == "br" or tag == "p" and not places.get("p"):
                 run.append((" ", links > 0))
                 continue
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    leave(k)
-                    break
-                if tag not in BLOCKS and tag not in UNSEEN and stack[k][0] in BLOCKS:
-                    break
+            k = last((tag,))
+            if k and (tag in BLOCKS or tag in UNSEEN or not blocks or blocks[-1] < k):
+                leave(k)
             continue
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(page, at)
+            end = _RAW_END[tag].search(page, at)
             at = end.end() if end else len(page)
             continue
-        if tag == "body" or tag in BLOCKS and unseen and any(t == "head" for t, _ in stack):
-            close_among({"head"}, set())
+        if tag == "body" or tag in BLOCKS and unseen and places.get("head"):
+            close_among(("head",), ())
         if tag in SIBLINGS:
-            names, until = SIBLINGS[tag]
-            close_among(frozenset(names.split()), frozenset(until.split()))
-        if tag in CLOSES_P:
-            close_among({"p"}, frozenset("td th caption button table".split()))
+            close_among(*SIBLINGS[tag])
+        if tag in CLOSES_P and places.get("p"):
+            close_among(("p",), P_ENDS)
         if tag in BLOCKS:
             flush()
-            if tag in VOID or tag in ("html", "body") and any(t == tag for t, _ in stack):
+            if tag in VOID or tag in ("html", "body") and places.get(tag):
                 continue
             parent = stack[-1][1]
             nodes[parent].children.append(len(nodes))
-            stack.append((tag, len(nodes)))
+            enter(tag, len(nodes))
             nodes.append(Node(tag, parent, nodes[parent].depth + 1, name_tokens(m[3])))
         elif tag in VOID:
             if tag in ("br", "img", "input", "wbr"):
                 run.append(("" if tag == "wbr" else " ", links > 0))
         elif not m[3].endswith("/") or tag == "a":
-            stack.append((tag, stack[-1][1]))
+            enter(tag, stack[-1][1])
             links += tag == "a"
             unseen += tag in UNSEEN
     flush()

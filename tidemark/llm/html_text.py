@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import html
 import random
-from dataclasses import dataclass
+import re
+from collections import Counter
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -24,52 +27,92 @@ MAX_TOKENS = 110
 TAGS = "p h1 h2 h3 li ul ol div section article main nav header footer aside form table td figure figcaption blockquote pre dl body".split()
 ABOVE = "article main nav header footer aside form section table ul figure".split()
 NUMBERS = 16
+AT_ONCE = 10_000  # nodes that are scored together
 
 
 @dataclass(frozen=True)
 class Model:
     trees: Trees
-    tokens: dict[str, int]
-
-    def features(self, nodes: list[Node]) -> np.ndarray:
-        return node_features(nodes, self.tokens)
+    tokens: dict[str, int]  # those that the trees ask for
+
+    def texts(self, pages: Iterable[str]) -> Iterator[str]:
+        """The article of each page. Pages are scored together, up to ``AT_ONCE`` nodes or one long page."""
+        held, size = [], 0
+        for page in pages:
+            held.append(parse(page))
+            size += len(held[-1])
+            if size >= AT_ONCE:
+                yield from self._articles(held)
+                held, size = [], 0
+        if held:
+            yield from self._articles(held)
 
     def text(self, page: str) -> str:
-        nodes = parse(page)
-        leaves = [i for i, n in enumerate(nodes) if n.text is not None]
-        if not leaves:
-            return ""
-        kept = decode(nodes, self.trees.logits(self.features(nodes)))
-        return "\n\n".join(nodes[i].text for i in leaves if kept[i])
+        return next(self.texts([page]))
+
+    def _articles(self, pages: list[list[Node]]) -> Iterator[str]:
+        logits = self.trees.logits(np.concatenate([node_features(nodes, self.tokens) for nodes in pages]))
+        at = 0
+        for nodes in pages:
+            kept = decode(nodes, logits[at : at + len(nodes)])
+            at += len(nodes)
+            yield "\n\n".join(n.text for n, k in zip(nodes, kept) if k and n.text is not None)
+
+
+_STOPS = re.compile("[.,;:!?]")
 
 
 def node_features(nodes: list[Node], tokens: dict[str, int]) -> np.ndarray:
     """Per node: subtree density, depth, siblings, and names of the element and of what it lies in."""
     n = len(nodes)
-    words, linked, chars, stops, leaves, longest, tags = (np.zeros(n) for _ in range(7))
+    words, linked, chars, stops, leaves, longest, tags = ([0] * n for _ in range(7))
     for i in range(n - 1, -1, -1):
         node = nodes[i]
         if node.text is not None:
             words[i] = longest[i] = node.text.count(" ") + 1
             chars[i] = len(node.text)
             linked[i] = node.linked
-            stops[i] = sum(node.text.count(c) for c in ".,;:!?")
+            stops[i] = len(_STOPS.findall(node.text))
             leaves[i] = 1
         else:
             tags[i] += 1
-        if node.parent >= 0:
-            p = node.parent
+        p = node.parent
+        if p >= 0:
             for a in (words, linked, chars, stops, leaves, tags):
                 a[p] += a[i]
-            longest[p] = max(longest[p], longest[i])
+            if longest[i] > longest[p]:
+                longest[p] = longest[i]
+    kids, alike, place, before, after = ([0] * n for _ in range(5))
+    for node in nodes:
+        names = Counter(nodes[c].tag for c in node.children)
+        for at, c in enumerate(node.children):
+            kids[c], alike[c], place[c] = len(node.children), names[nodes[c].tag], at
+            before[c] = words[node.children[at - 1]] if at else 0
+            after[c] = words[node.children[at + 1]] if at + 1 < len(node.children) else 0
     k, m = len(tokens), len(TAGS)
-    x = np.zeros((n, NUMBERS + m + len(ABOVE) + 2 * k), np.float32)
-    tag_at = {t: NUMBERS + i for i, t in enumerate(TAGS)}
-    above_at = {t: NUMBERS + m + i for i, t in enumerate(ABOVE)}
     own, all_up = NUMBERS + m + len(ABOVE), NUMBERS + m + len(ABOVE) + k
-    depth = np.array([v.depth for v in nodes])
+    # columns that are set: of the element itself, and of all that it lies in
+    mine: list[tuple[int, ...]] = [()] * n
+    above: list[frozenset[int]] = [frozenset()] * n
+    rows, columns = [], []
+    for i, node in enumerate(nodes):
+        if i and node.text is not None:  # a run of text goes by the name of its element
+            mine[i], above[i] = mine[node.parent], above[node.parent]
+        elif i:
+            found = [tokens[t] for t in node.tokens if t in tokens]
+            mine[i] = (*_TAG_AT.get(node.tag, ()), *[own + t for t in found])
+            fresh = {*_ABOVE_AT.get(node.tag, ()), *[all_up + t for t in found]}
+            above[i] = above[node.parent] if fresh <= above[node.parent] else above[node.parent] | fresh
+        columns += mine[i]
+        columns += above[i]
+        rows += [i] * (len(mine[i]) + len(above[i]))
+    x = np.zeros((n, all_up + k), np.float32)
+    x[rows, columns] = 1
+    words, linked, chars, stops, leaves, longest, tags, kids, alike, place, before, after = (
+        np.array(a, float) for a in (words, linked, chars, stops, leaves, longest, tags, kids, alike, place, before, after)
+    )
     parent = np.maximum(np.array([v.parent for v in nodes]), 0)
-    x[:, 0] = depth
+    x[:, 0] = [v.depth for v in nodes]
     x[:, 1] = np.log1p(words)
     x[:, 2] = linked / np.maximum(chars, 1)
     x[:, 3] = np.log1p(tags)
@@ -79,36 +122,35 @@ def node_features(nodes: list[Node], tokens: dict[str, int]) -> np.ndarray:
     x[:, 7] = words / np.maximum(words[parent], 1)
     x[:, 8] = np.log1p(words[parent])
     x[:, 9] = words / max(words[0], 1)
+    x[:, 10] = kids
+    x[:, 11] = alike
+    x[:, 12] = place / np.maximum(kids, 1)
+    x[:, 13] = np.log1p(before)
+    x[:, 14] = np.log1p(after)
     x[:, 15] = chars / np.maximum(tags, 1)
-    for i, node in enumerate(nodes):
-        kids = node.children
-        alike: dict[str, int] = {}
-        for c in kids:
-            alike[nodes[c].tag] = alike.get(nodes[c].tag, 0) + 1
-        for at, c in enumerate(kids):
-            x[c, 10] = len(kids)
-            x[c, 11] = alike[nodes[c].tag]
-            x[c, 12] = at / len(kids)
-            x[c, 13] = np.log1p(words[kids[at - 1]]) if at else 0
-            x[c, 14] = np.log1p(words[kids[at + 1]]) if at + 1 < len(kids) else 0
-        if i:
-            row, up = x[i], x[node.parent]
-            row[NUMBERS + m : own] = up[NUMBERS + m : own]
-            row[all_up:] = up[all_up:]
-            if node.text is not None:  # a run of text goes by the name of its element
-                row[NUMBERS : NUMBERS + m] = up[NUMBERS : NUMBERS + m]
-                row[own:all_up] = up[own:all_up]
-            else:
-                if node.tag in tag_at:
-                    row[tag_at[node.tag]] = 1
-                if node.tag in above_at:
-                    row[above_at[node.tag]] = 1
-                for t in node.tokens:
-                    if t in tokens:
-                        row[own + tokens[t]] = row[all_up + tokens[t]] = 1
     return x
 
 
+_TAG_AT = {t: (NUMBERS + i,) for i, t in enumerate(TAGS)}
+_ABOVE_AT = {t: (NUMBERS + len(TAGS) + i,) for i, t in enumerate(ABOVE)}
+
+
+def _narrowed(trees: Trees, tokens: dict[str, int]) -> Model:
+    """Only the tokens that some tree asks for, so that only their columns are filled."""
+    first, k = NUMBERS + len(TAGS) + len(ABOVE), len(tokens)
+    asked = {(f - first) % k for f in trees.feature[np.isfinite(trees.limit)].tolist() if f >= first}
+    kept = {t: i for i, t in enumerate(t for t, at in tokens.items() if at in asked)}
+    to = {at: kept[t] for t, at in tokens.items() if t in kept}
+
+    def moved(f: int, limit: float) -> int:
+        if not np.isfinite(limit):  # an inner node that doesn't split sends all rows left
+            return 0
+        return f if f < first else first + (f - first) // k * len(kept) + to[(f - first) % k]
+
+    feature = np.array([[moved(f, x) for f, x in zip(*row)] for row in zip(trees.feature.tolist(), trees.limit.tolist())], np.int64)
+    return Model(replace(trees, feature=feature), kept)
+
+
 def decode(nodes: list[Node], logits: np.ndarray) -> np.ndarray:
     """The likeliest set of kept nodes in which every kept node's parent is kept."""
     best = np.clip(logits, -8, 8).astype(float)
@@ -262,7 +304,7 @@ def fit(pages: list[str], layouts: int = LAYOUTS, seed: int = 7) -> Model:
     tokens = {t: i for i, t in enumerate(names)}
     x = np.concatenate([node_features(nodes, tokens) for nodes, _ in samples])
     y = np.concatenate([label for _, label in samples])
-    return Model(fit_trees(x, y), tokens)
+    return _narrowed(fit_trees(x, y), tokens)
 
 
 def train(pages: DataFrame, n_pages: int = SAMPLE_PAGES) -> Model:
@@ -288,7 +330,7 @@ def main_text(pages: DataFrame, model: Model | None = None) -> DataFrame:
 
     @F.pandas_udf(T.StringType())
     def extract(html_texts: pd.Series) -> pd.Series:
-        return pd.Series([sent.value.text(h) for h in html_texts], dtype=object)
+        return pd.Series(list(sent.value.texts(html_texts)), dtype=object)
 
     row = pages.select(F.struct(*[F.col(f"`{c}`") for c in pages.columns]).alias("row"))
     return row.select("row", extract(F.coalesce("row.html", F.lit(""))).alias("main_text"))
