@@ -31,3 +31,18 @@ def test_common_lines_deplete_a_document(spark):
 
 def test_empty_table(nothing):
     assert quality.quality_rules(nothing).count() == 0
+
+
+def test_a_line_is_judged_alike_in_small_and_large_hosts(spark):
+    """The same lines in 15 and in 5 documents of a host of 100 and of one of 10 000."""
+    often, seldom = "this line stands in fifteen documents of its host", "this line stands in five documents of its host"
+    rows = []
+    for host, n in (("small", 100), ("large", 10_000)):
+        for i in range(n):
+            me = "".join(chr(97 + int(c)) for c in str(i))  # digits are alike in a normal line
+            own = " ".join(f"{host}{me}{chr(97 + j)}" for j in range(25))
+            rows.append((len(rows), f"{own}\n{often if i < 15 else seldom if i < 20 else own + ' more'}", host))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = quality.quality_rules(docs)
+    got = {(r["host"], r["boiler_words"]): r["count"] for r in out.groupBy("host", "boiler_words").count().collect()}
+    assert got == {("small", 9): 15, ("small", 0): 85, ("large", 9): 15, ("large", 0): 9985}

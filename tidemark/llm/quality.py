@@ -14,9 +14,8 @@ WINDOW = 8  # words
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 SYMBOLS = "#*$%&|<>"
-#: A line is boilerplate if more documents of its host hold it than this number and this share.
+#: A line is boilerplate if more documents of its host hold it than this, however large the host is.
 LINE_DOCS = 10
-LINE_PERCENT = 1
 #: A document is depleted if less than this share of its words is left.
 KEEP_PERCENT = 50
 SALTS = 8
@@ -86,14 +85,12 @@ def figures(docs: DataFrame) -> DataFrame:
 def quality_rules(
     docs: DataFrame,
     line_docs: int = LINE_DOCS,
-    line_percent: float = LINE_PERCENT,
     keep_percent: float = KEEP_PERCENT,
 ) -> DataFrame:
     """Base figures and verdict of every row of ``docs`` (``doc_id, text, source``).
 
     Besides the base rules, lines are counted across documents: a normalised line that more than
-    ``line_docs`` rows of its host hold, and more than ``line_percent`` of the host's rows, is
-    boilerplate. Its words leave the document (``boiler_words``), and a document with less than
+    ``line_docs`` rows of its host hold is boilerplate, in a small host as in a large one. Its words leave the document (``boiler_words``), and a document with less than
     ``keep_percent`` of its words left, or too few, is rejected.
 
     A row is a document, so repeated rows count each. Null text is empty, and fails the base rules;
@@ -104,11 +101,9 @@ def quality_rules(
     rows = written(figures(docs).withColumn("row_id", F.monotonically_increasing_id()), "figures")
     host = F.struct(F.col("host").isNull().alias("none"), F.coalesce("host", F.lit("")).alias("name"))
     held = rows.select("row_id", host.alias("hkey"), F.explode("lines").alias("line")).select("row_id", "hkey", F.col("line.h").alias("h"), F.col("line.n").alias("n"))
-    hosts = rows.groupBy(host.alias("hkey")).agg(F.count(F.lit(1)).alias("host_docs"))
     once = rows.select(host.alias("hkey"), F.explode(F.array_distinct("lines.h")).alias("h"))
     frequent = (
         once.groupBy("hkey", "h").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") > line_docs)
-        .join(hosts, "hkey").where(F.col("docs") * 100 > F.col("host_docs") * line_percent)
         .select("hkey", "h", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     )
     boiler = (
@@ -150,10 +145,7 @@ held as (
   select r, none, host, trim(regexp_replace(regexp_replace(lower(line), '[0-9]+', '0', 'g'), '[\\x20\\x09-\\x0D]+', ' ', 'g'), ' ') as line,
     len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')) as n
   from (select r, none, host, unnest(lines) as line from tokens)),
-hosts as (select none, host, count(*) as docs from docs group by all),
-frequent as (
-  select none, host, line from (select none, host, line, count(distinct r) as c from held group by all) join hosts using (none, host)
-  where c > {LINE_DOCS} and 100 * c > docs * {LINE_PERCENT}),
+frequent as (select none, host, line from held group by all having count(distinct r) > {LINE_DOCS}),
 boiler as (select r, sum(n) as n from held join frequent using (none, host, line) group by r),
 figures as (
   select doc_id, cast(len(w) as bigint) as n_words, cast(length(translate(text, ' \t\n\x0b\x0c\r', '')) as bigint) as word_chars,
