@@ -38,7 +38,7 @@ def test_each_decision_takes_effect(spark):
     texts = [r["text"] for r in once.collect()]
     assert len(texts) == len(set(texts)) < clean.count()
     cut = P.written(P.repeated_passages(spark, once, SF), "cut")
-    removed = {r["doc_id"]: r["n_removed"] for r in remove_repeated_bytes(once).select("row.doc_id", "removal.n_removed").collect()}
+    removed = {r["doc_id"]: r["n_removed"] for r in remove_repeated_bytes(once, words=P.PASSAGE_WORDS).select("row.doc_id", "removal.n_removed").collect()}
     before = {r["doc_id"]: r["text"] for r in once.collect()}
     for r in cut.collect():
         assert (r["text"] == before[r["doc_id"]]) == (removed[r["doc_id"]] == 0) and r["n_chars"] == len(r["text"])
