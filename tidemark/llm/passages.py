@@ -17,7 +17,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import grams as G
@@ -116,21 +116,22 @@ def _signed(a: np.ndarray) -> np.ndarray:
     return a.astype(np.uint64).view(np.int64)
 
 
-def _place(start, count, th):
-    """Start, number of windows and text check in one number; also the order of places in a document."""
-    return (start << 32) | (count << 20) | th
+def _place(start, count):
+    """Start and number of windows in one number; also the order of places in a document."""
+    return (start << 20) | count
 
 
 def _unplace(place):
-    return place >> 32, (place >> 20) & 0xFFF, place & 0xFFFFF
+    return place >> 20, place & 0xFFFFF
 
 
-RUN_SCHEMA = "b long, sh long, doc long, place long"  # a mark is a row with a negative place
-NOTE_SCHEMA = "b long, doc long, place long, kind int"  # 0: marked, 1: its text is asked for
-_RUN = pa.schema([(c, pa.int64()) for c in ("b", "sh", "doc", "place")])
-_NOTE = pa.schema([("b", pa.int64()), ("doc", pa.int64()), ("place", pa.int64()), ("kind", pa.int32())])
-_PART = pa.schema([("b", pa.int64()), ("doc", pa.int64()), ("place", pa.int64()), ("content", pa.binary()), ("h1", pa.int64()), ("h2", pa.int64())])
-PART_SCHEMA = "b long, doc long, place long, content binary, h1 long, h2 long"
+# A text is known by its id and a 64-bit hash of it (``doc, th``), carried whole.
+RUN_SCHEMA = "b long, sh long, doc long, th long, place long"  # a mark is a row with a negative place
+NOTE_SCHEMA = "b long, doc long, th long, place long, kind int"  # 0: marked, 1: its text is asked for
+_RUN = pa.schema([(c, pa.int64()) for c in ("b", "sh", "doc", "th", "place")])
+_NOTE = pa.schema([*[(c, pa.int64()) for c in ("b", "doc", "th", "place")], ("kind", pa.int32())])
+_PART = pa.schema([*[(c, pa.int64()) for c in ("b", "doc", "th", "place")], ("content", pa.binary()), ("h1", pa.int64()), ("h2", pa.int64())])
+PART_SCHEMA = "b long, doc long, th long, place long, content binary, h1 long, h2 long"
 
 
 def _batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
@@ -146,32 +147,33 @@ def _scan(unit: Unit) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
             if not found:
                 continue
             text, start, count, low, hashes = (np.concatenate(c) for c in zip(*found))
-            b, sh, doc = _signed(low), _signed(hashes), ids[text]
-            place = _place(start.astype(np.int64), count.astype(np.int64), checks[text].astype(np.int64))
+            b, sh, doc, th = _signed(low), _signed(hashes), ids[text], checks[text]
+            place = _place(start.astype(np.int64), count.astype(np.int64))
             # runs that this batch holds twice are settled here: one of each goes on
             order = np.argsort(b)
             same = np.zeros(len(b) + 1, bool)
             same[1:-1] = b[order][1:] == b[order][:-1]
             several = order[same[1:] | same[:-1]]
-            several = several[np.lexsort((place[several], doc[several], sh[several], b[several]))]
+            several = several[np.lexsort((th[several], place[several], doc[several], sh[several], b[several]))]
             after = np.zeros(len(several) + 1, bool)
             if len(several):
                 x, y = several[1:], several[:-1]
                 after[1:-1] = (b[x] == b[y]) & (sh[x] == sh[y])
             later = several[after[:-1]]
-            marked = several[after[:-1] | after[1:]] if unit.all_places else later
+            marked, settled = several[after[:-1] | after[1:]] if unit.all_places else later, later
             if not unit.all_places and len(later):
-                # an equal place is the same row again, not an earlier one
+                # an equal place is no earlier one: it is the same row again, or another row with that id, which goes on
                 head = np.maximum.accumulate(np.where(after[:-1], -1, np.arange(len(several))))[after[:-1]]
                 first = several[head]
-                marked = later[(doc[later] != doc[first]) | (place[later] >> 32 != place[first] >> 32)]
+                behind = (doc[later] != doc[first]) | (place[later] >> 20 != place[first] >> 20)
+                marked, settled = later[behind], later[behind | (th[later] == th[first])]
             gone = np.zeros(len(b), bool)
-            gone[later] = True
+            gone[settled] = True
             on = ~gone
-            yield _batch(_RUN, b[on], sh[on], doc[on], place[on])
+            yield _batch(_RUN, b[on], sh[on], doc[on], th[on], place[on])
             if len(marked):
                 spread = _signed(G.mix(doc[marked].astype(np.uint64)))
-                yield _batch(_RUN, spread, np.zeros(len(marked), np.int64), doc[marked], -place[marked] - 1)
+                yield _batch(_RUN, spread, np.zeros(len(marked), np.int64), doc[marked], th[marked], -place[marked] - 1)
 
     return run
 
@@ -180,41 +182,48 @@ def _settle(all_places: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
     """Rows of a bucket come together, sorted by run hash and place; keeps one of them in memory."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = tuple(np.empty(0, np.int64) for _ in range(4))
-        head = None  # b, sh, doc, place of the first run with this hash
+        held = tuple(np.empty(0, np.int64) for _ in range(5))
+        head = None  # b, sh, doc, th, place of the first run with this hash
         waiting = marked = False  # the bucket's first run is not asked for yet; the head is marked
         batches = iter(batches)
         while True:
             batch = next(batches, None)
-            fresh = tuple(np.empty(0, np.int64) for _ in range(4)) if batch is None else tuple(batch[c].to_numpy() for c in ("b", "sh", "doc", "place"))
-            b, sh, doc, place = (np.concatenate(p) for p in zip(held, fresh))
+            fresh = tuple(np.empty(0, np.int64) for _ in range(5)) if batch is None else tuple(batch[c].to_numpy() for c in ("b", "sh", "doc", "th", "place"))
+            columns = tuple(np.concatenate(p) for p in zip(held, fresh))
+            b, place = columns[0], columns[4]
             upto = len(b) if batch is None else max(len(b) - 1, 0)
-            held = (b[upto:], sh[upto:], doc[upto:], place[upto:])
+            held = tuple(c[upto:] for c in columns)
             same = np.zeros(len(b) + 1, bool)
             same[1:-1] = b[1:] == b[:-1]
             if head is not None and len(b):
                 same[0] = head[0] == b[0]
             done = place < 0
             wanted = np.flatnonzero((same[1:] | same[:-1] | done)[:upto])
-            out: list[tuple[int, int, int, int]] = []
-            for vb, vsh, vdoc, vplace in zip(b[wanted].tolist(), sh[wanted].tolist(), doc[wanted].tolist(), place[wanted].tolist()):
+            out: list[tuple[int, int, int, int, int]] = []
+            for row in zip(*(c[wanted].tolist() for c in columns)):
+                vb, vsh, vdoc, vth, vplace = row
                 if vplace < 0:
-                    out.append((0, vdoc, -vplace - 1, 0))
+                    out.append((0, vdoc, vth, -vplace - 1, 0))
                 elif head is None or head[0] != vb:
-                    head, waiting, marked = (vb, vsh, vdoc, vplace), True, False
+                    head, waiting, marked = row, True, False
                 elif head[1] != vsh:
                     if waiting:
-                        out.append((vb, head[2], head[3], 1))
+                        out.append((vb, *head[2:], 1))
                         waiting = False
-                    out.append((vb, vdoc, vplace, 1))
-                    head, marked = (vb, vsh, vdoc, vplace), False
+                    out.append((vb, vdoc, vth, vplace, 1))
+                    head, marked = row, False
                 elif all_places:
-                    out.append((0, vdoc, vplace, 0))
+                    out.append((0, vdoc, vth, vplace, 0))
                     if not marked:
-                        out.append((0, head[2], head[3], 0))
+                        out.append((0, *head[2:], 0))
                         marked = True
-                elif vdoc != head[2] or vplace >> 32 != head[3] >> 32:
-                    out.append((0, vdoc, vplace, 0))
+                elif vdoc != head[2] or vplace >> 20 != head[4] >> 20:
+                    out.append((0, vdoc, vth, vplace, 0))
+                elif vth != head[3]:  # another row with this id, at the same place: its windows are compared as well
+                    if waiting:
+                        out.append((vb, *head[2:], 1))
+                        waiting = False
+                    out.append((vb, vdoc, vth, vplace, 1))
             if out:
                 yield _batch(_NOTE, *zip(*out))
             if batch is None:
@@ -229,17 +238,17 @@ def _fetch(unit: Unit) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
             rows, size = [], 0
             texts = batch["text"].cast(pa.binary())
             for i, asked in enumerate(batch["asked"].to_pylist()):
-                doc = batch["doc"][i].as_py()
+                doc, th = batch["doc"][i].as_py(), batch["th"][i].as_py()
                 places = [_unplace(q["place"]) for q in asked]
-                contents = unit.contents(texts[i].as_py(), [(s, c) for s, c, _ in places], unit.window)
-                for q, (start, _, th), content in zip(asked, places, contents):
+                contents = unit.contents(texts[i].as_py(), places, unit.window)
+                for q, (start, _), content in zip(asked, places, contents):
                     if not q["heavy"]:
-                        rows.append((q["b"], doc, q["place"], content, None, None))
+                        rows.append((q["b"], doc, th, q["place"], content, None, None))
                     else:
                         for k, w in enumerate(unit.windows(content, unit.window)):
                             h = xxhash.xxh3_128_digest(w)
                             h1, h2 = (int.from_bytes(x, "big", signed=True) for x in (h[:8], h[8:]))
-                            rows.append((q["b"], doc, _place(start + k, 1, th), None, h1, h2))
+                            rows.append((q["b"], doc, th, _place(start + k, 1), None, h1, h2))
                     size += len(content)
                 if size > 4_000_000 or len(rows) > 100_000:
                     yield _batch(_PART, *zip(*rows))
@@ -255,23 +264,23 @@ def _compare(unit: Unit, at_once: int = 1 << 20) -> Callable[[Iterator[pa.Record
 
     def marks(rows: list) -> pa.RecordBatch | None:
         out = []
-        placed = [(r[3], r[1], *_unplace(r[2])) for r in rows]
-        for (_, doc, start, _, th), hit in zip(placed, unit.repeated([(c, d, s) for c, d, s, _, _ in placed], unit.window)):
+        starts = [_unplace(r[3])[0] for r in rows]
+        for (_, doc, th, _, _), start, hit in zip(rows, starts, unit.repeated([(r[4], r[1], s) for r, s in zip(rows, starts)], unit.window)):
             edges = np.flatnonzero(np.diff(hit.view(np.int8), prepend=np.int8(0), append=np.int8(0))).tolist()
-            out += [(0, doc, _place(start + x, y - x, th), 0) for x, y in zip(edges[::2], edges[1::2])]
+            out += [(0, doc, th, _place(start + x, y - x), 0) for x, y in zip(edges[::2], edges[1::2])]
         return _batch(_NOTE, *zip(*out)) if out else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list = []
         size, now = 0, None
         for batch in batches:
-            for row in zip(*(batch[c].to_pylist() for c in ("b", "doc", "place", "content"))):
+            for row in zip(*(batch[c].to_pylist() for c in ("b", "doc", "th", "place", "content"))):
                 if size > at_once and row[0] != now:
                     if (found := marks(rows)) is not None:
                         yield found
                     rows, size = [], 0
                 rows.append(row)
-                size += len(row[3])
+                size += len(row[4])
                 now = row[0]
         if rows and (found := marks(rows)) is not None:
             yield found
@@ -280,15 +289,9 @@ def _compare(unit: Unit, at_once: int = 1 << 20) -> Callable[[Iterator[pa.Record
 
 
 def doc_keys(docs: DataFrame) -> DataFrame:
-    """``doc`` and ``th``: the id as a number, null last, and a check of the text for ids held twice."""
+    """``doc`` and ``th``: the id as a number, null last, and a 64-bit hash of the text, for ids held twice or missing."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.withColumns(
-        {"doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "th": F.xxhash64(text).bitwiseAND(F.lit(0xFFFFF)).cast("int")}
-    )
-
-
-def _check(place: str = "place") -> Column:
-    return F.col(place).bitwiseAND(F.lit(0xFFFFF)).cast("int").alias("th")
+    return docs.withColumns({"doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "th": F.xxhash64(text)})
 
 
 def marked_runs(docs: DataFrame, unit: Unit, name: str, bucket_runs: int = BUCKET_RUNS) -> DataFrame:
@@ -298,36 +301,37 @@ def marked_runs(docs: DataFrame, unit: Unit, name: str, bucket_runs: int = BUCKE
     """
     given = doc_keys(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))).select("doc", "th", "text")
     runs = given.mapInArrow(_scan(unit), RUN_SCHEMA)
-    notes = runs.repartition("b").sortWithinPartitions("b", "sh", "doc", "place").mapInArrow(_settle(unit.all_places), NOTE_SCHEMA)
+    notes = runs.repartition("b").sortWithinPartitions("b", "sh", "doc", "place", "th").mapInArrow(_settle(unit.all_places), NOTE_SCHEMA)
     notes = written(notes, f"{name}-notes")
-    asked = notes.where("kind = 1").select("b", "doc", "place")
+    asked = notes.where("kind = 1").select("b", "doc", "th", "place").distinct()  # repeated rows ask once
     heavy = asked.groupBy("b").count().where(F.col("count") > bucket_runs).select("b", F.lit(True).alias("heavy"))
     asked = asked.join(heavy, "b", "left").withColumn("heavy", F.coalesce("heavy", F.lit(False)))
-    by_doc = asked.groupBy("doc", _check()).agg(F.collect_list(F.struct("b", "place", "heavy")).alias("asked"))
-    parts = given.join(by_doc, ["doc", "th"]).select("doc", "text", "asked").mapInArrow(_fetch(unit), PART_SCHEMA)
+    by_doc = asked.groupBy("doc", "th").agg(F.collect_list(F.struct("b", "place", "heavy")).alias("asked"))
+    parts = given.join(by_doc, ["doc", "th"]).select("doc", "th", "text", "asked").mapInArrow(_fetch(unit), PART_SCHEMA)
     parts = written(parts, f"{name}-parts")
     compared = (
-        parts.where("content is not null").select("b", "doc", "place", "content")
-        .repartition("b").sortWithinPartitions("b", "doc", "place")
+        parts.where("content is not null").select("b", "doc", "th", "place", "content")
+        .repartition("b").sortWithinPartitions("b", "doc", "place", "th")
         .mapInArrow(_compare(unit), NOTE_SCHEMA)
     )
-    windows = parts.where("content is null").select("h1", "h2", "doc", "place", F.struct("doc", F.shiftright("place", 32).alias("start")).alias("at"))
+    windows = parts.where("content is null").select("h1", "h2", "doc", "th", "place", F.struct("doc", F.shiftright("place", 20).alias("start")).alias("at"))
     first = windows.groupBy("h1", "h2").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     again = windows.join(first, ["h1", "h2"])
     again = again if unit.all_places else again.where("at > first")
     marks = (
-        notes.where("kind = 0").select("doc", "place")
-        .unionByName(compared.select("doc", "place"))
-        .unionByName(again.select("doc", "place"))
+        notes.where("kind = 0").select("doc", "th", "place")
+        .unionByName(compared.select("doc", "th", "place"))
+        .unionByName(again.select("doc", "th", "place"))
     )
-    return marks.groupBy("doc", _check()).agg(F.collect_list("place").alias("places"))
+    # repeated rows have their places in common: each is listed once
+    return marks.groupBy("doc", "th").agg(F.collect_set("place").alias("places"))
 
 
 def covered(places: Sequence[int] | None, window: int, units: int) -> np.ndarray:
     """Edges ``[start, end)`` of the maximal stretches of units that marked windows cover, as an n x 2 array."""
     if places is None or not len(places):
         return np.empty((0, 2), np.int64)
-    start, count, _ = _unplace(np.sort(np.asarray(places, np.int64)))
+    start, count = _unplace(np.sort(np.asarray(places, np.int64)))
     end = np.maximum.accumulate(np.minimum(start + count + window - 1, units))
     gap = np.append(True, start[1:] > end[:-1])
     return np.stack([start[gap], end[np.append(np.flatnonzero(gap)[1:] - 1, len(end) - 1)]], 1)
