@@ -1,8 +1,10 @@
 import itertools
 import random
+import time
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import toxicity as X
 
@@ -80,3 +82,30 @@ def test_odd_rows(spark, documents, nothing):
     kept = X.drop_toxic(documents, one_kind)
     assert kept.columns == documents.columns and kept.count() == documents.count()
     assert X.score_toxicity(nothing, one_kind).count() == 0
+
+
+def test_places_in_a_text_with_many_hits():
+    text = ("é€𐍈 bad " * 40_000).encode()
+    places = np.flatnonzero(np.frombuffer(text, np.uint8) == ord("b"))
+    began = time.process_time()
+    assert X.code_points(text, places) == [4 + 8 * i for i in range(40_000)]
+    assert time.process_time() - began < 1 and X.code_points(text, places[:0]) == []
+
+
+def test_repeated_ids_long_texts_and_clashing_columns(spark):
+    """A sampled id that thousands of rows share brings one text to the driver; every row is scored, long ones whole."""
+    docs = [(i, f"some plain words number {i} " + ("vileword again " if i % 3 == 0 else "fine words again "), "x") for i in range(300)]
+    docs += [(3, f"copy {i} vileword", "x") for i in range(3000)] + [(1000, "fine words " * 60_000 + "vileword", "x"), (None, None, "x")]
+    df = spark.createDataFrame(docs, "doc_id long, text string, toxicity string").withColumn("score", F.lit(5))
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(300)] + [(None, 1)], "doc_id long, toxic int")
+    seen = []
+    original = X.fit
+    X.fit = lambda rows, prior: seen.append(len(rows)) or original(rows, prior)
+    try:
+        out = X.score_toxicity(df, labels)
+    finally:
+        X.fit = original
+    rows = out.select("row.doc_id", "row.score", "toxicity.starts", F.col("toxicity.score").alias("found")).collect()
+    assert len(rows) == len(docs) and seen[0] <= 300 and {r["score"] for r in rows} == {5}
+    long = next(r for r in rows if r["doc_id"] == 1000)
+    assert long["starts"] == [11 * 60_000] and min(r["found"] for r in rows if r["doc_id"] == 3) > max(r["found"] for r in rows if r["doc_id"] == 1)

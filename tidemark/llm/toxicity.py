@@ -130,9 +130,7 @@ class Model:
                 value = self.document(chances, hashes[0][here], n)
                 bad = chances >= SPAN_CUT
                 text = encoded[a + d]
-                at = lambda x: len(text[:x].decode("utf-8", "surrogatepass"))  # noqa: B023, E731
-                s = [at(int(x - offset[d])) for x in starts[here[bad]]]
-                e = [at(int(x - offset[d])) for x in ends[here[bad]]]
+                s, e = (code_points(text, edges[here[bad]] - offset[d]) for edges in (starts, ends))
                 out.append((value, s, e, chances[bad].tolist()))
         return out
 
@@ -152,6 +150,14 @@ def summary(chances: np.ndarray, words: np.ndarray, n: int) -> np.ndarray:
     return np.array([1.0, 1 - np.exp(none), np.log1p(chances.sum()), np.log1p(chances[first].sum()), np.log1p(100 * chances.sum() / max(n, 1))])
 
 
+def code_points(text: bytes, places: np.ndarray) -> list[int]:
+    """How many code points stand before each place of a text in bytes: one count for all places."""
+    if not len(places):
+        return []
+    begins = (np.frombuffer(text, np.uint8) & 0xC0) != 0x80
+    return np.concatenate(([0], np.cumsum(begins)))[places].tolist()
+
+
 def pick_features(hashes: list[np.ndarray], doc: np.ndarray, toxic: np.ndarray) -> np.ndarray:
     """Features that stand in many more toxic than clean documents, the strongest first, at most ``MAX_FEATURES``."""
     n_bad, n_good = max(toxic.sum(), 1), max((~toxic.astype(bool)).sum(), 1)
@@ -294,7 +300,8 @@ def fit(rows: list[tuple[str, int]], prior: float) -> Model:
 def train(docs: DataFrame, labels: DataFrame, n_toxic: int = SAMPLE_TOXIC, n_clean: int = SAMPLE_CLEAN) -> Model:
     """Fits on a sample of at most ``n_toxic`` and ``n_clean`` labelled documents, by hash of their id.
 
-    The sample bounds what the driver holds; held-out rows are left out before anything is drawn.
+    The sample bounds what the driver holds; held-out rows are left out before anything is drawn. Of the
+    rows of a sampled id one is taken, with the least text, however often the id repeats.
     """
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -307,7 +314,8 @@ def train(docs: DataFrame, labels: DataFrame, n_toxic: int = SAMPLE_TOXIC, n_cle
     sample = [known.where(F.col("toxic") == v).orderBy(*order).limit(n) for v, n in ((1, n_toxic), (0, n_clean))]
     sample = sample[0].unionByName(sample[1]).select("doc_id", F.col("toxic").alias("__toxic"))
     rows = docs.select("doc_id", text_of().alias("text")).where(F.length("text") <= SAMPLE_CHARS).join(F.broadcast(sample), "doc_id")
-    return fit([(r["text"], int(r["__toxic"])) for r in rows.select("text", "__toxic").collect()], prior)
+    once = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("__toxic").alias("toxic"))
+    return fit([(r["text"], int(r["toxic"])) for r in once.orderBy("doc_id").collect()], prior)
 
 
 def score_column(spark: SparkSession, model: Model):
