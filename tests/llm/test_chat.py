@@ -1,5 +1,7 @@
 import hashlib
 
+import duckdb
+
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -54,3 +56,28 @@ def test_query_shape_on_odd_rows(spark):
     assert got[5]["turns_sha256"] == hashlib.sha256(b"user\n\nuser\n\nassistant\nb\n").hexdigest()
     assert got[6]["loss_chars"] == 25_000
     assert chat.read_back(chat.chat_windows(turns.where("false"))).count() == 0
+
+
+def test_digests_against_sql(spark):
+    """All columns but the length of the format, over all conversations and one that is full of control strings."""
+    con = duckdb.connect()
+    con.execute("create view conversations as select * from '/root/testdata/sf0.001/conversations.parquet'")
+    result = con.execute(chat._SQL)
+    names = [d[0] for d in result.description]
+    want = {r[0]: r for r in result.fetchall()}
+    rows = chat.op2_chat_format(spark, "/root/testdata/sf0.001").collect()
+    assert {r["conv_id"]: tuple(r[n] for n in names) for r in rows} == want and len(rows) == len(want) > 20
+    assert all(r["formatted_chars"] > r["loss_chars"] for r in rows)
+
+
+def test_one_very_long_conversation(spark):
+    """Thousands of turns in one conversation, repeated turn numbers, null ids and a turn above the budget."""
+    turns = [(1, i // 2, ("user", "assistant")[i % 2], f"turn {i} " * (i % 40)) for i in range(6000)]
+    turns += [(1, 7000, "assistant", "long " * 20_000), (None, 0, "user", None), (None, 1, None, "x")]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    got = {r["conv_id"]: r for r in chat.read_back(chat.chat_windows(df)).collect()}
+    ordered = sorted((t for t in turns if t[0] == 1), key=lambda t: (t[1], t[2], t[3]))
+    said = "".join(f"{r}\n{t}\n" for _, _, r, t in ordered)
+    assert got[1]["n_turns"] == 6001 and got[1]["turns_sha256"] == hashlib.sha256(said.encode()).hexdigest()
+    assert got[1]["loss_sha256"] == hashlib.sha256("".join(t for _, _, r, t in ordered if r == "assistant").encode()).hexdigest()
+    assert got[None]["n_turns"] == 2
