@@ -5,6 +5,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.operators import ledger as L
 from tidemark.operators import sessions as S
 from tidemark.sources import envelope
 from tidemark.sources.shared import fresh_dir
@@ -203,3 +204,58 @@ def test_repeated_requests_run_once(spark):
     buckets.deliver_requests(stream, lambda: stored, base).awaitTermination()
     sent = spark.read.parquet(f"{base}/rows")
     assert sorted(r.attempt_id for r in sent.collect()) == [0, 1, 2, 4, 5, 6, 7, 8]
+
+
+def test_idle_sessions_close_once(spark, hits, rows):
+    """Batches in time order with late hits, each of them replayed: open and closed sessions, and state that doesn't grow."""
+    base, timeout = fresh_dir(spark, "closing"), 1
+    ordered = [hits.where(f"event_id div 100 = {b} and event_id % 25 <> 7 or event_id div 100 = {b - 1} and event_id % 25 = 7") for b in range(5)]
+    seen = None
+    for b, part in enumerate(ordered):
+        for _ in range(2 if b in (1, 3) else 1):
+            SS._write_and_close(part, base, b, timeout)
+        seen = part if seen is None else seen.unionByName(part)
+        clock = seen.agg(F.max("ts")).scalar()
+        last = seen.groupBy("domain", "session_id").agg((F.max("ts") + F.expr(f"make_dt_interval(0, 0, {timeout})") <= clock).alias("idle"))
+        idle = {tuple(r[:2]) for r in last.collect() if r.idle}
+        whole = {(r.domain, r.session_id): tuple(r) for r in S.build_sessions(seen).collect()}
+        closed = {(r.domain, r.session_id): tuple(r) for r in SS.read_closed_sessions(spark, base).collect()}
+        assert closed == {k: v for k, v in whole.items() if k in idle}
+        open_keys = {(r.domain, r.session_id) for r in SS.read_open_sessions(spark, base).collect()}
+        assert open_keys == whole.keys() - idle and len(live.batches(spark, f"{base}/open")) <= 2
+    assert closed
+
+
+def test_messages_of_a_replayed_batch_are_read_once(spark, hits, rows):
+    """A batch whose commit was lost runs again; the sink's manifest has it already."""
+    given, base = fresh_dir(spark, "given"), fresh_dir(spark, "out")
+    for i in range(3):
+        hits.where(f"event_id % 3 = {i}").coalesce(1).write.mode("append").parquet(given)
+    stream = lambda: spark.readStream.schema(hits.schema).option("maxFilesPerTrigger", 1).parquet(given)
+    envelope.write_messages(stream(), f"{base}/messages", f"{base}/sent").awaitTermination()
+    at, fs = live.folder(spark, f"{base}/sent/commits/2")
+    assert fs.delete(at, False)
+    envelope.write_messages(stream(), f"{base}/messages", f"{base}/sent").awaitTermination()
+    # files that no manifest lists, as a failed batch leaves them
+    extra, fs = live.folder(spark, f"{base}/messages/part-left.txt")
+    fs.create(extra).close()
+    SS.stream_sessions(envelope.read_hits(spark, f"{base}/messages", max_files=1), f"{base}/sessions").awaitTermination()
+    same(SS.read_sessions(spark, f"{base}/sessions"), rows)
+
+
+def test_newest_events_fold(spark):
+    """Sets of several batches, one of them replayed, before and after a compaction."""
+    base, by = fresh_dir(spark, "newest"), (["key"], "ts", "tie", 4)
+    events = spark.sql("select id % 3 as key, (id * 37) % 101 as ts, id as tie from range(300)")
+    parts = [events.where(f"tie % 4 = {i}") for i in range(4)]
+    write = lambda b: L.cap_events(parts[b], *by).write.mode("overwrite").parquet(f"{base}/rows/batch={b}")
+    for b in (0, 1, 1, 2):
+        write(b)
+    buckets.compact_cap_events(spark, base, *by)
+    write(2)  # replayed after the compaction that holds it
+    write(3)
+    want = {tuple(r) for r in L.cap_events(events, *by).collect()}
+    assert {tuple(r) for r in buckets.read_cap_events(spark, base, *by).select("key", "ts", "tie").collect()} == want
+    buckets.compact_cap_events(spark, base, *by)
+    assert {tuple(r) for r in buckets.read_cap_events(spark, base, *by).select("key", "ts", "tie").collect()} == want
+    assert len(live.batches(spark, f"{base}/compacted")) == 1

@@ -143,6 +143,47 @@ def _(spark, sf):
     return live.read_live(spark, base, ["tick"])
 
 
+@query(
+    "stream_closed_sessions",
+    """SELECT s.* FROM sessions s JOIN (SELECT domain, session_id, max(ts) AS last_ts FROM hits GROUP BY 1, 2) USING (domain, session_id)
+       WHERE last_ts + INTERVAL 720 MINUTE <= (SELECT max(ts) FROM hits)""",
+)
+def _(spark, sf):
+    base = shared.fresh_dir(spark, "stream-closing")
+    _run(SS.stream_sessions(V.hits(V.event_stream(spark, sf)), base, timeout_minutes=720))
+    return SS.read_closed_sessions(spark, base)
+
+
+@query("stream_through_messages", "SELECT * FROM sessions")
+def _(spark, sf):
+    """Hits written as messages by one stream and read as messages by another."""
+    base = shared.fresh_dir(spark, "stream-through")
+    _run(envelope.write_messages(V.hits(V.event_stream(spark, sf)), f"{base}/messages", f"{base}/sent"))
+    _run(SS.stream_sessions(envelope.read_hits(spark, f"{base}/messages"), base))
+    return SS.read_sessions(spark, base)
+
+
+@query(
+    "stream_throughput_day",
+    """SELECT strftime(date_trunc('day', ts), '%Y%m%d%H') AS tick, count(*) FILTER (WHERE event_type <> 'error') AS success,
+       count(*) FILTER (WHERE event_type = 'error') AS failure FROM ev GROUP BY 1""",
+)
+def _(spark, sf):
+    base = shared.fresh_dir(spark, "stream-levels")
+    _run(buckets.stream_throughput_levels(V.event_stream(spark, sf), base, ok=F.col("event_type") != "error"))
+    days = live.read_live(spark, f"{base}/days", ["tick"])
+    return days.select(P.to_period(P.HOURLY, "tick").alias("tick"), "success", "failure")
+
+
+@query("stream_cap_events", "SELECT domain, event_id FROM ev QUALIFY row_number() OVER (PARTITION BY domain ORDER BY ts DESC, event_id DESC) <= 129")
+def _(spark, sf):
+    base, by = shared.fresh_dir(spark, "stream-cap"), (["domain"], "ts", "event_id", 128)
+    events = V.event_stream(spark, sf).select(V.domain().alias("domain"), "ts", "event_id")
+    _run(buckets.stream_cap_events(events, base, *by))
+    buckets.compact_cap_events(spark, base, *by)
+    return buckets.read_cap_events(spark, base, *by).select("domain", "event_id")
+
+
 @query("stream_dedupe", "SELECT attempt_id, process_name, timeperiod FROM attempts WHERE state = 'state_requested'")
 def _(spark, sf):
     """Every attempt is asked for twice, as requested, whatever became of it; a copy comes in another batch."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
 
 HIT_SCHEMA = T.StructType(
     [
@@ -75,3 +76,14 @@ def read_hits(
     """Stream of parsed hits from a folder of message files; dead letters are left out."""
     good, _ = split_bad_records(read_messages(spark, path, max_files=max_files), schema)
     return good
+
+
+def write_messages(stream: DataFrame, path: str, checkpoint: str, *, available_now: bool = True) -> StreamingQuery:
+    """A stream of rows as message files under ``path``.
+
+    The sink lists the files of each finished batch in a manifest of its own, which every reader of the
+    folder goes by, ``read_messages`` included: what a failed batch left is not seen, and a batch that
+    is replayed after it was listed is not written again.
+    """
+    writer = to_envelope(stream).writeStream.format("text").option("checkpointLocation", checkpoint).option("path", path)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()

@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.functions import period as P
 from tidemark.functions import states as S
-from tidemark.operators.ledger import propagate_dirty
+from tidemark.operators.ledger import cap_events, propagate_dirty
 from tidemark.plans.catalog import Catalog
 from tidemark.streaming import live
 
@@ -122,3 +122,51 @@ def stream_throughput(stream: DataFrame, base: str, *, ts: str = "ts", ok: Colum
     passed = F.col(ok) if isinstance(ok, str) else ok
     tick = F.concat(F.substring(P.to_period(P.REAL_TIME, ts), 1, 12), F.lit("00")).alias("tick")
     return live.write_sums(stream, base, [tick], {"success": F.count_if(passed), "failure": F.count_if(~passed)}, ts=ts)
+
+
+def stream_throughput_levels(stream: DataFrame, base: str, *, ts: str = "ts", ok: Column | str = "ok") -> StreamingQuery:
+    """Successes and failures per minute and per 24 hours, from one pass over the rows.
+
+    A micro-batch folds its rows into minutes, and those minutes into days: a day never sees a row.
+    """
+    passed = F.col(ok) if isinstance(ok, str) else ok
+    sums = {"success": F.count_if(passed), "failure": F.count_if(~passed)}
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        minutes = f"{base}/minutes/rows/batch={batch_id}"
+        tick = F.date_trunc("minute", ts).cast("timestamp_ntz").alias("tick")
+        batch.groupBy(tick).agg(*[c.alias(n) for n, c in sums.items()], F.max(ts).alias(live.NEWEST)).write.mode("overwrite").parquet(minutes)
+        day = F.window("tick", "24 hours")["start"].alias("tick")
+        days = batch.sparkSession.read.parquet(minutes).groupBy(day).agg(*[F.sum(n).alias(n) for n in sums], F.max(live.NEWEST).alias(live.NEWEST))
+        days.write.mode("overwrite").parquet(f"{base}/days/rows/batch={batch_id}")
+
+    return live.start(stream, base, write)
+
+
+def stream_cap_events(stream: DataFrame, base: str, key: list[str], ts: str, tie: str, n: int) -> StreamingQuery:
+    """The newest events per key of a stream, one more than ``n`` as in ``ledger.cap_events``.
+
+    The newest of several sets are among the newest of each, so a micro-batch keeps only its own and a
+    compaction those of many batches; no step looks at all events.
+    """
+    return live.start(stream, base, lambda batch, batch_id: cap_events(batch, key, ts, tie, n).write.mode("overwrite").parquet(f"{base}/rows/batch={batch_id}"))
+
+
+def read_cap_events(spark: SparkSession, base: str, key: list[str], ts: str, tie: str, n: int) -> DataFrame:
+    kept = live.batches(spark, f"{base}/compacted")
+    rows = spark.read.parquet(f"{base}/rows").where(F.col("batch") > (kept[-1] if kept else -1)).drop("batch")
+    if kept:
+        rows = rows.unionByName(spark.read.parquet(f"{base}/compacted/batch={kept[-1]}"))
+    return cap_events(rows, key, ts, tie, n)
+
+
+def compact_cap_events(spark: SparkSession, base: str, key: list[str], ts: str, tie: str, n: int) -> None:
+    """Fold what all batches so far kept into one set, at most ``n`` + 1 events a key, and drop theirs."""
+    done = live.batches(spark, f"{base}/rows")
+    if not done:
+        return
+    read_cap_events(spark, base, key, ts, tie, n).write.mode("overwrite").parquet(f"{base}/compacted/batch={done[-1]}")
+    for batch in done[:-1]:  # the last one may be replayed, and is left out by its number
+        live.remove(spark, f"{base}/rows/batch={batch}")
+    for old in live.batches(spark, f"{base}/compacted")[:-1]:
+        live.remove(spark, f"{base}/compacted/batch={old}")

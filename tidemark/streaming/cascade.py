@@ -40,26 +40,9 @@ _DIGITS = {P.DAILY: 8, P.MONTHLY: 6, P.YEARLY: 4}
 Versions = list[tuple[str, int]]  # folder and the batch that wrote it
 
 
-def _folder(spark: SparkSession, path: str):
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return folder, folder.getFileSystem(spark._jsc.hadoopConfiguration())
-
-
-def _batches(spark: SparkSession, path: str) -> list[int]:
-    """Batches that have a folder under ``path``."""
-    folder, fs = _folder(spark, path)
-    names = [s.getPath().getName() for s in fs.listStatus(folder)] if fs.exists(folder) else []
-    return sorted(int(n.removeprefix("batch=")) for n in names if n.startswith("batch="))
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    folder, fs = _folder(spark, path)
-    fs.delete(folder, True)
-
-
 def _ledger(spark: SparkSession, base: str, before: int | None = None) -> DataFrame:
     """The last ledger written, or the last one before a batch; empty at the start."""
-    known = [b for b in _batches(spark, f"{base}/ledger") if before is None or b < before]
+    known = [b for b in live.batches(spark, f"{base}/ledger") if before is None or b < before]
     if not known:
         return spark.createDataFrame([], LEDGER)
     return spark.read.schema(LEDGER).parquet(f"{base}/ledger/batch={known[-1]}")
@@ -128,11 +111,11 @@ class Cascade:
             changed += [(level, tp, batch_id) for tp in touched]
         ledger = self._close(spark, known, changed, max(newest), batch_id)
         self._emit(spark, ledger, batch_id, schema)
-        for old in _batches(spark, f"{base}/delta"):
+        for old in live.batches(spark, f"{base}/delta"):
             if old < batch_id:
-                _remove(spark, f"{base}/delta/batch={old}")
-        for old in _batches(spark, f"{base}/ledger")[:-2]:
-            _remove(spark, f"{base}/ledger/batch={old}")
+                live.remove(spark, f"{base}/delta/batch={old}")
+        for old in live.batches(spark, f"{base}/ledger")[:-2]:
+            live.remove(spark, f"{base}/ledger/batch={old}")
 
     def _put(self, rows: DataFrame, level: str, batch_id: int) -> None:
         placed = rows.withColumn("folder", P.coarsen_period(FOLDERS[level], "timeperiod")).hint("rebalance", F.col("folder"))
@@ -201,13 +184,13 @@ def read_corrected(spark: SparkSession, base: str) -> DataFrame:
 def vacuum(spark: SparkSession, base: str) -> int:
     """Remove folders that neither of the last two ledgers names; the older one serves a replay of the last batch."""
     kept: set[tuple[str, str, int]] = set()
-    for batch in _batches(spark, f"{base}/ledger")[-2:]:
+    for batch in live.batches(spark, f"{base}/ledger")[-2:]:
         ledger = spark.read.schema(LEDGER).parquet(f"{base}/ledger/batch={batch}")
         kept |= {(level, *version) for level, held in _folders(ledger).items() for version in held.items()}
     gone = 0
     for level in LEVELS:
-        for batch in _batches(spark, f"{base}/{level}"):
-            folder, fs = _folder(spark, f"{base}/{level}/batch={batch}")
+        for batch in live.batches(spark, f"{base}/{level}"):
+            folder, fs = live.folder(spark, f"{base}/{level}/batch={batch}")
             for status in fs.listStatus(folder):
                 name = status.getPath().getName().removeprefix("folder=")
                 if status.isDirectory() and (level, name, batch) not in kept:

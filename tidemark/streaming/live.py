@@ -22,6 +22,24 @@ def start(stream: DataFrame, base: str, write: Callable[[DataFrame, int], None],
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
+def folder(spark: SparkSession, path: str):
+    """A folder and the file system that holds it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def batches(spark: SparkSession, path: str) -> list[int]:
+    """Batches that have a folder under ``path``, in order."""
+    at, fs = folder(spark, path)
+    names = [s.getPath().getName() for s in fs.listStatus(at)] if fs.exists(at) else []
+    return sorted(int(n.removeprefix("batch=")) for n in names if n.startswith("batch="))
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    at, fs = folder(spark, path)
+    fs.delete(at, True)
+
+
 def write_sums(stream: DataFrame, base: str, keys: list[Column], sums: dict[str, Column], *, ts: str = "ts", available_now: bool = True) -> StreamingQuery:
     """Fold every micro-batch into ``sums`` per key and the newest time seen."""
 

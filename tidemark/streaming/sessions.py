@@ -8,26 +8,80 @@ its own folder, so each hit counts once, and a lost executor costs one task.
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.operators import sessions as S
 from tidemark.sources.envelope import HIT_KEYS, HIT_SCHEMA, split_bad_records
+from tidemark.streaming import live
 
 
 def _write_partials(hits: DataFrame, base: str, batch_id: int) -> None:
     S.partial_sessions(hits).write.mode("overwrite").parquet(f"{base}/state/batch={batch_id}")
 
 
-def stream_sessions(hits: DataFrame, base: str, *, available_now: bool = True) -> StreamingQuery:
-    """Start folding a stream of hits into the session table at ``base``."""
-    writer = (
-        hits.writeStream.outputMode("append")
-        .option("checkpointLocation", f"{base}/checkpoint")
-        .foreachBatch(lambda batch, batch_id: _write_partials(batch, base, batch_id))
-    )
-    return (writer.trigger(availableNow=True) if available_now else writer).start()
+def stream_sessions(hits: DataFrame, base: str, timeout_minutes: int | None = None, *, available_now: bool = True) -> StreamingQuery:
+    """Start folding a stream of hits into the session table at ``base``.
+
+    With ``timeout_minutes``, a session without a hit for so long, by the newest time seen, closes: its
+    state moves from the open to the closed sessions, and batches no longer read it. Read those tables
+    with ``read_open_sessions`` and ``read_closed_sessions``.
+    """
+    write = _write_partials if timeout_minutes is None else partial(_write_and_close, timeout_minutes=timeout_minutes)
+    return live.start(hits, base, lambda batch, batch_id: write(batch, base, batch_id), available_now=available_now)
+
+
+def _write_and_close(hits: DataFrame, base: str, batch_id: int, timeout_minutes: int) -> None:
+    """The open sessions of the batch before, with the batch's hits, as open and closed ones of this batch.
+
+    What is read is bounded by the sessions that are open. The generation before stays until the next
+    batch is done, so a replay finds what the first attempt found.
+    """
+    spark = hits.sparkSession
+    earlier = [b for b in live.batches(spark, f"{base}/open") if b < batch_id]
+    state = S.partial_sessions(hits)
+    if earlier:
+        state = S.merge_sessions(state.unionByName(spark.read.parquet(f"{base}/open/batch={earlier[-1]}").drop(live.NEWEST)))
+    merged = f"{base}/merged/batch={batch_id}"
+    state.write.mode("overwrite").parquet(merged)
+    state = spark.read.schema(state.schema).parquet(merged)
+    # the clock stands beside every open session, and in a row of its own where none is open
+    clocks = state.agg(F.max("last_ts").alias(live.NEWEST))
+    if earlier:
+        clocks = clocks.unionByName(spark.read.parquet(f"{base}/clock/batch={earlier[-1]}"))
+    newest = clocks.agg(F.max(live.NEWEST)).scalar()
+    clock = clocks.agg(F.max(live.NEWEST).alias(live.NEWEST))
+    clock.coalesce(1).write.mode("overwrite").parquet(f"{base}/clock/batch={batch_id}")
+    zero = F.lit(0)
+    idle = F.col("last_ts") + F.make_dt_interval(zero, zero, F.lit(timeout_minutes)) <= newest
+    state.where(idle).write.mode("overwrite").parquet(f"{base}/closed/batch={batch_id}")
+    state.where(~idle).withColumn(live.NEWEST, newest).write.mode("overwrite").parquet(f"{base}/open/batch={batch_id}")
+    for table in ("open", "clock", "merged"):
+        for old in live.batches(spark, f"{base}/{table}"):
+            if old < (earlier[-1] if earlier else batch_id):
+                live.remove(spark, f"{base}/{table}/batch={old}")
+
+
+def _open_state(spark: SparkSession, base: str) -> DataFrame:
+    return spark.read.parquet(f"{base}/open/batch={live.batches(spark, f'{base}/open')[-1]}").drop(live.NEWEST)
+
+
+def read_open_sessions(spark: SparkSession, base: str) -> DataFrame:
+    """Sessions that have not closed, with all hits since they were last closed, if ever."""
+    return S.finish_sessions(_open_state(spark, base))
+
+
+def read_closed_sessions(spark: SparkSession, base: str) -> DataFrame:
+    """Sessions that are closed as of the last finished batch, whole.
+
+    A late hit opens its session again for a while; such a session has a state row for each time it
+    closed, which are merged here, and is left out while it is open.
+    """
+    closed = spark.read.parquet(f"{base}/closed").drop("batch")
+    return S.finish_sessions(S.merge_sessions(closed).join(_open_state(spark, base).select(*S.KEYS), S.KEYS, "left_anti"))
 
 
 def stream_messages(messages: DataFrame, base: str, *, available_now: bool = True) -> StreamingQuery:
