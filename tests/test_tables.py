@@ -146,3 +146,29 @@ def test_throughput(spark):
     out = [(r.success, r.failure) for r in throughput(events).orderBy("tick").collect()]
     assert out == [(2, 1), (2, 1), (2, 1), (3, 0)]
     assert [(r.success, r.failure) for r in throughput(events, "24 hours").collect()] == [(9, 3)]
+
+
+def test_range_job_reads_its_range_only(spark):
+    """Bounds on the time that a bucket is derived from reach the files."""
+    path, sink = fresh_dir(spark, "by-time"), fresh_dir(spark, "out")
+    rows = spark.sql("select id, timestamp_ntz'2001-01-01 00:00:00' + make_dt_interval(cast(id div 10 as int)) as at from range(1000)")
+    rows.repartitionByRange(10, "at").sortWithinPartitions("at").write.parquet(path)
+    table = spark.read.parquet(path).withColumn("timeperiod", F.date_format("at", "yyyyMMdd'00'"))
+    plans = []
+    job = RangeJob(lambda rows, *_: plans.append(rows) or rows, lambda df: df.write.parquet(sink), ts="at")
+    assert job.run(table, "2001011100", "2001012100").rows_read == 100
+    plan = plans[0]._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(at,2001-01-11" in plan and "LessThan(at,2001-01-21" in plan
+
+
+def test_bucket_writes_compute_their_rows_once(spark):
+    path, calls = fresh_dir(spark, "once"), spark.sparkContext.accumulator(0)
+    rows = spark.createDataFrame([(i, f"2001010{i % 4 + 1}00") for i in range(40)], "id int, timeperiod string")
+    writes.write_buckets(rows, path)
+    count = F.udf(lambda x: calls.add(1) or x, "int")
+    again = rows.where("timeperiod < '2001010300'").withColumn("id", count("id")).where("timeperiod <> '2001010100'")
+    listed = spark.createDataFrame([("2001010100",), ("2001010200",)], "timeperiod string")
+    writes.write_buckets(again, path, recomputed=listed)
+    assert calls.value == 10
+    left = spark.read.schema("id int, timeperiod string").parquet(path)
+    assert {r[0] for r in left.select("timeperiod").distinct().collect()} == {"2001010200", "2001010300", "2001010400"}

@@ -47,11 +47,12 @@ class RangeJob:
     fn: Callable[[DataFrame, str, str], DataFrame | None]
     write: Callable[[DataFrame], None]
     period: str = "timeperiod"
+    ts: str | None = None  # the time the bucket is derived from, so that the bounds reach the files
 
     def run(self, source: DataFrame, start: str, end: str) -> RunStats:
         began = time.monotonic()
         read, written = Observation(), Observation()
-        rows = scan_periods(source, start, end, period=self.period).observe(read, F.count(F.lit(1)).alias("n"))
+        rows = scan_periods(source, start, end, period=self.period, ts=self.ts).observe(read, F.count(F.lit(1)).alias("n"))
         try:
             out = self.fn(rows, start, end)
             if out is None:

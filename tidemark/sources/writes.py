@@ -8,7 +8,7 @@ join key anyway, and keeps a key with many copies from piling up in one task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -65,12 +65,15 @@ def write_buckets(df: DataFrame, path: str, *, period: str = "timeperiod", recom
     """Overwrite exactly the buckets present in ``df``; running it twice changes nothing.
 
     ``recomputed`` lists the buckets that were computed anew: those of them that have no rows left
-    are dropped. Their number is bounded by the calendar. The rebalance hint sizes output files and
-    splits a bucket that holds a large share of the rows over several tasks.
+    are dropped. Their number is bounded by the calendar. Which buckets have rows is observed as they are
+    written, so ``df`` is computed once. The rebalance hint sizes output files and splits a bucket that
+    holds a large share of the rows over several tasks.
     """
-    emptied = []
+    asked: set[str] = set()
+    seen = Observation()
     if recomputed is not None:  # asked before writing: the list may come from the table itself
-        emptied = recomputed.select(period).distinct().join(df.select(period).distinct(), period, "left_anti").collect()
+        asked = {r[0] for r in recomputed.select(period).distinct().collect()}
+        df = df.observe(seen, F.collect_set(period).alias("buckets"))
     (
         df.hint("rebalance", F.col(period))
         .write.mode("overwrite")
@@ -78,7 +81,8 @@ def write_buckets(df: DataFrame, path: str, *, period: str = "timeperiod", recom
         .partitionBy(period)
         .parquet(path)
     )
-    drop_buckets(df.sparkSession, path, [r[0] for r in emptied], period=period)
+    if asked:
+        drop_buckets(df.sparkSession, path, sorted(asked - set(seen.get["buckets"])), period=period)
 
 
 def drop_buckets(spark: SparkSession, path: str, buckets: list[str], *, period: str = "timeperiod") -> None:
