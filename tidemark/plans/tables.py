@@ -12,7 +12,7 @@ from tidemark.operators import rollup
 from tidemark.operators.stats import RangeJob, attempt_row
 from tidemark.plans import views as V
 from tidemark.plans.registry import query
-from tidemark.sources import envelope, scans, shared, writes
+from tidemark.sources import envelope, keyed, scans, shared, writes
 from tidemark.streaming import sessions as stream_sessions
 
 
@@ -165,6 +165,37 @@ def _(spark, sf):
     return writes.delete_keys(*_held_and_new(spark, sf), _KEYS)
 
 
+def _keyed(spark, sf):
+    """The held customers in ranges of 100, and the changes."""
+    held, new = _held_and_new(spark, sf)
+    table = keyed.KeyedTable(shared.fresh_dir(spark, "keyed"), "custkey", 100)
+    table.upsert(held)
+    return table, new
+
+
+@query("keyed_upsert", f"{_FO} SELECT * FROM t WHERE NOT {_IN_C} UNION ALL SELECT custkey, n, cents, id FROM c WHERE nth = of")
+def _(spark, sf):
+    table, new = _keyed(spark, sf)
+    table.upsert(new, ["id"])
+    return table.read(spark, new.schema)
+
+
+@query(
+    "keyed_insert_refused",
+    f"{_FO} SELECT custkey, n, cents, id, CASE WHEN {_IN_T} THEN 'held' ELSE 'repeated' END AS reason FROM c WHERE {_IN_T} OR nth > 1",
+)
+def _(spark, sf):
+    """Later orders of customers the table holds, and all but the first of those it doesn't."""
+    table, new = _keyed(spark, sf)
+    return table.insert(new, ["id"])
+
+
+@query("keyed_lookup", f"{_FO} SELECT * FROM t WHERE {_IN_C}")
+def _(spark, sf):
+    table, new = _keyed(spark, sf)
+    return table.lookup(new, new.schema)
+
+
 def _log(spark, sf, old: bool | None = None):
     """All events as messages, or those of the kinds that are logged already, or all others."""
     events = V.table(spark, sf, "events")
