@@ -259,3 +259,19 @@ def test_newest_events_fold(spark):
     buckets.compact_cap_events(spark, base, *by)
     assert {tuple(r) for r in buckets.read_cap_events(spark, base, *by).select("key", "ts", "tie").collect()} == want
     assert len(live.batches(spark, f"{base}/compacted")) == 1
+
+
+def test_deliveries_cost_what_a_batch_touches(spark):
+    """A steady stream of new requests, each asked for again in the next batch; a late batch reads no more than an early one."""
+    base = fresh_dir(spark, "steady")
+    stored = lambda: spark.sql("select id as attempt_id, 'state_requested' as state from range(10000)")
+    read = []
+    for b in range(14):
+        rows = spark.range(max(b - 1, 0) * 100, b * 100 + 100).selectExpr("id as attempt_id", "'x' as payload")
+        table = buckets.KeyedTable(f"{base}/delivered", "attempt_id", 100)
+        read.append(len(table._held(spark, table._touched(rows), "attempt_id long, batch long").inputFiles()))
+        for _ in range(2 if b in (5, 9, 10) else 1):  # some batches are replayed
+            buckets._deliver(rows, b, stored, base, "attempt_id", 100)
+    sent = spark.read.parquet(f"{base}/rows")
+    assert sorted((r.batch, r.attempt_id) for r in sent.collect()) == [(i // 100, i) for i in range(1400)]
+    assert read[13] <= read[3] <= 1 and len(live.batches(spark, f"{base}/asked")) == 1

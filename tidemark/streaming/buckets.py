@@ -12,6 +12,7 @@ from tidemark.functions import period as P
 from tidemark.functions import states as S
 from tidemark.operators.ledger import cap_events, propagate_dirty
 from tidemark.plans.catalog import Catalog
+from tidemark.sources.keyed import KeyedTable
 from tidemark.streaming import live
 
 LATENESS_MINUTES = 5  # Fixed value: lateness allowed before a bucket closes.
@@ -60,7 +61,10 @@ def stream_late_to_dirty(
     """Per micro-batch, the buckets to redo, written under the batch id (a replay rewrites it)."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        dirty = late_to_dirty(batch, catalog, ledger(), by=by)
+        # ancestors of a bucket lie between the start of its year and the bucket itself
+        low, high = batch.agg(F.min("timeperiod"), F.max("timeperiod")).first()
+        near = ledger().where(F.col("timeperiod").between(P.coarsen_period(P.YEARLY, F.lit(low)), F.lit(high)))
+        dirty = late_to_dirty(batch, catalog, near, by=by)
         dirty.write.mode("overwrite").parquet(f"{base}/dirty/batch={batch_id}")
 
     return (
@@ -96,25 +100,39 @@ def recompute_buckets(
 
 
 def deliver_requests(
-    stream: DataFrame, stored: Callable[[], DataFrame], base: str, key: str = "attempt_id"
+    stream: DataFrame, stored: Callable[[], DataFrame], base: str, key: str = "attempt_id", width: int = 10_000
 ) -> StreamingQuery:
     """Requests that are to run: each once, and only if the store still holds it as requested.
 
-    The state in a message may be old, so the stored one decides. What earlier batches delivered is
-    left out by id, however long ago that was; a replayed batch delivers the same rows again to its
-    own folder.
+    The state in a message may be old, so the stored one decides; of the store, only rows between the
+    least and the greatest key of the batch are read. What earlier batches delivered is kept in a table by
+    ranges of ``width`` keys, of which a batch reads and rewrites those that its keys fall into: its cost
+    does not grow with what was ever delivered. A replayed batch delivers the same rows again to its own
+    folder. Keys are whole numbers; a row without one is not delivered.
     """
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        waiting = stored().where(S.is_requested("state")).select(key).distinct()
-        once = batch.groupBy(key).agg(F.min(F.struct(*[c for c in batch.columns if c != key])).alias("_row")).select(key, "_row.*")
-        todo = once.join(waiting, key, "left_semi")
-        if batch_id:
-            earlier = batch.sparkSession.read.parquet(f"{base}/rows").where(F.col("batch") < batch_id)
-            todo = todo.join(earlier.select(key).distinct(), key, "left_anti")
-        todo.write.mode("overwrite").parquet(f"{base}/rows/batch={batch_id}")
-
-    return live.start(stream, base, write)
+    return live.start(stream, base, lambda batch, batch_id: _deliver(batch, batch_id, stored, base, key, width))
+
+
+def _deliver(batch: DataFrame, batch_id: int, stored: Callable[[], DataFrame], base: str, key: str, width: int) -> None:
+    spark = batch.sparkSession
+    delivered = KeyedTable(f"{base}/delivered", key, width)
+    schema = f"{key} {batch.schema[key].dataType.simpleString()}, batch long"
+    once = batch.groupBy(key).agg(F.min(F.struct(*[c for c in batch.columns if c != key])).alias("_row")).select(key, "_row.*")
+    once.write.mode("overwrite").parquet(f"{base}/asked/batch={batch_id}")
+    once = spark.read.schema(once.schema).parquet(f"{base}/asked/batch={batch_id}")
+    low, high = once.agg(F.min(key), F.max(key)).first()
+    waiting = stored().where(S.is_requested("state") & F.col(key).between(low, high)).select(key).distinct()
+    todo = once.join(waiting, key, "left_semi")
+    earlier = delivered.lookup(once.select(key), schema).where(F.col("batch") < batch_id)
+    todo = todo.join(earlier.select(key), key, "left_anti")
+    todo.write.mode("overwrite").parquet(f"{base}/rows/batch={batch_id}")
+    sent = spark.read.schema(todo.schema).parquet(f"{base}/rows/batch={batch_id}").select(key, F.lit(batch_id).cast("bigint").alias("batch"))
+    delivered.upsert(sent)
+    if batch_id % 10 == 9:
+        delivered.vacuum(spark, keep=2)
+    for old in live.batches(spark, f"{base}/asked"):
+        if old < batch_id:
+            live.remove(spark, f"{base}/asked/batch={old}")
 
 
 def stream_throughput(stream: DataFrame, base: str, *, ts: str = "ts", ok: Column | str = "ok") -> StreamingQuery:
