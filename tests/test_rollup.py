@@ -164,3 +164,14 @@ def test_owners_and_alerts(spark):
     assert ("x", "2001030800", 18, 241, 2) in clients
     assert ("y", "2001022800", 10, 100, 1) in clients
     assert {r.domain for r in C.assign_owner(days, owners)[1].collect()} == {"d", "e"}
+
+
+def test_a_stored_chain_reads_its_source_once(spark, sessions):
+    from tidemark.sources.shared import fresh_dir
+
+    hours = R.site_hourly(sessions)
+    plain = R.rollup_chain(hours, ["hourly", "daily", "yearly"])
+    stored = R.rollup_chain(hours, ["hourly", "daily", "yearly"], store=fresh_dir(spark, "chain"))
+    for q, df in plain.items():
+        assert sorted(map(tuple, stored[q].collect())) == sorted(map(tuple, df.collect()))
+        assert "Exchange" not in stored[q]._jdf.queryExecution().executedPlan().toString()

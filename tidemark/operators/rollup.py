@@ -101,13 +101,22 @@ def rollup_histograms(df: DataFrame, q: str, *, period: str = "timeperiod") -> D
 
 
 def rollup_chain(
-    df: DataFrame, levels: Iterable[str], *, period: str = "timeperiod", values: Iterable[str] = COUNTERS
+    df: DataFrame, levels: Iterable[str], *, period: str = "timeperiod", values: Iterable[str] = COUNTERS, store: str | None = None
 ) -> dict[str, DataFrame]:
-    """Tables of several levels, each summed from the next finer one."""
+    """Tables of several levels, each summed from the next finer one.
+
+    With ``store``, a folder of its own, each level is written there and the next reads it, so the source
+    is read once and each level has one shuffle. Without it the tables are plans, and using several of
+    them computes the finer levels again.
+    """
     ordered = sorted((P.qualifier(q) for q in levels), key=lambda q: P.RANK[q])
     tables: dict[str, DataFrame] = {}
     for q in ordered:
-        df = tables[q] = rollup_periods(df, q, period=period, values=values)
+        df = rollup_periods(df, q, period=period, values=values)
+        if store:
+            df.write.parquet(f"{store}/{q}")
+            df = df.sparkSession.read.schema(df.schema).parquet(f"{store}/{q}")
+        tables[q] = df
     return {q: tables[q] for q in reversed(ordered)}
 
 

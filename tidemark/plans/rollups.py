@@ -9,6 +9,7 @@ from tidemark.operators import compare, rollup, sessions
 from tidemark.operators.stats import throughput
 from tidemark.plans import views as V
 from tidemark.plans.registry import query
+from tidemark.sources import shared
 
 LEVELS = (P.YEARLY, P.MONTHLY, P.DAILY, P.HOURLY)
 
@@ -130,7 +131,7 @@ def _(spark, sf):
 
 @query("rollup_chain_hour_to_year", _ALL_LEVELS)
 def _(spark, sf):
-    tables = rollup.rollup_chain(_site(spark, sf), LEVELS)
+    tables = rollup.rollup_chain(_site(spark, sf), LEVELS, store=shared.fresh_dir(spark, "chain"))
     out = None
     for q, df in tables.items():
         df = df.withColumn("time_qualifier", F.lit(q))
