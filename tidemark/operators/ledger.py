@@ -758,13 +758,19 @@ def reconcile_dim(declared: DataFrame, stored: DataFrame, *, key: str = "process
     A stored definition replaces the declared one of the same name and kind, whole.
     Stored names nobody declared are skipped, and so are names declared as another kind.
     """
-    kinds = declared.select(key, F.col("kind").alias("_kind"))
-    joined = stored.join(kinds, key, "left")
-    reason = F.when(F.col("_kind").isNull(), "undeclared").when(F.col("_kind") != "managed", "other_kind")
-    judged = joined.withColumn("reason", reason)
-    taken = judged.where("reason is null").drop("_kind", "reason")
-    kept = declared.join(taken.select(key), key, "left_anti")
-    return kept.unionByName(taken), judged.where("reason is not null").select(key, "reason")
+    columns = declared.columns
+    row = F.struct(*columns)
+    none = F.lit(None).cast(declared.select(row).schema[0].dataType)
+    sides = declared.select(key, row.alias("_declared"), none.alias("_stored")).unionByName(
+        stored.select(key, none.alias("_declared"), row.alias("_stored"))
+    )
+    # both definitions of a name meet in one aggregation: no join, and one shuffle for both results
+    met = sides.groupBy(key).agg(F.max("_declared").alias("_declared"), F.max("_stored").alias("_stored"))
+    kind = F.col("_declared.kind")
+    reason = F.when(F.col("_declared").isNull(), "undeclared").when(kind != "managed", "other_kind")
+    kept = F.when(reason.isNull() & F.col("_stored").isNotNull(), F.col("_stored")).otherwise(F.col("_declared"))
+    synced = met.where("_declared is not null").select(kept.alias("_row")).select("_row.*")
+    return synced, met.where("_stored is not null").select(key, reason.alias("reason")).where("reason is not null")
 
 
 def process_overview(
