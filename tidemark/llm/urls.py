@@ -20,7 +20,7 @@ RULES = (
 )
 
 BITS_PER_URL = 16
-MAX_BLOCKS = 1 << 17  # of 512 bits: the filter is never above 8 MiB, whatever the list
+BROADCAST_BLOCKS = 1 << 17  # of 512 bits: a filter of up to 8 MiB is broadcast, a larger one probed by a join on the block
 LISTED_SYMBOL_PERCENT = 2
 SALTS = 8
 
@@ -81,21 +81,32 @@ def bloom_blocks(listed: DataFrame, n_blocks: int) -> DataFrame:
 
 
 def blocks_for(n_urls: int) -> int:
-    """Blocks for so many URLs: a power of two, bounded. Beyond the bound more URLs pass to the join, none is missed."""
+    """Blocks for so many URLs: a power of two that grows with the list, so that the share of false hits doesn't."""
     n = 1
-    while n < MAX_BLOCKS and n * 512 < n_urls * BITS_PER_URL:
+    while n < 1 << 30 and n * 512 < n_urls * BITS_PER_URL:
         n *= 2
     return n
 
 
-def filter_urls(pages: DataFrame, listed: DataFrame, rules: Sequence[tuple[str, str]] = RULES) -> DataFrame:
+def _salt() -> Column:
+    return F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int")
+
+
+def _salts() -> Column:
+    return F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+
+
+def filter_urls(
+    pages: DataFrame, listed: DataFrame, rules: Sequence[tuple[str, str]] = RULES, broadcast_blocks: int = BROADCAST_BLOCKS
+) -> DataFrame:
     """``page_id, host, path, rule, verdict`` and ``canonical``, for every row of ``pages``.
 
     ``listed`` has a column ``canonical``. A rule that fits decides; else a listed canonical URL is
-    blocked and any other allowed. The list is hashed into a blocked Bloom filter, a table of at
-    most ``MAX_BLOCKS`` rows which is therefore safe to broadcast. Only URLs that pass it meet the
-    list itself in a hash join, which removes the false positives; that join is on distinct listed
-    URLs, dealt out ``SALTS`` times so that a URL of very many pages is split.
+    blocked and any other allowed. The list is hashed into a blocked Bloom filter, a table with a row per
+    block that is sized to the list. Up to ``broadcast_blocks`` rows it is broadcast; a larger filter is
+    spread over the tasks by block, and each URL probes the one block that it hashes to, in a join by
+    equality. Only URLs that pass the filter meet the list itself in a hash join, which removes the false
+    positives. Both joins deal their side out ``SALTS`` times, so that a URL of very many pages is split.
 
     A null url, or one without ``://``, has an empty host and path, fits no rule, and is never
     listed. Null or empty entries of the list are ignored, repeated ones count once. Rows that
@@ -108,17 +119,21 @@ def filter_urls(pages: DataFrame, listed: DataFrame, rules: Sequence[tuple[str,
     rows = rows.withColumn("best", best_rule(F.col("host"), F.col("path"), rules))
     filters = bloom_blocks(unique, n_blocks)
     tests = [F.col(f"w{i}").bitwiseAND(b) != 0 for i, b in enumerate(_bits(F.col("canonical")))]
+    rows = rows.withColumn("block", _block(F.col("canonical"), n_blocks))
+    if n_blocks <= broadcast_blocks:
+        met = rows.join(F.broadcast(filters), "block", "left")
+    else:
+        met = rows.withColumn("salt", _salt()).join(filters.withColumn("salt", _salts()), ["block", "salt"], "left")
     probed = (
-        rows.withColumn("block", _block(F.col("canonical"), n_blocks))
-        .join(F.broadcast(filters), "block", "left")
+        met
         .withColumn("maybe", F.col("best").isNull() & F.coalesce(reduce(lambda a, b: a & b, tests), F.lit(False)))
         .select("page_id", "host", "path", "canonical", "best", "maybe")
     )
     probed = written(probed, "probed")
-    salted = unique.select("canonical", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), F.lit(True).alias("found"))
+    salted = unique.select("canonical", _salts().alias("salt"), F.lit(True).alias("found"))
     hits = (
         probed.where("maybe")
-        .withColumn("salt", (F.xxhash64("page_id") % SALTS + SALTS).cast("int") % SALTS)
+        .withColumn("salt", _salt())
         .join(salted, ["canonical", "salt"], "left")
         .withColumn("listed", F.coalesce("found", F.lit(False)))
     )
