@@ -12,6 +12,7 @@ from tidemark.plans import views as V
 from tidemark.plans.catalog import SITE_SUITE
 from tidemark.sources import scans, writes
 from tidemark.sources.shared import fresh_dir
+from tidemark.streaming import live
 
 SF = "/root/testdata/sf0.001"
 needs_tables = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
@@ -71,3 +72,20 @@ def test_bucket_bounds_reach_the_files(spark, name, column):
         spark.conf.unset("spark.sql.maxMetadataStringLength")
     pushed = [line for line in plan.splitlines() if "PushedFilters" in line and f"GreaterThanOrEqual({column}" in line]
     assert pushed, plan
+
+
+@needs_tables
+@pytest.mark.parametrize("in_order", [False, True])
+def test_a_micro_batch_of_a_large_table_is_read_by_many_tasks(spark, monkeypatch, in_order):
+    monkeypatch.setattr(V, "_FILE_BYTES", V.stored_bytes(spark, f"{SF}/events.parquet") // 30)
+    monkeypatch.setattr(V, "_STREAM_FILES", {})
+    seen = []
+
+    def take(batch, _):
+        part = "least((dayofmonth(ts) - 1) div 10, 2)" if in_order else "event_id % 3"
+        seen.append((batch.selectExpr("input_file_name()").distinct().count(), batch.count(), [r[0] for r in batch.selectExpr(part).distinct().collect()]))
+
+    live.start(V.event_stream(spark, SF, in_order=in_order), fresh_dir(spark, "dealt"), take).awaitTermination()
+    assert len(seen) == 3 and all(n >= 10 for n, _, _ in seen)  # a third of the table, no file above a thirtieth
+    assert sum(n for _, n, _ in seen) == V.table(spark, SF, "events").count()
+    assert sorted(p for _, _, parts in seen for p in parts) == [0, 1, 2]  # no batch mixes two parts

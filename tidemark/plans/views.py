@@ -16,7 +16,7 @@ from tidemark.functions import states as S
 from tidemark.operators import sessions as SE
 from tidemark.operators.spine import period_spine
 from tidemark.plans.catalog import SITE_SUITE
-from tidemark.sources.shared import fresh_dir
+from tidemark.sources.shared import fresh_dir, stored_bytes
 
 LEDGER_NOW = datetime(2024, 1, 20, 12, 30)
 ATTEMPT_NOW = datetime(2024, 1, 31)
@@ -41,31 +41,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_STREAM_FILES: dict[tuple, str] = {}
+_STREAM_FILES: dict[tuple, tuple[str, int]] = {}
+_FILE_BYTES = 2 << 20  # of the events table, for each file of a micro-batch
 
 
 def event_stream(spark: SparkSession, sf_dir: str, files: int = 3, *, in_order: bool = False) -> DataFrame:
     """The events table as a stream of several micro-batches.
 
-    The events are dealt over files by their id, so each file spans all times: after the first batch
-    nearly all rows are late. With ``in_order`` each batch holds the next ten days: their files are
-    written one after the other, which is the order in which the stream takes them. A session writes the
-    files once; streams only read them.
+    The events are dealt over ``files`` batches by their id, so each batch spans all times: after the first
+    nearly all rows are late. With ``in_order`` each batch holds the next ten days. A batch has more files
+    the larger the table is, so that many tasks read it; its files are written after those of the batch
+    before, which is the order in which the stream takes them. A session writes the files once; streams only
+    read them.
     """
     events = table(spark, sf_dir, "events")
     known = (spark.sparkContext.applicationId, sf_dir, files, in_order)
-    if known in _STREAM_FILES:
-        return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 8 if in_order else 1).parquet(_STREAM_FILES[known])
-    path = fresh_dir(spark, "events")
-    if in_order:
-        part = F.least(F.floor((F.dayofmonth("ts") - 1) / 10), F.lit(2))
-        for i in range(3):
-            events.where(part == i).repartition(8).write.mode("append").parquet(path)
-        _STREAM_FILES[known] = path
-        return event_stream(spark, sf_dir, files, in_order=in_order)
-    events.withColumn("_file", F.pmod("event_id", F.lit(files))).repartitionByRange(files, "_file").drop("_file").write.parquet(path)
-    _STREAM_FILES[known] = path
-    return event_stream(spark, sf_dir, files, in_order=in_order)
+    if known not in _STREAM_FILES:
+        path, share = fresh_dir(spark, "events"), stored_bytes(spark, f"{sf_dir}/events.parquet") // (files * _FILE_BYTES) + 1
+        share = max(share, 8) if in_order else share
+        part = F.least(F.floor((F.dayofmonth("ts") - 1) / 10), F.lit(2)) if in_order else F.pmod("event_id", F.lit(files))
+        for i in range(3 if in_order else files):
+            events.where(F.coalesce(part, F.lit(0)) == i).repartition(share).write.mode("append").parquet(path)
+        _STREAM_FILES[known] = path, share
+    path, share = _STREAM_FILES[known]
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", share).parquet(path)
 
 
 def k() -> Column:
