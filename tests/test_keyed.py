@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.sources.keyed import MAX_LISTED, KeyedTable
+from tidemark.sources.keyed import MAX_LISTED, MAX_RANGES, KeyedTable
 from tidemark.sources.shared import fresh_dir
 
 SCHEMA = "id long, v string, n long"
@@ -110,3 +110,28 @@ def test_absent_keys_are_answered_by_the_bloom_filter(spark):
     leaves = node.collectLeaves()
     read = [leaves.apply(i).metrics().get("numOutputRows").get().value() for i in range(leaves.size())]
     assert sum(read) == 0
+
+
+def test_a_large_first_write_widens_its_ranges(spark):
+    """Narrow ranges of many keys: folders stay few, and later changes go by the width that was chosen."""
+    table = KeyedTable(fresh_dir(spark, "keyed"), "id", 2)
+    table.upsert(spark.range(-500, 9_500).selectExpr("id", "'a' as v", "id as n"))  # 5 000 ranges of two
+    index = table.index(spark).collect()
+    assert 50 < len(index) <= MAX_RANGES * 1.1 and len({r.width for r in index}) == 1 and index[0].width % 2 == 0
+    before = files(spark, table)
+    table.upsert(spark.range(4210, 4212).selectExpr("id", "'b' as v", "id as n"))
+    assert 1 <= len(files(spark, table).keys() - before.keys()) <= 2  # the ranges of two keys only
+    assert [r.reason for r in table.insert(frame(spark, [(-500, "c", 0), (20_000, "c", 0)])).collect()] == ["held"]
+    table.delete(frame(spark, [(9_499, None, None)]), SCHEMA)
+    want = {i: ("b" if i in (4210, 4211) else "a", i) for i in range(-500, 9_499)} | {20_000: ("c", 0)}
+    assert held(spark, table) == want
+    found = table.lookup(spark.range(4211, 4213), SCHEMA)
+    assert {(r.id, r.v) for r in found.collect()} == {(4211, "b"), (4212, "a")} and len(found.inputFiles()) <= 2
+
+
+def test_an_index_without_widths_goes_by_the_tables_own(spark):
+    table = KeyedTable(fresh_dir(spark, "keyed"), "id", 10)
+    frame(spark, [(3, "a", 0), (14, "a", 0)]).selectExpr("*", "cast(id div 10 as string) as range").write.partitionBy("range").parquet(f"{table.base}/data/version=0")
+    spark.createDataFrame([("0", 0), ("1", 0)], "range string, version long").write.parquet(f"{table.base}/index/version=0")
+    table.upsert(frame(spark, [(14, "b", 1), (25, "b", 1)]))
+    assert held(spark, table) == {3: ("a", 0), 14: ("b", 1), 25: ("b", 1)}

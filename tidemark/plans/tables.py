@@ -166,7 +166,7 @@ def _(spark, sf):
 
 
 def _keyed(spark, sf):
-    """The held customers in ranges of 100, and the changes."""
+    """The held customers in ranges of 100 or a multiple, and the changes."""
     held, new = _held_and_new(spark, sf)
     table = keyed.KeyedTable(shared.fresh_dir(spark, "keyed"), "custkey", 100)
     table.upsert(held)

@@ -4,8 +4,8 @@ Under ``base`` lie ``data/version=V/range=R``, the rows of a range as version V
 with a Bloom filter and bounds of the key in each file, and ``index/version=V``, which names for every
 range the version that holds it. A write reads the ranges of its own keys, writes them as a new version,
 and adds an index at the end, so readers see all of a write or nothing; a write that stopped half way is
-done over by the next. The index has a row per range of ``width`` keys; choose the width so that a range
-fills a file or a few.
+done over by the next. The index has a row per range and tells how many keys a range holds: ``width``, or,
+where the first write would fill too many ranges of that width, a multiple of it (``MAX_RANGES``).
 
 One writer at a time is assumed, as for any table without a lock.
 """
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from tidemark.sources import writes
 
-INDEX = "range string, version long"
+INDEX = "range string, version long, width long"
 
 
 def _children(spark: SparkSession, path: str, name: str) -> list[str]:
@@ -31,14 +31,28 @@ def _children(spark: SparkSession, path: str, name: str) -> list[str]:
 
 @dataclass(frozen=True)
 class KeyedTable:
-    """A table with one row per ``key``, a whole number; ranges hold ``width`` consecutive keys each."""
+    """A table with one row per ``key``, a whole number; ranges hold ``width`` consecutive keys each, or a multiple of that."""
 
     base: str
     key: str
     width: int
 
-    def _range(self) -> Column:
-        return F.floor(F.col(self.key) / self.width).cast("bigint").cast("string")
+    def _range(self, width: int) -> Column:
+        return F.floor(F.col(self.key) / width).cast("bigint").cast("string")
+
+    def _width(self, spark: SparkSession) -> int | None:
+        """Keys of a range; unknown while no range is held."""
+        row = self.index(spark).select("width").first()
+        return row and (row[0] or self.width)  # an index without the column was written by width
+
+    def _fitting(self, keys: DataFrame) -> int:
+        """The least multiple of ``width`` that leaves few ranges, or ranges of many rows."""
+        fine = keys.where(F.col(self.key).isNotNull()).groupBy(self._range(self.width).cast("bigint").alias("range")).agg(F.count(F.lit(1)).alias("n"))
+        steps = [4**i for i in range(STEPS)]
+        counts = [F.approx_count_distinct(F.floor(F.col("range") / x)).alias(str(x)) for x in steps]
+        *ranges, rows = fine.agg(*counts, F.sum("n")).first()
+        limit = max(MAX_RANGES, (rows or 0) // RANGE_ROWS)
+        return self.width * next((x for x, n in zip(steps, ranges) if n <= limit), steps[-1])
 
     def versions(self, spark: SparkSession) -> list[int]:
         return sorted(map(int, _children(spark, f"{self.base}/index", "version")))
@@ -60,7 +74,10 @@ class KeyedTable:
 
     def _touched(self, df: DataFrame) -> list[str]:
         """Ranges that keys fall into: no more than there are ranges, however many keys."""
-        return [r[0] for r in df.where(F.col(self.key).isNotNull()).select(self._range().alias("range")).distinct().collect()]
+        width = self._width(df.sparkSession)
+        if width is None:
+            return []  # nothing is held
+        return [r[0] for r in df.where(F.col(self.key).isNotNull()).select(self._range(width).alias("range")).distinct().collect()]
 
     def _held(self, spark: SparkSession, ranges: list[str], schema) -> DataFrame:
         return self._rows(self.index(spark).where(F.col("range").isin(*ranges)) if ranges else self.index(spark).where("false"), schema)
@@ -71,11 +88,12 @@ class KeyedTable:
         known = self.versions(spark)
         version = known[-1] + 1 if known else 0
         path = f"{self.base}/data/version={version}"
-        placed = rows.withColumn("range", self._range()).hint("rebalance", F.col("range")).sortWithinPartitions("range", self.key)
+        width = self._width(spark) or self._fitting(rows)
+        placed = rows.withColumn("range", self._range(width)).hint("rebalance", F.col("range")).sortWithinPartitions("range", self.key)
         writer = placed.write.mode("overwrite").option(f"parquet.bloom.filter.enabled#{self.key}", "true")
-        writer.option(f"parquet.bloom.filter.expected.ndv#{self.key}", str(self.width)).partitionBy("range").parquet(path)
+        writer.option(f"parquet.bloom.filter.expected.ndv#{self.key}", str(min(width, RANGE_ROWS))).partitionBy("range").parquet(path)
         # a range that lost all its rows has no folder, and leaves the index
-        fresh = spark.createDataFrame([(r, version) for r in _children(spark, path, "range")], INDEX)
+        fresh = spark.createDataFrame([(r, version, width) for r in _children(spark, path, "range")], INDEX)
         stays = self.index(spark)
         stays = stays.where(~F.col("range").isin(*replaced)) if replaced else stays
         stays.unionByName(fresh).coalesce(1).write.mode("overwrite").parquet(f"{self.base}/index/version={version}")
@@ -138,7 +156,7 @@ class KeyedTable:
     def vacuum(self, spark: SparkSession, keep: int = 1) -> int:
         """Remove ranges that none of the last ``keep`` versions names, and the older indexes."""
         versions = self.versions(spark)
-        kept = {tuple(r) for v in versions[-keep:] for r in self.index(spark, v).collect()}
+        kept = {(r.range, r.version) for v in versions[-keep:] for r in self.index(spark, v).collect()}
         gone = 0
         for v in map(int, _children(spark, f"{self.base}/data", "version")):
             stale = [r for r in _children(spark, f"{self.base}/data/version={v}", "range") if (r, v) not in kept]
@@ -149,3 +167,6 @@ class KeyedTable:
 
 
 MAX_LISTED = 200  # keys that are sent to the reader by name
+MAX_RANGES = 256  # of a first write, each a folder; more only if each then has RANGE_ROWS rows
+RANGE_ROWS = 1_000_000
+STEPS = 24  # widths tried, each four times the one before
