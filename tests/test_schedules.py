@@ -81,3 +81,24 @@ def test_long_intervals(spark):
     out = X.expected_runs(df, "schedule", LO, HI).collect()
     for n in (200_000, 86_400):
         assert {r.expected_at for r in out if r.n == n} == brute(f"every {n}")
+
+
+@pytest.mark.parametrize("lo", [LO, LO + timedelta(hours=5, minutes=7, seconds=42)])
+def test_runs_are_made_distinct_on_their_row(spark, lo):
+    """No run meets another in a shuffle: rows are few, runs are many. Repeated rows and entries count once."""
+    texts = ["every 7", "every 60", "every 61", "every 90", "at 3-10:00, *-10:00, 10:00", "at 25:30, 01:30"]
+    rows = [(i, t) for i, t in enumerate(texts)] * 2 + [(9, None)]
+    df = spark.createDataFrame(rows, "id int, schedule string")
+    hi = lo + timedelta(days=2, seconds=30)
+    found = X.expected_runs(df, "schedule", lo, hi)
+    out = found.collect()
+    assert len(out) == len(set(out)) and {r.id for r in out} == set(range(6))
+    for i, n in enumerate((7, 60, 61, 90)):
+        want = {(lo + timedelta(seconds=k * n)).replace(second=0) for k in range(1, 2 * 86_400 // n + 9) if lo + timedelta(seconds=k * n) < hi}
+        assert {r.expected_at for r in out if r.id == i} == want
+    for i, (hour, minute) in ((4, (10, 0)), (5, (1, 30))):
+        days = [lo.replace(hour=0, minute=0, second=0) + timedelta(days=d, hours=hour, minutes=minute) for d in range(4)]
+        assert {r.expected_at for r in out if r.id == i} == {t for t in days if lo <= t < hi}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate explode") == 3
+    assert plan.index("Generate explode") < plan.index("Aggregate [")  # the only aggregations lie under the generators

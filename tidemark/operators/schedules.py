@@ -45,36 +45,45 @@ def next_trigger(df: DataFrame, ts: str, schedule: str, *, last_run: str | None
 def expected_runs(schedules: DataFrame, schedule: str, lo: datetime, hi: datetime) -> DataFrame:
     """Minutes in ``[lo, hi)`` at which each schedule fires, each minute once.
 
-    An ``every N`` schedule counts from ``lo``. Days and steps come from generators on
-    the row of the schedule.
+    An ``every N`` schedule counts from ``lo``. Days and steps come from generators on the row of the
+    schedule. Equal schedules are made one before they become runs; no two runs are compared across rows.
     """
     start, end = P.ntz(lo), P.ntz(hi)
-    rows = parse_schedule(schedules, schedule)
     keys = schedules.columns
-    days = F.sequence(F.to_date(start), F.to_date(end), F.expr("interval 1 day"))
+    session = schedules.sparkSession
+    # a row is small and becomes thousands: rows are dealt by number, as their bytes would leave one task
+    once = schedules.distinct().repartition(int(session.conf.get("spark.sql.shuffle.partitions")))
+    text = X.checked(schedule)
     zero = F.lit(0)
-    on_day = (F.col("day") == X.EVERY_DAY) | (F.weekday("_day") == F.try_to_number("day", F.lit("9")).cast("int"))
-    at = (
-        rows.where("kind = 'at'")
-        .withColumn("_day", F.explode(days))
-        .where(on_day)
-        .withColumn("expected_at", F.col("_day").cast("timestamp_ntz") + F.make_dt_interval(zero, F.col("hour"), F.col("minute")))
-    )
+    # an entry past midnight can meet one of the next day: the minutes of a row are made distinct as one
+    # array, which the days of the range and the entries of the text bound
+    days = F.sequence(F.to_date(start), F.to_date(end), F.expr("interval 1 day"))
+
+    def on_day(day):
+        fires = F.filter("_entries", lambda e: (e["day"] == X.EVERY_DAY) | (F.weekday(day) == F.try_to_number(e["day"], F.lit("9")).cast("int")))
+        return F.transform(fires, lambda e: day.cast("timestamp_ntz") + F.make_dt_interval(zero, e["hour"], e["minute"]))
+
+    minutes = F.array_distinct(F.flatten(F.transform(days, on_day)))
+    at = once.where(~X.is_every(text)).withColumn("_entries", X.entries(text)).select(*keys, F.explode(minutes).alias("expected_at"))
     # runs of an interval are numbered from 1; each day holds a short range of numbers
-    first = F.greatest(F.ceil(F.col("_d") * 86400 / F.col("every_seconds")), F.lit(1))
-    last = F.ceil((F.col("_d") + 1) * 86400 / F.col("every_seconds")) - 1
+    first = F.greatest(F.ceil(F.col("_d") * 86400 / F.col("_step")), F.lit(1))
+    last = F.ceil((F.col("_d") + 1) * 86400 / F.col("_step")) - 1
+    minute = lambda n: F.floor((n * F.col("_step") + lo.second) / 60)
     every = (
-        rows.where("kind = 'every'")
+        once.where(X.is_every(text))
+        .withColumn("_step", X.interval_seconds(text))
         .withColumn("_d", F.explode(F.sequence(F.lit(0), F.lit(max((hi - lo).days, 0)))))
         .withColumn("_first", first)
         .withColumn("_last", last)
         .where("_first <= _last")
         .withColumn("_n", F.explode(F.sequence("_first", "_last")))
-        .withColumn("expected_at", start + F.make_dt_interval(zero, zero, zero, (F.col("_n") * F.col("every_seconds")).cast("decimal(18,6)")))
+        # runs follow each other, so the run before tells whether their minute came already
+        .where((F.col("_n") == 1) | (minute(F.col("_n") - 1) < minute(F.col("_n"))))
+        .withColumn("expected_at", start + F.make_dt_interval(zero, zero, zero, (F.col("_n") * F.col("_step")).cast("decimal(18,6)")))
     )
-    both = at.select(*keys, "expected_at").unionByName(every.select(*keys, "expected_at"))
+    both = at.unionByName(every.select(*keys, "expected_at"))
     inside = both.where((F.col("expected_at") >= start) & (F.col("expected_at") < end))
-    return inside.withColumn("expected_at", F.date_trunc("minute", "expected_at").cast("timestamp_ntz")).distinct()
+    return inside.withColumn("expected_at", F.date_trunc("minute", "expected_at").cast("timestamp_ntz"))
 
 
 def missed_runs(expected: DataFrame, actual: DataFrame, keys: list[str], ts: str, lo: datetime, hi: datetime) -> DataFrame:
